@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import lengths, mixing, packing, pii, quality
 
-QUERIES = {"op7_mix_sources": mixing.op7}
+QUERIES = {
+    "op1_personal_data": pii.op1,
+    "op3_token_counts": lengths.op3,
+    "op4_best_fit_packing": packing.op4,
+    "op7_mix_sources": mixing.op7,
+    "op10_quality_rules": quality.op10,
+}
 SQL = {"op7_mix_sources": mixing.SQL}
