@@ -12,7 +12,7 @@ from itertools import chain
 import numpy as np
 
 #: Distinct chunks kept by a worker (about 150 bytes each); beyond, the cache is emptied and refilled.
-CHUNKS = 700_000
+CHUNKS = 1_200_000
 #: Chunks above this many bytes are encoded each time and not kept.
 LONG_CHUNK = 64
 
@@ -48,21 +48,26 @@ class ChunkEncoder:
         stems = {c: c[:-1] for c in missing if c[-1:] in b",." and c[-2:-1].isalpha()}
         words, others = [], []
         for chunk in (set(missing) - stems.keys()) | (set(stems.values()) - self.cache.keys()) | {b",", b"."}:
-            text = chunk.decode("utf-8", "replace")
-            (words if text.isalpha() and max(text) < _PLAIN else others).append((chunk, text))
+            if chunk.isalpha():  # ASCII letters
+                words.append((chunk, chunk.decode()))
+            else:
+                text = chunk.decode("utf-8", "replace")
+                (words if text.isalpha() and max(text) < _PLAIN else others).append((chunk, text))
         extra: dict[bytes, bytes] = {}
 
         def keep(chunk: bytes, ids: bytes) -> None:
             (self.cache if len(chunk) <= LONG_CHUNK else extra)[chunk] = ids
 
+        # Plain words are encoded as lines of many words and told apart by their end-of-word tokens.
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, "<u4")
+            lines = [" ".join(t for _, t in part[k : k + 200]) for k in range(0, len(part), 200)]
+            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
             raw, bounds = ids.tobytes(), (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            for (chunk, _), start, end in zip(part, [0, *bounds], bounds, strict=False):
-                keep(chunk, raw[start:end])
             if len(bounds) != len(part):
                 raise ValueError("the vocabulary does not end every word with an end-of-word token")
+            for (chunk, _), start, end in zip(part, [0, *bounds], bounds, strict=False):
+                keep(chunk, raw[start:end])
         for at in range(0, len(others), 20_000):
             part = others[at : at + 20_000]
             for (chunk, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import lengths, mixing, packing, pii, quality
+from . import chat, lengths, mixing, packing, pii, quality, warc
 
 QUERIES = {
     "op1_personal_data": pii.op1,
     "op3_token_counts": lengths.op3,
     "op4_best_fit_packing": packing.op4,
+    "op5_chat_formatting": chat.op5,
     "op7_mix_sources": mixing.op7,
+    "op9_warc_archive": warc.op9,
     "op10_quality_rules": quality.op10,
 }
-SQL = {"op7_mix_sources": mixing.SQL}
+SQL = {"op5_chat_formatting": chat.SQL, "op7_mix_sources": mixing.SQL, "op9_warc_archive": warc.SQL}
