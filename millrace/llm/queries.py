@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, lengths, mixing, packing, pii, quality, warc
+from . import chat, lengths, mixing, packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_personal_data": pii.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_token_counts": lengths.op3,
     "op4_best_fit_packing": packing.op4,
     "op5_chat_formatting": chat.op5,
