@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lengths, mixing, packing, pii, quality, toxicity, warc
+from . import chat, jaccard, lengths, mixing, packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_personal_data": pii.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4,
     "op5_chat_formatting": chat.op5,
     "op7_mix_sources": mixing.op7,
+    "op8_ngram_jaccard": jaccard.op8,
     "op9_warc_archive": warc.op9,
     "op10_quality_rules": quality.op10,
 }
