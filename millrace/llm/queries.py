@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, lengths, mixing, packing, pii, quality, toxicity, warc
+from . import ann, chat, jaccard, lengths, mixing, packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_personal_data": pii.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": lengths.op3,
     "op4_best_fit_packing": packing.op4,
     "op5_chat_formatting": chat.op5,
+    "op6_nearest_neighbours": ann.op6,
     "op7_mix_sources": mixing.op7,
     "op8_ngram_jaccard": jaccard.op8,
     "op9_warc_archive": warc.op9,
