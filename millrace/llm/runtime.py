@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a staged table of a few fixed-width columns (at most ~40 bytes a row) is broadcast.
 BROADCAST_ROWS = 500_000
 
+#: Rows that a Python function gets at once, so that split texts of one call stay small.
+CALL_ROWS = 1000
+
 #: ASCII white space, the word rule of all contracts here, as a Java/RE2/Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,8 +58,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CALL_ROWS):
+                batch = whole.slice(at, CALL_ROWS)
                 out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f in target for v in [out[f.name]]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
