@@ -11,14 +11,16 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct chunks kept by a worker (about 150 bytes each); beyond, the cache is emptied and refilled.
-CHUNKS = 1_200_000
+#: Distinct chunks of a generation of the cache (about 150 bytes each); a worker keeps two.
+CHUNKS = 250_000
 #: Chunks above this many bytes are encoded each time and not kept.
 LONG_CHUNK = 64
 
 #: Letters below this code point stay letters, one word each, under the vocabulary's normaliser.
 _PLAIN = "\u0130"
 
+_STOPS = b",."
+
 _ENCODERS: dict = {}
 
 
@@ -35,45 +37,63 @@ class ChunkEncoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit, self.cache = chunks, {}
+        self.limit, self.cache, self.older = chunks, {}, {}
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def _fill(self, wanted: set[bytes]) -> dict[bytes, bytes]:
-        missing = list(wanted - self.cache.keys())
-        if len(self.cache) + len(missing) > self.limit:
-            self.cache.clear()
-            missing = list(wanted)
-        # A comma or full stop after a letter is a token of its own, so the chunk's stem may be known already.
-        stems = {c: c[:-1] for c in missing if c[-1:] in b",." and c[-2:-1].isalpha()}
-        words, others = [], []
-        for chunk in (set(missing) - stems.keys()) | (set(stems.values()) - self.cache.keys()) | {b",", b"."}:
-            if chunk.isalpha():  # ASCII letters
-                words.append((chunk, chunk.decode()))
-            else:
-                text = chunk.decode("utf-8", "replace")
-                (words if text.isalpha() and max(text) < _PLAIN else others).append((chunk, text))
+        """Puts the ids of all wanted chunks into the cache; those of long chunks are returned."""
+        if len(self.cache) > self.limit:  # the generation before last goes, chunks in use move on
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        missing = []
+        for chunk in wanted:
+            if chunk not in cache:
+                known = older.get(chunk)
+                if known is None:
+                    missing.append(chunk)
+                else:
+                    cache[chunk] = known
+        if not missing:
+            return {}
+        # A comma or full stop after a letter is a token of its own, so such a chunk is its stem's ids and one more.
+        stems = [c for c in missing if c[-1] in _STOPS and c[-2:-1].isalpha()]
+        marked = set(stems)
+        rest = [c for c in missing if c not in marked]
+        rest += {c[:-1] for c in stems}.difference(wanted)
+        rest += [b",", b"."]
+        text = b"\n".join(rest).decode("utf-8", "replace")
+        texts = text.split("\n")
+        try:
+            text.encode("latin-1")
+            plain = [t.isalpha() for t in texts]
+        except UnicodeEncodeError:
+            plain = [t.isalpha() and max(t) < _PLAIN for t in texts]
         extra: dict[bytes, bytes] = {}
-
-        def keep(chunk: bytes, ids: bytes) -> None:
-            (self.cache if len(chunk) <= LONG_CHUNK else extra)[chunk] = ids
-
         # Plain words are encoded as lines of many words and told apart by their end-of-word tokens.
+        words = [c for c, ok in zip(rest, plain, strict=True) if ok]
+        spoken = [t for t, ok in zip(texts, plain, strict=True) if ok]
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            lines = [" ".join(t for _, t in part[k : k + 200]) for k in range(0, len(part), 200)]
+            lines = [" ".join(spoken[k : k + 200]) for k in range(at, at + len(part), 200)]
             ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
             raw, bounds = ids.tobytes(), (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
             if len(bounds) != len(part):
                 raise ValueError("the vocabulary does not end every word with an end-of-word token")
-            for (chunk, _), start, end in zip(part, [0, *bounds], bounds, strict=False):
-                keep(chunk, raw[start:end])
+            start = 0
+            for chunk, end in zip(part, bounds, strict=True):
+                (cache if end - start < 64 else extra)[chunk] = raw[start:end]
+                start = end
+        others = [(c, t) for c, t, ok in zip(rest, texts, plain, strict=True) if not ok]
         for at in range(0, len(others), 20_000):
             part = others[at : at + 20_000]
             for (chunk, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                keep(chunk, np.asarray(e.ids, "<u4").tobytes())
-        for chunk, stem in stems.items():
-            keep(chunk, (self.cache.get(stem) or extra[stem]) + self.cache[chunk[-1:]])
+                (cache if len(chunk) <= LONG_CHUNK else extra)[chunk] = np.asarray(e.ids, "<u4").tobytes()
+        for chunk in stems:
+            stem = chunk[:-1]
+            known = cache.get(stem)
+            ids = (extra[stem] if known is None else known) + cache[chunk[-1:]]
+            (cache if len(chunk) <= LONG_CHUNK else extra)[chunk] = ids
         return extra
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a staged table of a few fixed-width columns (at most ~40 bytes a row) is broadcast.
 BROADCAST_ROWS = 500_000
 
-#: Rows that a Python function gets at once, so that split texts of one call stay small.
+#: Rows of an Arrow batch to and from Python, and of one call, so that a worker holds few texts at once.
 CALL_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: ASCII white space, the word rule of all contracts here, as a Java/RE2/Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,7 +56,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     ``make`` is called once a task and returns the function; its input is column name -> Python list,
     its output must hold every column of ``schema`` (any number of rows).
     """
-    target = pa_schema(df.sparkSession, schema)
+    spark = df.sparkSession
+    target = pa_schema(spark, schema)
+    if int(spark.conf.get(_BATCH)) == 10_000:  # the default; a session's own choice stays
+        spark.conf.set(_BATCH, str(CALL_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -64,10 +69,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
                 out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f in target for v in [out[f.name]]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers are reused, and idle ones count like busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 #: Entries kept by a worker-wide word cache before it is emptied (about 100 bytes an entry).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
