@@ -5,9 +5,9 @@ Documents are sets of distinct 4-word shingles (64-bit hashes).  The join has th
 1.  Equal sets are one class (128-bit digest), so copies never meet each other.
 2.  Blocks.  For a pair at or above the threshold the symmetric difference is at most ``D`` elements; if the
     elements are dealt by hash into more than ``D`` parts, at least one part is equal in both sets.  Every
-    class therefore emits a key per part, within classes of similar size, and classes that share a key are
-    connected into blocks.  No link can cross two blocks.  Almost all keys occur once, so blocks are near
-    copies and little else, and shared passages don't make them.
+    class therefore emits a key per part, within one or two levels of similar size, and classes that share a key
+    are connected into blocks of a level.  Every link lies in a block.  Almost all keys occur once, so blocks
+    are near copies and little else; shared passages don't make them, nor do chains through other sizes.
 3.  Prefix tree.  A block's sets are stored in a trie, ordered globally by how many of them hold an element;
     a probe adds up its partial overlaps along the trie's nodes, shared by all sets below a node, and leaves
     subtrees whose remaining length can't reach the needed overlap.  Blocks above ``BLOCK_BYTES`` are split
@@ -39,6 +39,9 @@ N, PERCENT = 4, 85
 #: Bytes of a block's (or sub-block's) sets that one task holds.
 BLOCK_BYTES = 4 << 20
 
+#: Low bits of a key that hold its size class.
+LEVEL_MASK = 127
+
 _HASHES: list[WordHashes] = []
 
 
@@ -49,27 +52,27 @@ def _cache() -> WordHashes:
     return _HASHES[0]
 
 
-def size_bounds(percent: int = PERCENT, top: int = 1 << 40) -> list[int]:
+def size_bounds(percent: int = PERCENT, top: int = 1 << 36) -> list[int]:
     """Lower bounds of the size classes; sets too small to differ and still be linked come before the first."""
     first = -(-percent // (100 - percent))  # below, one element of difference is too much
     out = [max(first, 1)]
     while out[-1] < top:
-        out.append(out[-1] * 3 // 2 + 1)
+        out.append(out[-1] * 5 // 4 + 1)
     return out
 
 
 def _parts(upper: int, percent: int) -> tuple[int, int]:
     """For sets below ``upper`` elements: the largest difference of a linked pair, and the number of parts."""
     differ = (100 - percent) * 2 * (upper - 1) // (100 + percent)
-    return differ, differ + differ // 7 + 4
+    return differ, differ + differ * 3 // 10 + 4
 
 
 def part_keys(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
     """The keys of each set.  Two sets at or above the threshold that are not equal share at least one.
 
-    A set emits in its own size class, and in the next one if a partner there is possible.  Equal parts may be
-    empty in both sets; only a set with so many empty parts that these could be all of them emits keys for
-    its empty parts too.
+    A set emits in its own size class, and in the next one if a partner there is possible.  Parts of one element
+    or none are weak: unrelated texts share them.  An equal part is weak in both sets, so a set whose weak parts
+    are fewer than the parts that any partner must share leaves them out; a set with more emits all its parts.
     """
     bounds = size_bounds(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -94,12 +97,13 @@ def part_keys(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray
             index = np.arange(start[-1]) - np.repeat(start[:-1], parts)
             seed = (np.repeat(level[chosen], parts).astype(np.uint64) << np.uint64(32)) + index.astype(np.uint64)
             keys = splitmix(sums + splitmix(seed + np.uint64(0xA0761D6478BD642F)))
-        filled = np.bincount(part, minlength=start[-1]) > 0
+            keys = (keys & ~np.uint64(LEVEL_MASK)) | np.repeat(level[chosen], parts).astype(np.uint64)
+        strong = np.bincount(part, minlength=start[-1]) > 1
         for k, i in enumerate(chosen):
             mine = slice(start[k], start[k + 1])
             differ, count = rules[int(level[i])]
-            empty = count - int(filled[mine].sum())
-            out[i].append(keys[mine] if empty >= count - differ else keys[mine][filled[mine]])
+            weak = count - int(strong[mine].sum())
+            out[i].append(keys[mine] if weak >= count - differ else keys[mine][strong[mine]])
     return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
 
 
@@ -108,7 +112,7 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest (null for empty sets) and the set's keys."""
+    """Per row: doc_id, n_shingles, digest (null for empty sets), the set's keys and their levels."""
 
     def make():
         def run(cols):
@@ -116,13 +120,13 @@ def sketches(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
             keys = part_keys(sets, percent)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             return {
-                "doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [digest(s) if len(s) else None for s in sets],
+                "doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [digest(s) if len(s) else None for s in sets], "levels": [np.unique(k & np.uint64(LEVEL_MASK)).astype(np.int32).tolist() for k in keys],
                 "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64))),
             }
 
         return run
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n_shingles long, digest binary, levels array<int>, keys array<long>")
 
 
 class Trie:
@@ -234,10 +238,15 @@ def forest(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray
     return out
 
 
+def _node():
+    """A class at a level: 64 bits of digest and level."""
+    return F.xxhash64("digest", "level")
+
+
 def block_members(sketch: DataFrame) -> DataFrame:
-    """(node, block) of the classes that share a key with another class; node: 64 bits of the digest."""
-    node = F.xxhash64("digest").alias("node")
-    rows = sketch.filter(F.col("digest").isNotNull()).select(node, F.explode("keys").alias("key"))
+    """(node, block) of the classes that share a key with another class."""
+    keys = sketch.filter(F.col("digest").isNotNull()).select("digest", F.explode("keys").alias("key"))
+    rows = keys.withColumn("level", F.col("key").bitwiseAND(LEVEL_MASK).cast("int")).select(_node().alias("node"), "key")
     first = F.min("node").over(Window.partitionBy("key"))
     edges = rows.withColumn("u", first).filter("u <> node").select("u", F.col("node").alias("v"))
     return components(edges).select("node", F.col("root").alias("block"))
@@ -245,7 +254,8 @@ def block_members(sketch: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int = N, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(u, v): links between class representatives that span every component."""
-    known = classes.join(members, F.xxhash64("digest") == F.col("node")).select("rep", "digest", "n_shingles", "block")
+    leveled = classes.select("rep", "digest", "n_shingles", F.explode("levels").alias("level"))
+    known = leveled.join(members, _node() == F.col("node")).select("rep", "digest", "n_shingles", "block")
     sums = known.groupBy("block").agg(F.sum(F.col("n_shingles") * 8).alias("_bytes"))
     tiles = F.greatest(F.lit(1), F.ceil(F.col("_bytes") / block_bytes)).cast("int")
     known = known.join(sums.withColumn("_tiles", tiles).select("block", "_tiles"), "block")
@@ -281,7 +291,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, block_b
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     slim = docs.select("doc_id", "text")
     sketch = staged(sketches(slim, n, percent), "sketches")
-    classes = staged(sketch.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
+    classes = staged(sketch.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("levels").alias("levels")), "classes")
     # Keys of copies are the copies' own; a class is represented once per task at least, and joined by node.
     members = block_members(sketch)
     found = links(slim, classes, members, n, percent, block_bytes)
