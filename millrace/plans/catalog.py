@@ -1,6 +1,8 @@
-"""Registry of the engine's own queries and of the SQL each one must agree with."""
+"""All queries of the engine and the SQL each one must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import curation_queries, evaluation_queries, layout_queries, rollout_queries, scoring_queries, token_queries  # noqa: F401  they register themselves
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
