@@ -46,9 +46,10 @@ def grpo_split(df: DataFrame, on_policy: str = "on_policy", score: str = "score"
     mean = F.when(n == 1, 0.0).when(n > 1, F.avg(on).over(_group()))
     dev = F.when(n == 1, 1.0).when(n > 1, F.stddev_samp(on).over(_group()))
     dev = F.when(dev == 0, 1.0).otherwise(dev)
+    out = (F.col(score) - mean) / (dev + eps) if scale else F.col(score) - mean
     if strict:
-        mean = F.when(n == 0, F.raise_error(F.lit("a group has no on-policy rows")).cast("double")).otherwise(mean)
-    return df.withColumn("advantage", (F.col(score) - mean) / (dev + eps) if scale else F.col(score) - mean)
+        out = F.when(n == 0, F.raise_error(F.lit("a group has no on-policy rows")).cast("double")).otherwise(out)
+    return df.withColumn("advantage", out)
 
 
 @ESTIMATORS.register("grpo_passk")

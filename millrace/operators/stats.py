@@ -57,6 +57,8 @@ def whiten(df: DataFrame, value: str, mask: str, shift_mean: bool = True, out: s
 
 def agg_loss(df: DataFrame, loss: str, mask: str, mode: str, width: int | None = None, seq: tuple[str, ...] = ("uid", "k")) -> DataFrame:
     """One row ``loss``: token-mean, seq-mean-token-sum, seq-mean-token-mean or seq-mean-token-sum-norm (needs the padded width)."""
+    if mode not in ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm"):
+        raise ValueError(f"unknown loss aggregation {mode!r}")
     m = F.col(mask).cast("double")
     if mode == "token-mean":
         return df.agg(masked_mean(loss, mask).alias("loss"))
@@ -65,11 +67,9 @@ def agg_loss(df: DataFrame, loss: str, mask: str, mode: str, width: int | None =
         return per.agg(F.avg("s").alias("loss"))
     if mode == "seq-mean-token-mean":
         return per.agg(F.avg(F.try_divide(F.col("s"), F.col("n"))).alias("loss"))
-    if mode == "seq-mean-token-sum-norm":
-        if not width:
-            raise ValueError("the padded width is needed")
-        return per.agg((F.sum("s") / F.lit(float(width))).alias("loss"))
-    raise ValueError(f"unknown loss aggregation {mode!r}")
+    if not width:
+        raise ValueError("the padded width is needed")
+    return per.agg((F.sum("s") / F.lit(float(width))).alias("loss"))
 
 
 def kl_penalty(logp: Column | str, ref: Column | str, kind: str) -> Column:

@@ -125,11 +125,11 @@ def remax_returns(spark, d):
 
 
 @query("gae_adv", f"""WITH {TOKENS}, q AS (SELECT *, reward + 0.9::DOUBLE * coalesce(lead(value) OVER (PARTITION BY uid ORDER BY pos), 0) - value AS delta FROM t)
-SELECT a.uid, a.pos, round(sum(pow(0.9::DOUBLE * 0.95::DOUBLE, b.pos - a.pos) * b.delta), 9) AS advantage, round(sum(pow(0.9::DOUBLE * 0.95::DOUBLE, b.pos - a.pos) * b.delta) + any_value(a.value), 9) AS returns
+SELECT a.uid, a.pos, round(sum(pow(0.9::DOUBLE * 0.9337::DOUBLE, b.pos - a.pos) * b.delta), 6) AS advantage, round(sum(pow(0.9::DOUBLE * 0.9337::DOUBLE, b.pos - a.pos) * b.delta) + any_value(a.value), 6) AS returns
 FROM q a JOIN q b ON a.uid = b.uid AND b.pos >= a.pos GROUP BY a.uid, a.pos""")
 def gae_adv(spark, d):
-    out = A.gae_estimator(_arrays(spark, d), "reward", "value", 0.9, 0.95)
-    return out.select("uid", F.posexplode(F.arrays_zip("advantage", "returns")).alias("pos", "z")).select("uid", "pos", r6("z.advantage", 9).alias("advantage"), r6("z.returns", 9).alias("returns"))
+    out = A.gae_estimator(_arrays(spark, d), "reward", "value", 0.9, 0.9337)
+    return out.select("uid", F.posexplode(F.arrays_zip("advantage", "returns")).alias("pos", "z")).select("uid", "pos", r6("z.advantage").alias("advantage"), r6("z.returns").alias("returns"))
 
 
 @query("prime_rloo", f"""WITH {TOKENS}, s AS (SELECT uid, any_value(uid) % 50 AS g, sum(reward * m) / (sum(m) + {_EPS}) AS x FROM t GROUP BY uid), w AS (SELECT *, sum(x) OVER v AS s, count(*) OVER v AS n FROM s WINDOW v AS (PARTITION BY g))
