@@ -7,116 +7,123 @@ costs a split and one dictionary lookup a chunk.  The equality with encoding the
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 
-#: Distinct chunks of a generation of the cache (about 150 bytes each); a worker keeps two.
-CHUNKS = 250_000
-#: Chunks above this many bytes are encoded each time and not kept.
+from .textkit import split_words
+
+#: Distinct chunks of a generation of the cache (about 150 bytes each); a task keeps two.
+CHUNKS = 400_000
+#: Chunks above this many characters are encoded each time and not kept.
 LONG_CHUNK = 64
 
 #: Letters below this code point stay letters, one word each, under the vocabulary's normaliser.
 _PLAIN = "\u0130"
 
-_STOPS = b",."
+_STOPS = (",", ".")
 
-_ENCODERS: dict = {}
+_VOCABULARIES: dict[str | None, Vocabulary] = {}
 
 
-class ChunkEncoder:
-    def __init__(self, path: str | None = None, chunks: int = CHUNKS):
+class Vocabulary:
+    """A tokenizer file, loaded once a process: the tokenizer itself, a lighter one for plain words, word ends."""
+
+    def __init__(self, path: str | None = None):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit, self.cache, self.older = chunks, {}, {}
+        # Lower-case letters come out of the normaliser and the splitter as they are.
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
-    def _fill(self, wanted: set[bytes]) -> dict[bytes, bytes]:
-        """Puts the ids of all wanted chunks into the cache; those of long chunks are returned."""
-        if len(self.cache) > self.limit:  # the generation before last goes, chunks in use move on
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        missing = []
-        for chunk in wanted:
-            if chunk not in cache:
-                known = older.get(chunk)
-                if known is None:
-                    missing.append(chunk)
-                else:
-                    cache[chunk] = known
-        if not missing:
-            return {}
-        # A comma or full stop after a letter is a token of its own, so such a chunk is its stem's ids and one more.
-        stems = [c for c in missing if c[-1] in _STOPS and c[-2:-1].isalpha()]
-        marked = set(stems)
-        rest = [c for c in missing if c not in marked]
-        rest += {c[:-1] for c in stems}.difference(wanted)
-        rest += [b",", b"."]
-        text = b"\n".join(rest).decode("utf-8", "replace")
-        texts = text.split("\n")
-        try:
-            text.encode("latin-1")
-            plain = [t.isalpha() for t in texts]
-        except UnicodeEncodeError:
-            plain = [t.isalpha() and max(t) < _PLAIN for t in texts]
-        extra: dict[bytes, bytes] = {}
+
+class ChunkEncoder:
+    """Encodes texts through a vocabulary; the cache lives as long as the encoder, one task."""
+
+    def __init__(self, vocabulary: Vocabulary, chunks: int = CHUNKS):
+        self.vocabulary, self.limit = vocabulary, chunks
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode_new(self, chunks: list[str]) -> None:
+        """Puts the ids of chunks that the cache lacks into it."""
+        cache = self.cache
+        # A comma or full stop after a plain letter is a token of its own, so such a chunk is its stem's ids and one more.
+        stems, rest = [], []
+        for c in chunks:
+            (stems if c.endswith(_STOPS) and c[-2:-1].isalpha() and c[-2] < _PLAIN else rest).append(c)
+        new = {c[:-1] for c in stems}.difference(rest)
+        rest += [c for c in new if c not in cache]
+        rest += [c for c in _STOPS if c not in cache]
         # Plain words are encoded as lines of many words and told apart by their end-of-word tokens.
-        words = [c for c, ok in zip(rest, plain, strict=True) if ok]
-        spoken = [t for t, ok in zip(texts, plain, strict=True) if ok]
+        words = [c for c in rest if c.isalpha() and (c.isascii() or max(c) < _PLAIN)]
+        spoken = [c if c.isascii() else c.lower() for c in words]
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            lines = [" ".join(spoken[k : k + 200]) for k in range(at, at + len(part), 200)]
-            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-            raw, bounds = ids.tobytes(), (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            lines = [" ".join(spoken[k : k + 500]) for k in range(at, at + len(part), 500)]
+            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.vocabulary.plain.encode_batch_fast(lines, add_special_tokens=False)])
+            raw, bounds = ids.tobytes(), (4 * (np.flatnonzero(self.vocabulary.ends_word[ids]) + 1)).tolist()
             if len(bounds) != len(part):
                 raise ValueError("the vocabulary does not end every word with an end-of-word token")
-            start = 0
-            for chunk, end in zip(part, bounds, strict=True):
-                (cache if end - start < 64 else extra)[chunk] = raw[start:end]
-                start = end
-        others = [(c, t) for c, t, ok in zip(rest, texts, plain, strict=True) if not ok]
+            cache.update(zip(part, [raw[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)], strict=True))
+        plain = set(words)
+        others = [c for c in rest if c not in plain]
         for at in range(0, len(others), 20_000):
             part = others[at : at + 20_000]
-            for (chunk, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                (cache if len(chunk) <= LONG_CHUNK else extra)[chunk] = np.asarray(e.ids, "<u4").tobytes()
+            for chunk, e in zip(part, self.vocabulary.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                cache[chunk] = np.asarray(e.ids, "<u4").tobytes()
         for chunk in stems:
-            stem = chunk[:-1]
-            known = cache.get(stem)
-            ids = (extra[stem] if known is None else known) + cache[chunk[-1:]]
-            (cache if len(chunk) <= LONG_CHUNK else extra)[chunk] = ids
-        return extra
+            cache[chunk] = cache[chunk[:-1]] + cache[chunk[-1]]
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, from the cache's two generations or encoded now."""
+        if len(self.cache) > self.limit:  # the generation before last goes, chunks in use move on
+            self.older, self.cache = self.cache, {}
+        self.cache[""] = b""
+        cache, older = self.cache, self.older
+        known = [cache.get(c) for c in chunks]
+        missing = []
+        for c, k in zip(chunks, known, strict=True):
+            if k is None:
+                k = older.get(c)
+                if k is None:
+                    missing.append(c)
+                else:
+                    cache[c] = k
+        if missing:
+            self._encode_new(missing)
+        out = [cache[c] if k is None else k for c, k in zip(chunks, known, strict=True)]
+        for c in missing:
+            if len(c) > LONG_CHUNK:
+                del cache[c]
+        return out
+
+    def lengths(self, texts: list[str | None]) -> np.ndarray:
+        """The number of ids of each text."""
+        numbers, words, ends = split_words(texts, fold_case=True)
+        chunks = self._ids_of(words.to_pylist())
+        sizes = np.fromiter(map(len, chunks), np.int64, count=len(chunks)) // 4
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[numbers])])[ends])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts."""
-        docs = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
-        extra = self._fill(set(chain.from_iterable(docs)))
-        if extra:
-            look = extra | self.cache if len(self.cache) < len(extra) else _Both(self.cache, extra)
-            return [b"".join(map(look.__getitem__, d)) for d in docs]
-        return [b"".join(map(self.cache.__getitem__, d)) for d in docs]
-
-
-class _Both(dict):
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
+        numbers, words, ends = split_words(texts, fold_case=True)
+        chunks = self._ids_of(words.to_pylist())
+        order, ends = numbers.tolist(), ends.tolist()
+        return [b"".join([chunks[i] for i in order[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def encoder(path: str | None = None) -> ChunkEncoder:
-    """The worker's encoder of a vocabulary, made once a process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """A new encoder of a vocabulary that is loaded once a process."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return ChunkEncoder(_VOCABULARIES[path])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .runtime import map_batches, sized, staged
-from .textkit import WordHashes, shingle_sets, splitmix
+from .textkit import shingle_sets, splitmix
 
 #: Words of a shingle, and the threshold in percent.
 N, PERCENT = 4, 85
@@ -42,15 +42,6 @@ BLOCK_BYTES = 4 << 20
 #: Low bits of a key that hold its size class.
 LEVEL_MASK = 127
 
-_HASHES: list[WordHashes] = []
-
-
-def _cache() -> WordHashes:
-    """The worker's word hashes."""
-    if not _HASHES:
-        _HASHES.append(WordHashes())
-    return _HASHES[0]
-
 
 def size_bounds(percent: int = PERCENT, top: int = 1 << 36) -> list[int]:
     """Lower bounds of the size classes; sets too small to differ and still be linked come before the first."""
@@ -116,7 +107,7 @@ def sketches(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     def make():
         def run(cols):
-            sets = shingle_sets(cols["text"], n, _cache())
+            sets = shingle_sets(cols["text"], n)
             keys = part_keys(sets, percent)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             return {
@@ -264,7 +255,7 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int = N, p
 
     def make():
         def run(cols):
-            sets = shingle_sets(cols["text"], n, _cache())
+            sets = shingle_sets(cols["text"], n)
             same = [len(s) > 0 and digest(s) == d for s, d in zip(sets, cols["digest"], strict=True)]  # a doc_id may stand for other texts too
             out = {c: [v for v, ok in zip(cols[c], same, strict=True) if ok] for c in ("doc_id", "block", "_tiles", "_sub")}
             return out | {"shingles": [s.tobytes() for s, ok in zip(sets, same, strict=True) if ok]}

@@ -9,15 +9,14 @@ Defined cases: null and empty texts have length 0; repeated rows count each; an
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .runtime import map_batches
+from .runtime import map_batches, staged
 
 #: Lengths in a block of the two-level running sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoded_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -25,7 +24,7 @@ def encoded_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def make():
         enc = encoder(path)
-        return lambda cols: {"doc_id": cols["doc_id"], "length": np.array([len(x) // 4 for x in enc.encode(cols["text"])], np.int64)}
+        return lambda cols: {"doc_id": cols["doc_id"], "length": enc.lengths(cols["text"])}
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, length long")
 
@@ -35,7 +34,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     (suffix sums: this length and longer), and truncated_tokens: the total when every document is cut to
     this length.  For a limit c between two lengths the total is tokens_upto of the lower one plus c times
     docs_from of the higher one."""
-    hist = lengths.groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("_block", F.floor(F.col("length") / BLOCK))
+    counted = staged(lengths.groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")  # texts are read once
+    hist = counted.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("_block", F.floor(F.col("length") / BLOCK))
     before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
     blocks = hist.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("n_tokens").alias("_t")).select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 #: Rows of an Arrow batch to and from Python, and of one call, so that a worker holds few texts at once.
-CALL_ROWS = 1000
+CALL_ROWS = 2500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: ASCII white space, the word rule of all contracts here, as a Java/RE2/Python pattern.
@@ -69,6 +69,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
                 out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f in target for v in [out[f.name]]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        del fn
         release_memory()
 
     return df.mapInArrow(run, schema)

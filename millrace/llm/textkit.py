@@ -8,11 +8,10 @@ those bytes.  Nothing here imports Spark, so the kernels are tested without a se
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Entries kept by a worker-wide word cache before it is emptied (about 100 bytes an entry).
-CACHE_ENTRIES = 200_000
-
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -30,18 +29,28 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, filled on demand and emptied when it holds ``limit`` words."""
+def split_words(texts: list, fold_case: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(word number per word in order, distinct words, offsets of the texts), split at ASCII white space.
+
+    Null is an empty text.  Splitting, folding (A-Z only) and numbering are Arrow kernels; Python sees a
+    distinct word once.
+    """
+    column = pa.array([t or "" for t in texts], pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if fold_case else column)
+    coded = lists.flatten().dictionary_encode()
+    numbers, words = coded.indices.to_numpy(), coded.dictionary
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    blank = pc.index(words, "").as_py()  # white space at a text's ends leaves empty pieces
+    if blank >= 0:
+        keep = numbers != blank
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+        numbers = numbers[keep]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(texts)))])
+    return numbers, words, ends
 
-    def __init__(self, limit: int = CACHE_ENTRIES):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def word_hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, count=len(words))
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -57,22 +66,16 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return acc
 
 
-def shingle_sets(texts: list, n: int, cache: WordHashes, fold_case: bool = True) -> list[np.ndarray]:
+def shingle_sets(texts: list, n: int, fold_case: bool = True) -> list[np.ndarray]:
     """The distinct n-word shingles of each text as a sorted array of 64-bit hashes.
 
-    Words of all texts are hashed through one cache and combined in one vectorised pass; shingles that
-    would straddle two texts are never taken.
+    Words are hashed once and combined in one vectorised pass; shingles that would straddle two texts are
+    never taken.
     """
-    split = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    split = [(b.lower() if fold_case else b).split() for b in split]
-    sizes = [len(w) for w in split]
-    flat = np.fromiter((cache[w] for doc in split for w in doc), np.uint64, count=sum(sizes))
+    numbers, words, ends = split_words(texts, fold_case)
+    flat = word_hashes(words)[numbers] if len(numbers) else np.empty(0, np.uint64)
     whole = ngram_hashes(flat, n) if len(flat) >= n else np.empty(0, np.uint64)
-    out, at = [], 0
-    for size in sizes:
-        if size >= n:
-            out.append(np.unique(whole[at : at + size - n + 1]))
-        else:
-            out.append(ngram_hashes(flat[at : at + size], n))
-        at += size
+    out = []
+    for at, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out.append(np.unique(whole[at : end - n + 1]) if end - at >= n else ngram_hashes(flat[at:end], n))
     return out

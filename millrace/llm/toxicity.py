@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import map_batches, staged
-from .textkit import WordHashes, ascii_words, ngram_hashes, splitmix
+from .textkit import ngram_hashes, splitmix, split_words, word_hashes
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 TRAIN_ROWS = 8000
@@ -136,12 +136,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
     def make():
         seeds = np.random.default_rng(7).integers(1, 1 << 63, COPY_HASHES, np.uint64) | np.uint64(1)
-        cache = WordHashes()
 
         def run(cols):
             least = []
-            for text in cols["text"]:
-                runs = ngram_hashes(np.fromiter((cache[w] for w in ascii_words(text)), np.uint64), 3)
+            numbers, words, ends = split_words(cols["text"])
+            flat = word_hashes(words)[numbers]
+            for at, end in zip(ends[:-1], ends[1:], strict=True):
+                runs = ngram_hashes(flat[at:end], 3)
                 least.append([int(splitmix(runs * s).min().view(np.int64)) if len(runs) else 0 for s in seeds])
             return {**cols, **{n: [x[k] for x in least] for k, n in enumerate(names)}}
 
