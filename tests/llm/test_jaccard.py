@@ -5,7 +5,7 @@ import pytest
 
 from millrace.llm import jaccard
 from millrace.llm.graph import components
-from millrace.llm.textkit import WordHashes, shingle_sets
+from millrace.llm.textkit import shingle_sets
 
 from .helpers import awkward, documents, prose, words
 
@@ -115,5 +115,5 @@ def test_graph_components(spark):
 
 def test_shingle_kernel():
     texts = corpus(2)
-    sets = shingle_sets(texts, 4, WordHashes(limit=50))
+    sets = shingle_sets(texts, 4)
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]

@@ -13,7 +13,7 @@ from .helpers import awkward, documents, prose
 
 
 def whole(texts):
-    t = encoder(None).tokenizer
+    t = encoder(None).vocabulary.tokenizer
     return [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -22,7 +22,7 @@ def test_chunked_encoding_equals_the_whole_text():
     alphabet = "aBc éÉ.,'sSİıſ  \t\n1٣-<|>endoftextḰß中😀"
     texts = [*awkward(), "<|endoftext|> it's I'LL x<|startoftext|>", "L'été, c'est ça. Ç,"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 80))) for _ in range(600)]
     assert encoder(None).encode(texts) == whole(texts)
-    small = ChunkEncoder(None, chunks=20)  # the cache turns over all the time
+    small = ChunkEncoder(encoder(None).vocabulary, chunks=20)  # the cache turns over all the time
     for at in range(0, len(texts), 50):
         assert small.encode(texts[at : at + 50]) == whole(texts[at : at + 50])
 
