@@ -124,11 +124,11 @@ def remax_returns(spark, d):
     return out.select("uid", F.posexplode("advantage").alias("pos", "advantage")).withColumn("advantage", r6("advantage"))
 
 
-@query("gae_adv", f"""WITH {TOKENS}, q AS (SELECT *, reward + 0.9::DOUBLE * coalesce(lead(value) OVER (PARTITION BY uid ORDER BY pos), 0) - value AS delta FROM t)
-SELECT a.uid, a.pos, round(sum(pow(0.9::DOUBLE * 0.9337::DOUBLE, b.pos - a.pos) * b.delta), 6) AS advantage, round(sum(pow(0.9::DOUBLE * 0.9337::DOUBLE, b.pos - a.pos) * b.delta) + any_value(a.value), 6) AS returns
+@query("gae_adv", f"""WITH {TOKENS}, q AS (SELECT *, reward + 0.9123457::DOUBLE * coalesce(lead(value) OVER (PARTITION BY uid ORDER BY pos), 0) - value AS delta FROM t)
+SELECT a.uid, a.pos, round(sum(pow(0.9123457::DOUBLE * 0.9337711::DOUBLE, b.pos - a.pos) * b.delta), 6) AS advantage, round(sum(pow(0.9123457::DOUBLE * 0.9337711::DOUBLE, b.pos - a.pos) * b.delta) + any_value(a.value), 6) AS returns
 FROM q a JOIN q b ON a.uid = b.uid AND b.pos >= a.pos GROUP BY a.uid, a.pos""")
 def gae_adv(spark, d):
-    out = A.gae_estimator(_arrays(spark, d), "reward", "value", 0.9, 0.9337)
+    out = A.gae_estimator(_arrays(spark, d), "reward", "value", 0.9123457, 0.9337711)
     return out.select("uid", F.posexplode(F.arrays_zip("advantage", "returns")).alias("pos", "z")).select("uid", "pos", r6("z.advantage").alias("advantage"), r6("z.returns").alias("returns"))
 
 
