@@ -137,3 +137,40 @@ def gae(rewards: Column | str, values: Column | str, gamma: float, lam: float) -
         return F.struct(now.alias("a"), x["v"].cast("double").alias("v"), F.array_append(acc["o"], now).alias("o"))
 
     return F.reverse(F.aggregate(pairs, start, step, lambda acc: acc["o"]))
+
+
+def ratio_window(step: int, steps: int, largest: float, kind: str) -> tuple[float, float]:
+    """Range of a prefix ratio at a training step: ten windows of falling (linear_max) or rising (reverse_linear) width.
+
+    A step on a border belongs to the earlier window, one beyond all to the last.
+    """
+    at = next((i for i in range(10) if i * steps / 10 <= step <= (i + 1) * steps / 10), 9)
+    if kind == "linear_max":
+        return 0.0, (10 - at) * largest / 10
+    if kind == "reverse_linear":
+        return 0.0, (at + 1) * largest / 10
+    if kind == "linear":
+        fixed = largest * (1 - min(step / steps, 1.0))
+        return fixed, fixed
+    raise ValueError(f"unknown schedule {kind!r}")
+
+
+def sampled_ratio(key: Column | str, low: float, high: float, seed: int = 0) -> Column:
+    """A ratio in [low, high] by a hash of the key."""
+    u = F.pmod(F.xxhash64(_col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return F.lit(low) + u * F.lit(high - low)
+
+
+def off_policy_prompt(prompt: Column | str, target: Column | str, keep: Column, width: int, fill: int, end: int | None = None) -> Column:
+    """Prompt, then the target's first ``keep`` tokens (and the end token if all are kept), left-padded to a width."""
+    t = _col(target)
+    head = F.slice(t, F.lit(1), F.least(keep, F.size(t)))
+    if end is not None:
+        head = F.when(keep >= F.size(t), F.concat(head, F.array(F.lit(end)))).otherwise(head)
+    return pad(F.concat(_col(prompt), head), width, fill, left=True)
+
+
+def token_split_prefixes(points: Column | str, n: int) -> Column:
+    """Prefix lengths for n samples from split points; a single point serves all."""
+    p = _col(points)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.size(p) == 1, F.get(p, F.lit(0))).otherwise(F.get(p, i)))

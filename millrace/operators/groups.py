@@ -81,8 +81,33 @@ def merge_on_off(on: DataFrame, off: DataFrame) -> DataFrame:
 
 
 def pairwise_accuracy(df: DataFrame, label: str, guess: str) -> DataFrame:
-    """Over the pairs of a group whose labels differ, the share that the guess orders alike: one row a group."""
+    """Per group the share of pairs (earlier, later) on whose order label and guess agree, weighted by the labels' distance.
+
+    A guess that does not rise counts as falling; a group whose labels are all equal has 0.5.  Groups are the
+    samples of one prompt, so pairs stay few.
+    """
     a, b = df.select("uid", F.col("k").alias("ka"), F.col(label).alias("la"), F.col(guess).alias("ga")), df.select("uid", F.col("k").alias("kb"), F.col(label).alias("lb"), F.col(guess).alias("gb"))
-    pairs = a.join(b, "uid").filter("ka < kb and la <> lb")
-    alike = ((F.col("la") > F.col("lb")) & (F.col("ga") > F.col("gb"))) | ((F.col("la") < F.col("lb")) & (F.col("ga") < F.col("gb")))
-    return pairs.groupBy("uid").agg(F.count("*").alias("n_pairs"), F.avg(alike.cast("double")).alias("accuracy"))
+    pairs = a.join(b, "uid").filter("ka < kb")
+    weight = F.abs(F.col("la") - F.col("lb"))
+    alike = ((F.col("ga") > F.col("gb")) == (F.col("la") > F.col("lb"))).cast("double")
+    return pairs.groupBy("uid").agg(F.count("*").alias("n_pairs"), F.coalesce(F.try_divide(F.sum(alike * weight), F.sum(weight)), F.lit(0.5)).alias("accuracy"))
+
+
+def replace_weak_off_policy(df: DataFrame, standard: DataFrame, fail: float = 0.0, shortest: int = 1000, score: str = "score", length: str = "length") -> DataFrame:
+    """Off-policy rows that failed or are shorter than ``shortest`` take the group's standard response (uid, response).
+
+    Adds replaced, and clears ``se`` where it is there; groups without a standard response stay.
+    """
+    other = standard.select("uid", F.col("response").alias("_standard"))
+    both = df.join(other, "uid", "left")
+    swap = ~F.col("on_policy") & ((F.col(score) == fail) | (F.col(length) < shortest)) & F.col("_standard").isNotNull()
+    out = both.withColumns({"replaced": F.coalesce(swap, F.lit(False)), "response": F.when(swap, F.col("_standard")).otherwise(F.col("response"))})
+    if "se" in df.columns:
+        out = out.withColumn("se", F.col("se") & ~F.col("replaced"))
+    return out.drop("_standard")
+
+
+def overflow(df: DataFrame, batch_size: int, samples: int) -> tuple[DataFrame, DataFrame]:
+    """(the first batch_size prompts' rows, one row per remaining prompt) of a batch with dense positions ``pos``."""
+    cut = batch_size * samples
+    return df.filter(F.col("pos") < cut), df.filter((F.col("pos") >= cut) & (F.pmod("pos", F.lit(samples)) == 0))

@@ -149,3 +149,17 @@ def run_merge(df: DataFrame, key: str, order: str, label: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     starts = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)), 0).otherwise(1)
     return df.withColumn("_s", starts).withColumn("run", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+
+
+def tool_mask(tokens: DataFrame, roles: DataFrame) -> DataFrame:
+    """loss_mask 0 inside the turns of tools: tokens (uid, pos, is_end) meet the response's turns (uid, turn, role).
+
+    A turn ends with an end token; adjacent tool turns are one.  Tokens after the last turn keep their mask.
+    """
+    order = Window.partitionBy("uid").orderBy("turn")
+    tool = F.col("role") == "tool"
+    merged = roles.withColumn("_again", tool & F.coalesce(F.lag("role").over(order) == "tool", F.lit(False))).filter(~F.col("_again"))
+    turns = merged.withColumn("_turn", F.row_number().over(order) - 1).filter(tool).select("uid", "_turn", F.lit(True).alias("_tool"))
+    ends = F.sum(F.col("is_end").cast("int")).over(Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    both = tokens.withColumn("_turn", F.coalesce(ends, F.lit(0)).cast("int")).join(turns, ["uid", "_turn"], "left")
+    return both.withColumn("loss_mask", F.when(F.col("_tool"), 0).otherwise(1)).drop("_turn", "_tool")

@@ -7,7 +7,7 @@ aggregation; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .registry import Registry
@@ -266,3 +266,29 @@ def ce_dpo_loss(df: DataFrame, beta: float = 0.05) -> DataFrame:
     """Cross-entropy of acc against sigmoid(beta * q), q the sequence's summed log ratio: one row loss."""
     p = 1 / (1 + F.exp(-beta * F.col("q")))
     return df.agg(F.avg(-(F.col("acc") * F.ln(p) + (1 - F.col("acc")) * F.ln(1 - p))).alias("loss"))
+
+
+def detach_dpo_loss(df: DataFrame, beta: float = 0.05, mode: str = "none") -> DataFrame:
+    """One row loss over sequences (uid, q, acc): each q against the mean q of the group's samples on the other side.
+
+    Modes none (mean), bon_acc and bon_rm (summed with weights n * share(not better)^(n - 1)).  One window a group.
+    """
+    group = Window.partitionBy("uid")
+    success = F.when(F.col("acc") > 0, 1.0)
+    n = F.count("*").over(group)
+    # acc is 0 or 1, so the samples below a success are the failures, and those above a failure the successes.
+    mean_of = lambda cond: F.coalesce(F.avg(F.when(cond, F.col("q"))).over(group), F.lit(0.0))
+    other = F.when(success.isNotNull(), mean_of(F.col("acc") <= 0)).otherwise(mean_of(F.col("acc") > 0))
+    loss = -log_sigmoid((F.col("q") - other) * beta * F.when(success.isNotNull(), 1.0).otherwise(-1.0))
+    if mode == "none":
+        return df.select(loss.alias("_l")).agg(F.avg("_l").alias("loss"))
+    if mode not in ("bon_acc", "bon_rm"):
+        raise NotImplementedError(mode)
+    by = "acc" if mode == "bon_acc" else "q"
+    share = F.cume_dist().over(group.orderBy(by))
+    return df.select((loss * n * F.pow(share, n - 1)).alias("_l")).agg(F.sum("_l").alias("loss"))
+
+
+def sign_accuracy(df: DataFrame) -> DataFrame:
+    """Share of sequences whose q has the sign of 2 acc - 1, in one row."""
+    return df.agg(F.avg((F.signum("q") == F.signum(F.col("acc") * 2 - 1)).cast("double")).alias("accuracy"))

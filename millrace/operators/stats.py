@@ -176,3 +176,12 @@ def until_first(df: DataFrame, is_end: Column, seq: tuple[str, ...] = ("uid",))
     """response_mask: 1 up to and including the first end token."""
     before = F.coalesce(F.sum(is_end.cast("int")).over(Window.partitionBy(*seq).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("response_mask", (before == 0).cast("int"))
+
+
+def preference_metrics(df: DataFrame, max_response: int, max_prompt: int) -> DataFrame:
+    """One row over sequences (score, reward, chosen_logp, rejected_logp, logit, response_length, prompt_length):
+    mean / max / min of scores, rewards and lengths, the clipped shares, and the means of the log-probabilities."""
+    spread = [f(c).alias(f"{c}_{n}") for c in ("score", "reward", "response_length", "prompt_length") for f, n in ((F.avg, "mean"), (F.max, "max"), (F.min, "min"))]
+    means = [F.avg(c).alias(c) for c in ("chosen_logp", "rejected_logp", "logit")]
+    clips = [F.avg((F.col(c) == top).cast("double")).alias(f"{c}_clip") for c, top in (("response_length", max_response), ("prompt_length", max_prompt))]
+    return df.agg(*spread, *means, *clips)

@@ -226,3 +226,32 @@ def seqlen_imbalance(spark, d):
 def karmarkar_karp(spark, d):
     docs = table(spark, d, "documents").withColumn("batch", F.floor(F.col("doc_id") / 256))
     return B.balance_batches(docs, 8, "batch", "doc_id", "n_chars")
+
+
+@query("overflow_split", f"WITH {CUST} SELECT c_custkey, 'batch' AS part FROM c WHERE pos < 400 UNION ALL SELECT c_custkey, 'buffer' FROM c WHERE pos >= 400 AND pos % 4 = 0")
+def overflow_split(spark, d):
+    from ..operators.groups import overflow
+
+    batch, rest = overflow(_cust(spark, d), 100, 4)
+    return batch.select("c_custkey", F.lit("batch").alias("part")).unionByName(rest.select("c_custkey", F.lit("buffer").alias("part")))
+
+
+@query("tool_mask", f"""WITH {TOKENS}, e AS (SELECT uid, pos, coalesce(sum(se) OVER (PARTITION BY uid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS turn FROM t)
+SELECT uid, pos, CASE WHEN turn = 1 THEN 0 ELSE 1 END AS loss_mask FROM e""")
+def tool_mask(spark, d):
+    t = tokens(spark, d).select("uid", "pos", F.col("se").alias("is_end"))
+    # Each response: assistant, two adjacent tool turns (merged into one), assistant.
+    turns = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("assistant", "tool", "tool", "assistant"))])
+    roles = t.select("uid").distinct().select("uid", F.inline(turns))
+    return L.tool_mask(t, roles).select("uid", "pos", "loss_mask")
+
+
+@query("off_policy_prompt", f"{_SEQ} SELECT uid, repeat('7', (20 - 2 - least(any_value(n), 3) - CASE WHEN any_value(n) <= 3 THEN 1 ELSE 0 END)::INT) || '88' || string_agg(se::INT::VARCHAR, '' ORDER BY pos) FILTER (pos < 3) || CASE WHEN any_value(n) <= 3 THEN '9' ELSE '' END AS ids FROM n GROUP BY uid")
+def off_policy_prompt(spark, d):
+    ids = R.off_policy_prompt(F.array(F.lit(8), F.lit(8)), "x", F.lit(3), 20, 7, end=9)
+    return _ids(spark, d).select("uid", F.array_join(ids.cast("array<string>"), "").alias("ids"))
+
+
+@query("token_split_prefixes", f"{_SEQ} SELECT uid, i::INT AS i, CASE WHEN any_value(n) = 1 THEN max(CASE WHEN pos = 0 THEN se END) ELSE max(CASE WHEN pos = i THEN se END) END::INT AS keep FROM n, (SELECT unnest(range(4)) AS i) GROUP BY uid, i")
+def token_split_prefixes(spark, d):
+    return _ids(spark, d).select("uid", F.posexplode(R.token_split_prefixes("x", 4)).alias("i", "keep"))

@@ -147,12 +147,67 @@ def merge_on_off(spark, d):
     return G.merge_on_off(r.where("on_policy"), r.where("not on_policy")).select("uid", "event_id", "slot", "off_policy")
 
 
-@query("pairwise_accuracy", f"""WITH {ROLLOUTS}, p AS (SELECT a.uid, (a.score > b.score AND a.value > b.value) OR (a.score < b.score AND a.value < b.value) AS ok FROM r a JOIN r b ON a.uid = b.uid AND a.k < b.k AND a.score <> b.score)
-SELECT uid, count(*)::BIGINT AS n_pairs, round(avg(ok::INT), 6) AS accuracy FROM p GROUP BY uid""")
+@query("pairwise_accuracy", f"""WITH {ROLLOUTS}, p AS (SELECT a.uid, ((a.value > b.value) = (a.score > b.score))::INT AS ok, abs(a.score - b.score) AS w FROM r a JOIN r b ON a.uid = b.uid AND a.k < b.k)
+SELECT uid, count(*)::BIGINT AS n_pairs, round(CASE WHEN sum(w) = 0 THEN 0.5 ELSE sum(ok * w) / sum(w) END, 6) AS accuracy FROM p GROUP BY uid""")
 def pairwise_accuracy(spark, d):
     return G.pairwise_accuracy(rollouts(spark, d), "score", "value").withColumn("accuracy", r6("accuracy"))
 
 
+@query("replace_weak_off_policy", f"""WITH {ROLLOUTS}, s AS (SELECT uid, max(event_id) AS std FROM r WHERE on_policy GROUP BY uid), j AS (SELECT r.*, s.std, coalesce(NOT on_policy AND (score = 0 OR length < 10) AND std IS NOT NULL, false) AS replaced FROM r LEFT JOIN s USING (uid))
+SELECT uid, k, replaced, CASE WHEN replaced THEN std ELSE event_id END AS response FROM j""")
+def replace_weak_off_policy(spark, d):
+    r = rollouts(spark, d).withColumn("response", F.col("event_id"))
+    standard = r.where("on_policy").groupBy("uid").agg(F.max("response").alias("response"))
+    return G.replace_weak_off_policy(r, standard, shortest=10).select("uid", "k", "replaced", "response")
+
+
+_SEQUENCES = "q AS (SELECT user_id AS uid, event_id, value / 50 - 1 AS q, CASE WHEN event_type IN ('purchase', 'click') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS acc FROM events)"
+
+
+def _sequences(spark, d):
+    return rollouts(spark, d).select("uid", "event_id", (F.col("value") / 50 - 1).alias("q"), F.col("event_type").isin("purchase", "click").cast("double").alias("acc"))
+
+
+def _detach_sql(body: str) -> str:
+    return f"""WITH {_SEQUENCES}, g AS (SELECT *, count(*) OVER w AS n, coalesce(avg(q) FILTER (acc > 0) OVER w, 0) AS up, coalesce(avg(q) FILTER (acc <= 0) OVER w, 0) AS down, cume_dist() OVER (PARTITION BY uid ORDER BY acc) AS ca, cume_dist() OVER (PARTITION BY uid ORDER BY q) AS cq FROM q WINDOW w AS (PARTITION BY uid)),
+l AS (SELECT *, ln(1 + exp(-((q - CASE WHEN acc > 0 THEN down ELSE up END) * 0.05 * CASE WHEN acc > 0 THEN 1 ELSE -1 END))) AS l FROM g) SELECT round({body}, 6) AS loss FROM l"""
+
+
+@query("detach_dpo_loss", _detach_sql("avg(l)"))
+def detach_dpo_loss(spark, d):
+    from ..operators.losses import detach_dpo_loss as loss
+
+    return loss(_sequences(spark, d)).select(r6("loss").alias("loss"))
+
+
+@query("detach_dpo_bon_acc", _detach_sql("sum(l * n * pow(ca, n - 1))"))
+def detach_dpo_bon_acc(spark, d):
+    from ..operators.losses import detach_dpo_loss as loss
+
+    return loss(_sequences(spark, d), mode="bon_acc").select(r6("loss").alias("loss"))
+
+
+@query("detach_dpo_bon_rm", _detach_sql("sum(l * n * pow(cq, n - 1))"))
+def detach_dpo_bon_rm(spark, d):
+    from ..operators.losses import detach_dpo_loss as loss
+
+    return loss(_sequences(spark, d), mode="bon_rm").select(r6("loss").alias("loss"))
+
+
+@query("sign_accuracy", f"WITH {_SEQUENCES} SELECT round(avg((sign(q) = sign(acc * 2 - 1))::INT), 6) AS accuracy FROM q")
+def sign_accuracy(spark, d):
+    from ..operators.losses import sign_accuracy as accuracy
+
+    return accuracy(_sequences(spark, d)).select(r6("accuracy").alias("accuracy"))
+
+
+@query("preference_metrics", f"WITH {ROLLOUTS} SELECT round(avg(score), 6) AS score_mean, max(score) AS score_max, round(avg(value), 6) AS reward_mean, min(value) AS reward_min, round(avg(-value), 6) AS chosen_logp, round(avg((length = 37)::INT), 6) AS response_length_clip FROM r")
+def preference_metrics(spark, d):
+    r = rollouts(spark, d).select("score", F.col("value").alias("reward"), (-F.col("value")).alias("chosen_logp"), (-F.col("value")).alias("rejected_logp"), F.lit(0.0).alias("logit"), F.col("length").alias("response_length"), F.lit(5).alias("prompt_length"))
+    out = S.preference_metrics(r, 37, 5)
+    return out.select(r6("score_mean").alias("score_mean"), "score_max", r6("reward_mean").alias("reward_mean"), "reward_min", r6("chosen_logp").alias("chosen_logp"), r6("response_length_clip").alias("response_length_clip"))
+
+
 @query("first_last_true", f"WITH {ROLLOUTS} SELECT uid, min(CASE WHEN score > 0 THEN k END)::INT AS first_true, max(CASE WHEN score > 0 THEN k END)::INT AS last_true FROM r GROUP BY uid")
 def first_last_true(spark, d):
     hit = F.when(F.col("score") > 0, F.col("k"))

@@ -135,3 +135,15 @@ def test_linspace(spark):
     assert spark.range(1).select(R.linspace(3, 2.0).alias("y")).first()["y"] == [0.0, 0.25, 1.0]
     assert spark.range(1).select(R.linspace(1).alias("y")).first()["y"] == [0.0]
     assert math.isclose(spark.range(1).select(R.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("y")).first()["y"], 11)
+
+
+def test_ratio_windows(spark):
+    assert R.ratio_window(0, 300, 0.8, "linear_max") == (0.0, pytest.approx(0.8))
+    assert R.ratio_window(300, 300, 0.8, "linear_max") == (0.0, pytest.approx(0.08))
+    assert R.ratio_window(30, 300, 0.8, "reverse_linear") == (0.0, pytest.approx(0.08))
+    assert R.ratio_window(999, 300, 0.8, "reverse_linear") == (0.0, pytest.approx(0.8))
+    assert R.ratio_window(150, 300, 0.8, "linear") == (pytest.approx(0.4), pytest.approx(0.4))
+    with pytest.raises(ValueError):
+        R.ratio_window(0, 1, 1.0, "other")
+    got = [r["y"] for r in spark.range(500).select(R.sampled_ratio("id", 0.2, 0.6).alias("y")).collect()]
+    assert min(got) >= 0.2 and max(got) <= 0.6 and abs(sum(got) / 500 - 0.4) < 0.03
