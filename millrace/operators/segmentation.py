@@ -78,6 +78,16 @@ def with_split_points(df: DataFrame, text: str = "think", out: str = "token_spli
     return df.withColumn(out, points(text))
 
 
+def with_boundaries(df: DataFrame, text: str = "text", unit: str = "paragraph", out: str = "ends") -> DataFrame:
+    """Adds array<int> of boundaries by an Arrow UDF, linear in the text."""
+
+    @F.pandas_udf("array<int>")
+    def ends(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: boundaries(t or "", unit))
+
+    return df.withColumn(out, ends(text))
+
+
 def split_points_from(bounds: Column | str, token_ends: Column | str, length: Column | str, ratios: list[float]) -> Column:
     """The same from boundaries and token ends that are columns already, built-ins only."""
     b, e, n = (F.col(c) if isinstance(c, str) else c for c in (bounds, token_ends, length))
@@ -92,7 +102,10 @@ def split_points_from(bounds: Column | str, token_ends: Column | str, length: Co
 
 
 def paragraph_ends(text: Column | str) -> Column:
-    """Paragraph boundaries with built-ins: running lengths of the pieces between breaks."""
+    """Paragraph boundaries with built-ins: running lengths of the pieces between breaks.
+
+    Quadratic in the number of paragraphs; :func:`with_boundaries` is the way for long texts.
+    """
     t = F.col(text) if isinstance(text, str) else text
     pieces = F.split(F.regexp_replace(t, r"(\n\n+)", "$1\u0001"), "\u0001")
     ends = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)))

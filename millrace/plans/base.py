@@ -36,9 +36,10 @@ def r6(c, digits: int = 6):
 
 def rollouts(spark: SparkSession, d: str) -> DataFrame:
     """A row per event as a response: uid, k, value, score (1 for a purchase), on_policy, length, event_type."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select(
-        F.col("user_id").alias("uid"), (F.row_number().over(w) - 1).alias("k"), "event_id", "value",
+    # Named before the window, so that later windows over uid reuse its partitioning.
+    w = Window.partitionBy("uid").orderBy("ts", "event_id")
+    return table(spark, d, "events").withColumnRenamed("user_id", "uid").select(
+        "uid", (F.row_number().over(w) - 1).alias("k"), "event_id", "value",
         F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("score"),
         (F.col("event_type") != "view").alias("on_policy"), (1 + F.col("event_id") % 37).alias("length"), "event_type",
     )
@@ -50,10 +51,10 @@ ROLLOUTS = """r AS (SELECT user_id AS uid, (row_number() OVER (PARTITION BY user
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """A row per line item as a token of its order: uid, k, pos, reward, value, logp, old, ref, adv and the masks."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("uid").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     c = F.col
-    return table(spark, d, "lineitem").select(
-        c("l_orderkey").alias("uid"), F.lit(0).alias("k"), (F.row_number().over(w) - 1).alias("pos"), c("l_discount").alias("reward"), c("l_tax").alias("value"),
+    return table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "uid").select(
+        "uid", F.lit(0).alias("k"), (F.row_number().over(w) - 1).alias("pos"), c("l_discount").alias("reward"), c("l_tax").alias("value"),
         (-5.0 * c("l_discount") - 0.02).alias("logp"), (-5.0 * c("l_tax") - 0.05).alias("old"), (-3.0 * c("l_tax") - 0.1).alias("ref"), (c("l_quantity") / 25.0 - 1.0).alias("adv"),
         (c("l_returnflag") != "R").alias("mask"), (c("l_linestatus") == "F").alias("prefix"), (c("l_returnflag") == "A").alias("se"), (c("l_linenumber") % 5 != 0).alias("reward_mask"),
     )

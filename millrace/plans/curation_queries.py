@@ -207,7 +207,8 @@ def multiturn_loss_mask(spark, d):
 
 @query("paragraph_boundaries")
 def paragraph_boundaries(spark, d):
-    return table(spark, d, "documents").select("doc_id", G.paragraph_ends(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("ends"))
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return G.with_boundaries(docs).select("doc_id", "ends")
 
 
 @query("sentence_split_points")
