@@ -12,7 +12,7 @@ import numpy as np
 from .textkit import split_words
 
 #: Distinct chunks of a generation of the cache (about 150 bytes each); a task keeps two.
-CHUNKS = 400_000
+CHUNKS = 200_000
 #: Chunks above this many characters are encoded each time and not kept.
 LONG_CHUNK = 64
 
@@ -37,10 +37,10 @@ class Vocabulary:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # Lower-case letters come out of the normaliser and the splitter as they are.
-        self.plain.normalizer = None
+        # Lower-case letters come out of the normaliser and the splitter as they are; the model is shared.
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -118,8 +118,8 @@ class ChunkEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts."""
         numbers, words, ends = split_words(texts, fold_case=True)
         chunks = self._ids_of(words.to_pylist())
-        order, ends = numbers.tolist(), ends.tolist()
-        return [b"".join([chunks[i] for i in order[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        ends = ends.tolist()
+        return [b"".join([chunks[i] for i in numbers[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def encoder(path: str | None = None) -> ChunkEncoder:

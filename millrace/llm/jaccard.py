@@ -52,10 +52,10 @@ def size_bounds(percent: int = PERCENT, top: int = 1 << 36) -> list[int]:
     return out
 
 
-def _parts(upper: int, percent: int) -> tuple[int, int]:
-    """For sets below ``upper`` elements: the largest difference of a linked pair, and the number of parts."""
+def _parts(upper: int, percent: int) -> int:
+    """Parts of a level of sets below ``upper`` elements: a third more than the largest difference of a linked pair."""
     differ = (100 - percent) * 2 * (upper - 1) // (100 + percent)
-    return differ, differ + differ * 3 // 10 + 4
+    return differ + differ * 3 // 10 + 4
 
 
 def part_keys(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
@@ -76,7 +76,10 @@ def part_keys(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray
         if not len(chosen):
             continue
         rules = {int(c): _parts(bounds[int(c) + 1], percent) for c in np.unique(level[chosen])}
-        parts = np.array([rules[int(level[i])][1] for i in chosen], np.int64)
+        parts = np.array([rules[int(level[i])] for i in chosen], np.int64)
+        # The largest difference of each set to any partner that it may be linked with at this level.
+        partner = np.minimum(np.array(bounds)[level[chosen] + 1] - 1, largest[chosen])
+        differ = (100 - percent) * (sizes[chosen] + partner) // (100 + percent)
         start = np.concatenate([[0], np.cumsum(parts)])
         flat = np.concatenate([sets[i] for i in chosen])
         owner = np.repeat(np.arange(len(chosen)), sizes[chosen])
@@ -92,9 +95,8 @@ def part_keys(sets: list[np.ndarray], percent: int = PERCENT) -> list[np.ndarray
         strong = np.bincount(part, minlength=start[-1]) > 1
         for k, i in enumerate(chosen):
             mine = slice(start[k], start[k + 1])
-            differ, count = rules[int(level[i])]
-            weak = count - int(strong[mine].sum())
-            out[i].append(keys[mine] if weak >= count - differ else keys[mine][strong[mine]])
+            weak = parts[k] - int(strong[mine].sum())
+            out[i].append(keys[mine] if weak >= parts[k] - differ[k] else keys[mine][strong[mine]])
     return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
 
 

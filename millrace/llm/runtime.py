@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 #: Rows of an Arrow batch to and from Python, and of one call, so that a worker holds few texts at once.
-CALL_ROWS = 2500
+CALL_ROWS = 1600
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: ASCII white space, the word rule of all contracts here, as a Java/RE2/Python pattern.
