@@ -10,13 +10,13 @@ from millrace.llm.textkit import shingle_sets
 from .helpers import awkward, documents, prose, words
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(text)]
-    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def brute(texts, percent=85):
-    sets = [shingles(t) for t in texts]
+def brute(texts, percent=85, n=4):
+    sets = [shingles(t, n) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -62,17 +62,26 @@ def test_components_equal_all_pairs(spark, block_bytes):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(set(want))
 
 
-def test_linked_sets_share_a_key():
+def test_other_sizes_and_thresholds(spark):
+    texts = corpus(13)
+    for n, percent in ((5, 80), (3, 70)):
+        want, sizes = brute(texts, percent, n)
+        got = {r["doc_id"]: r for r in jaccard.near_duplicates(documents(spark, texts), n, percent).collect()}
+        assert [got[i]["component_id"] for i in range(len(texts))] == want and [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(5)
     for n in [*range(1, 40), 60, 100, 333, 1000, 4000]:
         for _ in range(6):
             a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
-            drop = int(rng.integers(0, max(1, n * 15 // 100) + 1))
-            add = int(rng.integers(0, max(1, n * 15 // 100) + 1))
+            drop = int(rng.integers(0, max(1, n * (100 - percent) // 100) + 1))
+            add = int(rng.integers(0, max(1, n * (100 - percent) // 100) + 1))
             b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, np.uint64)]))
             common = len(np.intersect1d(a, b))
-            if common and 100 * common >= 85 * (len(a) + len(b) - common) and common < max(len(a), len(b)):
-                x, y = jaccard.part_keys([a, b])
+            if common and 100 * common >= percent * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+                x, y = jaccard.part_keys([a, b], percent)
                 assert len(np.intersect1d(x, y)), (n, drop, add)
 
 

@@ -260,7 +260,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     good = [i for i, t in enumerate(texts) if (s := quality.base_stats(t))[0] >= 50 and 100 * s[4] <= 50 * s[0]]
     assert {r["doc_id"] for r in seen[0][1]} <= set(good)
     left = sorted(r["doc_id"] for r in seen[0][1])
-    roots, _ = brute([texts[i] for i in left])
+    roots, _ = brute([texts[i] for i in left], 80, 5)
     one = {left[i] for i in roots}
     assert sorted(r["doc_id"] for r in seen[1][1]) == sorted(one)
     assert all(r["text"] == pii.masked(texts[r["doc_id"]], pii.spans_of(texts[r["doc_id"]])) for r in seen[2][1])
