@@ -116,7 +116,11 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def discounted_returns(rewards: Column | str, gamma: float) -> Column:
-    """R_t = r_t + gamma R_{t+1} as a fold from the end; linear work, one array append per step in reverse."""
+    """R_t = r_t + gamma R_{t+1} as a fold from the end.
+
+    Each step appends to an array, which copies it: for thousands of tokens a sequence the long form
+    (``stats.reverse_cumsum`` and windows) is the way.
+    """
     r = _col(rewards)
     start = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("o"))
 
