@@ -2,8 +2,8 @@
 
 Words are aggregated per source, targets are water-filled under a cap, and every document is emitted
 ``floor(rate)`` times plus one hash-seeded Bernoulli copy with probability ``frac(rate)``.  DataFrame
-functions only: one partial aggregation over the text, a table with a row per source, and one pass that
-joins the rates back.
+functions only: one partial aggregation over the text, a staged table with a row per source, and one pass that
+joins the rates back without moving the text.
 
 Defined cases: null text has size 0; null is a source of its own, ordered last; repeated rows are
 documents of their own (rows that share a doc_id share the draw); an empty table gives no rows; other
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WORD
+from .runtime import WORD, sized, staged
 
 #: Weights by the source's place in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -57,9 +57,9 @@ def uniform(key: Column, seed: str) -> Column:
 def _with_copies(docs: DataFrame, seed: str, **rule) -> DataFrame:
     sized_docs = docs.withColumn("_size", word_count())
     totals = docs.select("source", word_count().alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = source_targets(totals, **rule).withColumnsRenamed({"source": "_s", "source_size": "_source_size", "target": "_target", "rate": "_rate"})
-    # The rates have one row a source; Spark broadcasts them if they prove small at run time, else splits hot sources.
-    joined = sized_docs.join(rates, F.col("source").eqNullSafe(F.col("_s")), "left")
+    rates = staged(source_targets(totals, **rule), "rates").withColumnsRenamed({"source": "_s", "source_size": "_source_size", "target": "_target", "rate": "_rate"})
+    # One row a source: within the size bound they are broadcast and no text moves; beyond, hot sources are split by Spark.
+    joined = sized_docs.join(sized(rates), F.col("source").eqNullSafe(F.col("_s")), "left")
     extra = uniform(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")
     return joined.withColumn("_copies", F.floor("_rate") + F.when(extra, 1).otherwise(0))
 
