@@ -122,6 +122,22 @@ def test_graph_components(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_long_chains_end(spark, shuffled):
+    ids = list(range(5, 605))
+    if shuffled:
+        random.Random(3).shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(10_000, 10_000 + i) for i in range(1, 200)] + [(20_200, 20_000 + i) for i in range(200)]  # hubs of the smallest and of the largest id
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: 5 if x < 1000 else 10_000 if x < 20_000 else 20_000 for e in edges for x in e}
+
+
+def test_chain_of_shifted_windows(spark):
+    w = prose(random.Random(12), 200 + 15 * 119, 10**6).split()
+    texts = [" ".join(w[15 * i : 15 * i + 200]) for i in range(120)]
+    assert {r["component_id"] for r in jaccard.near_duplicates(documents(spark, texts)).collect()} == {0}
+
+
 def test_shingle_kernel():
     texts = corpus(2)
     sets = shingle_sets(texts, 4)
