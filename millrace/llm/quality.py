@@ -4,11 +4,11 @@ Lines are normalised and hashed; for every line of a host (here the document's `
 are counted; lines above the limit are removed, and a document that has lost most of its words is rejected.
 
 Copies must not make a text's own lines look like boilerplate (near-duplicate removal is another stage's
-work), so documents count as distinct for a line only when what stands around the line differs: a line's
-occurrences are counted by the hash of its neighbouring lines.  Boilerplate stands in ever new surroundings;
-a copied document repeats them.
+work), so documents of one host whose normalised lines are all the same count as one.  Texts that differ in a
+line are different documents, whatever stands around the lines they share, and a line that repeats within a
+document counts once.
 
-Hot hosts and hot lines are counted by two partial aggregations, so a line costs a row per task and context;
+Hot hosts and hot lines are counted by two partial aggregations, so a line costs a row per task and document;
 the removed lines are staged, and broadcast only if their count is within the size bound.
 
 Defined cases: null and empty texts have no words and fail the base rules; null is a host of its own; repeated
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .runtime import WORD, map_batches, sized, staged
 
-#: Distinct surroundings of a line in one host above which it is removed.
+#: Distinct documents of one host with a line above which it is removed.
 LINE_LIMIT = 20
 #: A document is depleted when less than this share of its words is left.
 LEFT_SHARE = 0.3
@@ -78,21 +78,18 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """A row per line with a word: host hash, text key, line hash, context hash, words in the line."""
+    """A row per line with a word: host hash, text key, hash of all the document's lines, line hash, words in the line."""
     normal = lambda line: F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal), lambda x: x != "")
     base = docs.select(F.xxhash64("source").alias("host"), F.xxhash64("source", "text").alias("_text"), lines.alias("_lines"))
     hashed = base.select("host", "_text", "_lines", F.transform("_lines", lambda x: F.xxhash64(x)).alias("_h"))
-    rows = F.transform(
-        "_lines",
-        lambda x, i: F.struct(F.get("_h", i).alias("line"), F.xxhash64(F.coalesce(F.get("_h", i - 1), F.lit(0)), F.coalesce(F.get("_h", i + 1), F.lit(0))).alias("context"), F.regexp_count(x, F.lit(WORD)).alias("words")),
-    )
-    return hashed.select("host", "_text", F.inline(rows))
+    rows = F.transform("_lines", lambda x, i: F.struct(F.get("_h", i).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    return hashed.select("host", "_text", F.xxhash64("_h").alias("document"), F.inline(rows))
 
 
 def common_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """(host, line, n_documents) of the lines above the limit."""
-    seen = lines.select("host", "line", "context").distinct()
+    seen = lines.select("host", "line", "document").distinct()
     return seen.groupBy("host", "line").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") > limit)
 
 

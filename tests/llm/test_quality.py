@@ -53,3 +53,20 @@ def test_verdicts(spark):
 def test_null_host(spark):
     docs = spark.createDataFrame([(1, "a " * 60, None), (None, None, None)], "doc_id long, text string, source string")
     assert quality.verdicts(docs).count() == 2
+
+
+def test_lines_count_documents(spark):
+    rng = random.Random(6)
+    notice = "\n".join(f"This licence line number {i} stands in the same order on all pages of this host" for i in range(8))
+    shared = [prose(rng, 12) + "\n" + notice + "\n" + prose(rng, 12) for _ in range(21)]
+    # A refrain of one document between ever new neighbours, and twenty documents only with another notice.
+    refrain = "\n".join(f"the refrain of this one song is here once more\nv{i}" for i in range(30))
+    few = [prose(rng, 3) + "\n" + notice.replace("licence", "colophon") for _ in range(20)]
+    copies = [notice.replace("licence", "imprint")] * 30 + [notice.replace("licence", "IMPRINT").replace(" ", "  ")]
+    every = shared + [refrain] + few + copies
+    got = {r["doc_id"]: r for r in quality.verdicts(documents(spark, every, ["h"] * len(every))).collect()}
+    assert [got[i]["removed_words"] for i in range(21)] == [len(notice.split())] * 21
+    assert not any(got[i]["kept"] for i in range(21))
+    assert all(got[i]["removed_words"] == 0 for i in range(21, len(every)))
+    lines = quality.common_lines(quality.document_lines(documents(spark, every, ["h"] * len(every))))
+    assert [r["n_documents"] for r in lines.collect()] == [21] * 8
