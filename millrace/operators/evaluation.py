@@ -52,15 +52,15 @@ def bootstrap(values: list, n: int, reducers: list[Callable], draws: int = 1000,
     return out
 
 
-def bootstrap_best_worst(df: DataFrame, keys: list[str], n: int, value: str = "score", draws: int = 1000, seed: int = 42) -> DataFrame:
-    """best and worst at n by resampling, per group of bounded size (the samples of one prompt)."""
+def bootstrap_best_worst(df: DataFrame, keys: list[str], n: int, value: str = "score", draws: int = 1000, seed: int = 42, order: str = "k") -> DataFrame:
+    """best and worst at n by resampling, per group of bounded size (the samples of one prompt, in their order)."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        (best, best_std), (worst, worst_std) = bootstrap(rows[value].tolist(), n, [max, min], draws, seed)
+        (best, best_std), (worst, worst_std) = bootstrap(rows.sort_values(order)[value].tolist(), n, [max, min], draws, seed)
         return pd.DataFrame([{**{k: rows[k].iloc[0] for k in keys}, "best": best, "best_std": best_std, "worst": worst, "worst_std": worst_std}])
 
     types = dict(df.dtypes)
-    return df.select(*keys, value).groupBy(*keys).applyInPandas(one, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", best double, best_std double, worst double, worst_std double")
+    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(one, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", best double, best_std double, worst double, worst_std double")
 
 
 def validation_metrics(df: DataFrame, n: int, source: str = "data_source", prompt: str = "uid", value: str = "score") -> DataFrame:

@@ -44,7 +44,7 @@ def metric_namespaces(spark, d):
 
 @query("bootstrap_best_worst")
 def bootstrap_best_worst(spark, d):
-    return E.bootstrap_best_worst(rollouts(spark, d), ["uid"], 4, "value", draws=200)
+    return E.bootstrap_best_worst(rollouts(spark, d), ["uid"], 4, "value")
 
 
 _TERMS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"

@@ -72,6 +72,29 @@ def test_majority_and_bootstrap(spark):
     assert abs(exact - many) < 0.005
 
 
+def test_bootstrap_replays_the_seeded_stream(spark):
+    from millrace.plans import catalog
+    from millrace.plans.base import rollouts
+
+    def replay(values, n):
+        np.random.seed(42)
+        drawn = [[values[i] for i in np.random.choice(len(values), size=n, replace=True)] for _ in range(1000)]
+        best, worst = [max(x) for x in drawn], [min(x) for x in drawn]
+        return np.mean(best), np.std(best), np.mean(worst), np.std(worst)
+
+    d = "/root/testdata/sf0.001"
+    groups = {}
+    for r in rollouts(spark, d).select("uid", "k", "value").orderBy("uid", "k").collect():
+        groups.setdefault(r["uid"], []).append(r["value"])
+    got = {r["uid"]: tuple(r)[1:] for r in catalog.QUERIES["bootstrap_best_worst"](spark, d).collect()}
+    assert got.keys() == groups.keys()
+    for uid in sorted(groups)[:5]:
+        assert got[uid] == pytest.approx(replay(groups[uid], 4))
+    # Whatever order the rows come in, samples are drawn by their place k.
+    shuffled = spark.createDataFrame([("u", k, float(k * k)) for k in (4, 1, 3, 0, 2)], "uid string, k int, score double")
+    assert tuple(E.bootstrap_best_worst(shuffled, ["uid"], 3).first())[1:] == pytest.approx(replay([0.0, 1.0, 4.0, 9.0, 16.0], 3))
+
+
 def test_group_of_one_and_constant_group(spark):
     df = spark.createDataFrame([("a", 0, 2.0, True), ("b", 0, 1.0, True), ("b", 1, 1.0, False)], "uid string, k int, score double, on_policy boolean")
     got = {(r["uid"], r["k"]): r["advantage"] for r in V.grpo(df).collect()}
