@@ -135,8 +135,11 @@ def search_block(queries: Queries, parts: Iterator, k: int = K):
             for row, q in enumerate(range(part.start, part.stop)):
                 if worst[q] == np.inf and len(ids) > 4 * k:  # a first distance to beat, from the best estimates
                     first = np.argpartition(estimate[row], 4 * k)[: 4 * k]
-                    exact = np.sqrt(((x[first] - queries.x[q]) ** 2).sum(1))[ids[first] != queries.ids[q]]
-                    limit = np.partition(np.concatenate([exact, best[q][0]]), k - 1)[k - 1]
+                    first = first[ids[first] != queries.ids[q]]
+                    exact = np.concatenate([best[q][0], np.sqrt(((x[first] - queries.x[q]) ** 2).sum(1))])
+                    order = np.argsort(exact)
+                    place = np.sort(np.unique(np.concatenate([best[q][1], ids[first]])[order], return_index=True)[1])
+                    limit = exact[order[place[k - 1]]] if len(place) >= k else np.inf  # an id counts once
                 else:
                     limit = worst[q]
                 near = np.flatnonzero(lower[row] <= limit**2 * (1 + 1e-9))

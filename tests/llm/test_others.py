@@ -120,6 +120,17 @@ def test_bounds_prune_and_hold(spark):
     assert np.corrcoef(estimate.ravel(), exact.ravel())[0, 1] > 0.8
 
 
+def test_repeated_ids_prune_nothing():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 64))
+    x[1:61] = x[0] + 1e-3 * rng.standard_normal((60, 64))
+    ids = np.array([0] + [1] * 60 + list(range(2, 141)))
+    c, p = x.mean(0), ann.rotation(64)
+    ((_, got),) = ann.search_block(ann.Queries(ids[:1], x[:1], c, p), [(ids, x, *ann.encode(x, c, p))])
+    far = np.sqrt(((x[61:] - x[0]) ** 2).sum(1))
+    assert got.tolist() == [1, *(2 + np.argsort(far)[:9]).tolist()]
+
+
 def test_few_and_no_vectors(spark):
     few = vectors(spark, [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 1.0], 0)])
     got = ann.nearest(few, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
