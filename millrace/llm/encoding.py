@@ -1,7 +1,8 @@
 """Exact token ids of whole texts through a public vocabulary, with a cache of white-space chunks.
 
 The lower-casing word vocabulary never merges across ASCII white space, so a text's ids are the ids of its
-white-space chunks in a row.  Chunks are encoded once by the ``tokenizers`` library and reused; a text then
+white-space chunks in a row.  The strings of its special tokens, which hold no white space either, stand for these tokens, as
+they do for the library.  Chunks are encoded once by the ``tokenizers`` library and reused; a text then
 costs a split and one dictionary lookup a chunk.  The equality with encoding the whole text is tested.
 """
 
@@ -21,6 +22,9 @@ _PLAIN = "\u0130"
 
 _STOPS = (",", ".")
 
+#: What the strings of special tokens begin with; in a text they are those tokens.
+_SPECIAL = "<|"
+
 _VOCABULARIES: dict[str | None, Vocabulary] = {}
 
 
@@ -38,7 +42,6 @@ class Vocabulary:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # Lower-case letters come out of the normaliser and the splitter as they are; the model is shared.
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -46,6 +49,11 @@ class Vocabulary:
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
 
+def _chunks(texts: list[str | None]):
+    """Words folded to lower case, which the vocabulary does anyway; but its special strings are told from others by case."""
+    return split_words(texts, fold_case=not any(t and _SPECIAL in t for t in texts))
+
+
 class ChunkEncoder:
     """Encodes texts through a vocabulary; the cache lives as long as the encoder, one task."""
 
@@ -66,7 +74,7 @@ class ChunkEncoder:
         rest += [c for c in _STOPS if c not in cache]
         # Plain words are encoded as lines of many words and told apart by their end-of-word tokens.
         words = [c for c in rest if c.isalpha() and (c.isascii() or max(c) < _PLAIN)]
-        spoken = [c if c.isascii() else c.lower() for c in words]
+        spoken = [c.lower() for c in words]
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             lines = [" ".join(spoken[k : k + 500]) for k in range(at, at + len(part), 500)]
@@ -109,14 +117,14 @@ class ChunkEncoder:
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         """The number of ids of each text."""
-        numbers, words, ends = split_words(texts, fold_case=True)
+        numbers, words, ends = _chunks(texts)
         chunks = self._ids_of(words.to_pylist())
         sizes = np.fromiter(map(len, chunks), np.int64, count=len(chunks)) // 4
         return np.diff(np.concatenate([[0], np.cumsum(sizes[numbers])])[ends])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts."""
-        numbers, words, ends = split_words(texts, fold_case=True)
+        numbers, words, ends = _chunks(texts)
         chunks = self._ids_of(words.to_pylist())
         ends = ends.tolist()
         return [b"".join([chunks[i] for i in numbers[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from millrace.llm import lengths, packing
 from millrace.llm.encoding import ChunkEncoder, encoder
@@ -13,15 +15,16 @@ from .helpers import awkward, documents, prose
 
 
 def whole(texts):
-    t = encoder(None).vocabulary.tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))  # a fresh one, as the contract says
     return [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_chunked_encoding_equals_the_whole_text():
     rng = random.Random(4)
     alphabet = "aBc éÉ.,'sSİıſ  \t\n1٣-<|>endoftextḰß中😀"
-    texts = [*awkward(), "<|endoftext|> it's I'LL x<|startoftext|>", "L'été, c'est ça. Ç,"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 80))) for _ in range(600)]
+    texts = [*awkward(), "<|endoftext|> it's I'LL x<|startoftext|>", "L'été, c'est ça. Ç,", "a <|endoftext|> b", "A <|ENDOFTEXT|> x<|startoftext|><|EndOfText|>, <|endoftext|>.", "<|endoftext"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 80))) for _ in range(600)]
     assert encoder(None).encode(texts) == whole(texts)
+    assert encoder(None).lengths(texts).tolist() == [len(x) // 4 for x in whole(texts)]
     small = ChunkEncoder(encoder(None).vocabulary, chunks=20)  # the cache turns over all the time
     for at in range(0, len(texts), 50):
         assert small.encode(texts[at : at + 50]) == whole(texts[at : at + 50])
