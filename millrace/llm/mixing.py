@@ -5,9 +5,13 @@ Words are aggregated per source, targets are water-filled under a cap, and every
 functions only: one partial aggregation over the text, a staged table with a row per source, and one pass that
 joins the rates back without moving the text.
 
+The draw's seed is the document: its id, source and text, and for rows that are equal in all three their
+number among each other, so rows that share an id (or lack one) are drawn each.  Only such rows move to be
+numbered, and a salt splits a row that is repeated any number of times.
+
 Defined cases: null text has size 0; null is a source of its own, ordered last; repeated rows are
-documents of their own (rows that share a doc_id share the draw); an empty table gives no rows; other
-columns are ignored by :func:`mix_plan` and kept by :func:`mix`.
+documents of their own; an empty table gives no rows; other columns, whatever their names, are ignored by
+:func:`mix_plan` and kept by :func:`mix`.
 """
 
 from __future__ import annotations
@@ -15,13 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WORD, sized, staged
+from .runtime import WORD, fresh, sized, staged
 
 #: Weights by the source's place in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Total of the mix as a share of all words, and the most a source (and so a document) is repeated.
 SHARE, MOST = 1.5, 2
-SEED = "mix-1"
+SEED = "mix-2"
+#: Tasks that number one row's repetitions.
+SALTS = 64
 
 
 def word_count(text: str = "text") -> Column:
@@ -49,31 +55,58 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return ranked.withColumn("target", target).select("source", "source_size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
 
 
-def uniform(key: Column, seed: str) -> Column:
+def uniform(key: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5, the same in every run and engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-
-
-def _with_copies(docs: DataFrame, seed: str, **rule) -> DataFrame:
-    sized_docs = docs.withColumn("_size", word_count())
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def _document_key(doc_id: str = "doc_id", source: str = "source", text: str = "text") -> Column:
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (doc_id, source)]
+    return F.md5(F.concat(*(x for k in known for x in (F.md5(k), F.lit(":"))), F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+
+def _numbered(docs: DataFrame, key: str, number: str) -> DataFrame:
+    """Adds the number (from 1) of each row among those that share its key; rows whose key is their own stay where they are."""
+    again, salt, other, rank, before, n = fresh(docs, "_again", "_salt", "_other", "_rank", "_before", "_n")
+    repeated = staged(docs.groupBy(key).agg(F.count("*").alias(n)).filter(F.col(n) > 1).select(F.col(key).alias(again)), "repeated")
+    n_keys = repeated.count()
+    if not n_keys:
+        return docs.withColumn(number, F.lit(1).cast("long"))
+    hint, same = sized(repeated, n_keys), F.col(key) == F.col(again)
+    once = docs.join(hint, same, "left_anti").withColumn(number, F.lit(1).cast("long"))
+    # Rows of a key may differ in other columns: those come in the order of their hash, equal ones in any order.
+    rest = docs.join(hint, same, "left_semi").withColumns({other: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), salt: F.monotonically_increasing_id() % SALTS})
+    rest = staged(rest, "repeated-rows")
+    group = [key, other, salt]
+    counts = rest.groupBy(*group).agg(F.count("*").alias(n))
+    counts = counts.withColumn(before, F.coalesce(F.sum(n).over(Window.partitionBy(key).orderBy(other, salt).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(n)
+    ranked = rest.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(F.lit(0)))).join(counts, group)
+    return once.unionByName(ranked.select(*[f"`{c}`" for c in docs.columns], (F.col(before) + F.col(rank)).cast("long").alias(number)))
+
+
+def _with_copies(docs: DataFrame, seed: str, **rule) -> tuple[DataFrame, list[str]]:
+    """The rows with more columns, and their names: size, source's size, target, copies, then those they were made with."""
+    size, source_size, target, copies, rate, source, key, number = names = fresh(docs, "_size", "_source_size", "_target", "_copies", "_rate", "_source", "_key", "_number")
     totals = docs.select("source", word_count().alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = staged(source_targets(totals, **rule), "rates").withColumnsRenamed({"source": "_s", "source_size": "_source_size", "target": "_target", "rate": "_rate"})
+    rates = staged(source_targets(totals, **rule), "rates").withColumnsRenamed({"source": source, "source_size": source_size, "target": target, "rate": rate})
+    seeded = _numbered(docs.withColumn(key, _document_key()), key, number).withColumn(size, word_count())
     # One row a source: within the size bound they are broadcast and no text moves; beyond, hot sources are split by Spark.
-    joined = sized_docs.join(sized(rates), F.col("source").eqNullSafe(F.col("_s")), "left")
-    extra = uniform(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")
-    return joined.withColumn("_copies", F.floor("_rate") + F.when(extra, 1).otherwise(0))
+    joined = seeded.join(sized(rates), F.col("source").eqNullSafe(F.col(source)), "left")
+    extra = uniform(F.concat(F.lit(seed + ":"), key, F.lit(":"), F.col(number).cast("string"))) < F.col(rate) - F.floor(rate)
+    return joined.withColumn(copies, F.floor(rate) + F.when(extra, 1).otherwise(0)), names
 
 
 def mix_plan(docs: DataFrame, seed: str = SEED, **rule) -> DataFrame:
     """Per row: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
-    slim = docs.select("doc_id", "source", "text")
-    return _with_copies(slim, seed, **rule).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"))
+    planned, (size, source_size, target, copies, *_) = _with_copies(docs.select("doc_id", "source", "text"), seed, **rule)
+    return planned.select("doc_id", F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col(size) * F.col(copies)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, **rule) -> DataFrame:
     """The mixed documents themselves: each row repeated as often as the plan says, columns unchanged."""
-    copies = _with_copies(docs, seed, **rule)
-    return copies.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*[copies[f"`{c}`"] for c in docs.columns])
+    planned, (_, _, _, copies, *_) = _with_copies(docs, seed, **rule)
+    (copy,) = fresh(planned, "_copy")
+    return planned.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(spark, sf_dir):
@@ -83,7 +116,8 @@ def op7(spark, sf_dir):
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             md5(md5(coalesce(doc_id::VARCHAR, 'null')) || ':' || md5(coalesce(source, 'null')) || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
              [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source)) - 1) % 3 + 1] AS w FROM d GROUP BY source),
 f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS goal,
@@ -93,7 +127,7 @@ f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS goal,
 l AS (SELECT (goal - before) / rest AS level FROM f WHERE cap * rest >= (goal - before) * w ORDER BY before, cap / w LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, level * w) END::DOUBLE AS target FROM f, l),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate,
-             (('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0 AS u
+             (('0x' || substr(md5('mix-2:' || key || ':' || row_number() OVER (PARTITION BY key)), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0 AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """

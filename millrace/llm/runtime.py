@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a staged table of a few fixed-width columns (at most ~40 bytes a row) is broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table, as Spark holds rows in memory, up to which it is broadcast.
+BROADCAST_BYTES = 24 << 20
 
 #: Rows of an Arrow batch to and from Python, and of one call, so that a worker holds few texts at once.
 CALL_ROWS = 1600
@@ -27,14 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process gets a temporary folder; on a cluster that would be another
+    folder on every machine, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes all staged tables of the shared folder; results that still read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them back: the lineage ends there.
 
@@ -45,9 +58,29 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only when the (staged) table's row count is at most ``limit``; else a plain shuffle join."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint only if the (staged) table's measured size is at most ``limit`` bytes; else a plain shuffle join.
+
+    A row counts 24 bytes, 8 for each column, and the bytes of its strings.
+    """
+    texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    if rows is None or texts:
+        found = df.agg(F.count("*").alias("n"), *(F.sum(F.octet_length(F.col(f"`{c}`"))).alias(f"s{k}") for k, c in enumerate(texts))).first()
+        rows, more = found["n"], sum(found[f"s{k}"] or 0 for k in range(len(texts)))
+    else:
+        more = 0
+    return F.broadcast(df) if rows * (24 + 8 * len(df.columns)) + more <= limit else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of the table's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:

@@ -193,6 +193,20 @@ def test_mix(spark, seed):
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
+def test_mix_draws_repeated_and_nameless_rows_each(spark):
+    rows_ = [(None, f"text {i} " + "x " * 8, "a") for i in range(600)] + [(7, "same words " * 5, "b")] * 500 + [(8, f"c {i % 3}", "c") for i in range(90)]
+    docs = spark.createDataFrame([(*r, "z", "q", i % 2) for i, r in enumerate(rows_)], "doc_id long, text string, source string, _s string, _rate string, _size int").repartition(3)
+    plan = mixing.mix_plan(docs)
+    assert rows(plan.toPandas()) == rows(duck(mixing.SQL, documents=docs))
+    for r in plan.groupBy("target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r["taken"] - r["target"]) <= 0.12 * r["target"]
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    count = lambda df: sorted((str(r["doc_id"]), r["text"], r["n"]) for r in df.groupBy("doc_id", "text").agg(F.count("*").alias("n")).collect())
+    assert count(mixed) == count(mixing.mix(docs.repartition(5, "_size"))), "reruns agree"
+    assert mixed.count() * 10 > 0 and {r["_s"] for r in mixed.select("_s").distinct().collect()} == {"z"}
+
+
 # -- WARC ----------------------------------------------------------------------------------------------
 
 
