@@ -1,12 +1,13 @@
 """Operator 9, a content-addressed WARC archive.
 
 Payload bytes are stored once by SHA-256, exact record headers are stored apart, and the original records are
-put together again by a join of the two; a payload whose digest does not verify when read makes its records
+put together again by joins of the two; a payload whose digest does not verify when read makes its records
 unreadable instead of wrong.  Of records with equal payloads of at least ``MIN_REVISIT`` bytes the one with
 the smallest page id is the response, the others are revisits of it.
 
 Payloads move through one partial aggregation by digest, so a payload that a third of all pages share costs
-a row a task; decisions move ids and digests only.
+a row a task; decisions move ids and digests only.  When read, a payload joins its responses, which is one row
+unless it is tiny; revisits, whose records have no body, join its length alone.
 
 Defined cases: null html is an empty payload; null url gives an empty target; rows that repeat the smallest
 id of their payload are all responses; an empty table gives an empty archive; other columns are ignored.
@@ -59,8 +60,9 @@ def record_headers(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def payload_store(pages: DataFrame) -> DataFrame:
-    """(digest, payload): every distinct payload once."""
-    return pages.select(F.sha2(_payload(), 256).alias("digest"), _payload().alias("payload")).groupBy("digest").agg(F.first("payload").alias("payload"))
+    """(digest, payload_bytes, payload): every distinct payload once."""
+    once = pages.select(F.sha2(_payload(), 256).alias("digest"), _payload().alias("payload")).groupBy("digest").agg(F.first("payload").alias("payload"))
+    return once.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
 
 
 def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
@@ -69,19 +71,44 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
         rows.write.option("compression", "zstd").parquet(f"{path}/{name}")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def _field(name: str, text: str = "header") -> Column:
+    return F.regexp_extract(text, rf"\r\n{name}: ([^\r]*)\r\n", 1)
+
+
+def _page(column: Column) -> Column:
+    return F.regexp_extract(column, "page:(-?[0-9]+)>", 1).try_cast("long")
+
+
+def read_archive(spark: SparkSession, path: str, resolve: bool = True) -> DataFrame:
     """The records put together again: page_id, record_type, refers_to and digest parsed from the header block,
-    header, payload (the full one, for revisits as well) and record (the exact bytes of the WARC record)."""
+    payload_bytes, header, payload and record (the exact bytes of the WARC record).
+
+    With ``resolve`` a revisit bears the payload that it refers to, else null."""
     parts = spark.read.parquet(f"{path}/payloads")
     verified = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("digest"))).cast("binary"))
-    stored = parts.select("digest", verified.alias("payload"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    field = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
-    page = lambda name: F.expr(f"try_cast(regexp_extract({name}, 'page:(-?[0-9]+)>', 1) as bigint)")
-    heads = spark.read.parquet(f"{path}/headers").select("header", field("WARC-Record-ID").alias("_id"), field("WARC-Refers-To").alias("_refers"), field("WARC-Type").alias("record_type"), F.substring(field("WARC-Payload-Digest"), 8, 64).alias("digest"))
-    heads = heads.select("header", page("_id").alias("page_id"), "record_type", page("_refers").alias("refers_to"), "digest")
-    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    stored = parts.select("digest", "payload_bytes", verified.alias("payload"))
+    heads = spark.read.parquet(f"{path}/headers").select("header")
+    heads = heads.select("header", _page(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"), _page(_field("WARC-Refers-To")).alias("refers_to"), F.substring(_field("WARC-Payload-Digest"), 8, 64).alias("digest"))
+    revisit = F.col("record_type") == "revisit"
+    full = heads.filter(~revisit).join(stored, "digest")
+    again = heads.filter(revisit).join(stored if resolve else parts.select("digest", "payload_bytes", F.lit(None).cast("binary").alias("payload")), "digest")
+    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
     record = F.concat(F.encode("header", "UTF-8"), body, F.lit((CRLF * 2).encode()))
-    return heads.join(stored, "digest").select("page_id", "record_type", "refers_to", F.col("digest").alias("payload_digest"), "payload_bytes", "header", "payload", record.alias("record"))
+    return full.unionByName(again).select("page_id", "record_type", "refers_to", F.col("digest").alias("payload_digest"), "payload_bytes", "header", "payload", record.alias("record"))
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """From the bytes of WARC records alone: page_id, record_type, refers_to, the digest that the header states, body.
+
+    The header ends at the first empty line; the body has the stated length and two line ends after it."""
+    text = F.col("record").cast("string")
+    split = records.select(F.substring_index(text, CRLF * 2, 1).alias("_head"), text.alias("_text"))
+    split = split.withColumn("header", F.concat("_head", F.lit(CRLF * 2)))
+    rest = F.substr("_text", F.length("header") + 1)
+    body = F.substr(rest, F.lit(1), F.length(rest) - 2 * len(CRLF))
+    whole = (F.octet_length(body) == _field("Content-Length").try_cast("long")) & F.endswith("_text", F.lit(CRLF * 2))
+    checked = F.when(whole, body).otherwise(F.raise_error(F.concat(F.lit("record of another length than stated: "), F.col("_head"))).cast("string"))
+    return split.select(_page(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"), _page(_field("WARC-Refers-To")).alias("refers_to"), F.substring(_field("WARC-Payload-Digest"), 8, 64).alias("stated_digest"), checked.alias("body"))
 
 
 def write_warc_files(records: DataFrame, path: str) -> None:
@@ -96,10 +123,12 @@ def op9(spark, sf_dir):
 
     path = f"{shared_dir(spark)}/millrace/archive-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages"), path)
-    records = read_archive(spark, path)
-    # Length and digest come from the payload inside the rebuilt record, not from its header.
-    size = F.octet_length("payload").cast("long")
-    return records.select("page_id", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    parsed = parse_records(read_archive(spark, path, resolve=False))
+    # A response's length and digest come from the bytes in its record; a revisit has none and takes them from the payload store.
+    size, digest = F.octet_length("body").cast("long"), F.sha2(F.col("body").cast("binary"), 256)
+    responses = parsed.filter(F.col("record_type") == "response").select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    revisits = parsed.filter(F.col("record_type") == "revisit").join(spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("payload_digest"), "payload_bytes"), F.col("stated_digest") == F.col("payload_digest"))
+    return responses.unionByName(revisits.select(*responses.columns))
 
 
 SQL = """
