@@ -8,8 +8,8 @@ work), so documents of one host whose normalised lines are all the same count as
 line are different documents, whatever stands around the lines they share, and a line that repeats within a
 document counts once.
 
-Hot hosts and hot lines are counted by two partial aggregations, so a line costs a row per task and document;
-the removed lines are staged, and broadcast only if their count is within the size bound.
+Lines are split and hashed once and staged.  Hot hosts and hot lines are counted by two partial aggregations, so
+a line costs a row per task and document; the removed lines are broadcast only within the size bound.
 
 Defined cases: null and empty texts have no words and fail the base rules; null is a host of its own; repeated
 rows are judged each; an empty table gives no rows; other columns are ignored by :func:`verdicts`, kept by
@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import WORD, map_batches, sized, staged
+from .runtime import WORD, fresh, map_batches, sized, staged
 
 #: Distinct documents of one host with a line above which it is removed.
 LINE_LIMIT = 20
@@ -78,12 +78,13 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """A row per line with a word: host hash, text key, hash of all the document's lines, line hash, words in the line."""
+    """A row per line with a word: host hash, text key, hash of all the document's lines, line hash, words in the
+    line, and whether it is the document's first."""
     normal = lambda line: F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal), lambda x: x != "")
     base = docs.select(F.xxhash64("source").alias("host"), F.xxhash64("source", "text").alias("_text"), lines.alias("_lines"))
     hashed = base.select("host", "_text", "_lines", F.transform("_lines", lambda x: F.xxhash64(x)).alias("_h"))
-    rows = F.transform("_lines", lambda x, i: F.struct(F.get("_h", i).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    rows = F.transform("_lines", lambda x, i: F.struct(F.get("_h", i).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"), (i == 0).alias("first")))
     return hashed.select("host", "_text", F.xxhash64("_h").alias("document"), F.inline(rows))
 
 
@@ -99,12 +100,12 @@ def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_
 
 
 def _judged(docs: DataFrame, limit: int, left_share: float) -> DataFrame:
-    lines = document_lines(docs)
+    lines = staged(document_lines(docs), "lines")  # split and hashed once, a few fixed-width columns a line
     common = staged(common_lines(lines, limit), "common-lines")
     # Per text, not per row: copies of a text share one sum, so it is divided by their number.
-    hits = lines.join(sized(common.select("host", "line")), ["host", "line"], "left_semi")
-    copies = docs.groupBy(F.xxhash64("source", "text").alias("_text")).agg(F.count("*").alias("_copies"))
-    removed = hits.groupBy("_text").agg(F.sum("words").alias("_sum")).join(copies, "_text").select("_text", F.floor(F.col("_sum") / F.col("_copies")).alias("removed_words"))
+    marked = lines.join(sized(common.select("host", "line", F.lit(True).alias("_common"))), ["host", "line"], "left")
+    sums = marked.groupBy("_text").agg(F.sum(F.when(F.col("_common"), F.col("words")).otherwise(0)).alias("_sum"), F.count_if("first").alias("_copies"))
+    removed = sums.filter("_sum > 0").select("_text", F.floor(F.col("_sum") / F.col("_copies")).alias("removed_words"))
     out = base_rules(docs).join(removed, "_text", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     left = F.col("n_words") - F.col("removed_words") >= F.lit(left_share) * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & left)
@@ -113,8 +114,9 @@ def _judged(docs: DataFrame, limit: int, left_share: float) -> DataFrame:
 def keep_clean(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_SHARE) -> DataFrame:
     """The documents that pass, columns unchanged.  The verdict depends on source and text alone."""
     judged = _judged(docs.select("doc_id", "source", "text"), limit, left_share)
-    rejected = staged(judged.filter(~F.col("kept")).select("_text").distinct(), "rejected")
-    return docs.withColumn("_text", F.xxhash64("source", "text")).join(sized(rejected), "_text", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    (key,) = fresh(docs, "_text")
+    rejected = staged(judged.filter(~F.col("kept")).select(F.col("_text").alias(key)).distinct(), "rejected")
+    return docs.withColumn(key, F.xxhash64("source", "text")).join(sized(rejected), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10(spark, sf_dir):

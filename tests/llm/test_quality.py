@@ -3,6 +3,7 @@ from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import quality
 
@@ -50,6 +51,40 @@ def test_verdicts(spark):
     assert quality.verdicts(docs.limit(0)).count() == 0
 
 
+def normal(line):
+    return " ".join(words(line.lower()))
+
+
+def test_verdicts_equal_plain_counts(spark):
+    """removed_words and kept against plain counting, with blocks in fixed order, refrains, copies and several hosts."""
+    rng = random.Random(14)
+    blocks = ["\n".join(f"notice {b} line {i} of the usual text that pages of this place carry" for i in range(b + 3)) for b in range(4)]
+    texts, hosts = list(awkward()), []
+    for i in range(260):
+        parts = [prose(rng, rng.randrange(3, 60)) for _ in range(3)]
+        parts.insert(rng.randrange(4), rng.choice(blocks))
+        if i % 5 == 0:
+            parts += ["la la the refrain"] * 30
+        texts.append("\n".join(parts))
+    texts += [texts[40]] * 50 + [texts[41].upper().replace(" ", "\t")] * 30
+    hosts = [rng.choice(["a", "b", None]) for _ in texts]
+    lines = [[normal(x) for x in (t or "").split("\n") if words(x)] for t in texts]
+    n = Counter((h, x) for h, d in {(h, tuple(d)) for h, d in zip(hosts, lines)} for x in set(d))
+    docs = documents(spark, texts, hosts)
+    docs = docs.union(docs.where("doc_id > 200"))  # repeated rows
+    got = quality.verdicts(docs).collect()
+    assert len(got) == docs.count() and any(r["removed_words"] for r in got)
+    for r in got:
+        h, d = hosts[r["doc_id"]], lines[r["doc_id"]]
+        gone = sum(len(x.split(" ")) for x in d if n[h, x] > quality.LINE_LIMIT)
+        assert r["removed_words"] == gone
+        assert r["kept"] == (not r["base_failed"] and r["n_words"] - gone >= quality.LEFT_SHARE * r["n_words"])
+    named = docs.withColumns({"_text": F.lit("mine"), "__text": F.lit("too")})
+    kept = quality.keep_clean(named)
+    assert kept.columns == named.columns and {(r["_text"], r["__text"]) for r in kept.collect()} == {("mine", "too")}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got if r["kept"])
+
+
 def test_null_host(spark):
     docs = spark.createDataFrame([(1, "a " * 60, None), (None, None, None)], "doc_id long, text string, source string")
     assert quality.verdicts(docs).count() == 2
