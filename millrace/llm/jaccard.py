@@ -10,16 +10,19 @@ Documents are sets of distinct 4-word shingles (64-bit hashes).  The join has th
     are near copies and little else; shared passages don't make them, nor do chains through other sizes.
 3.  Prefix tree.  A block's sets are stored in a trie, ordered globally by how many of them hold an element;
     a probe adds up its partial overlaps along the trie's nodes, shared by all sets below a node, and leaves
-    subtrees whose remaining length can't reach the needed overlap.  Blocks above ``BLOCK_BYTES`` are split
-    into tiles of two sub-blocks each, so a task holds two sub-blocks at most, whatever the group's size.
-    A tile returns the links of a spanning forest, not all pairs.
+    subtrees whose remaining length can't reach the needed overlap.  A tile returns the links of a spanning
+    forest, not all pairs.  Blocks above ``BLOCK_BYTES`` are dealt into sub-blocks, each a tile of its own that
+    also gets a few pivots, sets that all sub-blocks of the block share.  Near copies of one text all reach a
+    pivot then, so the block is one component after a pass whose volume is that of the block.  Only sets
+    outside their block's largest component meet the other sub-blocks, in a second pass: two sets in it are
+    connected, so no link of it can matter, and every other pair is tested in one of the passes.
 
 Connected components over the links give each document the smallest doc_id that it reaches.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; fewer than 4 words are one
-shingle; rows that repeat are one class; rows without a doc_id have no component; a doc_id that is the
-smallest of two different texts joins their classes; an empty table gives no rows; other columns are ignored
-by :func:`near_duplicates` and kept by :func:`one_of_each`.
+shingle; rows that repeat are one class; rows without a doc_id have no component; different texts that share a
+doc_id are different classes; an empty table gives no rows; other columns, whatever their names, are ignored by
+:func:`near_duplicates` and kept by :func:`one_of_each`.
 """
 
 from __future__ import annotations
@@ -31,13 +34,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import map_batches, sized, staged
+from .runtime import fresh, map_batches, sized, staged
 from .textkit import shingle_sets, splitmix
 
 #: Words of a shingle, and the threshold in percent.
 N, PERCENT = 4, 85
 #: Bytes of a block's (or sub-block's) sets that one task holds.
 BLOCK_BYTES = 4 << 20
+#: Sets of a block that all its sub-blocks share.
+PIVOTS = 4
+#: Digests that a task remembers to emit the keys of a text that it has met before only once.
+SEEN = 500_000
 
 #: Low bits of a key that hold its size class.
 LEVEL_MASK = 127
@@ -105,21 +112,33 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest (null for empty sets), the set's keys and their levels."""
+    """Per row: doc_id, hash of the text as it stands, n_shingles, digest (null for empty sets), the set's keys and
+    their levels.  Of equal sets that a task meets, the first one has keys and levels, so a text that is copied
+    any number of times costs its keys once a task."""
 
     def make():
+        seen: set[bytes] = set()
+
         def run(cols):
             sets = shingle_sets(cols["text"], n)
-            keys = part_keys(sets, percent)
+            digests = [digest(s) if len(s) else None for s in sets]
+            new = []
+            for d in digests:
+                new.append(d is not None and d not in seen)
+                if new[-1]:
+                    seen.add(d)
+            if len(seen) > SEEN:
+                seen.clear()
+            keys = part_keys([s if fresh_ else s[:0] for s, fresh_ in zip(sets, new, strict=True)], percent)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             return {
-                "doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [digest(s) if len(s) else None for s in sets], "levels": [np.unique(k & np.uint64(LEVEL_MASK)).astype(np.int32).tolist() for k in keys],
+                "doc_id": cols["doc_id"], "_hash": cols["_hash"], "n_shingles": [len(s) for s in sets], "digest": digests, "levels": [np.unique(k & np.uint64(LEVEL_MASK)).astype(np.int32).tolist() if ok else None for k, ok in zip(keys, new, strict=True)],
                 "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64))),
             }
 
         return run
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n_shingles long, digest binary, levels array<int>, keys array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_hash"), "text"), make, "doc_id long, _hash long, n_shingles long, digest binary, levels array<int>, keys array<long>")
 
 
 class Trie:
@@ -204,10 +223,10 @@ class Trie:
         return np.flatnonzero(alive & (overlap >= needed))
 
 
-def forest(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+def forest(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int = PERCENT, labels: dict[int, int] | None = None) -> list[tuple[int, int]]:
     """Links (id, id) of a spanning forest of all links within ``left``, or between ``left`` and ``right``.
 
-    Pairs that are connected already are not tested again; all others are.
+    Pairs that are connected already, from the start if they have one label, are not tested again; all others are.
     """
     inner = right is None
     probes = left if inner else right
@@ -216,7 +235,8 @@ def forest(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray
     trie = Trie([s for _, s in left], [i for i, _ in left])
     place = {i: k for k, i in enumerate(trie.ids.tolist())}
     names = [*trie.ids.tolist(), *([] if inner else [i for i, _ in probes])]
-    root = np.arange(len(names))  # component of the trie's sets, then of the other side's
+    # Component of the trie's sets, then of the other side's.
+    root = np.arange(len(names)) if labels is None else np.unique([labels[i] for i in names], return_inverse=True)[1]
     out = []
     # Sets with the most frequent elements first: they link most others, which then are skipped.
     order = sorted(range(len(probes)), key=lambda k: place[probes[k][0]]) if inner else range(len(probes))
@@ -237,73 +257,144 @@ def _node():
 
 
 def block_members(sketch: DataFrame) -> DataFrame:
-    """(node, block) of the classes that share a key with another class."""
+    """(_at, block) of the classes, at their levels, that share a key with another class."""
     keys = sketch.filter(F.col("digest").isNotNull()).select("digest", F.explode("keys").alias("key"))
     rows = keys.withColumn("level", F.col("key").bitwiseAND(LEVEL_MASK).cast("int")).select(_node().alias("node"), "key")
     first = F.min("node").over(Window.partitionBy("key"))
     edges = rows.withColumn("u", first).filter("u <> node").select("u", F.col("node").alias("v"))
-    return components(edges).select("node", F.col("root").alias("block"))
+    return components(edges).select(F.col("node").alias("_at"), F.col("root").alias("block"))
 
 
-def links(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int = N, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(u, v): links between class representatives that span every component."""
-    leveled = classes.select("rep", "digest", "n_shingles", F.explode("levels").alias("level"))
-    known = leveled.join(members, _node() == F.col("node")).select("rep", "digest", "n_shingles", "block")
-    sums = known.groupBy("block").agg(F.sum(F.col("n_shingles") * 8).alias("_bytes"))
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("_bytes") / block_bytes)).cast("int")
-    known = known.join(sums.withColumn("_tiles", tiles).select("block", "_tiles"), "block")
-    known = staged(known.select(F.col("rep").alias("doc_id"), "digest", "block", "_tiles", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("_tiles")).cast("int").alias("_sub")), "blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(known), "doc_id")
+def _sets(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """The shingles of the representatives in ``known`` (rep, digest and further columns), with those columns."""
+    more = [c for c in known.columns if c not in ("rep", "digest")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(known), F.col("doc_id") == F.col("rep")).select("text", "digest", *more)
 
     def make():
         def run(cols):
             sets = shingle_sets(cols["text"], n)
             same = [len(s) > 0 and digest(s) == d for s, d in zip(sets, cols["digest"], strict=True)]  # a doc_id may stand for other texts too
-            out = {c: [v for v, ok in zip(cols[c], same, strict=True) if ok] for c in ("doc_id", "block", "_tiles", "_sub")}
+            out = {c: [v for v, ok in zip(cols[c], same, strict=True) if ok] for c in more}
             return out | {"shingles": [s.tobytes() for s, ok in zip(sets, same, strict=True) if ok]}
 
         return run
 
-    sets = map_batches(texts, make, "doc_id long, block long, _tiles int, _sub int, shingles binary")
-    # A sub-block meets itself and every other sub-block of its block in a tile of its own.
-    other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    dealt = sets.withColumn("_other", other).select("block", F.least("_sub", "_other").alias("_a"), F.greatest("_sub", "_other").alias("_b"), "_sub", "doc_id", "shingles")
+    return map_batches(texts, make, ", ".join(f"`{c}` {t}" for c, t in known.dtypes if c in more) + ", shingles binary")
 
-    def solve(key: tuple, rows: pa.Table) -> pa.Table:
-        sides: dict[int, dict[int, np.ndarray]] = {}
-        for sub, name, raw in zip(*(rows.column(c).to_pylist() for c in ("_sub", "doc_id", "shingles")), strict=True):
-            sides.setdefault(sub, {})[name] = np.frombuffer(raw, np.uint64)
-        a, b = key[1].as_py(), key[2].as_py()
-        found = forest(list(sides.get(a, {}).items()), None if a == b else list(sides.get(b, {}).items()), percent)
-        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
 
-    return dealt.groupBy("block", "_a", "_b").applyInArrow(solve, "u long, v long")
+def _table(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
+def links(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int = N, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(u, v): links between classes' nodes that span every component."""
+    leveled = classes.select("node", "rep", "digest", "n_shingles", F.explode("levels").alias("level"))
+    known = leveled.join(members, _node() == F.col("_at")).select("node", "rep", "digest", "n_shingles", "block")
+    sums = known.groupBy("block").agg(F.sum(F.col("n_shingles") * 8).alias("_bytes"))
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("_bytes") / block_bytes)).cast("int")
+    known = known.join(sums.select("block", tiles.alias("_tiles")), "block")
+    known = staged(known.withColumn("_sub", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_tiles")).cast("int")), "blocks")
+    large = known.filter("_tiles > 1")
+    if large.isEmpty():
+        return _within(docs, known.withColumn("_pivot", F.lit(False)), n, percent)
+    # The node of the smallest hash in each of a few parts of a large block; a row a pivot.
+    order = F.struct(F.xxhash64("node", F.lit(2)).alias("h"), "node")
+    pivots = staged(large.groupBy("block", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PIVOTS))).agg(F.min(order).alias("_p")).select(F.col("block").alias("_b"), F.col("_p")["node"].alias("_pn")), "pivots")
+    marked = known.join(sized(pivots), (F.col("block") == F.col("_b")) & (F.col("node") == F.col("_pn")), "left").withColumn("_pivot", F.col("_pn").isNotNull()).drop("_b", "_pn")
+    found = staged(_within(docs, marked, n, percent), "links")
+    return found.unionByName(_across(docs, large, found, n, percent, block_bytes))
+
+
+def _within(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+    """First pass: links within each sub-block and its block's pivots."""
+    sets = _sets(docs, known.select("node", "rep", "digest", "block", "_tiles", "_sub", "_pivot"), n)
+    to = F.explode(F.when(F.col("_pivot"), F.sequence(F.lit(0), F.col("_tiles") - 1)).otherwise(F.array("_sub")))
+    dealt = sets.select("block", to.alias("_sub"), "node", "shingles")
+
+    def solve(rows: pa.Table) -> pa.Table:
+        mine = {node: np.frombuffer(raw, np.uint64) for node, raw in zip(rows.column("node").to_pylist(), rows.column("shingles").to_pylist(), strict=True)}
+        return _table(forest(list(mine.items()), None, percent))
+
+    return dealt.groupBy("block", "_sub").applyInArrow(solve, "u long, v long")
+
+
+def _across(docs: DataFrame, large: DataFrame, found: DataFrame, n: int, percent: int, block_bytes: int) -> DataFrame:
+    """Second pass: sets outside their block's largest component against all other sub-blocks of the block."""
+    roots = components(found).withColumnsRenamed({"node": "_n", "root": "_label"})
+    state = staged(large.join(roots, F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("_label", "node")).drop("_n", "_label"), "labels")
+    counts = state.groupBy("block", "label").agg(F.count("*").alias("_c"))
+    top = counts.groupBy("block").agg(F.max_by("label", F.struct("_c", "label")).alias("_top"))
+    state = state.join(top, "block").withColumn("_rest", F.col("label") != F.col("_top"))
+    left = state.filter("_rest").groupBy("block").agg(F.sum(F.col("n_shingles") * 8).alias("_bytes"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("_bytes") / block_bytes)).cast("int")
+    state = state.join(left.select("block", chunks.alias("_chunks")), "block")  # blocks of one component are done
+    state = staged(state.select("node", "rep", "digest", "block", "_tiles", "_sub", "label", "_rest", "_chunks"), "unlinked")
+    if state.isEmpty():
+        return found.limit(0)
+    sets = _sets(docs, state, n)
+    tile = lambda sub, chunk, probe: F.struct(sub.cast("int").alias("s"), chunk.cast("int").alias("c"), F.lit(probe).alias("probe"))
+    stored = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda c: tile(F.col("_sub"), c, False))
+    chunk = F.pmod(F.xxhash64("node", F.lit(4)), F.col("_chunks"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda s: s != F.col("_sub"))
+    probes = F.when(F.col("_rest"), F.transform(others, lambda s: tile(s, chunk, True))).otherwise(F.array().cast("array<struct<s:int,c:int,probe:boolean>>"))
+    dealt = sets.select("block", "node", "label", "shingles", F.inline(F.concat(stored, probes)))
+
+    def solve(rows: pa.Table) -> pa.Table:
+        sides: tuple[dict, dict] = ({}, {})
+        labels = dict(zip(rows.column("node").to_pylist(), rows.column("label").to_pylist(), strict=True))
+        for probe, node, raw in zip(*(rows.column(c).to_pylist() for c in ("probe", "node", "shingles")), strict=True):
+            sides[probe][node] = np.frombuffer(raw, np.uint64)
+        return _table(forest(list(sides[0].items()), list(sides[1].items()), percent, labels))
+
+    return dealt.groupBy("block", "s", "c").applyInArrow(solve, "u long, v long")
+
+
+def _components(docs: DataFrame, n: int, percent: int, block_bytes: int) -> DataFrame:
+    """Per row: doc_id, _hash, n_shingles, component_id, and whether the row is of the class and doc_id that the component is named after."""
     slim = docs.select("doc_id", "text")
     sketch = staged(sketches(slim, n, percent), "sketches")
-    classes = staged(sketch.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("levels").alias("levels")), "classes")
-    # Keys of copies are the copies' own; a class is represented once per task at least, and joined by node.
-    members = block_members(sketch)
-    found = links(slim, classes, members, n, percent, block_bytes)
-    roots = components(found)
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("_component"))
-    rows = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, **rule) -> DataFrame:
-    """The documents with one of each component left (the smallest doc_id; of rows that repeat it, one)."""
-    found = staged(near_duplicates(docs, **rule), "near")
-    gone = staged(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(sized(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = staged(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "again")
+    usable = sketch.filter("digest is not null and doc_id is not null")
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("levels", ignorenulls=True).alias("levels"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers of the classes, fixed once they are written
+    found = links(slim, classes, block_members(sketch), n, percent, block_bytes)
+    roots = components(found).withColumnsRenamed({"node": "_n"})
+    named = classes.join(roots, F.col("node") == F.col("_n"), "left").select("digest", "node", "rep", F.coalesce("root", "node").alias("root"))
+    heads = named.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("_head"))
+    named = named.join(heads, "root").select("digest", F.col("_head")["rep"].alias("_component"), (F.col("_head")["node"] == F.col("node")).alias("_first"))
+    rows = sketch.select("doc_id", "_hash", "n_shingles", "digest").join(named, "digest", "left")
+    # Texts without words are linked with nothing; each is its own first.
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+    return rows.select("doc_id", "_hash", "n_shingles", component.alias("component_id"), (F.coalesce("_first", F.lit(True)) & (F.col("doc_id") == component)).alias("_named"))
+
+
+def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
+    return _components(docs, n, percent, block_bytes).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents with one of each component left (the smallest doc_id; of rows that repeat it, one).
+
+    Rows without a doc_id have no component and stay, and so do texts without words, each once for its doc_id."""
+    found = staged(_components(docs, n, percent, block_bytes), "near")
+    doc_id, text = fresh(docs, "_id", "_hash")
+    keyed = docs.withColumn(text, F.xxhash64("text")).withColumn(doc_id, F.col("doc_id").cast("long"))
+    gone = staged(found.filter("not _named").select(F.col("doc_id").alias("_gone"), F.col("_hash").alias("_text_gone")).distinct(), "gone")
+    gone_, text_ = fresh(keyed, "_gone", "_text_gone")
+    gone = gone.withColumnsRenamed({"_gone": gone_, "_text_gone": text_})
+    same = (F.col(doc_id) == F.col(gone_)) & (F.col(text) == F.col(text_))
+    left = keyed.join(sized(gone), same, "left_anti")
+    # A doc_id's rows of the first class are one document however they are written, and so are its equal texts without words.
+    kept = found.filter("_named and doc_id is not null").withColumn("_class", F.when(F.col("n_shingles") == 0, F.col("_hash")))
+    repeated = kept.groupBy(F.col("doc_id").alias("_d"), F.col("_class").alias("_c")).count().filter("count > 1")
+    (class_,) = fresh(left, "_class")
+    again = kept.join(repeated, (F.col("doc_id") == F.col("_d")) & F.col("_class").eqNullSafe(F.col("_c")), "left_semi")
+    again = staged(again.select(F.col("doc_id").alias(gone_), F.col("_hash").alias(text_), F.col("_class").alias(class_)).distinct(), "again")
     if again.isEmpty():
-        return left
-    once = left.join(sized(again), F.col("doc_id") == F.col("_again"), "left_anti")
-    return once.unionByName(left.join(sized(again), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+        return left.drop(doc_id, text)
+    once = left.join(sized(again), same, "left_anti").drop(doc_id, text)
+    rest = left.join(sized(again), same).dropDuplicates([doc_id, class_])
+    return once.unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op8(spark, sf_dir):

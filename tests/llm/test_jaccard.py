@@ -98,6 +98,34 @@ def test_trie_overlaps():
             assert hit == want
 
 
+@pytest.mark.parametrize("copies", [150])
+def test_large_groups_of_near_copies(spark, copies):
+    """Blocks of many sub-blocks: near copies of one text, drifting versions, and both with strangers among them."""
+    rng = random.Random(21)
+    base, drift = prose(rng, 120, 10**5), prose(rng, 120, 10**5).split()
+    texts = [mutated(rng, base, 0.012) for _ in range(copies)]
+    for _ in range(copies):
+        drift[rng.randrange(len(drift))] = f"d{rng.randrange(10**6)}"
+        texts.append(" ".join(drift))
+    rng.shuffle(texts)
+    want, _ = brute(texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(documents(spark, texts), block_bytes=6000).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < copies
+
+
+def test_different_texts_of_one_id(spark):
+    rng = random.Random(22)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (1, b), (5, a + " x"), (0, b + " y"), (7, c), (7, c), (7, c.upper()), (7, None), (9, ""), (None, c), (3, b)]
+    docs = spark.createDataFrame([(*r, "k", "k", i) for i, r in enumerate(rows)], "doc_id long, text string, _gone string, _hash string, row int")
+    got = {r["row"]: r["component_id"] for r in jaccard.near_duplicates(docs).join(docs, "doc_id").select("row", "component_id").collect()}
+    assert got[2] == 1 and got[3] == 0 and got[10] == 0
+    left = jaccard.one_of_each(docs)
+    assert left.columns == docs.columns
+    kept = {r["row"] for r in left.collect()}
+    assert kept - {4, 5, 6} == {0, 3, 7, 8, 9} and len(kept & {4, 5, 6}) == 1
+
+
 def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, None), (7, "a b c d e")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()), key=str)
