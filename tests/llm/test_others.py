@@ -78,6 +78,65 @@ def test_toxicity_learns_and_is_blind(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_log_odds_and_significance(spark):
+    rows_ = [(0, "a", 50, 1), (0, "b", 0, 9), (0, "c", 5, 5), (0, "d", 3, 0), (3, "abc", 7, 2), (3, "x", 0, 1)]
+    totals = {0: (58.0, 15.0), 3: (7.0, 3.0)}
+    ratio, z = toxicity.log_odds(totals, prior=10.0)
+    for r in spark.createDataFrame(rows_, "kind int, token string, clean long, toxic long").select("*", ratio.alias("ratio"), z.alias("z")).collect():
+        nc, nt = totals[r["kind"]]
+        share = (r["clean"] + r["toxic"]) / (nc + nt)
+        t, c = r["toxic"] + 10 * share, r["clean"] + 10 * share
+        assert r["ratio"] == pytest.approx(math.log(t / (nt + 10 - t)) - math.log(c / (nc + 10 - c)))
+        g = 2 * sum(y * math.log(y / (share * n)) for y, n in ((r["toxic"], nt), (r["clean"], nc)) if y)
+        assert r["z"] == pytest.approx(math.copysign(math.sqrt(max(g, 0)), r["ratio"]))
+
+
+def test_extreme_values_are_fitted():
+    rng = np.random.default_rng(3)
+    lam, k = 0.7, 0.02
+    sizes = rng.integers(50, 2000, 20_000).astype(float)
+    best = np.log(k * sizes / rng.exponential(size=len(sizes))) / lam  # the law itself
+    got = toxicity.fit_extremes(np.where(best >= 2.0, best, 0.0), sizes, 2.0)
+    assert got[0] == pytest.approx(lam, rel=0.06) and got[1] == pytest.approx(k, rel=0.25)
+    none = toxicity.fit_extremes(np.zeros(100), np.full(100, 300.0), 2.0)
+    assert none[1] * 300 * math.exp(-none[0] * 2.0) < 0.05
+
+
+def test_evidence_equals_the_definition():
+    rng = random.Random(4)
+    model = toxicity.Model({"bad": 3.0, "worse": 5.0, "fine": -2.0}, {"awf": 2.0, "awful": 4.0}, frozenset({"awfis"}), drift=-0.3, lam=0.9, k=0.01, slope=2.0, base=-3.0)
+    for _ in range(300):
+        found = [rng.choice(["x", "y", "bad", "worse", "fine", "awfully", "awfxx", "awfis", "aw"]) if rng.random() < 0.4 else "w" for _ in range(rng.randrange(0, 40))]
+        scores = [model.words.get(w, 4.0 if w == "awfully" else 2.0 if w == "awfxx" else model.drift) for w in found]
+
+        def best(a, b):
+            out = max(((sum(scores[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            return [] if out[0] <= 1e-12 else [*best(a, out[3]), out, *best(out[4], b)]
+
+        parts = [(s, i, j) for s, _, _, i, j in best(0, len(found))]
+        want = [(i, j, s) for s, i, j in parts if 0.01 * len(found) * math.exp(-0.9 * s) <= toxicity.E_VALUE]
+        got = [(a, b, s) for a, b, s, _ in model.passages(found)]
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+        evidence = math.log1p(sum(-math.log10(0.01 * len(found) * math.exp(-0.9 * s)) for *_, s in want))
+        assert model.evidence(found) == pytest.approx(evidence) and model.score(evidence) == pytest.approx(1 / (1 + math.exp(3.0 - 2.0 * evidence)))
+
+
+def test_sample_is_fixed_and_copies_teach_once(spark):
+    rng = random.Random(9)
+    base, shared = prose(rng, 80, 10**5), prose(rng, 30, 10**5)
+    texts = [base.replace(" ", f" u{i} ", 1) for i in range(40)] + [prose(rng, 60, 10**5) + " " + shared for _ in range(60)] + [base] * 10
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(len(texts))], "doc_id long, toxic int")
+    docs = documents(spark, texts)
+    one = toxicity.training_sample(docs, labels)
+    again = toxicity.training_sample(docs.repartition(7, "text"), labels.repartition(2, "toxic"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, again.collect()))
+    copies = [r for r in one.collect() if base[20:60] in r["text"]]
+    assert sorted(r["toxic"] for r in copies) == [0, 1], "near copies once in each class"
+    assert one.count() - len(copies) >= 0.9 * sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40, 100)), "a shared passage makes no copy"
+    a, b = toxicity.fit(one), toxicity.fit(again)
+    assert vars(a) == vars(b)
+
+
 # -- nearest neighbours --------------------------------------------------------------------------------
 
 
