@@ -56,17 +56,16 @@ def gsm_score(c: Column | str, truth: Column | str, method: str = "strict", scor
 
 
 def boxed_spans(text: str | None, openers: tuple[str, ...] = ("\\boxed",)) -> list[tuple[int, int, str]]:
-    """(start, end, content) of every balanced box in order, nested ones included, unclosed ones left out."""
-    out = []
-    for m in re.finditer("|".join(re.escape(o) + r"\{" for o in openers), text or ""):
-        depth, at = 1, m.end()
-        for b in re.finditer(r"[{}]", text[m.end() :]):
-            depth += 1 if b.group() == "{" else -1
-            if not depth:
-                at = m.end() + b.start()
-                out.append((m.start(), at + 1, text[m.end() : at]))
-                break
-    return out
+    """(start, end, content) of every balanced box in order, nested ones included, unclosed ones left out; one pass."""
+    out, open_ = [], []  # open_: (start of the box or -1, start of the content)
+    for m in re.finditer("|".join(re.escape(o) + r"\{" for o in openers) + r"|[{}]", text or ""):
+        if m.group() != "}":
+            open_.append((m.start() if len(m.group()) > 1 else -1, m.end()))
+        elif open_:
+            start, inner = open_.pop()
+            if start >= 0:
+                out.append((start, m.end(), text[inner : m.start()]))
+    return sorted(out)
 
 
 def last_boxed(text: str | None) -> str | None:
@@ -81,10 +80,10 @@ def last_boxed(text: str | None) -> str | None:
     if at < 0:
         return None
     depth = 0
-    for m in re.finditer(r"[{}]", text[at:]):
+    for m in re.compile(r"[{}]").finditer(text, at):
         depth += 1 if m.group() == "{" else -1
         if not depth:
-            return text[at : at + m.end()]
+            return text[at : m.end()]
     return None
 
 

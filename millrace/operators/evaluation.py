@@ -39,17 +39,34 @@ def majority(df: DataFrame, keys: list[str], pred: str = "pred", value: str = "s
     return votes.withColumn("_r", F.row_number().over(top)).filter("_r = 1").select(*keys, F.col(pred).alias("majority"), F.col("_first")[value].alias("value"))
 
 
+def _draws(size: int, n: int, draws: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).randint(0, size, (draws, n))
+
+
+def _moments(found) -> tuple[float, float]:
+    found = np.asarray(found, float)
+    return float(found.mean()), float(found.std())
+
+
 def bootstrap(values: list, n: int, reducers: list[Callable], draws: int = 1000, seed: int = 42) -> list[tuple[float, float]]:
-    """(mean, population deviation) of each reducer over resamples of size n; the seed restarts for every call."""
+    """(mean, population deviation) of each reducer over resamples of size n; the seed restarts for every call.
+
+    ``max`` and ``min`` are taken for all draws at once; any other callable gets one draw's values at a time."""
     if not len(values):
         raise ValueError("nothing to resample")
-    rng = np.random.RandomState(seed)
-    rows = rng.randint(0, len(values), (draws, n))
-    out = []
-    for reduce_ in reducers:
-        got = np.array([reduce_([values[i] for i in row]) for row in rows], float)
-        out.append((float(got.mean()), float(got.std())))
-    return out
+    rows = _draws(len(values), n, draws, seed)
+    at_once = {max: np.max, min: np.min, np.max: np.max, np.min: np.min}
+    picked = np.asarray(values)[rows] if any(r in at_once for r in reducers) else None
+    return [_moments(at_once[r](picked, axis=1) if r in at_once else [r([values[i] for i in row]) for row in rows]) for r in reducers]
+
+
+def bootstrap_majority(values: list[float], preds: list, n: int, draws: int = 1000, seed: int = 42) -> tuple[float, float]:
+    """(mean, deviation) of the value that goes with each draw's most common prediction: the first row of it, ties to
+    the prediction that the draw meets first."""
+    rows = _draws(len(values), n, draws, seed)
+    codes = pd.factorize(pd.Series(preds, dtype=object))[0][rows]
+    counts = (codes[:, :, None] == codes[:, None, :]).sum(2)  # of each place's prediction within its draw
+    return _moments(np.asarray(values, float)[rows[np.arange(draws), counts.argmax(1)]])
 
 
 def bootstrap_best_worst(df: DataFrame, keys: list[str], n: int, value: str = "score", draws: int = 1000, seed: int = 42, order: str = "k") -> DataFrame:
@@ -63,6 +80,40 @@ def bootstrap_best_worst(df: DataFrame, keys: list[str], n: int, value: str = "s
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(one, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", best double, best_std double, worst double, worst_std double")
 
 
+def prompt_metrics(values: list[float], preds: list | None, draws: int = 1000, seed: int = 42) -> dict[str, float]:
+    """All metrics of one prompt's samples: mean@N, and for more than one sample std@N and at every rung of the
+    ladder the mean and deviation of best, worst and, with predictions, majority."""
+    size = len(values)
+    out = {f"mean@{size}": float(np.mean(values))}
+    if size > 1:
+        out[f"std@{size}"] = float(np.std(values))
+        for n in ladder(size):
+            for name, found in zip(("best", "worst"), bootstrap(values, n, [max, min], draws, seed), strict=True):
+                out[f"{name}@{n}/mean"], out[f"{name}@{n}/std"] = found
+            if preds is not None:
+                out[f"maj@{n}/mean"], out[f"maj@{n}/std"] = bootstrap_majority(values, preds, n, draws, seed)
+    return out
+
+
+def full_validation_metrics(df: DataFrame, variables: list[str], source: str = "data_source", prompt: str = "uid", order: str = "k", pred: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(source, variable, metric, value): the metrics of each prompt's samples, averaged over the prompts that have them.
+
+    Variables that hold strings have no metrics.  A group is the samples of one prompt, so it is small; the average is
+    a partial aggregation."""
+    types = dict(df.dtypes)
+    numeric = [v for v in variables if types[v] != "string"]
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        preds = rows[pred].tolist() if pred else None
+        found = [(rows[source].iloc[0], v, m, x) for v in numeric for m, x in prompt_metrics(rows[v].astype(float).tolist(), preds, draws, seed).items()]
+        return pd.DataFrame(found, columns=[source, "variable", "metric", "value"])
+
+    wanted = dict.fromkeys([source, prompt, order, *numeric, *([pred] if pred else [])])
+    each = df.select(*wanted).groupBy(source, prompt).applyInPandas(one, f"`{source}` {types[source]}, variable string, metric string, value double")
+    return each.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
+
+
 def validation_metrics(df: DataFrame, n: int, source: str = "data_source", prompt: str = "uid", value: str = "score") -> DataFrame:
     """(source, metric, value): mean@n, std@n and the exact best / worst at each rung, averaged over prompts."""
     keys = [source, prompt]

@@ -13,11 +13,13 @@ def _field(name: str):
     return lambda t: t[name]
 
 
-def with_positions(df: DataFrame, *order: str, partitions: int = 64, out: str = "pos") -> DataFrame:
+def with_positions(df: DataFrame, *order: str | Column, partitions: int | None = None, out: str = "pos") -> DataFrame:
     """Dense positions from 0 by an order, without sorting all rows in one task.
 
-    Rows are range-partitioned by the order; per-partition counts (one row a partition) give each its offset.
+    Rows are range-partitioned by the order, into the session's number of shuffle partitions; per-partition counts
+    (one row a partition) give each its offset.
     """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id())
     ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     counts = ranked.groupBy("_p").agg(F.count("*").alias("_n"))

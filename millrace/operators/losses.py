@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import with_positions
 from .registry import Registry
 from .stats import agg_loss, ess_sequence, masked_mean
 
@@ -54,32 +55,39 @@ def ppo_loss(df: DataFrame, clip: float = 0.2, low: float | None = None, high: f
     return agg_loss(tokens, "_loss", "mask", mode, **shape).join(F.broadcast(stats))  # one row each
 
 
+def _covariances(df: DataFrame, share: float) -> DataFrame:
+    """_cov of advantage and log-probability over the masked tokens, and _cut, how many of them a share is (at least
+    one).  The moments are one row."""
+    on = F.col("mask").cast("int") == 1
+    one = df.agg(F.avg(F.when(on, F.col("adv"))).alias("_a"), F.avg(F.when(on, F.col("logp"))).alias("_l"), F.greatest(F.lit(1), F.floor(F.count_if(on) * share)).alias("_cut"))
+    cov = (F.col("adv") - F.col("_a")) * (F.col("logp") - F.col("_l"))
+    return df.join(F.broadcast(one)).withColumn("_cov", F.when(on, cov)).drop("_a", "_l")
+
+
 @POLICY_LOSSES.register("kl_cov")
 def kl_cov_loss(df: DataFrame, share: float = 0.2, weight: float = 1.0) -> DataFrame:
     """Plain ratio loss; the tokens with the highest covariance of advantage and log-probability (a share of the
-    masked ones, at least one) get weight * |log ratio| on top.  The cut is a top-n of the masked tokens."""
-    one = df.filter(F.col("mask").cast("int") == 1).agg(F.avg("adv").alias("_a"), F.avg("logp").alias("_l"), F.count("*").alias("_n"))
-    cov = (F.col("adv") - F.col("_a")) * (F.col("logp") - F.col("_l"))
-    tokens = df.join(F.broadcast(one)).withColumns({"_cov": F.when(F.col("mask").cast("int") == 1, cov), "_base": -F.col("adv") * F.exp(F.col("logp") - F.col("old")), "_abs": F.abs(F.col("logp") - F.col("old"))})
-    n = one.select(F.greatest(F.lit(1), F.floor(F.col("_n") * share)).cast("int").alias("n")).first()["n"]
-    top = tokens.filter("_cov is not null").orderBy(F.desc("_cov"), "uid", "k", "pos").limit(n).select("uid", "k", "pos", F.lit(1.0).alias("_top"))
-    marked = tokens.join(top, ["uid", "k", "pos"], "left")
-    return marked.withColumn("_loss", F.col("_base") + F.coalesce(F.col("_top"), F.lit(0.0)) * weight * F.col("_abs")).agg(masked_mean("_loss", "mask").alias("loss"), masked_mean("_abs", "mask").alias("mean_abs_kl"))
+    masked ones, at least one) get weight * |log ratio| on top.  The cut is a position in a range-partitioned order."""
+    tokens = _covariances(df, share).withColumns({"_base": -F.col("adv") * F.exp(F.col("logp") - F.col("old")), "_abs": F.abs(F.col("logp") - F.col("old"))})
+    able = with_positions(tokens.filter("_cov is not null"), F.desc("_cov"), "uid", "k", "pos", out="_place")
+    marked = able.withColumn("_top", F.when(F.col("_place") < F.col("_cut"), 1.0).otherwise(0.0)).drop("_place")
+    every = marked.unionByName(tokens.filter("_cov is null").withColumn("_top", F.lit(0.0)))
+    return every.withColumn("_loss", F.col("_base") + F.col("_top") * weight * F.col("_abs")).agg(masked_mean("_loss", "mask").alias("loss"), masked_mean("_abs", "mask").alias("mean_abs_kl"))
 
 
 @POLICY_LOSSES.register("clip_cov")
 def clip_cov_loss(df: DataFrame, share: float = 0.0002, lb: float = 1.0, ub: float = 5.0, clip: float = 0.2, seed: str = "clip-cov") -> DataFrame:
     """The clipped loss, with the loss of a hash-chosen share of tokens whose covariance lies between the bounds set to zero.
 
-    Tokens that are clipped anyway can't be chosen; the choice is by hash, so that reruns agree."""
-    one = df.filter(F.col("mask").cast("int") == 1).agg(F.avg("adv").alias("_a"), F.avg("logp").alias("_l"), F.count("*").alias("_n"))
+    Tokens that are clipped anyway can't be chosen; the choice is by MD5, so that reruns and other engines agree."""
     c = _clipped(F.exp(F.col("logp") - F.col("old")), 1 - clip, 1 + clip, None)
-    cov = (F.col("adv") - F.col("_a")) * (F.col("logp") - F.col("_l"))
-    tokens = df.join(F.broadcast(one)).withColumns({"_cov": cov, "_worse": c["worse"], "_clip": c["cut"] > c["plain"]})
-    n = one.select(F.greatest(F.lit(1), F.floor(F.col("_n") * share)).cast("int").alias("n")).first()["n"]
-    able = tokens.filter((F.col("mask").cast("int") == 1) & ~F.col("_clip") & (F.col("_cov") > lb) & (F.col("_cov") < ub))
-    chosen = able.orderBy(F.xxhash64(F.lit(seed), "uid", "k", "pos"), "uid", "k", "pos").limit(n).select("uid", "k", "pos", F.lit(0.0).alias("_zero"))
-    return tokens.join(chosen, ["uid", "k", "pos"], "left").withColumn("_loss", F.col("_worse") * F.coalesce("_zero", F.lit(1.0))).agg(masked_mean("_loss", "mask").alias("loss"))
+    tokens = _covariances(df, share).withColumns({"_worse": c["worse"], "_clip": c["cut"] > c["plain"]})
+    free = F.coalesce((F.col("_cov") > lb) & (F.col("_cov") < ub) & ~F.col("_clip"), F.lit(False))
+    tokens = tokens.withColumn("_hash", F.when(free, F.md5(F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in ("uid", "k", "pos"))))))
+    able = with_positions(tokens.filter("_hash is not null"), "_hash", "uid", "k", "pos", out="_place")
+    marked = able.withColumn("_keep", F.when(F.col("_place") < F.col("_cut"), 0.0).otherwise(1.0)).drop("_place")
+    every = marked.unionByName(tokens.filter("_hash is null").withColumn("_keep", F.lit(1.0)))
+    return every.withColumn("_loss", F.col("_worse") * F.col("_keep")).agg(masked_mean("_loss", "mask").alias("loss"))
 
 
 def value_loss(df: DataFrame, clip: float, mode: str = "token-mean") -> DataFrame:

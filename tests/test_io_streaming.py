@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.sources import io
+from millrace.sources.files import Files
 from millrace.sources.generated import CountingProblems
 from millrace.streaming import batches as S
 
@@ -73,8 +74,66 @@ def test_failure_buffer(spark, tmp_path):
     assert {(r["prompt"], r["recycle_count"]) for r in buf.table().collect()} == {("c", 1)}
 
 
-def test_sampler(spark):
-    s = S.ResumableSampler(spark.range(10), "id")
+def test_failure_buffer_restarts(spark, tmp_path):
+    mk = lambda *xs: spark.createDataFrame([(x,) for x in xs], "prompt string")
+    new = lambda: S.FailureBuffer(spark, str(tmp_path / "buf"), size=2, trigger=2, rounds=2, cooldown=3)
+    new().add(mk("b", "a"), 1)
+    again = new()
+    assert {r["prompt"] for r in again.table().collect()} == {"a", "b"}
+    again.add(mk("z", "c", "d"), 2)
+    third = new()
+    got = third.drain(5)
+    assert [(r["prompt"], r["chunk"]) for r in third.chunks(got).collect()] == [("a", 0), ("b", 0), ("c", 1), ("d", 1)], "first in, first out"
+    fourth = new()
+    assert fourth.last == 5 and fourth.drain(8) is None, "the cooldown outlives the process"
+    fourth.give_back(got, mk("a"), 8)
+    last = new()
+    assert [r["prompt"] for r in last.drain(9).collect()] == ["z", "a"]
+    (tmp_path / "buf" / "v=99").mkdir()  # a version that was cut short doesn't count
+    assert new().table().count() == 2
+
+
+def test_prompt_buffer(spark, tmp_path):
+    new = lambda: S.PromptBuffer(spark, str(tmp_path / "p"))
+    assert new().take(4, 2) is None
+    new().add(spark.range(5), "id")
+    b = new()
+    b.add(spark.range(10, 15), "id")
+    assert sorted(r["id"] for r in b.take(4, 2).collect()) == [0, 1, 2, 3]
+    assert new().size() == 6 and sorted(r["id"] for r in new().take(100, 4).collect()) == [4, 10, 11, 12]
+    assert new().size() == 2 and new().take(3, 3) is None
+
+
+def test_accumulation_is_a_gate(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    for i in range(6):  # a file, and so a batch, of two groups: one varies
+        spark.createDataFrame([(f"a{i}", 0, 1.0), (f"a{i}", 1, 0.0), (f"b{i}", 0, 1.0), (f"b{i}", 1, 1.0)], "uid string, k int, score double").coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: spark.readStream.schema("uid string, k int, score double").option("maxFilesPerTrigger", 1).parquet(src)
+    groups = lambda: spark.read.parquet(out).select("uid").distinct().count()
+    assert S.accumulate_groups(stream(), out, ck, 2, spark) and groups() == 2
+    assert S.accumulate_groups(stream(), out, ck, 2, spark) and groups() == 2, "enough is enough"
+    assert S.accumulate_groups(stream(), out, ck, 4, spark) and groups() == 4, "it goes on where it stopped"
+    assert not S.accumulate_groups(stream(), out, ck, 9, spark) and groups() == 6
+
+
+def test_files(spark, tmp_path):
+    f = Files(spark)
+    f.make_dirs(str(tmp_path / "a/b"))
+    (tmp_path / "a/b/x.txt").write_text("one")
+    f.copy(str(tmp_path / "a"), str(tmp_path / "c"))
+    assert f.names(str(tmp_path / "c/b")) == ["x.txt"] and f.exists(str(tmp_path / "c/b/x.txt")) and not f.exists(str(tmp_path / "none")) and f.names(str(tmp_path / "none")) == []
+    with pytest.raises(FileExistsError):
+        f.copy(str(tmp_path / "a"), str(tmp_path / "c"), overwrite=False)
+    where = f.local_copy(f"file://{tmp_path}/a/b/x.txt", str(tmp_path / "cache"))
+    assert open(where).read() == "one" and where != str(tmp_path / "a/b/x.txt")
+    (tmp_path / "a/b/x.txt").write_text("two")
+    assert open(f.local_copy(f"file://{tmp_path}/a/b/x.txt", str(tmp_path / "cache"))).read() == "one"
+    assert open(f.local_copy(f"file://{tmp_path}/a/b/x.txt", str(tmp_path / "cache"), always=True)).read() == "two"
+    assert f.local_copy("/plain/path", "x") == "/plain/path"
+
+
+def test_sampler(spark, tmp_path):
+    s = S.ResumableSampler(spark.range(10), "id", str(tmp_path / "s"), span=4)
     first, second = ([r["id"] for r in s.batch(0, p, 5).collect()] for p in (0, 5))
     assert sorted(first + second) == list(range(10)) and [r["id"] for r in s.batch(0, 5, 5).collect()] == second
     assert [r["id"] for r in s.batch(1, 0, 10).collect()] != first + second
