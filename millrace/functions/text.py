@@ -122,3 +122,8 @@ def media_segments(c: Column | str) -> Column:
     pieces = F.split(_col(c), r"(?=<image>)|(?<=<image>)|(?=<video>)|(?<=<video>)")
     kind = lambda p: F.when(p == "<image>", "image").when(p == "<video>", "video").otherwise("text")
     return F.filter(F.transform(pieces, lambda p: F.struct(kind(p).alias("type"), F.when(kind(p) == "text", p).alias("text"))), lambda s: (s["type"] != "text") | (s["text"] != ""))
+
+
+def hashed_unit(key: Column | str, seed: str) -> Column:
+    """A number in [0, 1) from the first 52 bits of the MD5 of seed and key, the same in every run and engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), _col(key).cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import discounted_returns, gae
+from .layout import with_positions
 from .registry import Registry
 
 ESTIMATORS = Registry("advantage estimator")
@@ -165,3 +166,31 @@ def weights_pf_ppo(df: DataFrame, how: str = "pow", power: float = 2.0, score: s
     else:
         raise ValueError(f"unknown weighting {how!r}")
     return both.withColumn("weight", w + 1e-8).drop("_hi", "_lo")
+
+
+def resample(df: DataFrame, key: list[str], weight: str = "weight", seed: str = "resample") -> DataFrame:
+    """As many draws with replacement as there are rows, with chances in proportion to the weights: draw (from 0) and the
+    row drawn.
+
+    Draw i takes the row whose span of the cumulated weights holds a number hashed from i.  Spans and numbers meet in
+    buckets of the weight's range, so a bucket holds about as many draws as rows and nothing is paired beyond it."""
+    placed = with_positions(df, *key, out="_pos")
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Cumulated weights in two levels: within runs of positions, and over the runs.
+    total = placed.agg(F.count("*").alias("_n"), F.sum(weight).alias("_all"))
+    runs = placed.join(F.broadcast(total)).withColumn("_run", F.floor(F.col("_pos") * n_parts / F.col("_n")))  # one row
+    inside = Window.partitionBy("_run").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("_upto", F.sum(weight).over(inside)).withColumn("_from", F.coalesce(F.lag("_upto").over(Window.partitionBy("_run").orderBy("_pos")), F.lit(0.0)))
+    before = runs.groupBy("_run").agg(F.max("_upto").alias("_sum"))
+    over = Window.partitionBy(F.lit(0)).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("_run", F.coalesce(F.sum("_sum").over(over), F.lit(0.0)).alias("_before"))  # a row a partition
+    # A span ends where the next one begins, to the last bit; the last one ends at 1.
+    end = F.when(F.col("_pos") == F.col("_n") - 1, 1.0).otherwise((F.col("_before") + F.col("_upto")) / F.col("_all"))
+    spans = runs.join(F.broadcast(before), "_run").withColumns({"_hi": end, "_lo": (F.col("_before") + F.col("_from")) / F.col("_all")})
+    bucket = lambda x: F.floor(x * F.col("_n")).cast("long")
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_lo")), F.greatest(bucket(F.col("_lo")), bucket(F.col("_hi"))))))
+    draws = placed.join(F.broadcast(total)).select(F.col("_pos").alias("draw"), "_n")
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col("draw").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    draws = draws.withColumn("_u", u).withColumn("_bucket", F.floor(F.col("_u") * F.col("_n")).cast("long")).drop("_n")
+    hit = draws.join(spans, "_bucket").filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    return hit.select("draw", *df.columns)

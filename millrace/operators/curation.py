@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 MESSAGES = "array<struct<role:string,content:string>>"
-#: Columns that the explanation template makes obsolete.
-OBSOLETE = ("old_prompt", "old_target", "responses", "input_lengths", "test_score", "se_logits", "se_probs", "se_ratio", "token_split_points")
+# Columns that the explanation template makes obsolete.
+OBSOLETE = (
+    "responses", "test_score", "gemini_thinking_trajectory", "gemini_attempt", "deepseek_thinking_trajectory", "deepseek_attempt", "gemini_grade", "gemini_grade_reason", "deepseek_grade_reason",
+)
 
 
 def messages(*turns: tuple[str, Column | str]) -> Column:
@@ -22,7 +24,7 @@ def pick_candidate(key: Column | str, *candidates: str, seed: int = 42) -> Colum
     """One of the non-empty candidates, chosen by a hash of the key (not by a row-order random stream); else the first, or ''."""
     k = F.col(key) if isinstance(key, str) else key
     full = F.filter(F.array(*candidates), lambda c: c.isNotNull() & (T.strip(c) != ""))
-    chosen = F.try_element_at(full, (F.pmod(F.xxhash64(k, F.lit(seed)), F.greatest(F.size(full), F.lit(1))) + 1).cast("int"))
+    chosen = F.try_element_at(full, (F.floor(T.hashed_unit(k, str(seed)) * F.size(full)) + 1).cast("int"))
     return F.coalesce(chosen, F.col(candidates[0]), F.lit(""))
 
 
@@ -94,6 +96,18 @@ def explanation_prompts(df: DataFrame, system: str, user_template: str) -> DataF
     return out.withColumn("se_prompt", F.array(first, second)).drop("_p", "_t", "_a", *OBSOLETE)
 
 
+def target_length_filter(df: DataFrame, tokens: Column, limit: int, target: str = "target") -> DataFrame:
+    """Rows whose target has at most ``limit`` tokens (an array column over the target's first message); a missing or
+    empty target has none and stays."""
+    missing = F.col(target).isNull() | (F.size(target) <= 0)
+    return df.where(F.when(missing, 0).otherwise(F.coalesce(F.size(tokens), F.lit(0))) <= limit)
+
+
+def source_rows(source: DataFrame, failed: DataFrame, index: str = "original_index") -> DataFrame:
+    """The source rows of failed prompts, each once, by the index that their samples carry."""
+    return source.join(failed.select(index).distinct(), index, "left_semi")
+
+
 def head_share(df: DataFrame, share: float, order: str, tail: bool = False) -> DataFrame:
     """The first (last) round(share * rows) rows by an order.  A negative share counts from the end."""
     n = df.count()
@@ -109,8 +123,7 @@ def hash_split(df: DataFrame, share: float, key: str, seed: int = 42) -> tuple[D
 
 def drop_targets(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
     """Target dropout: a hash-chosen share of rows loses its target."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return df.withColumn("target", F.when(u >= share, F.col("target")))
+    return df.withColumn("target", F.when(T.hashed_unit(key, str(seed)) >= share, F.col("target")))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

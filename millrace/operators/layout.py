@@ -165,3 +165,66 @@ def tool_mask(tokens: DataFrame, roles: DataFrame) -> DataFrame:
     ends = F.sum(F.col("is_end").cast("int")).over(Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     both = tokens.withColumn("_turn", F.coalesce(ends, F.lit(0)).cast("int")).join(turns, ["uid", "_turn"], "left")
     return both.withColumn("loss_mask", F.when(F.col("_tool"), 0).otherwise(1)).drop("_turn", "_tool")
+
+
+def mini_batches(df: DataFrame, size: int, total: int, epochs: int = 1, key: str | None = None, seed: int | None = None) -> DataFrame:
+    """Rows of every epoch with epoch, step (counted through all epochs) and place: rows in order of ``pos``, or, with a
+    seed, in the order of a hash of ``key`` that changes every epoch.  A size that doesn't divide the total is an error."""
+    if total % size:
+        raise ValueError(f"{total} rows don't divide into mini-batches of {size}")
+    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))) if epochs else df.withColumn("epoch", F.lit(0)).limit(0)
+    if seed is not None:
+        h = F.md5(F.concat_ws(":", F.col(key or "pos").cast("string"), F.lit(seed).cast("string"), F.col("epoch").cast("string")))
+        rows = with_positions(rows.withColumn("_h", h), "epoch", "_h", key or "pos", out="_all").withColumn("place", F.col("_all") - F.col("epoch") * total).drop("_h", "_all")
+    else:
+        rows = rows.withColumn("place", F.col("pos"))
+    return rows.withColumn("step", (F.col("epoch") * (total // size) + F.floor(F.col("place") / size)).cast("long"))
+
+
+def shard(df: DataFrame, rank: int, world: int, total: int, drop_last: bool = True) -> DataFrame:
+    """The rows of one worker, every ``world``-th by ``pos``.  Without dropping, rows from the head (again and again if
+    they are few) fill the shorter shards, so that all are of one length."""
+    if drop_last:
+        return df.filter((F.col("pos") < total // world * world) & (F.pmod("pos", F.lit(world)) == rank))
+    mine = df.filter(F.pmod("pos", F.lit(world)) == rank)
+    last = -(-total // world) * world - world + rank  # the place of this worker's last row
+    if last < total:
+        return mine
+    return mine.unionByName(df.filter(F.col("pos") == (last - total) % total).withColumn("pos", F.lit(last).cast("long")))
+
+
+def collated(df: DataFrame, batch: str, *columns: str) -> DataFrame:
+    """Per batch one array per column, in order of ``pos``: rows of fields become fields of rows."""
+    rows = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_t"))
+    return rows.select(batch, *(F.transform("_t", _field(c)).alias(c) for c in columns))
+
+
+def accumulated(df: DataFrame, name: str = "name", value: str = "value", order: str = "step") -> DataFrame:
+    """Per name its values in order, from a long table of metrics."""
+    rows = df.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_t"))
+    return rows.select(name, F.transform("_t", _field(value)).alias("values"))
+
+
+def prompt_uid(index: Column | str, salt: str = "uid") -> Column:
+    """An id of a prompt that is the same in every run, in the form of a UUID."""
+    h = F.md5(F.concat(F.lit(salt + ":"), (F.col(index) if isinstance(index, str) else index).cast("string")))
+    return F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def random_mask(key: Column | str, width: int, most_valid: float, most_left: float, least_valid: float = 0.0, seed: int = 0) -> Column:
+    """array<int>: zeros, ones, zeros; the numbers of zeros on the left and of ones are hashed from the key, within
+    shares of the width."""
+    if not (0 < most_valid <= 1 and 0 <= most_left < 1 and least_valid <= most_valid):
+        raise ValueError("shares out of range")
+    least, most, left = max(1, int(width * least_valid)), int(width * most_valid), int(width * most_left)
+    if most + left > width:
+        raise ValueError("padding and valid tokens exceed the width")
+    k = F.col(key) if isinstance(key, str) else key
+    pick = lambda n, what: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", k.cast("string"), F.lit(str(seed)), F.lit(what))), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+    zeros, ones = pick(left + 1, "left"), F.lit(least) + pick(most - least + 1, "valid")
+    return F.concat(F.array_repeat(F.lit(0), zeros), F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), F.lit(width) - zeros - ones))
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

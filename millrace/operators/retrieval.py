@@ -1,54 +1,122 @@
-"""Retrieval: BM25 over an inverted index, and exact dense top-k."""
+"""Retrieval: BM25 over an inverted index, exact dense top-k, encoder prefixes, search results as text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot
+from ..functions.text import passages_text
+
+#: Rows up to which a table of terms or of a few numbers is broadcast; its count is taken first.
+BROADCAST_ROWS = 200_000
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf): lower-cased runs of letters and digits."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return df.select(key, F.explode(_words(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query: str = "item_id", text: str = "text", k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """query, doc, score, rank: the k best documents of each query (ties to the smaller document).
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  Only terms that some query asks for are kept from the corpus
-    before anything but their counts is shuffled; document lengths come from the same term counts.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  A document's length is the size of its word array, made in the scan;
+    words that no query asks for are dropped before anything is shuffled (by a broadcast of the asked terms if they
+    are few), and so are documents without any.
     """
     asked = terms(queries, query, text).select(query, "term")
-    wanted = asked.select("term").distinct()
-    index = terms(corpus, doc, text)
-    lengths = index.groupBy(doc).agg(F.sum("tf").alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = index.join(wanted, "term", "left_semi")
+    wanted = _small(asked.select("term").distinct())
+    totals = corpus.select(F.size(_words(text)).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    worded = corpus.select(doc, _words(text).alias("_w")).select(doc, F.size("_w").alias("dl"), F.explode("_w").alias("term"))
+    hits = worded.join(wanted, "term", "left_semi").groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
     df_ = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = hits.join(df_, "term").join(lengths, doc).join(F.broadcast(totals))  # totals: one row
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = weighted.select(doc, "term", part.alias("s")).join(asked, "term").groupBy(query, doc).agg(F.sum("s").alias("score"))
+    weights = asked.join(df_, "term").join(F.broadcast(totals)).withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # totals: one row
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scores = hits.join(_small(weights), "term").groupBy(query, doc).agg(F.sum(part).alias("score"))
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), doc)))
     return ranked.filter(F.col("rank") <= k)
 
 
-def dense(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", blocks: int = 8) -> DataFrame:
-    """query_id, key, score, rank: the k largest inner products, a query's own row left out.
+def dense(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """query_id, key, score, rank: the k largest inner products in double precision, a query's own row left out.
 
-    Queries are dealt to blocks and the corpus row meets a block as one array, so a block's scores are made in
-    one expression; per block and corpus partition only the k best stay before the final ranking.
+    Queries are broadcast in blocks of bounded size; one pass over the corpus a block makes the products as matrices
+    and keeps the k best of each query and task, so no pair and no vector of the corpus is shuffled.
     """
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    c = corpus.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    pairs = c.join(q, "_b").filter(F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, dot(vector, "_q").alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)))
+    spark = corpus.sparkSession
+    slim = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("_q")).where("_q is not null")
+    blocks = max(1, -(-slim.count() // block))
+    out = None
+    for at in range(blocks):
+        mine = slim.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).toArrow()  # about `block` rows
+        if not mine.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((mine.column(0).to_numpy(), np.array(mine.column(1).to_pylist())))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+            for batch in batches:
+                rows = np.flatnonzero(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == q.shape[1])
+                if not len(rows):
+                    continue
+                some = batch.take(pa.array(rows))
+                names = some.column(0).to_numpy()
+                x = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+                for i, products in enumerate(q @ x.T):
+                    other = names != ids[i]
+                    score, name = np.concatenate([kept[i][0], products[other]]), np.concatenate([kept[i][1], names[other]])
+                    order = np.lexsort((name, -np.round(score, 9)))[:k]
+                    kept[i] = score[order], name[order]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(s) for s, _ in kept])), pa.array(np.concatenate([n for _, n in kept])), pa.array(np.concatenate([s for s, _ in kept]))], names=["query_id", key, "score"])
+
+        part = corpus.select(F.col(key).cast("long"), vector).mapInArrow(best, f"query_id long, `{key}` long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"query_id long, `{key}` long, score double, rank int")
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)))
     return ranked.filter(F.col("rank") <= k)
 
 
+# What encoders of a family expect before their texts.
+_PREFIXES = {"e5": ("query: ", "passage: "), "bge": ("Represent this sentence for searching relevant passages: ", "")}
+
+
+def encoder_input(text: Column | str, model: str, is_query: bool = True) -> Column:
+    """The text as an encoder of the model's family expects it; other models take it as it is."""
+    t = F.col(text) if isinstance(text, str) else text
+    for family, (query, passage) in _PREFIXES.items():
+        if family in model.lower():
+            t = F.concat(F.lit(query if is_query else passage), t)
+    return t
+
+
+def search_results(df: DataFrame, batch: str, results: str = "results", error: str = "error", order: str = "k") -> DataFrame:
+    """Per batch of queries (columns results: array of documents or null, error): query_count, status (api_error,
+    unknown_api_state, no_results or success), total_results, and result_text, a JSON object with the joined passages."""
+    one = passages_text(results)
+    per = df.groupBy(batch).agg(
+        F.count("*").alias("query_count"), F.min(error).alias("_error"), F.count_if(F.col(results).isNotNull()).alias("_answered"), F.sum(F.when(F.size(results) > 0, F.size(results)).otherwise(0)).alias("total_results"),
+        F.array_sort(F.collect_list(F.when(F.size(results) > 0, F.struct(F.col(order).alias("o"), one.alias("t"))))).alias("_texts"),
+    )
+    status = F.when(F.col("_error").isNotNull(), "api_error").when(F.col("_answered") == 0, "unknown_api_state").when(F.col("total_results") == 0, "no_results").otherwise("success")
+    # Fixed texts.
+    text = F.when(status == "api_error", F.concat(F.lit("Search error: "), "_error")).when(status == "unknown_api_state", F.lit("Unknown API state (no response and no error message).")).when(status == "no_results", F.lit("No search results found."))
+    joined = F.array_join(F.transform("_texts", lambda x: x["t"]), "\n---\n")
+    return per.select(batch, "query_count", status.alias("status"), F.when(status == "success", F.col("total_results")).otherwise(0).alias("total_results"), F.to_json(F.struct(F.coalesce(text, joined).alias("result"))).alias("result_text"))
+
+
 def with_documents(hits: DataFrame, corpus: DataFrame, query: str, doc: str = "doc_id") -> DataFrame:
     """Per query an array of struct<rank, document, score>, in order of rank."""
     rows = hits.join(corpus, doc).groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("text").alias("document"), "score"))).alias("results"))

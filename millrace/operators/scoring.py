@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import grading as G
 from .registry import Registry
 
 #: Scorer: (response column, truth column) -> a double column.
@@ -22,6 +23,29 @@ SCORERS.register("qa_subem")(lambda r, t: A.search_score(r, F.array(t), containe
 SCORERS.register("letter")(lambda r, t: (A.choice_letter(r) == t).cast("double"))
 SCORERS.register("grade")(lambda r, t: A.grade_udf(A.last_boxed_content(r), t).cast("double"))
 SCORERS.register("geo")(lambda r, t: 0.9 * A.grade_udf(A.last_boxed_content(r), t).cast("double") + 0.1 * A.geo_format(r).cast("double"))
+SCORERS.register("math_boxed")(lambda r, t: G.boxed_udf(r, t).cast("double"))
+SCORERS.register("math_marked")(lambda r, t: G.marked_udf(r, t).cast("double"))
+SCORERS.register("math_verify")(lambda r, t: G.verify_udf(r, t).cast("double"))
+SCORERS.register("math_verify_think")(lambda r, t: G.verify_after_thinking_udf(r, t).cast("double"))
+SCORERS.register("think_gated")(lambda r, t: G.think_gated_udf(r, F.array(t)))
+SCORERS.register("strict_box")(lambda r, t: G.strict_box(r, t)["score"])
+SCORERS.register("char_count")(lambda r, t: F.coalesce(A.last_boxed_content(r) == t, F.lit(False)).cast("double"))
+
+#: Scorers by the number of a reward implementation; earlier numbers have none any more.
+BY_VERSION = {3: "math_verify_think", 4: "math_verify"}
+#: Scorers of sources that keep their own whatever the version.
+OF_SOURCE = {"openai/gsm8k": "gsm8k", "lighteval/MATH": "math"}
+#: Sources of the reasoning suite and their scorers.
+REASONING_SUITE = {"Maxwell-Jia/AIME_2024": "math_verify", "opencompass/cnmo2024_en": "math_verify", "opencompass/cnmo2024_zh": "math_verify", "Idavidrein/gpqa": "letter"}
+
+
+def scorer_of(source: str, version: int) -> str:
+    """The scorer's name for a source under a version of the reward; a version without one is an error."""
+    if source in OF_SOURCE:
+        return OF_SOURCE[source]
+    if version not in BY_VERSION:
+        raise NotImplementedError(f"reward version {version} has no scorer")
+    return BY_VERSION[version]
 
 
 def score(df: DataFrame, dispatch: Mapping[str, str], source: str = "data_source", response: str = "response", truth: str = "truth", unknown: str = "error") -> DataFrame:

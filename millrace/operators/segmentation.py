@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions.answers import boxed_spans
 
@@ -27,6 +28,47 @@ def regex_token_ends(text: str) -> list[int]:
     return [m.end() for m in _TOKEN.finditer(text)]
 
 
+def _tokenizer(path: str):
+    """A tokenizer file of the ``tokenizers`` library, read once a process."""
+    if path not in _TOKENIZERS:
+        from tokenizers import Tokenizer
+
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return _TOKENIZERS[path]
+
+
+_TOKENIZERS: dict = {}
+
+
+class FileOffsets:
+    """Token end offsets by a tokenizer file.  Where the tokenizer's offsets don't follow the text, the tokens of each
+    prefix are counted instead (``count``)."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: str) -> list[int]:
+        ends = [end for _, end in _tokenizer(self.path).encode(text, add_special_tokens=False).offsets]
+        if any(a > b for a, b in zip(ends, ends[1:], strict=False)) or any(e > len(text) for e in ends):
+            raise ValueError("offsets don't follow the text")
+        return ends
+
+    def count(self, text: str) -> int:
+        return len(_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
+
+
+def decoded(df: DataFrame, ids: str, path: str, out: str = "text", skip_special: bool = True) -> DataFrame:
+    """Token ids as text, by a tokenizer file, in Arrow batches."""
+
+    @F.pandas_udf(StringType())
+    def decode(rows: pd.Series) -> pd.Series:
+        some = rows.notna()
+        texts = _tokenizer(path).decode_batch([list(map(int, r)) for r in rows[some]], skip_special_tokens=skip_special)
+        return pd.Series(texts, index=rows.index[some], dtype=object).reindex(rows.index).where(some, None)
+
+    return df.withColumn(out, decode(ids))
+
+
 def paragraph_boundaries(text: str) -> list[int]:
     ends = [m.end() for m in _PARAGRAPH.finditer(text)]
     return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
@@ -52,11 +94,19 @@ def boundaries(text: str, unit: str) -> list[int]:
 
 
 def split_points(text: str | None, stages: int = 8, power: float = 1.0, unit: str = "sentence", ratio: float | None = None, token_ends: Offsets = regex_token_ends) -> list[int]:
-    """Token counts of growing prefixes that end at a boundary: for each ratio the first boundary at or after ratio * length."""
+    """Token counts of growing prefixes that end at a boundary: for each ratio the first boundary at or after ratio * length.
+
+    If the tokenizer gives no usable offsets (it raises) and can count, the tokens of each prefix are counted."""
     ratios = [ratio] if ratio is not None else [(i / (stages - 1)) ** power if stages > 1 else 0.0 for i in range(stages)]
     if not text:
         return [0] * len(ratios)
-    cuts, ends = boundaries(text, unit), token_ends(text)
+    cuts = boundaries(text, unit)
+    try:
+        ends = token_ends(text)
+    except Exception:
+        if not hasattr(token_ends, "count"):
+            raise
+        ends = None
     out = []
     for r in ratios:
         if r == 0:
@@ -64,6 +114,9 @@ def split_points(text: str | None, stages: int = 8, power: float = 1.0, unit: st
             continue
         i = bisect_left(cuts, r * len(text))
         cut = cuts[min(i, len(cuts) - 1)]
+        if ends is None:
+            out.append(token_ends.count(text[:cut]))
+            continue
         out.append(len(ends) if cut >= len(text) else bisect_left(ends, cut))
     return out
 
@@ -101,15 +154,10 @@ def split_points_from(bounds: Column | str, token_ends: Column | str, length: Co
     return F.array(*map(one, ratios))
 
 
-def paragraph_ends(text: Column | str) -> Column:
-    """Paragraph boundaries with built-ins: running lengths of the pieces between breaks.
-
-    Quadratic in the number of paragraphs; :func:`with_boundaries` is the way for long texts.
-    """
-    t = F.col(text) if isinstance(text, str) else text
-    pieces = F.split(F.regexp_replace(t, r"(\n\n+)", "$1\u0001"), "\u0001")
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)))
-    return F.array_distinct(ends)
+@F.pandas_udf(ArrayType(IntegerType()))
+def paragraph_ends(texts: pd.Series) -> pd.Series:
+    """Paragraph boundaries as a column, linear in the text."""
+    return texts.map(lambda t: paragraph_boundaries(t or ""))
 
 
 def truncate_answer(think: str, full: str) -> str:

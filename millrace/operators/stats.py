@@ -185,3 +185,29 @@ def preference_metrics(df: DataFrame, max_response: int, max_prompt: int) -> Dat
     means = [F.avg(c).alias(c) for c in ("chosen_logp", "rejected_logp", "logit")]
     clips = [F.avg((F.col(c) == top).cast("double")).alias(f"{c}_clip") for c, top in (("response_length", max_response), ("prompt_length", max_prompt))]
     return df.agg(*spread, *means, *clips)
+
+
+def sequence_means(df: DataFrame, columns: list[Column | str], seq: tuple[str, ...] = ("uid",), mask: str = "mask") -> DataFrame:
+    """Per sequence the mean of each column over its masked tokens; null without any."""
+    m = F.col(mask).cast("double")
+    return df.groupBy(*seq).agg(*(F.try_divide(F.sum(_c(c) * m), F.sum(m)).alias(f"mean_{c if isinstance(c, str) else k}") for k, c in enumerate(columns)))
+
+
+def slice_moments(df: DataFrame, seq: tuple[str, ...] = ("uid",), low: float = 1e-3, high: float = 10.0) -> DataFrame:
+    """One row: mean and (population) variance of the probability and of the clipped ratio over the masked tokens of
+    on-policy sequences, of off-policy ones without and with an explanation (prefix, se: a token of it marks the whole
+    sequence).  An empty slice has mean and variance 0."""
+    w = Window.partitionBy(*seq)
+    kinds = df.withColumns({"_off": F.max(F.col("prefix").cast("int")).over(w) == 1, "_se": F.max(F.col("se").cast("int")).over(w) == 1})
+    parts = {"on": ~F.col("_off"), "off_standard": F.col("_off") & ~F.col("_se"), "off_se": F.col("_se")}
+    values = {"prob": F.exp("logp"), "ratio": F.greatest(F.lit(low), F.least(F.lit(high), F.exp(F.col("logp") - F.col("old"))))}
+    m, out = F.col("mask").cast("double"), []
+    for name, v in values.items():
+        for part, inside in parts.items():
+            wt = F.when(inside, m).otherwise(0.0)
+            n = F.sum(wt) + EPS
+            mean = F.sum(v * wt) / n
+            # The mean of squares around the mean, from sums of one pass.
+            square = F.sum(v * v * wt) - 2 * mean * F.sum(v * wt) + mean * mean * F.sum(wt)
+            out += [mean.alias(f"{name}_{part}_mean"), (square / n).alias(f"{name}_{part}_var")]
+    return kinds.agg(*out)

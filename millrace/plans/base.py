@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,6 +31,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share, for queries that write and read back."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{base.rstrip('/')}/millrace-queries/{name}-{uuid.uuid4().hex}"
+
+
+#: SQL of :func:`functions.text.hashed_unit`.
+UNIT = "(('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0"
+
+
 def r6(c, digits: int = 6):
     """Rounded for comparison, with negative zero removed."""
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import adapters as D
 from ..operators import curation as C
 from ..operators import segmentation as G
-from .base import EXCHANGES, MARKED, exchanges, marked, query, r6, table
+from .base import UNIT, EXCHANGES, MARKED, exchanges, marked, query, r6, table
 
 _STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
 SYSTEM, USER = "Solve the problem.", "Problem: {problem}\nShow {{every}} step at 100%."
@@ -59,7 +59,7 @@ def rl_schema(spark, d):
     return rows.select("data_source", F.col("prompt")[1]["content"].alias("user"), F.col("reward_model.ground_truth").alias("ground_truth"), F.col("extra_info.index").alias("idx"), F.col("extra_info.difficulty").alias("difficulty"), F.col("target")[0]["content"].alias("target"))
 
 
-@query("pick_candidate")
+@query("pick_candidate", f"WITH {EXCHANGES}, n AS (SELECT conv_id, turn, list_filter([response, '', problem], lambda c: trim(c, ' ' || chr(10) || chr(9)) <> '') AS f, response FROM x) SELECT conv_id, turn, coalesce(f[(floor({UNIT.format(seed=42, key='conv_id || chr(58) || turn')} * len(f)) + 1)::INT], response, '') AS solution FROM n")
 def pick_candidate(spark, d):
     rows = exchanges(spark, d).withColumns({"a": F.col("response"), "b": F.lit(""), "c": F.col("problem")})
     return rows.select("conv_id", "turn", C.pick_candidate(F.concat_ws(":", "conv_id", "turn"), "a", "b", "c").alias("solution"))
@@ -84,7 +84,7 @@ def passages_to_text(spark, d):
     return docs.select("o_custkey", T.passages_text(F.transform("t", lambda x: x["c"])).alias("passages"))
 
 
-@query("media_segments")
+@query("media_segments", """SELECT p_partkey, '[{"type":"image"},{"type":"text","text":"' || p_name || '"},{"type":"video"},{"type":"text","text":"' || p_type || '"},{"type":"image"}]' AS segments FROM part""")
 def media_segments(spark, d):
     text = F.concat(F.lit("<image>"), "p_name", F.lit("<video>"), "p_type", F.lit("<image>"))
     return table(spark, d, "part").select("p_partkey", F.to_json(T.media_segments(text)).alias("segments"))
@@ -151,7 +151,7 @@ def prompt_length_filter(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", n.alias("n_tokens")).where("n_tokens <= 64")
 
 
-@query("target_dropout")
+@query("target_dropout", f"WITH {EXCHANGES} SELECT conv_id || ':' || turn AS id, {UNIT.format(seed=42, key='conv_id || chr(58) || turn')} < 0.3 AS dropped FROM x")
 def target_dropout(spark, d):
     rows = exchanges(spark, d).select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("response").alias("target"))
     return C.drop_targets(rows, 0.3, "id").select("id", F.col("target").isNull().alias("dropped"))
@@ -192,7 +192,8 @@ def adapter_completion(spark, d):
     return done.select(F.substring_index(content, "\u0001", 1).cast("long").alias("p_partkey"), F.substring_index(content, "\u0001", -1).alias("content"), F.col("reward_model.ground_truth").alias("ground_truth"))
 
 
-@query("multiple_choice")
+@query("multiple_choice", """WITH o AS (SELECT p_partkey, p_name, i, CASE i WHEN 0 THEN p_brand WHEN 1 THEN p_type WHEN 2 THEN 'x ' || p_brand ELSE 'y ' || p_brand END AS o, md5(p_partkey || ':42:' || i) AS h FROM part, (SELECT unnest(range(4)) AS i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY h, o) - 1 AS spot FROM o) SELECT p_partkey, any_value(p_name) || chr(10) || chr(10) || string_agg(chr((65 + spot)::INT) || ') ' || o, chr(10) ORDER BY spot) AS prompt, max(CASE WHEN i = 0 THEN chr((65 + spot)::INT) END) AS letter FROM r GROUP BY p_partkey""")
 def multiple_choice(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.concat(F.lit("x "), "p_brand").alias("w2"), F.concat(F.lit("y "), "p_brand").alias("w3"))
     return D.multiple_choice(rows, "p_partkey", "p_name", "p_brand", ["p_type", "w2", "w3"]).select("p_partkey", "prompt", "letter")
@@ -205,10 +206,11 @@ def multiturn_loss_mask(spark, d):
     return rows.select("conv_id", F.size(mask).cast("long").alias("n_tokens"), F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss"))
 
 
-@query("paragraph_boundaries")
+@query("paragraph_boundaries", """WITH p AS (SELECT doc_id, list_transform(regexp_extract_all(replace(text, chr(10), chr(10) || chr(10)), '(?s).*?\\n\\n+|(?s).+'), lambda x: length(x)) AS n FROM documents)
+SELECT doc_id, array_to_string(CASE WHEN len(n) = 0 THEN [0] ELSE list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i])::BIGINT) END, ',') AS ends FROM p""")
 def paragraph_boundaries(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return G.with_boundaries(docs).select("doc_id", "ends")
+    return G.with_boundaries(docs).select("doc_id", F.array_join(F.col("ends").cast("array<string>"), ",").alias("ends"))
 
 
 @query("sentence_split_points")

@@ -58,8 +58,8 @@ def bm25_topk(spark, d):
     return R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), 3).select("item_id", "doc_id", r6("score").alias("score"), "rank")
 
 
-@query("dense_topk", """WITH p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.label = 0),
+@query("dense_topk", """WITH p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 3""")
 def dense_topk(spark, d):
     e = table(spark, d, "embeddings")
-    return R.dense(e, e.where("label = 0"), 3).select("query_id", "vec_id", r6("score").alias("score"), "rank")
+    return R.dense(e, e.where("vec_id % 50 = 0"), 3).select("query_id", "vec_id", r6("score").alias("score"), "rank")

@@ -55,10 +55,12 @@ def pad_to_divisor(spark, d):
     return L.pad_to_divisor(c, 64, c.count()).select("c_custkey", "pos", "is_pad")
 
 
-@query("unpad", f"WITH {CUST} SELECT c_custkey, pos FROM c")
+@query("unpad", f"WITH {CUST} SELECT c_custkey, (n + 63) // 64 * 64 - 1 - pos AS pos FROM c")
 def unpad(spark, d):
     c = _cust(spark, d)
-    return L.unpad(L.pad_to_divisor(c, 64, c.count())).select("c_custkey", "pos")
+    n = c.count()
+    # Rows are turned round before the padding goes, so it stands at the head then.
+    return L.unpad(L.pad_to_divisor(c, 64, n).withColumn("pos", -(-n // 64) * 64 - 1 - F.col("pos"))).select("c_custkey", "pos")
 
 
 @query("reorder", f"WITH {CUST} SELECT c_custkey, n - 1 - pos AS pos FROM c")
@@ -93,9 +95,10 @@ def fold_rows(spark, d):
     return L.fold(_cust(spark, d), 4, "c_custkey").select("pos", F.array_join("c_custkey", ",").alias("keys"))
 
 
-@query("unfold_rows", f"WITH {CUST} SELECT c_custkey, pos FROM c")
+@query("unfold_rows", f"WITH {CUST} SELECT c_custkey, pos // 4 * 4 + least(3, n - 1 - pos // 4 * 4) - pos % 4 AS pos FROM c")
 def unfold_rows(spark, d):
-    return L.unfold(L.fold(_cust(spark, d), 4, "c_custkey"), 4, "c_custkey").select("c_custkey", "pos")
+    # Each folded row's array is turned round before it is unfolded.
+    return L.unfold(L.fold(_cust(spark, d), 4, "c_custkey").withColumn("c_custkey", F.reverse("c_custkey")), 4, "c_custkey").select("c_custkey", "pos")
 
 
 @query("unfold_column_chunks", "WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, (i // 16)::INT AS piece, round(sum(x), 5) AS total FROM e GROUP BY vec_id, i // 16")

@@ -71,18 +71,24 @@ def math_score(spark, d):
     return _latex(spark, d).select("id", A.math_score(r, F.col("p_size").cast("string")).alias("score"))
 
 
-@query("boxed_last", "SELECT p_partkey AS id, '{' || p_size || '}' AS content FROM part")
+@query("boxed_last", """WITH b AS (SELECT p_partkey, p_size, ['\\boxed{{' || p_size || '}} and \\boxed{open', '\\boxed{' || p_brand || '} \\fbox{x}', 'no box', '\\boxed{a\\boxed{' || p_size || '}}'][p_partkey % 4 + 1] AS r FROM part)
+SELECT p_partkey AS id, nullif(CASE p_partkey % 4 WHEN 3 THEN regexp_extract(r, 'boxed\\{([0-9]+)\\}', 1) ELSE regexp_extract(r, 'boxed\\{((?:[^{}]|\\{[^{}]*\\})*)\\}', 1) END, '') AS content FROM b""")
 def boxed_last(spark, d):
-    r = F.concat(F.lit("\\boxed{1} then \\boxed{{"), F.col("p_size").cast("string"), F.lit("}} and \\boxed{open"))
+    n = F.col("p_size").cast("string")
+    forms = [F.concat(F.lit("\\boxed{{"), n, F.lit("}} and \\boxed{open")), F.concat(F.lit("\\boxed{"), "p_brand", F.lit("} \\fbox{x}")), F.lit("no box"), F.concat(F.lit("\\boxed{a\\boxed{"), n, F.lit("}}"))]
+    r = F.element_at(F.array(*forms), (F.col("p_partkey") % 4 + 1).cast("int"))
     # The last, unclosed box is unreadable for the last-box rule; all balanced spans still are.
-    return _latex(spark, d).select("id", F.element_at(A.all_boxed(r), -1)["content"].alias("content"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.try_element_at(A.all_boxed(r), F.lit(-1))["content"].alias("content"))
 
 
-@query("grade_numbers", "SELECT p_partkey AS id, true AS correct FROM part")
+@query("grade_numbers", "SELECT p_partkey AS id, p_partkey % 8 < 4 AS correct FROM part")
 def grade_numbers(spark, d):
     n = F.col("p_size").cast("string")
-    forms = [F.concat(n, F.lit(".0")), F.concat(n, F.lit("00\\%")), F.concat(F.lit("\\frac{"), n, F.lit("}{1}")), F.concat(F.lit("$"), n, F.lit("$"))]
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), A.grade_udf(F.element_at(F.array(*forms), (F.col("p_partkey") % 4 + 1).cast("int")), n).alias("correct"))
+    more = (F.col("p_size") + 1).cast("string")
+    right = [F.concat(n, F.lit(".0")), F.concat(n, F.lit("00\\%")), F.concat(F.lit("\\frac{"), n, F.lit("}{1}")), F.concat(F.lit("$"), n, F.lit("$"))]
+    wrong = [F.concat(more, F.lit(".0")), F.concat(n, F.lit(".5")), F.concat(F.lit("\\frac{"), n, F.lit("}{3}")), F.concat(n, F.lit(" apples"))]
+    form = F.element_at(F.array(*right, *wrong), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), A.grade_udf(form, n).alias("correct"))
 
 
 @query("minerva_normalize", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'frac{' || left(p_size::VARCHAR, 1) || '}{7}' WHEN 1 THEN (p_size * 1000)::VARCHAR WHEN 2 THEN 'sqrt{' || left(p_size::VARCHAR, 1) || '}' || substr(p_size::VARCHAR, 2) ELSE p_size::VARCHAR END AS normal FROM part""")
@@ -130,10 +136,10 @@ def gpqa_letter(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), A.choice_letter(F.when(F.col("p_size") % 5 < 4, r).otherwise(bad)).alias("letter"))
 
 
-@query("format_reward", f"WITH {EXCHANGES} SELECT conv_id, turn, (turn // 2) % 2 = 0 AS think, true AS geo FROM x")
+@query("format_reward", f"WITH {EXCHANGES} SELECT conv_id, turn, (turn // 2) % 2 = 0 AS think, conv_id % 3 > 0 AS geo FROM x")
 def format_reward(spark, d):
     even = F.floor(F.col("turn") / 2) % 2 == 0
-    r = F.concat(F.when(even, "<think>\n").otherwise("<think>"), F.col("response"), F.lit("\n</think> \\boxed{1}"))
+    r = F.concat(F.when(even, "<think>\n").otherwise("<think>"), F.col("response"), F.when(F.col("conv_id") % 3 > 0, "\n</think> \\boxed{1}").otherwise("\n</think> boxed 1"))
     return exchanges(spark, d).select("conv_id", "turn", A.think_format(r).alias("think"), A.geo_format(r).alias("geo"))
 
 
@@ -142,9 +148,10 @@ def overlong_penalty(spark, d):
     return table(spark, d, "documents").select("doc_id", r6(A.overlong_penalty("n_chars", 4000, 1000)).alias("penalty"))
 
 
-@query("eos_suffix_strip", "SELECT conv_id, turn, text FROM conversations")
+@query("eos_suffix_strip", "WITH e AS (SELECT conv_id, turn, text || ['<|end|>', '<|end|><|end|>', '<|end|> ', ''][(conv_id + turn) % 4 + 1] AS t FROM conversations) SELECT conv_id, turn, CASE WHEN right(t, 7) = '<|end|>' THEN left(t, length(t) - 7) ELSE t END AS text FROM e")
 def eos_suffix_strip(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", A.strip_suffix(F.concat("text", F.lit("<|end|>")), "<|end|>").alias("text"))
+    ends = F.element_at(F.array(*map(F.lit, ("<|end|>", "<|end|><|end|>", "<|end|> ", ""))), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", A.strip_suffix(F.concat("text", ends), "<|end|>").alias("text"))
 
 
 @query("code_block", "SELECT p_partkey AS id, 'print(' || p_size || ')' || chr(10) AS code FROM part")

@@ -242,7 +242,11 @@ def kl_cov_loss(spark, d):
     return _rounded(L.kl_cov_loss(tokens(spark, d)))
 
 
-@query("clip_cov_loss")
+@query("clip_cov_loss", f"""WITH {TOKENS}, a AS (SELECT avg(adv) AS ma, avg(logp) AS ml, greatest(1, floor(count(*) * 0.01))::BIGINT AS n FROM t WHERE m = 1),
+c AS (SELECT t.*, (adv - ma) * (logp - ml) AS cov, n, -adv * exp(logp - old) AS plain, -adv * greatest(0.8::DOUBLE, least(1.2::DOUBLE, exp(logp - old))) AS cut FROM t, a WHERE m = 1),
+f AS (SELECT *, cov > 0.01 AND cov < 5.0 AND NOT cut > plain AS free FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN free THEN 0 ELSE 1 END, md5('clip-cov:' || uid || ':' || k || ':' || pos), uid, k, pos) AS rn FROM f)
+SELECT round(sum(CASE WHEN free AND rn <= n THEN 0 ELSE greatest(plain, cut) END) / (count(*) + {_EPS}), 6) AS loss FROM o""")
 def clip_cov_loss(spark, d):
     return _rounded(L.clip_cov_loss(tokens(spark, d), share=0.01, lb=0.01, ub=5.0))
 
