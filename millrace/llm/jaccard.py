@@ -290,9 +290,10 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int = N, p
     """(u, v): links between classes' nodes that span every component."""
     leveled = classes.select("node", "rep", "digest", "n_shingles", F.explode("levels").alias("level"))
     known = leveled.join(members, _node() == F.col("_at")).select("node", "rep", "digest", "n_shingles", "block")
-    sums = known.groupBy("block").agg(F.sum(F.col("n_shingles") * 8).alias("_bytes"))
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("_bytes") / block_bytes)).cast("int")
-    known = known.join(sums.select("block", tiles.alias("_tiles")), "block")
+    # Only blocks of several tiles are joined back: few, so no key of a large block gathers rows.
+    tiles = F.ceil(F.sum(F.col("n_shingles") * 8) / block_bytes).cast("int")
+    several = staged(known.groupBy(F.col("block").alias("_b")).agg(tiles.alias("_t")).filter("_t > 1"), "large-blocks")
+    known = known.join(sized(several), F.col("block") == F.col("_b"), "left").withColumn("_tiles", F.coalesce("_t", F.lit(1))).drop("_b", "_t")
     known = staged(known.withColumn("_sub", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_tiles")).cast("int")), "blocks")
     large = known.filter("_tiles > 1")
     if large.isEmpty():
