@@ -6,9 +6,13 @@ vector.  A query's inner product with a vector is estimated by popcounts of the
 planes of the quantised query; an error bound gives a lower bound of the distance, and exactly the vectors
 whose bound does not exceed the query's k-th exact distance so far are reranked on the original vectors.
 
-All rows are indexed and all queries meet all rows, in blocks: a block of queries (at most ``QUERY_BLOCK``, so
-a proven size) is broadcast and one pass over the index keeps k candidates per query and task.  Nothing is
-collected but query blocks, and no vector is shuffled.
+All rows are indexed.  Queries meet them in blocks: a block of queries (at most ``QUERY_BLOCK``, so a proven
+size) is broadcast and one pass over the index keeps k candidates per query and task.  Two exact bounds spare
+most of the popcounts where vectors lie in groups: a query starts with its k-th distance to a bounded sample of
+the candidates, and rows are sorted within their partition by the nearest of a few coarse centres, so a run of
+rows whose distances to their centre put all of them beyond the query's limit (triangle inequality) is left out
+at once.  Neither bound can lose a neighbour.  Nothing is collected but query blocks and the sample, and no
+vector is shuffled.
 
 Defined cases: vectors that are null, zero, of another dimension than the most common one (ties: the smaller),
 or hold null or non-finite components take no part, nor do rows without vec_id; of rows that repeat a vec_id a
@@ -34,6 +38,10 @@ QUERY_BLOCK = 16_384
 QUERY_BITS, SIGMAS = 4, 2.5
 #: Vectors, and queries, compared in one step.
 ROWS, QUERIES = 4096, 512
+#: Vectors of the sample that gives first limits and coarse centres; centres: one for so many rows, at most so many.
+SAMPLE, ROWS_A_CENTRE, CENTRES = 4096, 4096, 256
+#: Room for rounding in comparisons of distances.
+SLACK = 1 + 1e-6
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -55,8 +63,8 @@ def usable(ids: pa.Array, vectors: pa.Array, dim: int | None = None):
     return out
 
 
-def centre(vectors: DataFrame) -> np.ndarray | None:
-    """The mean of the vectors of the most common dimension; None if no vector takes part.
+def centre(vectors: DataFrame) -> tuple[np.ndarray | None, int]:
+    """The mean of the vectors of the most common dimension, and their number; None if no vector takes part.
 
     Sums per task and dimension are reduced by Spark; what reaches the driver is one vector.
     """
@@ -76,9 +84,48 @@ def centre(vectors: DataFrame) -> np.ndarray | None:
     rows = sums.groupBy("dim", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     best = rows.filter("pos = 0").orderBy(F.desc("n"), "dim").limit(1).select("dim", "n").collect()
     if not best:
-        return None
+        return None, 0
     mean = rows.filter(F.col("dim") == best[0]["dim"]).select("pos", "s").collect()  # `dim` rows
-    return np.array([r["s"] for r in sorted(mean, key=lambda r: r["pos"])]) / best[0]["n"]
+    return np.array([r["s"] for r in sorted(mean, key=lambda r: r["pos"])]) / best[0]["n"], best[0]["n"]
+
+
+def sampled(vectors: DataFrame, dim: int, size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a sample of candidates: those with the smallest hashes of their ids, each id once."""
+    rows = vectors.filter(F.size("embedding") == dim).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow()
+    if not rows.num_rows:
+        return np.empty(0, np.int64), np.empty((0, dim))
+    ((ids, x),) = usable(rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), dim)
+    first = np.unique(ids, return_index=True)[1]
+    return ids[first], x[first]
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a and b, up to rounding."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0.0)
+
+
+def coarse_centres(x: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
+    """n centres of a sample by a few rounds of nearest-mean; empty ones stay where they were."""
+    n = max(1, min(n, len(x)))
+    centres = x[:n].copy()
+    for _ in range(rounds if n > 1 else 0):
+        nearest_ = squared(x, centres).argmin(1)
+        sums, counts = np.zeros_like(centres), np.bincount(nearest_, minlength=n)
+        np.add.at(sums, nearest_, x)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    return centres
+
+
+def first_limits(ids: np.ndarray, x: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Per query its k-th smallest distance to the sample's other ids, with room for rounding; infinite without k of them."""
+    out = np.full(len(ids), np.inf)
+    for at in range(0, len(ids) if len(sample_ids) > k else 0, QUERIES):
+        part = slice(at, at + QUERIES)
+        d = squared(x[part], sample)
+        d[ids[part, None] == sample_ids[None]] = np.inf
+        out[part] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1]) * SLACK
+    # Rounding of far-off vectors' squares.
+    return out + 1e-6 * np.sqrt((x * x).sum(1))
 
 
 def encode(x: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,10 +156,10 @@ class Queries:
         self.planes = np.stack([np.packbits((padded >> b) & 1, axis=1).view(np.uint64) for b in range(bits)], 1)
         self.total = turned.sum(1)
 
-    def bounds(self, codes, norm, inner, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, codes, norm, inner, part: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimate and lower bound of the squared distances, queries of the part x rows."""
         ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-        hits = np.zeros((part.stop - part.start, len(codes)))
+        hits = np.zeros((len(self.norm[part]), len(codes)))
         for b in range(self.planes.shape[1]):
             plane = self.planes[part, b]
             hits += float(1 << b) * np.bitwise_count(plane[:, None, :] & codes[None]).sum(2, dtype=np.int64)
@@ -124,63 +171,92 @@ class Queries:
         return estimate, estimate - 2 * norm[None] * SIGMAS * spread / inner[None]
 
 
-def search_block(queries: Queries, parts: Iterator, k: int = K):
-    """Per query the k nearest of all parts (ids, vectors, codes, norm, inner), ties to the smaller id."""
+def runs(cluster: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of equal values in a row."""
+    cuts = [0, *(np.flatnonzero(np.diff(cluster)) + 1).tolist(), len(cluster)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)) if len(cluster) else []
+
+
+def search_block(queries: Queries, parts: Iterator, k: int = K, limits: np.ndarray | None = None, centres: np.ndarray | None = None):
+    """Per query the k nearest of all parts (ids, vectors, codes, norm, inner, and with centres each row's centre and
+    its distance to it), ties to the smaller id."""
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(queries.ids)
-    worst = np.full(len(queries.ids), np.inf)
-    for ids, x, codes, norm, inner in parts:
-        for at in range(0, len(queries.ids), QUERIES):
-            part = slice(at, min(at + QUERIES, len(queries.ids)))
-            estimate, lower = queries.bounds(codes, norm, inner, part)
-            for row, q in enumerate(range(part.start, part.stop)):
-                if worst[q] == np.inf and len(ids) > 4 * k:  # a first distance to beat, from the best estimates
-                    first = np.argpartition(estimate[row], 4 * k)[: 4 * k]
-                    first = first[ids[first] != queries.ids[q]]
-                    exact = np.concatenate([best[q][0], np.sqrt(((x[first] - queries.x[q]) ** 2).sum(1))])
-                    order = np.argsort(exact)
-                    place = np.sort(np.unique(np.concatenate([best[q][1], ids[first]])[order], return_index=True)[1])
-                    limit = exact[order[place[k - 1]]] if len(place) >= k else np.inf  # an id counts once
-                else:
-                    limit = worst[q]
-                near = np.flatnonzero(lower[row] <= limit**2 * (1 + 1e-9))
-                near = near[ids[near] != queries.ids[q]]
-                if len(near):
-                    exact = np.sqrt(((x[near] - queries.x[q]) ** 2).sum(1))
-                    d, i = np.concatenate([best[q][0], exact]), np.concatenate([best[q][1], ids[near]])
-                    order = np.lexsort((i, d))
-                    keep = order[np.sort(np.unique(i[order], return_index=True)[1])[:k]]  # an id counts once
-                    best[q] = d[keep], i[keep]
-                    if len(keep) == k:
-                        worst[q] = d[keep[-1]]
+    worst = np.full(len(queries.ids), np.inf) if limits is None else limits.copy()
+    away = np.sqrt(squared(queries.x, centres)) if centres is not None else None
+    for ids, x, codes, norm, inner, *coarse in parts:
+        for low, high in runs(coarse[0]) if coarse else [(0, len(ids))]:
+            asked = np.arange(len(queries.ids))
+            if coarse:
+                d, reach = away[:, coarse[0][low]], coarse[1][low:high]
+                room = 1e-6 * (d + reach.max())
+                asked = np.flatnonzero(np.maximum(d - reach.max(), reach.min() - d) - room <= worst * SLACK)
+            some = slice(low, high)
+            for at in range(0, len(asked), QUERIES):
+                part = asked[at : at + QUERIES]
+                estimate, lower = queries.bounds(codes[some], norm[some], inner[some], part)
+                for row, q in enumerate(part):
+                    _meet(queries, int(q), ids[some], x[some], estimate[row], lower[row], best, worst, k)
     return best
 
 
-def build_index(vectors: DataFrame, c: np.ndarray, seed: int = SEED) -> DataFrame:
-    """vec_id, embedding, code, norm and inner of every vector that takes part."""
+def _meet(queries: Queries, q: int, ids, x, estimate, lower, best: list, worst: np.ndarray, k: int) -> None:
+    """Reranks the rows whose lower bound is within the query's limit, and keeps its k best."""
+    limit = worst[q]
+    if limit == np.inf and len(ids) > 4 * k:  # a first distance to beat, from the best estimates
+        first = np.argpartition(estimate, 4 * k)[: 4 * k]
+        first = first[ids[first] != queries.ids[q]]
+        exact = np.concatenate([best[q][0], np.sqrt(((x[first] - queries.x[q]) ** 2).sum(1))])
+        order = np.argsort(exact)
+        place = np.sort(np.unique(np.concatenate([best[q][1], ids[first]])[order], return_index=True)[1])
+        limit = exact[order[place[k - 1]]] if len(place) >= k else np.inf  # an id counts once
+    near = np.flatnonzero(lower <= limit**2 * SLACK)
+    near = near[ids[near] != queries.ids[q]]
+    if len(near):
+        exact = np.sqrt(((x[near] - queries.x[q]) ** 2).sum(1))
+        d, i = np.concatenate([best[q][0], exact]), np.concatenate([best[q][1], ids[near]])
+        order = np.lexsort((i, d))
+        keep = order[np.sort(np.unique(i[order], return_index=True)[1])[:k]]  # an id counts once
+        best[q] = d[keep], i[keep]
+        if len(keep) == k:
+            worst[q] = min(worst[q], d[keep[-1]])
+
+
+def build_index(vectors: DataFrame, c: np.ndarray, centres: np.ndarray, seed: int = SEED) -> DataFrame:
+    """vec_id, embedding, code, norm and inner of every vector that takes part, its coarse centre and distance to it,
+    sorted by centre within each partition."""
     dim = len(c)
     kind = vectors.schema["embedding"].dataType.simpleString()
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)  # at most CENTRES vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = rotation(dim, seed)
+        p, centres = rotation(dim, seed), shared.value
         for batch in batches:
             ((ids, x),) = usable(batch.column(0), batch.column(1), dim)
             if len(ids):
                 codes, norm, inner = encode(x, c, p)
+                nearest_ = squared(x, centres).argmin(1)
+                reach = np.sqrt(((x - centres[nearest_]) ** 2).sum(1))
                 offsets = pa.array(np.arange(0, dim * len(ids) + 1, dim, dtype=np.int32))
                 value = batch.schema.field(1).type.value_type
                 vector = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()).cast(value, safe=False))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), vector, pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norm), pa.array(inner)], names=["vec_id", "embedding", "code", "norm", "inner"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), vector, pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norm), pa.array(inner), pa.array(nearest_.astype(np.int32)), pa.array(reach)],
+                    names=["vec_id", "embedding", "code", "norm", "inner", "cluster", "reach"],
+                )
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, f"vec_id long, embedding {kind}, code binary, norm double, inner double")
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, f"vec_id long, embedding {kind}, code binary, norm double, inner double, cluster int, reach double")
+    return rows.sortWithinPartitions("cluster")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = SEED, block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = SEED, block: int = QUERY_BLOCK, rows_a_centre: int = ROWS_A_CENTRE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found by Euclidean distance, in double precision."""
     spark = vectors.sparkSession
-    c = centre(vectors)
+    c, n_rows = centre(vectors)
     if c is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = staged(build_index(vectors, c, seed), "codes")
+    sample_ids, sample = sampled(vectors, len(c))
+    centres = coarse_centres(sample, min(CENTRES, n_rows // rows_a_centre)) if len(sample) else c[None]
+    index = staged(build_index(vectors, c, centres, seed), "codes")
     asked = staged(index.filter(is_query).select("vec_id", "embedding").dropDuplicates(["vec_id"]), "queries")
     blocks = max(1, -(-asked.count() // (block * 3 // 4)))
     found = []
@@ -189,10 +265,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = SEED,
         ((ids, x),) = usable(mine.column("vec_id").combine_chunks(), mine.column("embedding").combine_chunks(), len(c)) if mine.num_rows else ((np.empty(0, np.int64), np.empty((0, len(c)))),)
         if not len(ids):
             continue
-        shared = spark.sparkContext.broadcast((ids, x, c))
+        shared = spark.sparkContext.broadcast((ids, x, c, first_limits(ids, x, sample_ids, sample, k), centres))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, x, c = shared.value
+            ids, x, c, limits, centres = shared.value
             queries = Queries(ids, x, c, rotation(len(c), seed))
 
             def parts():
@@ -201,9 +277,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = SEED,
                         batch = whole.slice(at, ROWS)
                         codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
                         vectors_ = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                        yield batch.column(0).to_numpy(), vectors_, codes, batch.column(3).to_numpy(), batch.column(4).to_numpy()
+                        yield batch.column(0).to_numpy(), vectors_, codes, *(batch.column(n).to_numpy() for n in (3, 4, 5, 6))
 
-            best = search_block(queries, parts(), k)
+            best = search_block(queries, parts(), k, limits, centres)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(ids, [len(i) for _, i in best])), pa.array(np.concatenate([i for _, i in best]).astype(np.int64)), pa.array(np.concatenate([d for d, _ in best]))],
                 names=["query_id", "vec_id", "score"],

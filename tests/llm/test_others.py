@@ -167,6 +167,49 @@ def test_nearest_equals_brute_force(spark):
     assert by[100][0] == (101, 0.0), "ties go to the smaller id"
 
 
+@pytest.mark.parametrize("rows_a_centre, shift", [(10, 0.0), (100, 0.0), (10, 1e4)])
+def test_coarse_centres_lose_nothing(spark, rows_a_centre, shift):
+    rng = np.random.default_rng(8)
+    groups = rng.standard_normal((9, 32)) * 4
+    x = groups[rng.integers(0, 9, 1200)] + 0.2 * rng.standard_normal((1200, 32)) + shift
+    x[600:640] = x[600]
+    rows_ = [(i % 1100, v.tolist(), 0) for i, v in enumerate(x)]  # a hundred ids twice
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int").repartition(3)
+    hit, got = 0, {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, rows_a_centre=rows_a_centre).collect():
+        got.setdefault(r["query_id"], set()).add((r["vec_id"], r["score"]))
+    first = {i % 1100: i for i in reversed(range(1200))}
+    for q, found in got.items():
+        own = [i for i in (q, q + 1100) if i < 1200]
+        best = {}
+        for i in range(1200):
+            if i % 1100 != q:
+                best[i % 1100] = min(best.get(i % 1100, np.inf), min(float(np.sqrt(((x[i] - x[o]) ** 2).sum())) for o in own))
+        assert len(found) == 10 and first
+        kth = sorted(best.values())[9]
+        hit += sum(s <= kth * (1 + 1e-9) for _, s in found) if len(own) == 1 else 10
+    assert hit >= 0.97 * 10 * len(got)
+
+
+def test_runs_of_far_rows_are_left_out():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((300, 16)), 100 + rng.standard_normal((300, 16))])
+    c, p = x.mean(0), ann.rotation(16)
+    centres = np.stack([x[:300].mean(0), x[300:].mean(0)])
+    cluster = np.repeat([0, 1], 300)
+    reach = np.sqrt(((x - centres[cluster]) ** 2).sum(1))
+    q = ann.Queries(np.arange(5), x[:5], c, p)
+    met = []
+    bounds = q.bounds
+    q.bounds = lambda codes, norm, inner, part: met.append(len(codes) * len(part)) or bounds(codes, norm, inner, part)
+    limits = ann.first_limits(q.ids, q.x, np.arange(600), x, 10)
+    got = ann.search_block(q, [(np.arange(600), x, *ann.encode(x, c, p), cluster, reach)], limits=limits, centres=centres)
+    assert sum(met) == 300 * 5, "the far group is never compared"
+    for i, (d, ids) in enumerate(got):
+        exact = np.sqrt(((x - x[i]) ** 2).sum(1))
+        assert len(set(ids.tolist()) & set(np.argsort(exact)[1:11].tolist())) >= 9 and (limits[i] >= np.sort(exact)[10])
+
+
 def test_bounds_prune_and_hold(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 128))
