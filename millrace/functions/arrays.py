@@ -178,3 +178,17 @@ def token_split_prefixes(points: Column | str, n: int) -> Column:
     """Prefix lengths for n samples from split points; a single point serves all."""
     p = _col(points)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.size(p) == 1, F.get(p, F.lit(0))).otherwise(F.get(p, i)))
+
+
+def off_policy_output(prompt: Column | str, response: Column | str, prompt_width: int, response_width: int, fill: int) -> dict[str, Column]:
+    """Arrays of a sample whose whole response was given: prompts filled (or cut) on the left and responses on the right, both
+    joined, attention_mask, position_ids, and prefix_mask and se_mask, true on all of the response's tokens."""
+    p = pad(F.slice(_col(prompt), F.greatest(F.size(_col(prompt)) - prompt_width + 1, F.lit(1)), F.lit(prompt_width)), prompt_width, fill, left=True)
+    r = pad(F.slice(_col(response), F.lit(1), F.lit(response_width)), response_width, fill)
+    n_p, n_r = F.least(F.size(_col(prompt)), F.lit(prompt_width)), F.least(F.size(_col(response)), F.lit(response_width))
+    flags = lambda n, width: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: i < n)
+    left = F.transform(F.sequence(F.lit(0), F.lit(prompt_width - 1)), lambda i: i >= prompt_width - n_p)
+    attention = F.concat(left, flags(n_r, response_width))
+    # A place's position counts the tokens before it; places before the first token have 0, those after the last go on.
+    positions = F.transform(F.sequence(F.lit(0), F.lit(prompt_width + response_width - 1)), lambda i: F.greatest(i - (prompt_width - n_p), F.lit(0)))
+    return {"prompts": p, "responses": r, "input_ids": F.concat(p, r), "attention_mask": F.transform(attention, lambda x: x.cast("int")), "position_ids": positions, "prefix_mask": flags(n_r, response_width), "se_mask": flags(n_r, response_width)}

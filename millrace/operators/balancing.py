@@ -98,3 +98,32 @@ def snake(df: DataFrame, k: int, batch: str = "batch", item: str = "doc_id", len
 def imbalance(df: DataFrame, part: str = "part", length: str = "length") -> DataFrame:
     """One row: smallest, largest and mean sum of a part, and their difference."""
     return df.groupBy(part).agg(F.sum(length).alias("s")).agg(F.min("s").alias("smallest"), F.max("s").alias("largest"), (F.max("s") - F.min("s")).alias("difference"), F.avg("s").alias("mean"))
+
+
+def imbalance_report(df: DataFrame, before: str, after: str, length: str = "length") -> DataFrame:
+    """One row: smallest, largest, difference of the parts' sums before balancing, smallest and largest after, and the mean."""
+    a, b = imbalance(df, before, length), imbalance(df, after, length)
+    return a.select("smallest", "largest", "difference", "mean").join(F.broadcast(b.select(F.col("smallest").alias("balanced_smallest"), F.col("largest").alias("balanced_largest"))))  # one row each
+
+
+def micro_batches(df: DataFrame, max_tokens: int, at_least: int = 1, divisor: int = 1, batch: str = "batch", item: str = "doc_id", length: str = "length") -> DataFrame:
+    """(batch, item, length, part): per batch as many parts as its tokens need, filled by differencing; none is empty."""
+    types = dict(df.dtypes)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(item, ignore_index=True)
+        k = min(len(rows), micro_batch_count(len(rows), int(rows[length].sum()), max_tokens, at_least, divisor))
+        part = [0] * len(rows)
+        for p, members in enumerate(partitions(rows[length].tolist(), k)):
+            for i in members:
+                part[i] = p
+        return rows.assign(part=part)
+
+    ddl = f"`{batch}` {types[batch]}, `{item}` {types[item]}, `{length}` {types[length]}, part int"
+    return df.select(batch, item, length).groupBy(batch).applyInPandas(one, ddl)
+
+
+def balanced_order(df: DataFrame, ranks: int, batch: str = "batch", item: str = "doc_id", length: str = "length") -> DataFrame:
+    """(batch, item, length, part, pos): each batch in the order of its equal-sized balanced parts, one a rank."""
+    parts = balance_batches(df, ranks, batch, item, length, equal_size=True)
+    return parts.withColumn("pos", (F.row_number().over(Window.partitionBy(batch).orderBy("part", item)) - 1).cast("long"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .layout import with_positions
 from .registry import Registry
-from .stats import agg_loss, ess_sequence, masked_mean
+from .stats import EPS, agg_loss, ess_sequence, masked_mean
 
 POLICY_LOSSES = Registry("policy loss")
 
@@ -187,21 +187,27 @@ def sft_weight(reshape: str, threshold: float = 0.2, tau: float = 0.01) -> tuple
     return -lp, zero  # vanilla and all else
 
 
-def on_off_sft_loss(df: DataFrame, strategy: str = "rl-sft", reshape: str = "vanilla", clip: float = 0.2, mask_negative: bool = False, threshold: float = 0.2, tau: float = 0.01) -> DataFrame:
-    """One row: loss = 0.4 off + 0.6 on, with the shares of either side and of the supervised part."""
+def on_off_sft_loss(df: DataFrame, strategy: str = "rl-sft", reshape: str = "vanilla", clip: float = 0.2, mask_negative: bool = False, threshold: float = 0.2, tau: float = 0.01, low: float | None = None, high: float | None = None, remove_clip: bool = False, all_max: float | None = None) -> DataFrame:
+    """One row: loss = 0.4 off + 0.6 on, with the shares of either side and of the supervised part.
+
+    ``all_max`` leaves tokens above that probability out of the contributions and shares, not out of the loss."""
     kinds = {"rl-sft": "rl", "sft-sft": "sft", "none-sft": "none"}
     if strategy not in kinds:
         raise ValueError(f"unknown strategy {strategy!r}")
     adv, pre, m, rm = F.col("adv"), _num("prefix"), _num("mask"), _num("reward_mask")
-    on = {"rl": _clipped(F.exp(log_ratio()), 1 - clip, 1 + clip, 3.0)["loss"], "sft": -F.col("logp") * (adv > 0).cast("double"), "none": F.lit(0.0)}[kinds[strategy]]
+    sides = _clipped(F.exp(log_ratio()), 1 - (clip if low is None else low), max(1 + (clip if high is None else high), 1 + clip), 3.0)
+    on = {"rl": sides["plain"] if remove_clip else sides["loss"], "sft": -F.col("logp") * (adv > 0).cast("double"), "none": F.lit(0.0)}[kinds[strategy]]
     live = (adv >= 0).cast("double") if mask_negative and strategy == "rl-sft" else F.lit(1.0)
     sft, rl = sft_weight(reshape, threshold, tau)
     tokens = df.withColumns({"_on": on * live * (1 - pre) * rm, "_sft": sft * pre * rm, "_rl": rl * pre * rm, "_onm": (1 - pre) * m * rm * ((adv >= 0).cast("double") if mask_negative else F.lit(1.0)), "_offm": pre * m * rm, "_kl": -log_ratio(), "_low": (F.exp(F.col("old")) < threshold).cast("double")})
     tokens = tokens.withColumn("_off", F.col("_sft") + F.col("_rl"))
-    denom = F.greatest(F.sum(m * rm), F.lit(1.0))
+    keep = (_prob() <= all_max).cast("double") if all_max is not None else F.lit(1.0)
+    tokens = tokens.withColumn("_keep", keep)
+    denom = F.greatest(F.sum(m * rm * F.col("_keep")), F.lit(1.0))
+    part = lambda c: F.sum(F.col(c) * F.col("_keep")) / denom
     one = tokens.agg(
         masked_mean("_off", "_offm").alias("off_loss"), masked_mean("_on", "_onm").alias("on_loss"), masked_mean("_kl", "mask").alias("ppo_kl"),
-        (F.sum("_on") / denom).alias("on_contrib"), (F.sum("_off") / denom).alias("off_contrib"), (F.sum("_sft") / denom).alias("off_sft_contrib"), (F.sum("_rl") / denom).alias("off_rl_contrib"),
+        part("_on").alias("on_contrib"), part("_off").alias("off_contrib"), part("_sft").alias("off_sft_contrib"), part("_rl").alias("off_rl_contrib"),
         (F.sum(F.col("_low") * F.col("_offm")) / F.greatest(F.sum("_offm"), F.lit(1.0))).alias("off_low_conf_share"),
     )
     both = F.greatest(F.abs("on_contrib") + F.abs("off_contrib"), F.lit(1e-8))
@@ -243,8 +249,16 @@ def dpo_loss(kind: str = "sigmoid", beta: float = 0.1, smoothing: float = 0.0, m
 
 
 def sppo_loss(eta: float = 1.0, reward: str = "reward") -> Column:
-    """Squared distance of the sequence's log ratio from eta * (reward - 0.5)."""
-    return F.pow(F.col("log_ratio") - eta * (F.col(reward) - 0.5), F.lit(2.0))
+    """Squared distance of the sequence's log ratio from eta * reward."""
+    return F.pow(F.col("log_ratio") - eta * F.col(reward), F.lit(2.0))
+
+
+def sppo_batch_loss(df: DataFrame, rewards: DataFrame, eta: float = 1.0, seq: tuple[str, ...] = ("uid", "k")) -> DataFrame:
+    """One row: mean of :func:`sppo_loss` over the sequences with any masked token, from a token table and a reward per
+    sequence; mean log ratio and mean scaled reward beside it."""
+    m = _num("mask")
+    per = df.groupBy(*seq).agg((F.sum(F.col("logp") * m) - F.sum(F.col("old") * m)).alias("log_ratio"), F.max(m).alias("_any")).join(rewards, list(seq))
+    return per.agg((F.sum(sppo_loss(eta) * F.col("_any")) / (F.sum("_any") + EPS)).alias("loss"), F.avg("log_ratio").alias("mean_log_ratio"), F.avg(eta * F.col("reward")).alias("mean_scaled_reward"))
 
 
 def sequence_logp(logps, labels, average: bool = False, ignore: int = -100) -> Column:

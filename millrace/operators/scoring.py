@@ -89,3 +89,37 @@ def batch_means(df: DataFrame, batch: str = "batch") -> DataFrame:
     """Unweighted mean over batches of the batches' mean mean_score and max_score, in one row."""
     per = df.groupBy(batch).agg(F.avg("mean_score").alias("m"), F.avg("max_score").alias("x"))
     return per.agg(F.avg("m").alias("mean_score"), F.avg("x").alias("max_score"), F.count("*").alias("n_batches"))
+
+
+#: Reward manager: (rows, dispatch, options) -> rows with score, and what else the manager adds.
+MANAGERS: Registry = Registry("reward manager")
+
+
+@MANAGERS.register("naive", "batch")
+def _plain(df: DataFrame, dispatch: Mapping[str, str], **options) -> DataFrame:
+    """A score by source; a source without a scorer is an error."""
+    return score(df, dispatch, **options)
+
+
+@MANAGERS.register("prime")
+def _forgiving(df: DataFrame, dispatch: Mapping[str, str], **options) -> DataFrame:
+    """A row that can't be scored has 0, whatever the reason."""
+    return score(df, dispatch, unknown="null", **options).withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+@MANAGERS.register("dapo")
+def _length_aware(df: DataFrame, dispatch: Mapping[str, str], limit: int, buffer: int, factor: float = 1.0, length: str = "length", **options) -> DataFrame:
+    """acc is the plain score; an overlong response's score is lowered by its penalty (overlong_reward)."""
+    plain = score(df, dispatch, **options).withColumn("acc", F.col("score"))
+    penalty = A.overlong_penalty(length, limit, buffer, factor)
+    return plain.withColumns({"overlong_reward": penalty, "overlong": penalty < 0, "score": F.col("acc") + penalty})
+
+
+@MANAGERS.register("math")
+def _versioned(df: DataFrame, dispatch: Mapping[str, str], version: int, source: str = "data_source", **options) -> DataFrame:
+    """Scorers by the version of the reward; ``dispatch`` names the sources, its values are not used."""
+    return score(df, {name: scorer_of(name, version) for name in dispatch}, source, **options)
+
+
+def managed(df: DataFrame, manager: str, dispatch: Mapping[str, str], **options) -> DataFrame:
+    return MANAGERS.lookup(manager)(df, dispatch, **options)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 from ..functions.answers import boxed_spans
 
@@ -205,5 +205,20 @@ def leak_audit(df: DataFrame, think: str = "think", full: str = "full") -> DataF
     return df.withColumn("_a", audit(think, full)).select("*", "_a.has_answer", "_a.leaked").drop("_a")
 
 
+def leaks_before_split(df: DataFrame, think: str = "think", full: str = "full", points: str = "token_split_points", out: str = "leaked", token_ends: Offsets = regex_token_ends) -> DataFrame:
+    """Whether the thinking up to the last split point (a number of tokens) holds one of the final answers in a box."""
+
+    @F.pandas_udf(BooleanType())
+    def check(thinks: pd.Series, fulls: pd.Series, cuts: pd.Series) -> pd.Series:
+        rows = []
+        for t, f, c in zip(thinks.fillna(""), fulls.fillna(""), cuts, strict=True):
+            n = int(c[-1]) if c is not None and len(c) else 0
+            ends = token_ends(t)
+            rows.append(leaks(t if n >= len(ends) else t[: ends[n - 1]] if n else "", final_answers(f)))
+        return pd.Series(rows, dtype=object)
+
+    return df.withColumn(out, check(think, full, points))
+
+
 def audit_totals(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.count_if("has_answer").alias("n_answers"), F.count_if("leaked").alias("n_leaked"))

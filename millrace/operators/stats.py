@@ -211,3 +211,43 @@ def slice_moments(df: DataFrame, seq: tuple[str, ...] = ("uid",), low: float = 1
             square = F.sum(v * v * wt) - 2 * mean * F.sum(v * wt) + mean * mean * F.sum(wt)
             out += [mean.alias(f"{name}_{part}_mean"), (square / n).alias(f"{name}_{part}_var")]
     return kinds.agg(*out)
+
+
+def token_data_metrics(df: DataFrame, max_response: int, max_prompt: int, seq: tuple[str, ...] = ("uid", "k"), use_critic: bool = True) -> DataFrame:
+    """All metrics of a batch in one row, from a token table (score, reward, adv, returns, value, mask, prefix,
+    prompt_length): mean / max / min of the sequences' summed scores and rewards, of masked advantages, returns and
+    values, explained variance, lengths with the share at their limit, and scores and lengths on and off policy.
+
+    Two levels of partial aggregation: sums of a sequence, then of all."""
+    m = F.col("mask").cast("int") == 1
+    masked = {"advantages": F.col("adv"), "returns": F.col("returns")} | ({"values": F.col("value"), "_d": F.col("returns") - F.col("value")} if use_critic else {})
+    sums = [f(F.when(m, v)).alias(f"{f.__name__}_{name}") for name, v in masked.items() for f in (F.sum, F.max, F.min)]
+    squares = [F.sum(F.when(m, v * v)).alias(f"sq_{name}") for name, v in masked.items() if name in ("returns", "_d")]
+    per = df.groupBy(*seq).agg(
+        F.sum("score").alias("score"), F.sum("reward").alias("rewards"), F.count("*").alias("response_length"), F.first("prompt_length").alias("prompt_length"), F.max(F.col("prefix").cast("int")).alias("_off"), F.count_if(m).alias("_n"), *sums, *squares,
+    )
+    n = F.sum("_n")
+    out = [f(c).alias(f"{c}_{name}") for c in ("score", "rewards") for f, name in ((F.avg, "mean"), (F.max, "max"), (F.min, "min"))]
+    for name in masked:
+        if name != "_d":
+            out += [F.try_divide(F.sum(f"sum_{name}"), n).alias(f"{name}_mean"), F.max(f"max_{name}").alias(f"{name}_max"), F.min(f"min_{name}").alias(f"{name}_min")]
+    if use_critic:
+        var = lambda name: F.try_divide(F.sum(f"sq_{name}") - F.pow(F.sum(f"sum_{name}"), F.lit(2.0)) / n, n - 1)
+        out.append((1 - var("_d") / (var("returns") + 1e-5)).alias("vf_explained_var"))
+    for c, top in (("response_length", max_response), ("prompt_length", max_prompt)):
+        out += [F.avg(c).alias(f"{c}_mean"), F.max(c).alias(f"{c}_max"), F.min(c).alias(f"{c}_min"), F.avg((F.col(c) == top).cast("double")).alias(f"{c}_clip_ratio")]
+    off = F.col("_off") == 1
+    out += [F.avg(F.when(side, F.col(c))).alias(f"{c}_{name}_mean") for c in ("score", "response_length") for side, name in ((~off, "on"), (off, "off"))]
+    return per.agg(*out, F.try_divide(F.count_if(off), F.count_if(~off)).alias("off_on_example_ratio"))
+
+
+def off_policy_ratio_stats(df: DataFrame, batch: str, seq: tuple[str, ...] = ("uid", "k"), low: float = -20.0, high: float = 10.0) -> DataFrame:
+    """Per mini-batch with off-policy sequences (any prefix token): masked mean, unbiased variance and effective sample
+    share of the ratio, whose logarithm is clamped."""
+    off = df.withColumn("_off", F.max(F.col("prefix").cast("int")).over(Window.partitionBy(*seq))).filter("_off = 1")
+    r, m = F.exp(F.greatest(F.lit(low), F.least(F.lit(high), F.col("logp") - F.col("old")))), F.col("mask").cast("double")
+    per = off.groupBy(batch).agg(F.sum(r * m).alias("_s"), F.sum(r * r * m).alias("_q"), F.sum(m).alias("_n"))
+    mean = F.col("_s") / (F.col("_n") + EPS)
+    around = (F.col("_q") - 2 * mean * F.col("_s") + mean * mean * F.col("_n")) / (F.col("_n") + EPS)
+    ess = F.coalesce(F.try_divide(F.col("_s") * F.col("_s") / (F.col("_q") + EPS), F.col("_n")), F.lit(0.0))
+    return per.select(batch, mean.alias("ratio_mean"), F.when(F.col("_n") > 1, around * F.try_divide(F.col("_n"), F.col("_n") - 1)).alias("ratio_var"), ess.alias("ratio_ess"))

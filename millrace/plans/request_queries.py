@@ -317,3 +317,60 @@ def custom_scorer(spark, d):
             f.write("from pyspark.sql import functions as F\n\n\ndef mine(response, truth, worth=1.0):\n    return F.when(F.length(response) > truth, worth).otherwise(0.0)\n")
         fn = S.load_scorer(path, "mine", worth=2.0)
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), fn(F.col("p_name"), F.lit(10)).alias("score"))
+
+
+@query("leak_before_split", f"WITH {EXCHANGES} SELECT conv_id, turn, conv_id % 3 = 2 AS leaked FROM x")
+def leak_before_split(spark, d):
+    """A box at the end: the last split point is before it, after another box, or behind it."""
+    box = F.concat(F.lit(" \\boxed{"), F.length("response").cast("string"), F.lit("}"))
+    think = F.concat(F.lit("\\boxed{no} "), "response", F.lit(" so"), box, F.lit(" done"))
+    rows = exchanges(spark, d).select("conv_id", "turn", think.alias("think"), F.concat(think, F.lit("</think> Answer:"), box).alias("full"))
+    points = F.element_at(F.array(F.array(F.lit(0)), F.array(F.lit(0), F.lit(5)), F.array(F.lit(0), F.lit(1_000_000))), (F.col("conv_id") % 3 + 1).cast("int"))
+    return Z.leaks_before_split(rows.withColumn("token_split_points", points)).select("conv_id", "turn", "leaked")
+
+
+@query("reward_managers", "SELECT p_partkey AS id, (p_partkey % 2 = 0)::INT::DOUBLE AS naive, CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE (p_partkey % 2 = 0)::INT END::DOUBLE AS prime, round((p_partkey % 2 = 0)::INT + least(-(p_size - 20) / 20.0, 0), 6) AS dapo, (p_partkey % 2 = 0)::INT::DOUBLE AS math FROM part")
+def reward_managers(spark, d):
+    n = F.col("p_size").cast("string")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("box").alias("data_source"), F.concat(F.lit("\\boxed{"), F.when(F.col("p_partkey") % 2 == 0, n).otherwise(F.concat(n, F.lit("1"))), F.lit("}")).alias("response"), n.alias("truth"), F.col("p_size").alias("length"))
+    some = rows.withColumn("data_source", F.when(F.col("id") % 5 == 0, "unknown").otherwise("box"))
+    parts = {
+        "naive": S.managed(rows, "naive", {"box": "math"}), "prime": S.managed(some, "prime", {"box": "math"}),
+        "dapo": S.managed(rows, "dapo", {"box": "math"}, limit=40, buffer=20).withColumn("score", r6("score")), "math": S.managed(rows, "math", {"box": ""}, version=4),
+    }
+    out = None
+    for name, df in parts.items():
+        mine = df.select("id", F.col("score").alias(name))
+        out = mine if out is None else out.join(mine, "id")
+    return out
+
+
+@query("imbalance_report", "WITH s AS (SELECT doc_id % 3 AS a, n_chars, doc_id FROM documents), b AS (SELECT a, sum(n_chars) AS s FROM s GROUP BY a), r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rn FROM s), z AS (SELECT CASE WHEN rn // 3 % 2 = 0 THEN rn % 3 ELSE 2 - rn % 3 END AS p, sum(n_chars) AS s FROM r GROUP BY 1) SELECT (SELECT min(s) FROM b)::BIGINT AS smallest, (SELECT max(s) FROM b)::BIGINT AS largest, (SELECT max(s) - min(s) FROM b)::BIGINT AS difference, round((SELECT avg(s) FROM b), 4) AS mean, (SELECT min(s) FROM z)::BIGINT AS balanced_smallest, (SELECT max(s) FROM z)::BIGINT AS balanced_largest")
+def imbalance_report(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("length"), F.lit(0).alias("batch"), (F.col("doc_id") % 3).alias("before"))
+    return B.imbalance_report(B.snake(rows, 3), "before", "part").withColumn("mean", F.round("mean", 4))
+
+
+@query("token_budget_batches", "WITH b AS (SELECT source, count(*) AS n, least(count(*), ceil(sum(n_chars) / 40000.0))::BIGINT AS k FROM documents WHERE doc_id < 400 GROUP BY source) SELECT source AS batch, n::BIGINT AS n_items, k AS n_parts FROM b")
+def token_budget_batches(spark, d):
+    rows = table(spark, d, "documents").where("doc_id < 400").select(F.col("source").alias("batch"), "doc_id", F.col("n_chars").alias("length"))
+    return B.micro_batches(rows, 40000).groupBy("batch").agg(F.count_distinct("doc_id").alias("n_items"), F.count_distinct("part").alias("n_parts"))
+
+
+@query("balanced_order", "WITH b AS (SELECT doc_id // 8 AS batch, count(*) AS n FROM documents WHERE doc_id < 400 GROUP BY doc_id // 8) SELECT batch, n::BIGINT AS n_items, n::BIGINT AS n_places, (n - 1)::BIGINT AS last, 2::BIGINT AS largest_part FROM b WHERE n = 8")
+def balanced_order(spark, d):
+    """Every item of a batch of eight has one place, and each of four parts holds two."""
+    rows = table(spark, d, "documents").where("doc_id < 400").select(F.floor(F.col("doc_id") / 8).alias("batch"), "doc_id", F.col("n_chars").alias("length"))
+    whole = rows.groupBy("batch").count().where("count = 8").select("batch")
+    ordered = B.balanced_order(rows.join(whole, "batch"), 4)
+    sizes = ordered.groupBy("batch", "part").agg(F.count("*").alias("c")).groupBy("batch").agg(F.max("c").alias("largest_part"))
+    return ordered.groupBy("batch").agg(F.count_distinct("doc_id").alias("n_items"), F.count_distinct("pos").alias("n_places"), F.max("pos").alias("last")).join(sizes, "batch")
+
+
+@query("off_policy_output", """WITH r AS (SELECT c_custkey, c_nationkey % 5 AS p, c_nationkey % 9 AS a FROM customer), s AS (SELECT *, least(p, 4) AS np, least(a, 6) AS na FROM r)
+SELECT c_custkey, repeat('0', (4 - np)::INT) || repeat('1', np::INT) || repeat('2', na::INT) || repeat('0', (6 - na)::INT) AS ids, repeat('0', (4 - np)::INT) || repeat('1', (np + na)::INT) || repeat('0', (6 - na)::INT) AS attention, na::INT AS n_prefix, (9 - (4 - np))::INT AS last_position FROM s""")
+def off_policy_output(spark, d):
+    n = F.col("c_nationkey")
+    out = R.off_policy_output(F.array_repeat(F.lit(1), n % 5), F.array_repeat(F.lit(2), n % 9), 4, 6, 0)
+    text = lambda c: F.array_join(out[c].cast("array<string>"), "")
+    return table(spark, d, "customer").select("c_custkey", text("input_ids").alias("ids"), text("attention_mask").alias("attention"), F.size(F.filter(out["prefix_mask"], lambda x: x)).alias("n_prefix"), F.element_at(out["position_ids"], -1).alias("last_position"))

@@ -254,7 +254,7 @@ def clip_cov_loss(spark, d):
 @query("dpo_losses", f"""WITH {TOKENS}, s AS (SELECT uid, sum((logp - old) * m) AS x FROM t GROUP BY uid)
 SELECT uid, round(ln(1 + exp(-0.1 * x)) * 0.9 + ln(1 + exp(0.1 * x)) * 0.1, 6) AS sigmoid, round((x - 5.0) * (x - 5.0), 6) AS ipo, round((x - 0.2) * (x - 0.2), 6) AS sppo FROM s""")
 def dpo_losses(spark, d):
-    s = tokens(spark, d).groupBy("uid").agg(S.masked_sum(F.col("logp") - F.col("old"), "mask").alias("margin")).withColumns({"log_ratio": F.col("margin"), "reward": F.lit(0.7)})
+    s = tokens(spark, d).groupBy("uid").agg(S.masked_sum(F.col("logp") - F.col("old"), "mask").alias("margin")).withColumns({"log_ratio": F.col("margin"), "reward": F.lit(0.2)})
     return s.select("uid", r6(L.dpo_loss("sigmoid", 0.1, 0.1)).alias("sigmoid"), r6(L.dpo_loss("ipo", 0.1)).alias("ipo"), r6(L.sppo_loss(1.0)).alias("sppo"))
 
 
@@ -280,3 +280,57 @@ def l2_normalize(spark, d):
 
     e = table(spark, d, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double") * (1 + F.col("vec_id") % 3)))
     return e.select("vec_id", F.posexplode(R.l2_normalize("x")).alias("pos", "x")).withColumn("x", r6("x"))
+
+
+@query("sppo_batch_loss", f"""WITH {TOKENS}, s AS (SELECT uid, k, sum(logp * m) - sum(old * m) AS lr, max(m) AS a, (uid % 3) / 2.0 AS reward FROM t GROUP BY uid, k)
+SELECT round(sum((lr - 2 * reward) * (lr - 2 * reward) * a) / (sum(a) + {_EPS}), 6) AS loss, round(avg(lr), 6) AS mean_log_ratio, round(avg(2 * reward), 6) AS mean_scaled_reward FROM s""")
+def sppo_batch_loss(spark, d):
+    t = tokens(spark, d)
+    rewards = t.select("uid", "k", ((F.col("uid") % 3) / 2.0).alias("reward")).distinct()
+    return _rounded(L.sppo_batch_loss(t, rewards, eta=2.0))
+
+
+@query("sequence_logp", f"WITH {TOKENS} SELECT uid, round(coalesce(sum(logp) FILTER (se = 1), 0), 6) AS total, round(sum(logp) FILTER (se = 1) / nullif(count(*) FILTER (se = 1), 0), 6) AS mean FROM t GROUP BY uid")
+def sequence_logp(spark, d):
+    t = tokens(spark, d).select("uid", "pos", "logp", F.when(F.col("se"), 7).otherwise(-100).alias("label"))
+    rows = S.to_arrays(t, ["uid"], ["logp", "label"])
+    return rows.select("uid", r6(L.sequence_logp("logp", "label")).alias("total"), r6(L.sequence_logp("logp", "label", average=True)).alias("mean"))
+
+
+@query("logprob_gather", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, embedding[(vec_id % 4 + 1)::INT]::DOUBLE AS y FROM embeddings) SELECT vec_id, round(any_value(y) - ln(sum(exp(x))), 6) AS logprob FROM e GROUP BY vec_id")
+def logprob_gather(spark, d):
+    from .base import table
+
+    e = table(spark, d, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    return e.select("vec_id", r6(L.logprob_at("x", F.col("vec_id") % 4)).alias("logprob"))
+
+
+@query("token_data_metrics", f"""WITH {TOKENS}, s AS (SELECT uid, sum(reward) AS score, sum(reward - 0.01) AS rew, count(*) AS len, uid % 9 AS plen, max(p) AS off FROM t GROUP BY uid),
+a AS (SELECT avg(adv) AS am, max(adv) AS ax, min(adv) AS an, avg(adv + value) AS rm, max(adv + value) AS rx, min(adv + value) AS rn, avg(value) AS vm, max(value) AS vx, min(value) AS vn, 1 - var_samp(adv) / (var_samp(adv + value) + 1e-5) AS ev FROM t WHERE m = 1)
+SELECT round(avg(score), 6) AS score_mean, round(max(score), 6) AS score_max, round(min(score), 6) AS score_min, round(avg(rew), 6) AS rewards_mean, round(max(rew), 6) AS rewards_max, round(min(rew), 6) AS rewards_min,
+  round(any_value(am), 6) AS advantages_mean, any_value(round(ax, 6)) AS advantages_max, any_value(round(an, 6)) AS advantages_min, round(any_value(rm), 6) AS returns_mean, round(any_value(rx), 6) AS returns_max, round(any_value(rn), 6) AS returns_min,
+  round(any_value(vm), 6) AS values_mean, round(any_value(vx), 6) AS values_max, round(any_value(vn), 6) AS values_min, round(any_value(ev), 5) AS vf_explained_var,
+  round(avg(len), 6) AS response_length_mean, max(len) AS response_length_max, min(len) AS response_length_min, round(avg((len = 7)::INT), 6) AS response_length_clip_ratio,
+  round(avg(plen), 6) AS prompt_length_mean, max(plen) AS prompt_length_max, min(plen) AS prompt_length_min, round(avg((plen = 8)::INT), 6) AS prompt_length_clip_ratio,
+  round(avg(score) FILTER (off = 0), 6) AS score_on_mean, round(avg(score) FILTER (off = 1), 6) AS score_off_mean, round(avg(len) FILTER (off = 0), 6) AS response_length_on_mean, round(avg(len) FILTER (off = 1), 6) AS response_length_off_mean,
+  round(count(*) FILTER (off = 1) / nullif(count(*) FILTER (off = 0), 0), 6) AS off_on_example_ratio FROM s, a""")
+def token_data_metrics(spark, d):
+    t = tokens(spark, d).withColumns({"score": F.col("reward"), "reward": F.col("reward") - 0.01, "returns": F.col("adv") + F.col("value"), "prompt_length": F.col("uid") % 9})
+    out = S.token_data_metrics(t, 7, 8)
+    return out.select(*[F.round(c, 5 if c == "vf_explained_var" else 6).alias(c) if t_ == "double" else F.col(c) for c, t_ in out.dtypes])
+
+
+@query("off_policy_ratio_stats", f"""WITH {TOKENS}, o AS (SELECT *, uid % 4 AS batch, exp(greatest(-20.0::DOUBLE, least(10.0::DOUBLE, logp - old))) AS r, max(p) OVER (PARTITION BY uid) AS off FROM t), f AS (SELECT * FROM o WHERE off = 1),
+g AS (SELECT batch, sum(r * m) / (sum(m) + {_EPS}) AS mean, sum(m) AS n, sum(r * m) AS s, sum(r * r * m) AS q FROM f GROUP BY batch), v AS (SELECT f.batch, sum((r - mean) * (r - mean) * m) / (any_value(n) + {_EPS}) AS v FROM f JOIN g USING (batch) GROUP BY f.batch)
+SELECT batch, round(mean, 6) AS ratio_mean, round(v * n / (n - 1), 6) AS ratio_var, round(s * s / (q + 1e-8) / n, 6) AS ratio_ess FROM g JOIN v USING (batch)""")
+def off_policy_ratio_stats(spark, d):
+    out = S.off_policy_ratio_stats(tokens(spark, d).withColumn("batch", F.col("uid") % 4), "batch")
+    return out.select("batch", *[r6(c).alias(c) for c in ("ratio_mean", "ratio_var", "ratio_ess")])
+
+
+@query("loss_sft_all_max", f"""WITH {TOKENS}, c AS (SELECT *, exp(greatest(-20.0::DOUBLE, least(20.0::DOUBLE, logp - old))) AS r, (exp(logp) <= 0.8)::INT AS keep FROM t),
+l AS (SELECT *, -adv * r * (1 - p) * rm AS on_, -logp * p * rm AS off_ FROM c) SELECT round(0.4 * sum(off_ * p * m * rm) / (sum(p * m * rm) + {_EPS}) + 0.6 * sum(on_ * (1 - p) * m * rm) / (sum((1 - p) * m * rm) + {_EPS}), 6) AS loss,
+  round(sum(on_ * keep) / greatest(sum(m * rm * keep), 1), 6) AS on_contrib, round(sum(off_ * keep) / greatest(sum(m * rm * keep), 1), 6) AS off_contrib FROM l""")
+def loss_sft_all_max(spark, d):
+    out = L.on_off_sft_loss(tokens(spark, d), "rl-sft", "vanilla", remove_clip=True, all_max=0.8)
+    return out.select(*[r6(c).alias(c) for c in ("loss", "on_contrib", "off_contrib")])
