@@ -4,9 +4,12 @@ Lines are normalised and hashed; for every line of a host (here the document's `
 are counted; lines above the limit are removed, and a document that has lost most of its words is rejected.
 
 Copies must not make a text's own lines look like boilerplate (near-duplicate removal is another stage's
-work), so documents of one host whose normalised lines are all the same count as one.  Texts that differ in a
-line are different documents, whatever stands around the lines they share, and a line that repeats within a
-document counts once.
+work), so documents of one host whose normalised lines are all the same count as one.  So do near copies where it
+matters: documents that the first count depletes are joined among themselves by :mod:`jaccard` (five-word
+shingles, similarity 0.8 or more), the lines that it found are counted again with one document for each of these
+classes, and the verdicts are made from that count.  A notice that stands in different texts has as many
+documents as before; a text that many edited copies share has one, and its copies are left to the join.  A line
+that repeats within a document counts once, whatever stands around it.
 
 Lines are split and hashed once and staged.  Hot hosts and hot lines are counted by two partial aggregations, so
 a line costs a row per task and document; the removed lines are broadcast only within the size bound.
@@ -23,12 +26,15 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jaccard import near_duplicates
 from .runtime import WORD, fresh, map_batches, sized, staged
 
 #: Distinct documents of one host with a line above which it is removed.
 LINE_LIMIT = 20
 #: A document is depleted when less than this share of its words is left.
 LEFT_SHARE = 0.3
+#: Words of a shingle and similarity in percent from which depleted documents are near copies.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(set(range(256)) - set(_SYMBOLS))
@@ -99,16 +105,40 @@ def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_
     return _judged(docs.select("doc_id", "source", "text"), limit, left_share).drop("_text")
 
 
+def _removed(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """(_text, removed_words) of the texts with words in common lines.
+
+    Per text, not per row: copies of a text share one sum, so it is divided by their number."""
+    marked = lines.join(sized(common.select("host", "line", F.lit(True).alias("_common"))), ["host", "line"], "left")
+    sums = marked.groupBy("_text").agg(F.sum(F.when(F.col("_common"), F.col("words")).otherwise(0)).alias("_sum"), F.count_if("first").alias("_copies"))
+    return sums.filter("_sum > 0").select("_text", F.floor(F.col("_sum") / F.col("_copies")).alias("removed_words"))
+
+
+def _depleted(left_share: float):
+    return F.col("n_words") - F.col("removed_words") < F.lit(left_share) * F.col("n_words")
+
+
 def _judged(docs: DataFrame, limit: int, left_share: float) -> DataFrame:
     lines = staged(document_lines(docs), "lines")  # split and hashed once, a few fixed-width columns a line
+    base = staged(base_rules(docs), "base")
     common = staged(common_lines(lines, limit), "common-lines")
-    # Per text, not per row: copies of a text share one sum, so it is divided by their number.
-    marked = lines.join(sized(common.select("host", "line", F.lit(True).alias("_common"))), ["host", "line"], "left")
-    sums = marked.groupBy("_text").agg(F.sum(F.when(F.col("_common"), F.col("words")).otherwise(0)).alias("_sum"), F.count_if("first").alias("_copies"))
-    removed = sums.filter("_sum > 0").select("_text", F.floor(F.col("_sum") / F.col("_copies")).alias("removed_words"))
-    out = base_rules(docs).join(removed, "_text", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
-    left = F.col("n_words") - F.col("removed_words") >= F.lit(left_share) * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & left)
+    removed = staged(_removed(lines, common), "removed")
+    depleted = staged(base.filter("not base_failed").join(removed, "_text").filter(_depleted(left_share)).select("_text").distinct(), "depleted")
+    if not depleted.isEmpty():
+        common = staged(_common_by_classes(docs, lines, common, depleted, limit), "common-lines")
+        removed = _removed(lines, common)
+    out = base.join(removed, "_text", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    return out.withColumn("kept", ~F.col("base_failed") & ~_depleted(left_share))
+
+
+def _common_by_classes(docs: DataFrame, lines: DataFrame, common: DataFrame, depleted: DataFrame, limit: int) -> DataFrame:
+    """The common lines that stay so if the depleted documents count one for each class of near copies."""
+    keyed = docs.select(F.xxhash64("source", "text").alias("_text"), "text")
+    texts = keyed.join(sized(depleted), "_text", "left_semi").dropDuplicates(["_text"]).select(F.col("_text").alias("doc_id"), "text")
+    near = near_duplicates(staged(texts, "depleted-texts"), NEAR_WORDS, NEAR_PERCENT)
+    classes = staged(near.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_class")), "depleted-classes")
+    known = lines.join(sized(common.select("host", "line")), ["host", "line"], "left_semi").join(sized(classes), "_text", "left")
+    return common_lines(known.withColumn("document", F.coalesce("_class", "document")), limit)
 
 
 def keep_clean(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_SHARE) -> DataFrame:

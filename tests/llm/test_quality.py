@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm import quality
 
 from .helpers import awkward, documents, prose, words
+from .test_jaccard import brute
 
 
 def plain(text):
@@ -58,27 +59,52 @@ def normal(line):
 def test_verdicts_equal_plain_counts(spark):
     """removed_words and kept against plain counting, with blocks in fixed order, refrains, copies and several hosts."""
     rng = random.Random(14)
-    blocks = ["\n".join(f"notice {b} line {i} of the usual text that pages of this place carry" for i in range(b + 3)) for b in range(4)]
+    blocks = ["\n".join(prose(rng, 12) for _ in range(b + 3)) for b in range(4)]
     texts, hosts = list(awkward()), []
-    for i in range(260):
-        parts = [prose(rng, rng.randrange(3, 60)) for _ in range(3)]
+    for i in range(520):
+        parts = [prose(rng, rng.randrange(2, 60 if i % 3 else 8)) for _ in range(3)]
         parts.insert(rng.randrange(4), rng.choice(blocks))
         if i % 5 == 0:
             parts += ["la la the refrain"] * 30
         texts.append("\n".join(parts))
-    texts += [texts[40]] * 50 + [texts[41].upper().replace(" ", "\t")] * 30
+    song = [prose(rng, 11) for _ in range(30)]
+    edited = []
+    for _ in range(120):  # near copies, each with a few lines of its own
+        copy = list(song)
+        for k in rng.sample(range(30), 2):
+            copy[k] += " own" + str(rng.randrange(10**6))
+        edited.append("\n".join(copy))
+    texts += [texts[40]] * 50 + edited + [texts[41].upper().replace(" ", "\t")] * 30
     hosts = [rng.choice(["a", "b", None]) for _ in texts]
     lines = [[normal(x) for x in (t or "").split("\n") if words(x)] for t in texts]
-    n = Counter((h, x) for h, d in {(h, tuple(d)) for h, d in zip(hosts, lines)} for x in set(d))
+
+    def common(document):
+        n = Counter((h, x) for h, d, x in {(hosts[i], document(i), x) for i, d in enumerate(lines) for x in d})
+        return {key for key, count in n.items() if count > quality.LINE_LIMIT}
+
+    def gone(i, found):
+        return sum(len(x.split(" ")) for x in lines[i] if (hosts[i], x) in found)
+
+    def depleted(i, found):
+        total = plain(texts[i])[0]
+        return total - gone(i, found) < quality.LEFT_SHARE * total
+
+    first = common(lambda i: tuple(lines[i]))
+    failed = [(p := plain(t))[0] < 50 or 100 * p[4] > 50 * p[0] for t in texts]
+    some = [i for i in range(len(texts)) if not failed[i] and depleted(i, first)]
+    roots, _ = brute([texts[i] for i in some], 80, 5)
+    classes = {i: ("class", some[r]) for i, r in zip(some, roots, strict=True)}
+    found = common(lambda i: classes.get(i, tuple(lines[i])))
+    assert some and found < first, "near copies make no line common"
     docs = documents(spark, texts, hosts)
     docs = docs.union(docs.where("doc_id > 200"))  # repeated rows
     got = quality.verdicts(docs).collect()
-    assert len(got) == docs.count() and any(r["removed_words"] for r in got)
+    assert len(got) == docs.count() and any(r["removed_words"] for r in got) and not all(r["kept"] or r["base_failed"] for r in got)
     for r in got:
-        h, d = hosts[r["doc_id"]], lines[r["doc_id"]]
-        gone = sum(len(x.split(" ")) for x in d if n[h, x] > quality.LINE_LIMIT)
-        assert r["removed_words"] == gone
-        assert r["kept"] == (not r["base_failed"] and r["n_words"] - gone >= quality.LEFT_SHARE * r["n_words"])
+        i = r["doc_id"]
+        assert r["removed_words"] == gone(i, found)
+        assert r["kept"] == (not failed[i] and not depleted(i, found))
+    assert all(r["kept"] for r in got if texts[r["doc_id"]] in edited), "edited copies stay for the join"
     named = docs.withColumns({"_text": F.lit("mine"), "__text": F.lit("too")})
     kept = quality.keep_clean(named)
     assert kept.columns == named.columns and {(r["_text"], r["__text"]) for r in kept.collect()} == {("mine", "too")}
