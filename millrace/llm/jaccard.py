@@ -20,7 +20,8 @@ Documents are sets of distinct 4-word shingles (64-bit hashes).  The join has th
 Connected components over the links give each document the smallest doc_id that it reaches.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; fewer than 4 words are one
-shingle; rows that repeat are one class; rows without a doc_id have no component; different texts that share a
+shingle; rows that repeat are one class; doc_id is read as a long; rows without one (or whose id is no number) have
+no component; different texts that share a
 doc_id are different classes; an empty table gives no rows; other columns, whatever their names, are ignored by
 :func:`near_duplicates` and kept by :func:`one_of_each`.
 """

@@ -4,7 +4,8 @@ Documents are aggregated by their encoded length; sums over the histogram then a
 truncated totals for every context limit.  The histogram has a row per distinct length, and its running sums
 are made in two levels (within blocks of lengths, and over the blocks), so no task sorts the whole histogram.
 
-Defined cases: null and empty texts have length 0; repeated rows count each; an empty table gives no rows.
+Defined cases: null and empty texts have length 0; repeated rows count each; an empty table gives no rows; doc_id
+is read as a long (null for ids that are no numbers) and plays no part; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ def encoded_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def histogram(lengths: DataFrame) -> DataFrame:
     """length, n_docs, n_tokens; docs_upto / tokens_upto (this length and shorter), docs_from / tokens_from
-    (suffix sums: this length and longer), and truncated_tokens: the total when every document is cut to
-    this length.  For a limit c between two lengths the total is tokens_upto of the lower one plus c times
-    docs_from of the higher one."""
+    (suffix sums: this length and longer), docs_over (longer than it), share_upto (the quantile of the length: the
+    share of documents that it is not below), and truncated_tokens: the total when every document is cut to this
+    length.  For a limit c between two lengths the total is tokens_upto of the lower one plus c times docs_from of
+    the higher one."""
     counted = staged(lengths.groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")  # texts are read once
     hist = counted.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("_block", F.floor(F.col("length") / BLOCK))
     before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,7 +48,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     out = out.withColumns({"docs_upto": F.col("_d_before") + F.col("_dw"), "tokens_upto": F.col("_t_before") + F.col("_tw")})
     out = out.withColumns({"docs_from": F.col("_d_all") - F.col("docs_upto") + F.col("n_docs"), "tokens_from": F.col("_t_all") - F.col("tokens_upto") + F.col("n_tokens")})
     truncated = F.col("tokens_upto") + F.col("length") * (F.col("_d_all") - F.col("docs_upto"))
-    return out.select("length", "n_docs", "n_tokens", "docs_upto", "tokens_upto", "docs_from", "tokens_from", truncated.alias("truncated_tokens"))
+    over = (F.col("docs_from") - F.col("n_docs")).alias("docs_over")
+    return out.select("length", "n_docs", "n_tokens", "docs_upto", "tokens_upto", "docs_from", "tokens_from", over, (F.col("docs_upto") / F.col("_d_all")).alias("share_upto"), truncated.alias("truncated_tokens"))
 
 
 def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:

@@ -9,8 +9,8 @@ their length; ranks are counted within (length, salt) groups and shifted by the
 length is ranked by one task.
 
 Defined cases: null and empty texts are the terminator alone; a text longer than the capacity is cut into
-full pieces and a rest; rows that repeat are packed each; an empty table gives no rows; other columns are
-ignored.
+full pieces and a rest; rows that repeat are packed each; doc_id is read as a long, null for ids that are no
+numbers; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -72,7 +72,7 @@ def test_toxicity_learns_and_is_blind(spark):
     assert found and all(any(b in texts[i][p["start"] : p["end"]] for p in got[i]["passages"] for b in bad) for i in found)
     # Held-out labels play no part.
     flipped = lab.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert toxicity.training_sample(docs, flipped).groupBy("toxic").count().orderBy("toxic").collect() == toxicity.training_sample(docs, lab).groupBy("toxic").count().orderBy("toxic").collect()
+    assert sorted(toxicity.training_sample(docs, flipped).collect()) == sorted(toxicity.training_sample(docs, lab).collect())
     none = toxicity.fit(toxicity.training_sample(docs, lab.limit(0)))
     assert all(r["score"] < 1e-9 for r in toxicity.score(docs, none).collect())
     assert toxicity.score(docs.limit(0), model).count() == 0

@@ -85,6 +85,7 @@ def test_length_histogram(spark):
         assert r["docs_upto"] == sum(x <= k for x in n) and r["tokens_upto"] == sum(x for x in n if x <= k)
         assert r["docs_from"] == sum(x >= k for x in n) and r["tokens_from"] == sum(x for x in n if x >= k)
         assert r["truncated_tokens"] == sum(min(x, k) for x in n)
+        assert r["docs_over"] == sum(x > k for x in n) and r["share_upto"] == sum(x <= k for x in n) / len(n)
     for r in lengths.at_limits(hist, [0, 1, 100, 5000, 10**6]).collect():
         c = r["context_limit"]
         assert r["truncated_tokens"] == sum(min(x, c) for x in n) and r["docs_over"] == sum(x > c for x in n)
