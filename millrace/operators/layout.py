@@ -28,6 +28,20 @@ def with_positions(df: DataFrame, *order: str | Column, partitions: int | None =
     return ranked.join(F.broadcast(offsets), "_p").withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_p", "_r", "_before")  # `partitions` rows
 
 
+def with_running(df: DataFrame, sums: dict[str, str], *order: str | Column, partitions: int | None = None) -> DataFrame:
+    """Running sums by an order, the row itself included (``sums``: column -> name of its sum), without one task that
+    sorts all rows: sums within ranges of the order, shifted by the totals of the ranges before (one row a range)."""
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id())
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({f"_in_{name}": F.sum(c).over(inside) for c, name in sums.items()})
+    totals = local.groupBy("_p").agg(*(F.sum(c).alias(f"_t_{name}") for c, name in sums.items()))
+    over = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_p", *(F.sum(f"_t_{name}").over(over).alias(f"_b_{name}") for name in sums.values()))
+    joined = local.join(F.broadcast(before), "_p")  # `partitions` rows
+    return joined.withColumns({name: F.coalesce(F.col(f"_b_{name}"), F.lit(0)) + F.col(f"_in_{name}") for name in sums.values()}).drop("_p", *(f"{x}_{name}" for x in ("_in", "_b") for name in sums.values()))
+
+
 def repeat(df: DataFrame, n: int, interleave: bool = True) -> DataFrame:
     """Every row n times: aabb (interleaved) or abab; pos is the new position."""
     copies = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
