@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.layout import with_positions, with_running
 from .runtime import WORD, fresh, sized, staged
 
 #: Weights by the source's place in code-point order, repeating.
@@ -38,21 +39,20 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     """(source, source_size) -> the same with target and rate.
 
     Caps are met by water-filling: with sources ordered by cap / weight, the level of the first source
-    whose cap is not below the level that remains for it and all later ones is final.
+    whose cap is not below the level that remains for it and all later ones is final.  Places and running sums
+    are made by ranges of the order, and the level is one row, so any number of sources may be there.
     """
-    whole = Window.partitionBy(F.lit(0))
-    place = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.col("source"))
-    ranked = sizes.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(place) - 1) % len(weights) + 1).cast("double"))
-    ranked = ranked.withColumns({"_cap": most * F.col("source_size").cast("double"), "_goal": F.lit(share) * F.sum("source_size").over(whole)})
-    filled = Window.partitionBy(F.lit(0)).orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), F.col("source"))
-    ranked = ranked.withColumns({
-        "_before": F.coalesce(F.sum("_cap").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-        "_left": F.sum("_w").over(filled.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    level = F.when(F.col("_cap") * F.col("_left") >= (F.col("_goal") - F.col("_before")) * F.col("_w"), (F.col("_goal") - F.col("_before")) / F.col("_left"))
-    ranked = ranked.withColumn("_level", F.max_by(level, F.struct(level.isNotNull(), -F.col("_before"), -F.col("_cap") / F.col("_w"))).over(whole))
+    placed = with_positions(staged(sizes.withColumn("_none", F.col("source").isNull()), "sizes"), "_none", "source", out="_place")
+    ranked = placed.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int")).cast("double"))
+    ranked = ranked.withColumn("_cap", most * F.col("source_size").cast("double")).withColumn("_fill", F.col("_cap") / F.col("_w"))
+    ranked = staged(with_running(ranked, {"_cap": "_caps", "_w": "_ws"}, "_fill", "_none", "source"), "filled")
+    whole = ranked.agg((F.lit(share) * F.sum("source_size")).alias("_goal"), F.sum("_w").alias("_all"))
+    rows = ranked.join(F.broadcast(whole)).withColumns({"_rest": F.col("_goal") - (F.col("_caps") - F.col("_cap")), "_left": F.col("_all") - F.col("_ws") + F.col("_w")})  # one row
+    final = F.col("_cap") * F.col("_left") >= F.col("_rest") * F.col("_w")
+    level = rows.filter(final).agg(F.min_by(F.col("_rest") / F.col("_left"), F.struct(F.col("_caps") - F.col("_cap"), "_fill")).alias("_level"))
     target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("_cap"), F.coalesce(F.col("_level"), F.lit(0.0)) * F.col("_w")))
-    return ranked.withColumn("target", target).select("source", "source_size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
+    out = ranked.join(F.broadcast(level)).withColumn("target", target)  # one row
+    return out.select("source", "source_size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
 
 
 def uniform(key: Column) -> Column:
