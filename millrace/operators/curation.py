@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .layout import with_positions
 
 MESSAGES = "array<struct<role:string,content:string>>"
 # Columns that the explanation template makes obsolete.
@@ -60,8 +61,23 @@ def difficulty_filter(df: DataFrame, threshold: float, inclusive: bool = False,
 
 
 def sample_exactly(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows (all if fewer) without replacement: the smallest hashes, as one top-n."""
-    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
+    """n rows (all if fewer) without replacement: the smallest hashes, as one top-n if they are few, else by position."""
+    if n <= TOP_ROWS:
+        return df.orderBy(_hash_order(key, seed), key).limit(n)
+    return _by_hash(df, key, seed).where(F.col("_place") < n).drop("_place")
+
+
+#: Rows up to which a sample is a top-n, which meets in one task.
+TOP_ROWS = 100_000
+
+
+def _hash_order(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+
+
+def _by_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Dense positions _place in hash order, by ranges."""
+    return with_positions(df.withColumn("_h", _hash_order(key, seed)), "_h", key, out="_place").drop("_h")
 
 
 def hard_set(df: DataFrame, threshold: float = 0.5, metric: Column | str = "test_score.mean_score") -> DataFrame:
@@ -110,15 +126,15 @@ def source_rows(source: DataFrame, failed: DataFrame, index: str = "original_ind
 
 def head_share(df: DataFrame, share: float, order: str, tail: bool = False) -> DataFrame:
     """The first (last) round(share * rows) rows by an order.  A negative share counts from the end."""
-    n = df.count()
-    keep = round(abs(share) * n)
-    return df.orderBy(F.desc(order) if tail or share < 0 else F.col(order)).limit(keep)
+    keep = round(abs(share) * df.count())
+    placed = with_positions(df, F.desc(order) if tail or share < 0 else F.col(order), out="_place")
+    return placed.where(F.col("_place") < keep).drop("_place")
 
 
 def hash_split(df: DataFrame, share: float, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test) with exactly int(rows * share) training rows, by hash order."""
-    train = sample_exactly(df, int(df.count() * share), key, seed)
-    return train, df.join(train.select(key), key, "left_anti")
+    placed, n = _by_hash(df, key, seed), int(df.count() * share)
+    return placed.where(F.col("_place") < n).drop("_place"), placed.where(F.col("_place") >= n).drop("_place")
 
 
 def drop_targets(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
