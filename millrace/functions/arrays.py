@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import hashed_unit
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -160,9 +162,21 @@ def ratio_window(step: int, steps: int, largest: float, kind: str) -> tuple[floa
 
 
 def sampled_ratio(key: Column | str, low: float, high: float, seed: int = 0) -> Column:
-    """A ratio in [low, high] by a hash of the key."""
-    u = F.pmod(F.xxhash64(_col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return F.lit(low) + u * F.lit(high - low)
+    """A ratio in [low, high) by a hash of the key."""
+    return F.lit(low) + hashed_unit(key, str(seed)) * F.lit(high - low)
+
+
+def prefix_ratio(key: Column | str, place: Column | str, with_prefix: int, low: float, high: float, seed: int = 0, shared: bool = False) -> Column:
+    """Ratio of a prompt's sample at ``place``: drawn for the first ``with_prefix`` samples (one for all of them if shared),
+    0 for the others."""
+    k, i = _col(key).cast("string"), _col(place)
+    drawn = sampled_ratio(k if shared else F.concat_ws(":", k, i.cast("string")), low, high, seed)
+    return F.when(i < with_prefix, drawn).otherwise(0.0)
+
+
+def fixed_ratios(n: int, low: float, high: float) -> list[float]:
+    """n ratios in equal steps from low to high."""
+    return [low + i * (high - low) / (n - 1) for i in range(n)] if n > 1 else [low]
 
 
 def off_policy_prompt(prompt: Column | str, target: Column | str, keep: Column, width: int, fill: int, end: int | None = None) -> Column:

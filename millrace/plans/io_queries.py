@@ -191,3 +191,16 @@ def copied_folder(spark, d):
     io.write_parquet(_customer(spark, d), f"{path}/a")
     Files(spark).copy(f"{path}/a", f"{path}/b")
     return io.read_parquet(spark, f"{path}/b")
+
+
+@query("dataset_local_first", "SELECT n_nationkey, n_name FROM nation")
+def dataset_local_first(spark, d):
+    return io.read_dataset(spark, "nation", f"{d}/none", d).select("n_nationkey", "n_name")
+
+
+@query("saved_batch", "SELECT c_custkey, c_nationkey, 'gen' AS stage, 7::BIGINT AS step FROM customer")
+def saved_batch(spark, d):
+    path = scratch(spark, "batch")
+    io.save_batch(_customer(spark, d), path, {"stage": "gen", "step": 7})
+    rows, meta = io.load_batch(spark, path)
+    return rows.withColumns({"stage": F.lit(meta["stage"]), "step": F.lit(meta["step"]).cast("long")})

@@ -251,11 +251,14 @@ def weighted_resample(spark, d):
     return V.resample(rows, ["uid", "k"]).select("draw", "uid", "k")
 
 
-@query("sampled_prefix_ratio", "SELECT 0.0::DOUBLE AS lo_linear, 0.4::DOUBLE AS hi_linear_max, 0.48::DOUBLE AS hi_reverse")
+@query("sampled_prefix_ratio", f"""WITH k AS (SELECT c_custkey, i FROM customer, (SELECT unnest(range(4)) AS i)) SELECT c_custkey, i::INT AS i, round(CASE WHEN i < 2 THEN 0.4 * {UNIT.format(seed=5, key="c_custkey || ':' || i")} ELSE 0 END, 9) AS own,
+  round(CASE WHEN i < 2 THEN 0.48 * {UNIT.format(seed=5, key="c_custkey")} ELSE 0 END, 9) AS shared, round(0.2 + i * 0.2, 9) AS fixed FROM k""")
 def sampled_prefix_ratio(spark, d):
-    """Ranges of the schedules at step 150 of 300 with 0.8 as the largest ratio; a border belongs to the earlier window."""
-    linear, most, back = R.ratio_window(300, 300, 0.8, "linear"), R.ratio_window(151, 300, 0.8, "linear_max"), R.ratio_window(151, 300, 0.8, "reverse_linear")
-    return spark.createDataFrame([(linear[0], round(most[1], 9), round(back[1], 9))], "lo_linear double, hi_linear_max double, hi_reverse double")
+    """Two of four samples with a prefix, at step 151 of 300 with 0.8 as the largest ratio; fixed steps from 0.2 to 0.8."""
+    most, back = R.ratio_window(151, 300, 0.8, "linear_max"), R.ratio_window(151, 300, 0.8, "reverse_linear")
+    rows = table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    fixed = F.get(F.array(*map(F.lit, R.fixed_ratios(4, 0.2, 0.8))), F.col("i"))
+    return rows.select("c_custkey", "i", r6(R.prefix_ratio("c_custkey", "i", 2, *most, seed=5), 9).alias("own"), r6(R.prefix_ratio("c_custkey", "i", 2, *back, seed=5, shared=True), 9).alias("shared"), r6(fixed, 9).alias("fixed"))
 
 
 @query("validation_metrics")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import Files
 from .schemas import SCHEMAS
 
 
@@ -18,6 +20,27 @@ def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = N
     return df.select(*columns) if columns else df
 
 
+def read_dataset(spark: SparkSession, name: str, *folders: str) -> DataFrame:
+    """A dataset by name from the first folder that holds it, as ``name`` or ``name.parquet``; nothing is fetched from
+    anywhere else, so a dataset in none of them is an error."""
+    files = Files(spark)
+    for folder in folders:
+        for path in (f"{folder.rstrip('/')}/{name}", f"{folder.rstrip('/')}/{name}.parquet"):
+            if files.exists(path):
+                return spark.read.parquet(path)
+    raise FileNotFoundError(f"{name} is in none of {', '.join(folders) or 'no folder'}")
+
+
+def save_batch(df: DataFrame, path: str, meta: dict | None = None) -> None:
+    """A batch and what is known of it as a whole (JSON values), together in one folder."""
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(json.dumps(meta or {}, sort_keys=True),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_batch(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/meta").first()["value"])
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of id and contents ("title\\ntext"), with title and text apart."""
     df = spark.read.schema(SCHEMAS["corpus"]).json(path)
