@@ -355,9 +355,9 @@ def _components(docs: DataFrame, n: int, percent: int, block_bytes: int) -> Data
     """Per row: doc_id, _hash, n_shingles, component_id, and whether the row is of the class and doc_id that the component is named after."""
     slim = docs.select("doc_id", "text")
     sketch = staged(sketches(slim, n, percent), "sketches")
-    usable = sketch.filter("digest is not null and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("levels", ignorenulls=True).alias("levels"))
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers of the classes, fixed once they are written
+    # Rows without a doc_id may be those that bear a class's levels, so they leave afterwards.
+    classes = sketch.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("levels", ignorenulls=True).alias("levels"))
+    classes = staged(classes.filter("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers of the classes, fixed once they are written
     found = links(slim, classes, block_members(sketch), n, percent, block_bytes)
     roots = components(found).withColumnsRenamed({"node": "_n"})
     named = classes.join(roots, F.col("node") == F.col("_n"), "left").select("digest", "node", "rep", F.coalesce("root", "node").alias("root"))

@@ -133,6 +133,12 @@ def test_nulls_and_empty_tables(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_copies_without_an_id_hide_no_link(spark):
+    a = prose(random.Random(31), 90)
+    docs = spark.createDataFrame([(None, a), (4, a), (2, a + " x"), (None, a + " x")], "doc_id long, text string").coalesce(1)
+    assert sorted(str(r["component_id"]) for r in jaccard.near_duplicates(docs).collect()) == ["2", "2", "None", "None"]
+
+
 def test_graph_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(50)]
