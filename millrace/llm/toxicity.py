@@ -14,8 +14,8 @@ The classifier is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` pe
 first, near copies within a class once), never on held-out ones, and depends on these rows alone; everything
 else covers whole texts of all documents.  Labels, language, source and id are no inputs of a score.
 
-Defined cases: null and empty texts have no tokens and get the score of no evidence; rows whose label is null
-are not learned from; an empty table gives no rows; with no labelled rows of one class every document's
+Defined cases: null and empty texts have no tokens and get the score of no evidence; rows whose label is null,
+or that are labelled both ways, are not learned from; an empty table gives no rows; with no labelled rows of one class every document's
 score is below 1e-9.
 """
 
@@ -159,8 +159,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     """(toxic, text) of at most ``rows`` labelled documents of each class that are not held out.
 
     Near copies are told by hashes alone and go by the order of hashed ids; texts are joined last."""
-    usable = labels.filter(~held_out()).select("doc_id", "toxic")
-    picked = [usable.filter(F.col("toxic") == c).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
+    known = labels.filter(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
+    usable = known.filter(F.col("toxic") == F.col("_most")).select("doc_id", "toxic")
+    picked = [usable.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     # At most 2 x rows ids and labels, so the hint is bounded.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("_text"), "text")
     names = [f"_b{k}" for k in range(BANDS)]

@@ -135,6 +135,8 @@ def test_sample_is_fixed_and_copies_teach_once(spark):
     assert one.count() - len(copies) >= 0.9 * sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40, 100)), "a shared passage makes no copy"
     a, b = toxicity.fit(one), toxicity.fit(again)
     assert vars(a) == vars(b)
+    both = toxicity.training_sample(docs, labels.union(labels.selectExpr("doc_id", "1 - toxic")).where("doc_id < 60 or doc_id = 5000"))
+    assert both.count() == 0, "labelled both ways"
 
 
 # -- nearest neighbours --------------------------------------------------------------------------------
