@@ -24,7 +24,7 @@ SCORERS.register("letter")(lambda r, t: (A.choice_letter(r) == t).cast("double")
 SCORERS.register("grade")(lambda r, t: A.grade_udf(A.last_boxed_content(r), t).cast("double"))
 SCORERS.register("geo")(lambda r, t: 0.9 * A.grade_udf(A.last_boxed_content(r), t).cast("double") + 0.1 * A.geo_format(r).cast("double"))
 SCORERS.register("math_boxed")(lambda r, t: G.boxed_udf(r, t).cast("double"))
-SCORERS.register("math_marked")(lambda r, t: G.marked_udf(r, t).cast("double"))
+SCORERS.register("math_marked", "entropy_math")(lambda r, t: G.marked_udf(r, t).cast("double"))
 SCORERS.register("math_verify")(lambda r, t: G.verify_udf(r, t).cast("double"))
 SCORERS.register("math_verify_think")(lambda r, t: G.verify_after_thinking_udf(r, t).cast("double"))
 SCORERS.register("think_gated")(lambda r, t: G.think_gated_udf(r, F.array(t)))

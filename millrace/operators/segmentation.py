@@ -57,6 +57,18 @@ class FileOffsets:
         return len(_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
 
 
+def encoded(df: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame:
+    """Token ids of texts by a tokenizer file, without special tokens, in Arrow batches; null stays null."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def encode(texts: pd.Series) -> pd.Series:
+        some = texts.notna()
+        ids = [e.ids for e in _tokenizer(path).encode_batch(texts[some].tolist(), add_special_tokens=False)]
+        return pd.Series(ids, index=texts.index[some], dtype=object).reindex(texts.index).where(some, None)
+
+    return df.withColumn(out, encode(text))
+
+
 def decoded(df: DataFrame, ids: str, path: str, out: str = "text", skip_special: bool = True) -> DataFrame:
     """Token ids as text, by a tokenizer file, in Arrow batches."""
 

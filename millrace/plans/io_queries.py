@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import io
 from ..sources.files import Files
 from ..sources.generated import CountingProblems
+from ..sources.tracking import Tracking
 from ..streaming import batches as S
 from .base import query, scratch, table
 
@@ -204,3 +205,14 @@ def saved_batch(spark, d):
     io.save_batch(_customer(spark, d), path, {"stage": "gen", "step": 7})
     rows, meta = io.load_batch(spark, path)
     return rows.withColumns({"stage": F.lit(meta["stage"]), "step": F.lit(meta["step"]).cast("long")})
+
+
+@query("tracked_metrics", "SELECT b.backend, s.step::BIGINT AS step, m.name, CASE WHEN m.name = 'loss' THEN 1.0 / s.step ELSE NULL END::DOUBLE AS value FROM (SELECT unnest(['json', 'parquet']) AS backend) b, (SELECT unnest([1, 2, 4]) AS step) s, (SELECT unnest(['loss', 'bad']) AS name) m")
+def tracked_metrics(spark, d):
+    """Three steps to two backends; a value that is not finite is null, a text is left out."""
+    path = scratch(spark, "tracking")
+    run = Tracking(spark, ["json", "parquet"], path)
+    for step in (1, 2, 4):
+        run.log({"loss": 1 / step, "bad": float("inf"), "note": "text"}, step)
+    read = lambda name, df: df.select(F.lit(name).alias("backend"), F.col("step").cast("long").alias("step"), "name", F.col("value").cast("double").alias("value"))
+    return read("json", spark.read.json(f"{path}/json")).unionByName(read("parquet", spark.read.parquet(f"{path}/parquet")))

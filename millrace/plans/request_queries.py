@@ -308,6 +308,33 @@ def segment_units(spark, d):
     return Z.with_boundaries(docs, unit="paragraph").select("doc_id", F.size("ends").alias("n_paragraphs"))
 
 
+def _vocabulary(path: str | None = None) -> str:
+    """A tokenizer file that every worker can read at the same path."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return path
+
+
+@query("token_round_trip", "SELECT item_id, text, length(text) > 0 AS some FROM benchmark")
+def token_round_trip(spark, d):
+    """Texts through ids and back."""
+    rows = Z.encoded(table(spark, d, "benchmark").select("item_id", "text"), "text", _vocabulary())
+    back = Z.decoded(rows.drop("text"), "ids", _vocabulary())
+    return back.select("item_id", "text", (F.size("ids") > 0).alias("some"))
+
+
+@query("tokenizer_split_points", f"WITH {EXCHANGES} SELECT conv_id, turn, true AS from_zero, true AS grows, true AS whole FROM x")
+def tokenizer_split_points(spark, d):
+    """Split points by a tokenizer's offsets, against the number of ids: they begin at 0, grow, and end with the whole text."""
+    rows = Z.with_split_points(exchanges(spark, d).select("conv_id", "turn", "response"), "response", stages=4, token_ends=Z.FileOffsets(_vocabulary()))
+    p = F.col("token_split_points")
+    rows = Z.encoded(rows, "response", _vocabulary())
+    grows = F.forall(F.sequence(F.lit(1), F.lit(3)), lambda i: F.get(p, i) >= F.get(p, i - 1))
+    return rows.select("conv_id", "turn", (F.get(p, F.lit(0)) == 0).alias("from_zero"), grows.alias("grows"), (F.element_at(p, -1) == F.size("ids")).alias("whole"))
+
+
 @query("custom_scorer", "SELECT p_partkey AS id, (length(p_name) > 10)::INT::DOUBLE * 2 AS score FROM part")
 def custom_scorer(spark, d):
     """A scorer from a user's file, with an argument of its own."""
