@@ -127,7 +127,7 @@ def source_rows(source: DataFrame, failed: DataFrame, index: str = "original_ind
 def head_share(df: DataFrame, share: float, order: str, tail: bool = False) -> DataFrame:
     """The first (last) round(share * rows) rows by an order.  A negative share counts from the end."""
     keep = round(abs(share) * df.count())
-    placed = with_positions(df, F.desc(order) if tail or share < 0 else F.col(order), out="_place")
+    placed = with_positions(df, f"-{order}" if tail or share < 0 else order, out="_place")
     return placed.where(F.col("_place") < keep).drop("_place")
 
 

@@ -13,32 +13,74 @@ def _field(name: str):
     return lambda t: t[name]
 
 
-def with_positions(df: DataFrame, *order: str | Column, partitions: int | None = None, out: str = "pos") -> DataFrame:
-    """Dense positions from 0 by an order, without sorting all rows in one task.
+#: Rows of the sample that range bounds are taken from, for each range.
+SAMPLE_ROWS = 50
 
-    Rows are range-partitioned by the order, into the session's number of shuffle partitions; per-partition counts
-    (one row a partition) give each its offset.
+
+def _sorting(order: tuple[str, ...]) -> list[tuple[str, bool]]:
+    """(column, descending) of an order; a leading minus means descending."""
+    return [(o.removeprefix("-"), o.startswith("-")) for o in order]
+
+
+def _order_columns(order: tuple[str, ...]) -> list[Column]:
+    return [F.col(c).desc() if desc else F.col(c).asc() for c, desc in _sorting(order)]
+
+
+def _before(keys: list[tuple[Column, bool]], bound: list[Column]) -> Column:
+    """Whether a row comes before a bound in the order; nulls come first, in descending order last."""
+    (key, desc), value = keys[0], bound[0]
+    less = (key > value) | (key.isNotNull() & value.isNull()) if desc else (key < value) | (key.isNull() & value.isNotNull())
+    less = F.coalesce(less, F.lit(False))
+    return less if len(keys) == 1 else less | (key.eqNullSafe(value) & _before(keys[1:], bound[1:]))
+
+
+def range_label(df: DataFrame, order: tuple[str, ...], partitions: int | None = None) -> Column:
+    """A number that rises with the order and splits the rows into about equal ranges, as an expression of the row alone.
+
+    The bounds are taken from a small sample when the plan is built and stand in it as literals.  Two uses of the label
+    therefore agree, whatever is pruned, recomputed or lost in between, which two range exchanges of one table don't:
+    each samples for itself.
     """
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id())
-    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    counts = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
+    partitions = partitions or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c for c, _ in _sorting(order)]
+    sample = df.select(*names).orderBy(F.rand(7)).limit(SAMPLE_ROWS * partitions).orderBy(*_order_columns(order)).collect()  # bounded
+    step = max(1, len(sample) // max(1, min(partitions, len(sample) // SAMPLE_ROWS)))
+    bounds = list(dict.fromkeys(tuple(r) for r in sample[step::step]))
+    types = [df.schema[c].dataType for c in names]
+    keys = [(F.col(c), desc) for c, desc in _sorting(order)]
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        bound = [F.lit(v).cast(t) for v, t in zip(bounds[mid], types, strict=True)]
+        return F.when(_before(keys, bound), tree(low, mid)).otherwise(tree(mid + 1, high))
+
+    return tree(0, len(bounds))
+
+
+def with_positions(df: DataFrame, *order: str, partitions: int | None = None, out: str = "pos") -> DataFrame:
+    """Dense positions from 0 by an order (``-name``: descending), without sorting all rows in one task.
+
+    Rows are sorted within ranges of the order, by one exchange; the ranges' counts, a row a range, shift them."""
+    ranged = df.withColumn("_p", range_label(df, order, partitions))
+    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*_order_columns(order))) - 1)
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(F.col("_p"), before.alias("_before"))
-    return ranked.join(F.broadcast(offsets), "_p").withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_p", "_r", "_before")  # `partitions` rows
+    return ranked.join(F.broadcast(offsets), "_p").withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_p", "_r", "_before")  # a row a range
 
 
-def with_running(df: DataFrame, sums: dict[str, str], *order: str | Column, partitions: int | None = None) -> DataFrame:
+def with_running(df: DataFrame, sums: dict[str, str], *order: str, partitions: int | None = None) -> DataFrame:
     """Running sums by an order, the row itself included (``sums``: column -> name of its sum), without one task that
     sorts all rows: sums within ranges of the order, shifted by the totals of the ranges before (one row a range)."""
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id())
-    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = df.withColumn("_p", range_label(df, order, partitions))
+    inside = Window.partitionBy("_p").orderBy(*_order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"_in_{name}": F.sum(c).over(inside) for c, name in sums.items()})
-    totals = local.groupBy("_p").agg(*(F.sum(c).alias(f"_t_{name}") for c, name in sums.items()))
+    totals = ranged.groupBy("_p").agg(*(F.sum(c).alias(f"_t_{name}") for c, name in sums.items()))
     over = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("_p", *(F.sum(f"_t_{name}").over(over).alias(f"_b_{name}") for name in sums.values()))
-    joined = local.join(F.broadcast(before), "_p")  # `partitions` rows
+    joined = local.join(F.broadcast(before), "_p")  # a row a range
     return joined.withColumns({name: F.coalesce(F.col(f"_b_{name}"), F.lit(0)) + F.col(f"_in_{name}") for name in sums.values()}).drop("_p", *(f"{x}_{name}" for x in ("_in", "_b") for name in sums.values()))
 
 

@@ -69,7 +69,7 @@ def kl_cov_loss(df: DataFrame, share: float = 0.2, weight: float = 1.0) -> DataF
     """Plain ratio loss; the tokens with the highest covariance of advantage and log-probability (a share of the
     masked ones, at least one) get weight * |log ratio| on top.  The cut is a position in a range-partitioned order."""
     tokens = _covariances(df, share).withColumns({"_base": -F.col("adv") * F.exp(F.col("logp") - F.col("old")), "_abs": F.abs(F.col("logp") - F.col("old"))})
-    able = with_positions(tokens.filter("_cov is not null"), F.desc("_cov"), "uid", "k", "pos", out="_place")
+    able = with_positions(tokens.filter("_cov is not null"), "-_cov", "uid", "k", "pos", out="_place")
     marked = able.withColumn("_top", F.when(F.col("_place") < F.col("_cut"), 1.0).otherwise(0.0)).drop("_place")
     every = marked.unionByName(tokens.filter("_cov is null").withColumn("_top", F.lit(0.0)))
     return every.withColumn("_loss", F.col("_base") + F.col("_top") * weight * F.col("_abs")).agg(masked_mean("_loss", "mask").alias("loss"), masked_mean("_abs", "mask").alias("mean_abs_kl"))

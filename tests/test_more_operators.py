@@ -154,3 +154,36 @@ def test_tracking(spark, tmp_path, capsys):
     with pytest.raises(ValueError):
         Tracking(spark, ["elsewhere"])
     assert set(BACKENDS) == {"console", "json", "parquet"}
+
+
+@pytest.mark.parametrize("order", [("x", "id"), ("-x", "id"), ("s", "-id"), ("-s", "x", "id")])
+def test_positions_of_many_rows_equal_a_sort(spark, order):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if rng.random() < 0.1 else float(rng.choice([rng.normal(), 0.0, float("inf"), -0.5])), None if rng.random() < 0.05 else "".join(rng.choice(list("aé😀Z"), 3))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id int, x double, s string").repartition(3, "id")
+    got = {r["id"]: r["pos"] for r in L.with_positions(df, *order).select("id", "pos").collect()}
+
+    def key(r):
+        out = []
+        for o in order:
+            v = r[("id", "x", "s").index(o.removeprefix("-"))]
+            known = v is not None
+            if isinstance(v, str):
+                v = [-ord(c) for c in v] + [1] if o[0] == "-" else [ord(c) for c in v]
+            elif known and o[0] == "-":
+                v = -v
+            out += [known if o[0] != "-" else not known, v if known else 0]
+        return out
+
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == [r[0] for r in sorted(rows, key=key)]
+    assert sorted(got.values()) == list(range(len(rows)))
+    sums = L.with_running(df.withColumn("w", F.col("id") % 7), {"w": "upto"}, *order)
+    assert {r["id"]: r["upto"] for r in sums.collect()} == {r[0]: t for r, t in zip(sorted(rows, key=key), np.cumsum([r[0] % 7 for r in sorted(rows, key=key)]).tolist(), strict=True)}
+
+
+def test_positions_take_one_exchange_of_rows(spark):
+    df = spark.range(5000).withColumn("x", F.col("id") % 13)
+    text = L.with_positions(df, "x", "id")._jdf.queryExecution().toString()
+    text = text[text.index("== Physical Plan ==") :]
+    assert "rangepartitioning" not in text and text.count("Exchange hashpartitioning(_p") == 2  # rows, and a count a range
+    assert spark.range(0).withColumn("x", F.lit(1)).transform(lambda d: L.with_positions(d, "id")).count() == 0
