@@ -5,9 +5,9 @@ are counted; lines above the limit are removed, and a document that has lost mos
 
 Copies must not make a text's own lines look like boilerplate (near-duplicate removal is another stage's
 work), so documents of one host whose normalised lines are all the same count as one.  So do near copies where it
-matters: documents that the first count depletes are joined among themselves by :mod:`jaccard` (five-word
-shingles, similarity 0.8 or more), the lines that it found are counted again with one document for each of these
-classes, and the verdicts are made from that count.  A notice that stands in different texts has as many
+matters: all documents that hold one of the lines by which the first count depletes some document are joined
+among themselves by :mod:`jaccard` (five-word shingles, similarity 0.8 or more), the lines that it found are
+counted again with one document for each of these classes, and the verdicts are made from that count.  A notice that stands in different texts has as many
 documents as before; a text that many edited copies share has one, and its copies are left to the join.  A line
 that repeats within a document counts once, whatever stands around it.
 
@@ -33,7 +33,7 @@ from .runtime import WORD, fresh, map_batches, sized, staged
 LINE_LIMIT = 20
 #: A document is depleted when less than this share of its words is left.
 LEFT_SHARE = 0.3
-#: Words of a shingle and similarity in percent from which depleted documents are near copies.
+#: Words of a shingle and similarity in percent from which documents are near copies.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 _SYMBOLS = b"#*$%&|<>"
@@ -132,12 +132,15 @@ def _judged(docs: DataFrame, limit: int, left_share: float) -> DataFrame:
 
 
 def _common_by_classes(docs: DataFrame, lines: DataFrame, common: DataFrame, depleted: DataFrame, limit: int) -> DataFrame:
-    """The common lines that stay so if the depleted documents count one for each class of near copies."""
+    """The common lines that stay so if documents with lines that deplete one count one for each class of near copies."""
+    held = lines.join(sized(common.select("host", "line")), ["host", "line"], "left_semi")
+    doubtful = staged(held.join(sized(depleted), "_text", "left_semi").select("host", "line").distinct(), "doubtful-lines")
+    holders = staged(held.join(sized(doubtful), ["host", "line"], "left_semi").select("_text").distinct(), "holders")
     keyed = docs.select(F.xxhash64("source", "text").alias("_text"), "text")
-    texts = keyed.join(sized(depleted), "_text", "left_semi").dropDuplicates(["_text"]).select(F.col("_text").alias("doc_id"), "text")
-    near = near_duplicates(staged(texts, "depleted-texts"), NEAR_WORDS, NEAR_PERCENT)
-    classes = staged(near.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_class")), "depleted-classes")
-    known = lines.join(sized(common.select("host", "line")), ["host", "line"], "left_semi").join(sized(classes), "_text", "left")
+    texts = keyed.join(sized(holders), "_text", "left_semi").dropDuplicates(["_text"]).select(F.col("_text").alias("doc_id"), "text")
+    near = near_duplicates(staged(texts, "holders-texts"), NEAR_WORDS, NEAR_PERCENT)
+    classes = staged(near.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_class")), "holders-classes")
+    known = held.join(sized(classes), "_text", "left")
     return common_lines(known.withColumn("document", F.coalesce("_class", "document")), limit)
 
 
