@@ -8,80 +8,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import free_names, staged
+
 
 def _field(name: str):
     return lambda t: t[name]
 
 
-#: Rows of the sample that range bounds are taken from, for each range.
-SAMPLE_ROWS = 50
-
-
-def _sorting(order: tuple[str, ...]) -> list[tuple[str, bool]]:
-    """(column, descending) of an order; a leading minus means descending."""
-    return [(o.removeprefix("-"), o.startswith("-")) for o in order]
-
-
 def _order_columns(order: tuple[str, ...]) -> list[Column]:
-    return [F.col(c).desc() if desc else F.col(c).asc() for c, desc in _sorting(order)]
+    """A leading minus means descending; nulls come first, in descending order last."""
+    return [F.col(o.removeprefix("-")).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def _before(keys: list[tuple[Column, bool]], bound: list[Column]) -> Column:
-    """Whether a row comes before a bound in the order; nulls come first, in descending order last."""
-    (key, desc), value = keys[0], bound[0]
-    less = (key > value) | (key.isNotNull() & value.isNull()) if desc else (key < value) | (key.isNull() & value.isNotNull())
-    less = F.coalesce(less, F.lit(False))
-    return less if len(keys) == 1 else less | (key.eqNullSafe(value) & _before(keys[1:], bound[1:]))
+#: Bits of a row's number in its partition, in Spark's increasing ids.
+ROW_BITS = 33
 
 
-def range_label(df: DataFrame, order: tuple[str, ...], partitions: int | None = None) -> Column:
-    """A number that rises with the order and splits the rows into about equal ranges, as an expression of the row alone.
+def _sorted_rows(df: DataFrame, order: tuple[str, ...], partitions: int | None) -> tuple[DataFrame, str, str, list[str]]:
+    """The rows in one range-partitioned order, staged, with the columns of partition number and place in the partition
+    (and free names for what callers add).
 
-    The bounds are taken from a small sample when the plan is built and stand in it as literals.  Two uses of the label
-    therefore agree, whatever is pruned, recomputed or lost in between, which two range exchanges of one table don't:
-    each samples for itself.
+    Sorting happens once and its result is written, so all later uses agree, whatever is pruned, recomputed or lost;
+    two range exchanges of one table would not, as each samples for itself.  Rows that are equal in the order are told
+    apart by their place in the input, so that a value that most rows share is spread over partitions too.
     """
-    partitions = partitions or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [c for c, _ in _sorting(order)]
-    sample = df.select(*names).orderBy(F.rand(7)).limit(SAMPLE_ROWS * partitions).orderBy(*_order_columns(order)).collect()  # bounded
-    step = max(1, len(sample) // max(1, min(partitions, len(sample) // SAMPLE_ROWS)))
-    bounds = list(dict.fromkeys(tuple(r) for r in sample[step::step]))
-    types = [df.schema[c].dataType for c in names]
-    keys = [(F.col(c), desc) for c, desc in _sorting(order)]
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        bound = [F.lit(v).cast(t) for v, t in zip(bounds[mid], types, strict=True)]
-        return F.when(_before(keys, bound), tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    return tree(0, len(bounds))
+    tie, part, row, *more = free_names(df, "_tie", "_part", "_row", "_before", "_n", "_of")
+    keys = [*_order_columns(order), F.col(tie).asc()]
+    tied = df.withColumn(tie, F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(partitions, *keys) if partitions else tied.repartitionByRange(*keys)
+    number = F.monotonically_increasing_id()
+    numbered = ranged.sortWithinPartitions(*keys).drop(tie).withColumns({part: F.shiftright(number, ROW_BITS), row: number.bitwiseAND((1 << ROW_BITS) - 1)})
+    return staged(numbered, "sorted"), part, row, more
 
 
 def with_positions(df: DataFrame, *order: str, partitions: int | None = None, out: str = "pos") -> DataFrame:
-    """Dense positions from 0 by an order (``-name``: descending), without sorting all rows in one task.
-
-    Rows are sorted within ranges of the order, by one exchange; the ranges' counts, a row a range, shift them."""
-    ranged = df.withColumn("_p", range_label(df, order, partitions))
-    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*_order_columns(order))) - 1)
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("_p"), before.alias("_before"))
-    return ranked.join(F.broadcast(offsets), "_p").withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_p", "_r", "_before")  # a row a range
+    """Dense positions from 0 by an order (``-name``: descending; nulls first, in descending order last), without
+    sorting all rows in one task: a range-partitioned sort is staged, and a position is the row's place in its
+    partition plus the sizes of the partitions before, one small row each.  Rows that are equal in the order get
+    positions in any order, fixed once they are staged.  All columns, whatever their names, are kept."""
+    rows, part, row, (before, n, of) = _sorted_rows(df, order, partitions)
+    sizes = rows.groupBy(F.col(part).alias(of)).agg((F.max(row) + 1).alias(n))
+    earlier = Window.partitionBy(F.lit(0)).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(of, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    placed = rows.join(F.broadcast(offsets), F.col(part) == F.col(of))  # a row a partition
+    return placed.withColumn(out, (F.col(before) + F.col(row)).cast("long")).drop(part, row, before, of)
 
 
 def with_running(df: DataFrame, sums: dict[str, str], *order: str, partitions: int | None = None) -> DataFrame:
     """Running sums by an order, the row itself included (``sums``: column -> name of its sum), without one task that
-    sorts all rows: sums within ranges of the order, shifted by the totals of the ranges before (one row a range)."""
-    ranged = df.withColumn("_p", range_label(df, order, partitions))
-    inside = Window.partitionBy("_p").orderBy(*_order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumns({f"_in_{name}": F.sum(c).over(inside) for c, name in sums.items()})
-    totals = ranged.groupBy("_p").agg(*(F.sum(c).alias(f"_t_{name}") for c, name in sums.items()))
-    over = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_p", *(F.sum(f"_t_{name}").over(over).alias(f"_b_{name}") for name in sums.values()))
-    joined = local.join(F.broadcast(before), "_p")  # a row a range
-    return joined.withColumns({name: F.coalesce(F.col(f"_b_{name}"), F.lit(0)) + F.col(f"_in_{name}") for name in sums.values()}).drop("_p", *(f"{x}_{name}" for x in ("_in", "_b") for name in sums.values()))
+    sorts all rows: sums within the partitions of a staged range sort, shifted by the totals of those before."""
+    rows, part, row, (before, _, of) = _sorted_rows(df, order, partitions)
+    inside = Window.partitionBy(part).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumns({name: F.sum(c).over(inside) for c, name in sums.items()})
+    shift = [f"{before}_{k}" for k in range(len(sums))]
+    totals = rows.groupBy(F.col(part).alias(of)).agg(*(F.sum(c).alias(b) for c, b in zip(sums, shift, strict=True)))
+    earlier = Window.partitionBy(F.lit(0)).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(of, *(F.coalesce(F.sum(b).over(earlier), F.lit(0)).alias(b) for b in shift))
+    joined = local.join(F.broadcast(offsets), F.col(part) == F.col(of))  # a row a partition
+    return joined.withColumns({name: F.col(b) + F.coalesce(name, F.lit(0)) for name, b in zip(sums.values(), shift, strict=True)}).drop(part, row, of, *shift)
 
 
 def repeat(df: DataFrame, n: int, interleave: bool = True) -> DataFrame:

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import with_positions
 from .registry import Registry
+from .selection import at_or_above, kth_largest
 from .stats import EPS, agg_loss, ess_sequence, masked_mean
 
 POLICY_LOSSES = Registry("policy loss")
@@ -55,24 +55,24 @@ def ppo_loss(df: DataFrame, clip: float = 0.2, low: float | None = None, high: f
     return agg_loss(tokens, "_loss", "mask", mode, **shape).join(F.broadcast(stats))  # one row each
 
 
-def _covariances(df: DataFrame, share: float) -> DataFrame:
-    """_cov of advantage and log-probability over the masked tokens, and _cut, how many of them a share is (at least
-    one).  The moments are one row."""
+def _covariances(df: DataFrame, share: float) -> tuple[DataFrame, int]:
+    """_cov of advantage and log-probability over the masked tokens, and how many of them a share is (at least one).
+    The moments are one row."""
     on = F.col("mask").cast("int") == 1
-    one = df.agg(F.avg(F.when(on, F.col("adv"))).alias("_a"), F.avg(F.when(on, F.col("logp"))).alias("_l"), F.greatest(F.lit(1), F.floor(F.count_if(on) * share)).alias("_cut"))
-    cov = (F.col("adv") - F.col("_a")) * (F.col("logp") - F.col("_l"))
-    return df.join(F.broadcast(one)).withColumn("_cov", F.when(on, cov)).drop("_a", "_l")
+    one = df.agg(F.avg(F.when(on, F.col("adv"))).alias("a"), F.avg(F.when(on, F.col("logp"))).alias("l"), F.greatest(F.lit(1), F.floor(F.count_if(on) * share)).alias("cut")).first()
+    cov = (F.col("adv") - F.lit(one["a"])) * (F.col("logp") - F.lit(one["l"]))
+    return df.withColumn("_cov", F.when(on, cov)), int(one["cut"])
 
 
 @POLICY_LOSSES.register("kl_cov")
 def kl_cov_loss(df: DataFrame, share: float = 0.2, weight: float = 1.0) -> DataFrame:
     """Plain ratio loss; the tokens with the highest covariance of advantage and log-probability (a share of the
-    masked ones, at least one) get weight * |log ratio| on top.  The cut is a position in a range-partitioned order."""
-    tokens = _covariances(df, share).withColumns({"_base": -F.col("adv") * F.exp(F.col("logp") - F.col("old")), "_abs": F.abs(F.col("logp") - F.col("old"))})
-    able = with_positions(tokens.filter("_cov is not null"), "-_cov", "uid", "k", "pos", out="_place")
-    marked = able.withColumn("_top", F.when(F.col("_place") < F.col("_cut"), 1.0).otherwise(0.0)).drop("_place")
-    every = marked.unionByName(tokens.filter("_cov is null").withColumn("_top", F.lit(0.0)))
-    return every.withColumn("_loss", F.col("_base") + F.col("_top") * weight * F.col("_abs")).agg(masked_mean("_loss", "mask").alias("loss"), masked_mean("_abs", "mask").alias("mean_abs_kl"))
+    masked ones, at least one; ties by uid, k, pos) get weight * |log ratio| on top.  The cut is found by selection."""
+    tokens, cut = _covariances(df, share)
+    last = kth_largest(tokens, cut, "_cov", "uid", "k", "pos")
+    tokens = tokens.withColumns({"_base": -F.col("adv") * F.exp(F.col("logp") - F.col("old")), "_abs": F.abs(F.col("logp") - F.col("old"))})
+    top = at_or_above(last, "_cov", "uid", "k", "pos").cast("double")
+    return tokens.withColumn("_loss", F.col("_base") + top * weight * F.col("_abs")).agg(masked_mean("_loss", "mask").alias("loss"), masked_mean("_abs", "mask").alias("mean_abs_kl"))
 
 
 @POLICY_LOSSES.register("clip_cov")
@@ -81,13 +81,14 @@ def clip_cov_loss(df: DataFrame, share: float = 0.0002, lb: float = 1.0, ub: flo
 
     Tokens that are clipped anyway can't be chosen; the choice is by MD5, so that reruns and other engines agree."""
     c = _clipped(F.exp(F.col("logp") - F.col("old")), 1 - clip, 1 + clip, None)
-    tokens = _covariances(df, share).withColumns({"_worse": c["worse"], "_clip": c["cut"] > c["plain"]})
+    tokens, cut = _covariances(df, share)
+    tokens = tokens.withColumns({"_worse": c["worse"], "_clip": c["cut"] > c["plain"]})
     free = F.coalesce((F.col("_cov") > lb) & (F.col("_cov") < ub) & ~F.col("_clip"), F.lit(False))
     tokens = tokens.withColumn("_hash", F.when(free, F.md5(F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in ("uid", "k", "pos"))))))
-    able = with_positions(tokens.filter("_hash is not null"), "_hash", "uid", "k", "pos", out="_place")
-    marked = able.withColumn("_keep", F.when(F.col("_place") < F.col("_cut"), 0.0).otherwise(1.0)).drop("_place")
-    every = marked.unionByName(tokens.filter("_hash is null").withColumn("_keep", F.lit(1.0)))
-    return every.withColumn("_loss", F.col("_worse") * F.col("_keep")).agg(masked_mean("_loss", "mask").alias("loss"))
+    # The smallest hashes: largest negative of their first 52 bits, then by the whole hash.
+    tokens = tokens.withColumn("_first", -F.conv(F.substring("_hash", 1, 13), 16, 10).cast("double"))
+    chosen = at_or_above(kth_largest(tokens, cut, "_first", "_hash", "uid", "k", "pos"), "_first", "_hash", "uid", "k", "pos")
+    return tokens.withColumn("_loss", F.when(chosen, 0.0).otherwise(F.col("_worse"))).agg(masked_mean("_loss", "mask").alias("loss"))
 
 
 def value_loss(df: DataFrame, clip: float, mode: str = "token-mean") -> DataFrame:

@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import advantages as V
@@ -13,6 +14,7 @@ from millrace.operators import layout as L
 from millrace.operators import requests as Q
 from millrace.operators import retrieval as R
 from millrace.operators import scoring as S
+from millrace.operators import selection as K
 from millrace.operators import segmentation as Z
 from millrace.sources.tracking import BACKENDS, Tracking
 
@@ -181,9 +183,39 @@ def test_positions_of_many_rows_equal_a_sort(spark, order):
     assert {r["id"]: r["upto"] for r in sums.collect()} == {r[0]: t for r, t in zip(sorted(rows, key=key), np.cumsum([r[0] % 7 for r in sorted(rows, key=key)]).tolist(), strict=True)}
 
 
-def test_positions_take_one_exchange_of_rows(spark):
-    df = spark.range(5000).withColumn("x", F.col("id") % 13)
-    text = L.with_positions(df, "x", "id")._jdf.queryExecution().toString()
-    text = text[text.index("== Physical Plan ==") :]
-    assert "rangepartitioning" not in text and text.count("Exchange hashpartitioning(_p") == 2  # rows, and a count a range
+@pytest.mark.parametrize("partitions", [1, 200, 2000])
+def test_positions_come_from_a_staged_sort_of_any_width(spark, partitions):
+    df = spark.range(20_000).withColumn("x", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 13)).repartition(5)
+    placed = L.with_positions(df, "x", "id", partitions=partitions)
+    text = placed._jdf.queryExecution().toString()
+    # Rows are joined to their partition's offset where they lie; only sizes, a row a partition and task, are exchanged.
+    assert len(text) < 20_000 and "rangepartitioning" not in text and text.count("Exchange hashpartitioning(_part") == 1
+    want = df.withColumn("want", F.row_number().over(Window.orderBy("x", "id")) - 1)
+    assert placed.join(want, ["id", "x"]).filter("pos <> want").count() == 0 and placed.count() == 20_000
+
+
+def test_positions_keep_columns_of_any_name_and_spread_ties(spark):
+    df = spark.range(4000).selectExpr("1 as _part", "2 as _row", "3 as _before", "id as _of", "4 as _n", "5 as _tie")
+    placed = L.with_positions(df, "_part", partitions=8)
+    assert placed.columns == [*df.columns, "pos"] and sorted(r["pos"] for r in placed.collect()) == list(range(4000))
+    kept = L._sorted_rows(df, ("_part",), 8)
+    assert kept[0].groupBy(kept[1]).count().agg(F.max("count")).first()[0] < 2000  # one value in all rows is no single task
     assert spark.range(0).withColumn("x", F.lit(1)).transform(lambda d: L.with_positions(d, "id")).count() == 0
+    sums = L.with_running(df, {"_of": "upto"}, "_of", partitions=3)
+    assert sums.columns == [*df.columns, "upto"] and sums.filter("upto <> _of * (_of + 1) / 2").count() == 0
+
+
+def test_selection_equals_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(K, "FEW", 50)
+    monkeypatch.setattr(K, "BUCKETS", 16)
+    rng = np.random.default_rng(8)
+    values = [float(rng.choice([rng.normal(), 0.25, 1e308 * rng.normal(), 5e-324, float("inf"), -float("inf"), float("nan")], p=[0.5, 0.3, 0.1, 0.02, 0.03, 0.03, 0.02])) for _ in range(2000)]
+    values[7] = None
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v double").repartition(4)
+    order = df.filter("v is not null").orderBy(F.desc("v"), "id").collect()
+    for k in (1, 30, 45, 100, 150, 900, 1300, 1950, 1999):
+        row = K.kth_largest(df, k, "v", "id")
+        assert row["id"] == order[k - 1]["id"], k
+        assert {r["id"] for r in df.filter(K.at_or_above(row, "v", "id")).collect()} == {r["id"] for r in order[:k]}
+    assert K.kth_largest(df, 2000, "v", "id") is None and K.kth_largest(df, 0, "v", "id") is None and K.kth_largest(df.limit(0), 1, "v", "id") is None
+    assert df.filter(K.at_or_above(None, "v", "id")).count() == 1999
