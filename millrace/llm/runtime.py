@@ -58,6 +58,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if "/millrace/" in name:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint only if the (staged) table's measured size is at most ``limit`` bytes; else a plain shuffle join.
 
