@@ -65,7 +65,7 @@ def first_centroids(rows: DataFrame, k: int = K, seed: int = SEED) -> np.ndarray
             near = near.filter(F.col("h") < format(int(share * (1 << 52)), "013x"))
         found = near.orderBy("h", "v").limit(k).select("v").collect()  # k rows
         if len(found) >= min(k, total):
-            return np.array([r["v"] for r in found], np.int64).reshape(len(found), -1)
+            return np.array([r["v"] for r in found], np.int64).reshape(len(found), len(found[0]["v"]) if found else 0)
         share *= 4
 
 
