@@ -5,10 +5,10 @@ its count is added to its bucket, and the buckets' gains are joined back to the
 
 1.  *Pages.*  A page is a bounded run of documents within one block of a file.  Its words are numbered, its n-grams
     counted as numbers, and only its distinct n-grams become strings: per part of the dictionary one sorted, compressed
-    list of strings with their counts.
-2.  *Dictionary.*  A part gathers its lists from all pages (a string costs a row a page, however often it occurs),
-    adds up equal strings, takes the CRC of each distinct one once, and returns the counts of its buckets and, for each
-    page, the buckets of the page's strings in their order.  Strings are dealt to parts by their first two words, and
+    list with their counts, in which a run of three words is written as its third word below its first two.
+2.  *Dictionary.*  A part gathers its lists from all pages (a string costs a page once, however often it occurs),
+    adds up equal strings, takes the CRC of each distinct one once (that of three words goes on from that of the first
+    two), and returns the counts of its buckets and, for each page, the buckets of the page's strings in their order.  Strings are dealt to parts by their first two words, and
     where two words go on in many ways also by the third, so no part gathers the continuations of a frequent pair; a
     pair that is frequent in some pages only may meet in two parts, which then add to the same bucket.
 3.  *Gains.*  One number per bucket, from the counts of both tables.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,8 @@ class Page:
 
     def __init__(self, texts: list):
         numbers, words, ends = split_words([(t or "").encode("utf-8", "replace").translate(_FOLD) for t in texts])
+        used = np.flatnonzero(np.bincount(numbers, minlength=len(words)))  # all but the empty piece at a text's end
+        numbers, words = np.searchsorted(used, numbers), words.take(pa.array(used))
         order = pc.sort_indices(words).to_numpy()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -85,21 +88,41 @@ class Page:
     def counts(self) -> np.ndarray:
         return np.bincount(self.grams, minlength=sum(self.sizes))
 
-    def strings(self) -> pa.Array:
-        w = self.words
-        pairs = pc.binary_join_element_wise(w.take(pa.array(self.first)), w.take(pa.array(self.second)), _SPACE)
-        triples = pc.binary_join_element_wise(pairs.take(pa.array(self.stem)), w.take(pa.array(self.third)), _SPACE)
-        return pa.concat_arrays([w, pairs, triples])
+    def pairs(self, which: np.ndarray) -> pa.Array:
+        """Pairs of words as strings."""
+        return pc.binary_join_element_wise(self.words.take(pa.array(self.first[which])), self.words.take(pa.array(self.second[which])), _SPACE)
 
-    def parts(self, n: int) -> np.ndarray:
-        """The part of the dictionary of every n-gram."""
-        h = word_hashes(self.words)
+    def cuts(self, n_parts: int) -> Cuts:
+        """What each part of the dictionary gets."""
+        h, part = word_hashes(self.words), lambda x: ((x >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
         with np.errstate(over="ignore"):
             pair = splitmix(h[self.first] * np.uint64(3) + splitmix(h[self.second]))
             hot = np.bincount(self.stem, minlength=len(pair))[self.stem] > HOT
-            triple = np.where(hot, splitmix(pair[self.stem] + h[self.third]), pair[self.stem])
-            every = np.concatenate([splitmix(h), pair, triple])
-        return ((every >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+            third = part(np.where(hot, splitmix(pair[self.stem] + h[self.third]), pair[self.stem]))
+        single, own, n = part(splitmix(h)), part(pair) * len(pair) + np.arange(len(pair)), max(len(pair), 1)
+        keys = third * n + self.stem
+        stems = np.unique(np.concatenate([own, keys]))
+        bounds = lambda parts: np.searchsorted(parts, np.arange(n_parts + 1))
+        singles, triples = np.argsort(single, kind="stable"), np.argsort(third, kind="stable")
+        below = np.bincount(np.searchsorted(stems, keys), minlength=len(stems))
+        return Cuts(singles, bounds(single[singles]), stems % n, np.isin(stems, own, assume_unique=True), below, bounds(stems // n), triples, bounds(third[triples]))
+
+
+class Cuts(NamedTuple):
+    """Words, stems (pairs that are there for themselves or for the triples below them) and triples in order of their
+    part, and where each part begins."""
+
+    singles: np.ndarray
+    single_at: np.ndarray
+    stems: np.ndarray
+    own: np.ndarray
+    below: np.ndarray
+    stem_at: np.ndarray
+    triples: np.ndarray
+    triple_at: np.ndarray
+
+    def part(self, p: int) -> tuple[slice, slice, slice]:
+        return tuple(slice(int(at[p]), int(at[p + 1])) for at in (self.single_at, self.stem_at, self.triple_at))
 
 
 def _squeezed(raw: pa.Buffer) -> bytes:
@@ -172,22 +195,60 @@ def _digest(ids: list, texts: list) -> str:
 
 
 def dictionary_lists(docs: DataFrame, n_parts: int, side: int, page_bytes: int = PAGE_BYTES) -> DataFrame:
-    """side, part, page, strings, counts: the distinct n-grams of each page that belong to a part."""
+    """side, part, page, strings, numbers: the distinct n-grams of each page that belong to a part.
+
+    The strings are words, then stems, then third words; the numbers are how many there are of each, the counts of
+    the words, the counts of the stems (0 if the pair itself belongs to another part), how many third words follow below
+    each stem, and the counts of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, texts in _pages(batches, page_bytes):
             page = Page(texts)
-            strings, counts, parts = page.strings(), page.counts().astype(np.uint32), page.parts(n_parts)
-            by = np.argsort(parts, kind="stable")
-            strings = strings.take(pa.array(by))
-            bounds = np.searchsorted(parts[by], np.arange(n_parts + 1))
-            there = np.flatnonzero(np.diff(bounds))
-            cut = [(int(bounds[p]), int(bounds[p + 1] - bounds[p])) for p in there]
-            rows = [pa.array([side] * len(cut), pa.int32()), pa.array(there, pa.int32()), pa.array([name] * len(cut), pa.string()), pa.array([_squeezed(_joined(strings.slice(*c), "\n")) for c in cut], pa.binary()), pa.array([_numbers(counts[by[c[0] : c[0] + c[1]]]) for c in cut], pa.binary())]
-            yield pa.RecordBatch.from_arrays(rows, names=["side", "part", "page", "strings", "counts"])
+            counts, cuts = np.split(page.counts().astype(np.uint32), np.cumsum(page.sizes)[:2]), page.cuts(n_parts)
+            singles, stems, thirds = page.words.take(pa.array(cuts.singles)), page.pairs(cuts.stems), page.words.take(pa.array(page.third[cuts.triples]))
+            there, strings, numbers = [], [], []
+            for p in range(n_parts):
+                one, two, three = cuts.part(p)
+                sizes = [x.stop - x.start for x in (one, two, three)]
+                if any(sizes):
+                    there.append(p)
+                    strings.append(_squeezed(_joined(pa.concat_arrays([a.slice(x.start, n) for a, x, n in zip((singles, stems, thirds), (one, two, three), sizes, strict=True)]), "\n")))
+                    numbers.append(_numbers(np.concatenate([np.array(sizes), counts[0][cuts.singles[one]], np.where(cuts.own[two], counts[1][cuts.stems[two]], 0), cuts.below[two], counts[2][cuts.triples[three]]]).astype(np.uint32)))
+            rows = [pa.array([side] * len(there), pa.int32()), pa.array(there, pa.int32()), pa.array([name] * len(there), pa.string()), pa.array(strings, pa.binary()), pa.array(numbers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(rows, names=["side", "part", "page", "strings", "numbers"])
         release_memory()
 
-    return docs.mapInArrow(run, "side int, part int, page string, strings binary, counts binary")
+    return docs.mapInArrow(run, "side int, part int, page string, strings binary, numbers binary")
+
+
+def _crcs(strings: pa.Array, which: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """CRC of each chosen string, going on from a start; a slice of them is in Python at once."""
+    out = np.empty(len(which), np.uint32)
+    for at in range(0, len(which), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        texts = strings.take(pa.array(which[some])).cast(pa.large_binary()).to_pylist()
+        out[some] = np.fromiter(map(zlib.crc32, texts, starts[some].tolist()), np.uint32, len(texts))
+    return out
+
+
+def hashed_lists(lists: list[tuple[pa.Array, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(counts, buckets) of each list's strings, in order: equal strings of all lists are one, and hashed once."""
+    heads = [numbers[:3].astype(np.int64) for _, numbers in lists]
+    cut = [np.cumsum([0, *h]) for h in heads]
+    coded = []
+    for kind in range(3):
+        one = pa.concat_arrays([strings.slice(c[kind], c[kind + 1] - c[kind]) for (strings, _), c in zip(lists, cut, strict=True)]).dictionary_encode()
+        coded.append((one.indices.to_numpy().astype(np.int64), one.dictionary))
+    # Behind the sizes: counts of words, counts of stems, triples below each stem, counts of triples.
+    parts = [np.split(numbers[3:], np.cumsum([h[0], h[1], h[1]])) for (_, numbers), h in zip(lists, heads, strict=True)]
+    (single, words), (stem, pairs), (third, thirds) = coded
+    triples, triple = np.unique(np.repeat(stem, np.concatenate([p[2] for p in parts])) * max(len(thirds), 1) + third, return_inverse=True)
+    above, last = np.divmod(triples, max(len(thirds), 1))
+    zero, crc = np.zeros(len(words), np.int64), _crcs(pairs, np.arange(len(pairs)), np.zeros(len(pairs), np.int64))
+    spaced = np.fromiter((zlib.crc32(b" ", c) for c in crc.tolist()), np.int64, len(crc))
+    found = [(_crcs(words, np.arange(len(words)), zero) % BUCKETS)[single], (crc % BUCKETS)[stem], (_crcs(thirds, last, spaced[above]) % BUCKETS)[triple]]
+    ends = [np.cumsum([0, *(h[kind] for h in heads)]) for kind in range(3)]
+    return [(np.concatenate([p[0], p[1], p[3]]), np.concatenate([found[kind][ends[kind][k] : ends[kind][k + 1]] for kind in range(3)]).astype(np.uint16)) for k, p in enumerate(parts)]
 
 
 def hashed_dictionary(lists: DataFrame) -> DataFrame:
@@ -197,13 +258,7 @@ def hashed_dictionary(lists: DataFrame) -> DataFrame:
     def solve(rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
         sides, pages = (rows.column(c).to_pylist() for c in ("side", "page"))
-        lists_ = [_unpacked(raw.as_buffer()) for raw in rows.column("strings")]
-        counts = np.concatenate([_values(raw.as_buffer(), np.uint32) for raw in rows.column("counts")]).astype(np.float64)
-        sizes = [len(x) for x in lists_]
-        coded = pa.concat_arrays(lists_).dictionary_encode()
-        del lists_
-        bucket = np.fromiter((zlib.crc32(s) % BUCKETS for s in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint16, len(coded.dictionary))
-        every, ends = bucket[coded.indices.to_numpy()], np.cumsum([0, *sizes])
+        hashed = hashed_lists([(_unpacked(a.as_buffer()), _values(b.as_buffer(), np.uint32)) for a, b in zip(rows.column("strings"), rows.column("numbers"), strict=True)])
         out: dict[str, list] = {c: [] for c in ("page", "part", "buckets", "side", "of", "n")}
 
         def put(**row):
@@ -211,14 +266,19 @@ def hashed_dictionary(lists: DataFrame) -> DataFrame:
                 out[c].append(row.get(c))
 
         for side in sorted(set(sides)):
-            mine = np.concatenate([np.arange(ends[k], ends[k + 1]) for k, s in enumerate(sides) if s == side])
-            n = np.bincount(every[mine], counts[mine], BUCKETS).astype(np.int64)  # exact below 2**53
+            n = np.zeros(BUCKETS, np.int64)
+            for (counts, buckets), s in zip(hashed, sides, strict=True):
+                if s == side:
+                    n += np.bincount(buckets, counts, BUCKETS).astype(np.int64)  # exact below 2**53
             put(side=side, of=np.flatnonzero(n).tolist(), n=n[n > 0].tolist())
-        for k, (page, side) in enumerate(zip(pages, sides, strict=True)):
+        for (_, buckets), page, side in zip(hashed, pages, sides, strict=True):
             if side == 0:
-                put(page=page, part=part, buckets=every[ends[k] : ends[k + 1]].tobytes())
+                put(page=page, part=part, buckets=buckets.tobytes())
         kinds = {"page": pa.string(), "part": pa.int32(), "buckets": pa.binary(), "side": pa.int32(), "of": pa.list_(pa.int32()), "n": pa.list_(pa.int64())}
-        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+        table = pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+        del out, hashed
+        release_memory()
+        return table
 
     return lists.groupBy("part").applyInArrow(solve, "page string, part int, buckets binary, side int, of array<int>, n array<long>")
 
@@ -257,13 +317,15 @@ def feature_weights(docs: DataFrame, target: DataFrame, page_bytes: int = PAGE_B
             sizes, raw = _values(lengths, np.int64), _expanded(body).to_pybytes()
             ends = np.cumsum(np.maximum(sizes, 0)).tolist()
             page = Page([None if n < 0 else raw[end - n : end].decode("utf-8") for n, end in zip(sizes.tolist(), ends, strict=True)])
-            parts = page.parts(n_parts)
             found = dict(zip(right.column("part").to_pylist(), right.column("buckets").to_pylist(), strict=True))
-            if len(parts) and not found:
+            if sum(page.sizes) and not found:
                 raise ValueError("the documents changed between two reads")
-            by = np.argsort(parts, kind="stable")
-            bucket = np.empty(len(parts), np.int64)
-            bucket[by] = np.frombuffer(b"".join(found[p] for p in sorted(found)), np.uint16)
+            buckets, cuts = [np.empty(n, np.int64) for n in page.sizes], page.cuts(n_parts)
+            for p, raw in found.items():
+                one, two, three = cuts.part(p)
+                got = np.split(np.frombuffer(raw, np.uint16), np.cumsum([one.stop - one.start, two.stop - two.start]))
+                buckets[0][cuts.singles[one]], buckets[1][cuts.stems[two][cuts.own[two]]], buckets[2][cuts.triples[three]] = got[0], got[1][cuts.own[two]], got[2]
+            bucket = np.concatenate(buckets)
             weight = np.zeros(len(ids), np.int64)
             np.add.at(weight, page.texts, shared.value[bucket][page.grams])
             out.append((ids, np.diff(page.ends), np.bincount(page.texts, minlength=len(ids)), weight))
