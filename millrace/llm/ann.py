@@ -15,8 +15,8 @@ at once.  Neither bound can lose a neighbour.  Nothing is collected but query bl
 vector is shuffled.
 
 Defined cases: vectors that are null, zero, of another dimension than the most common one (ties: the smaller),
-or hold null or non-finite components take no part, nor do rows without vec_id; of rows that repeat a vec_id a
-query is one and a candidate counts once with its smallest distance; ties go to the smaller vec_id; with fewer
+or hold null or non-finite components take no part, nor do rows without vec_id; of rows that repeat a vec_id the
+query is the smallest vector (by its first differing component) and a candidate counts once with its smallest distance; ties go to the smaller vec_id; with fewer
 candidates than k all are returned; other columns are ignored.
 """
 
@@ -89,14 +89,22 @@ def centre(vectors: DataFrame) -> tuple[np.ndarray | None, int]:
     return np.array([r["s"] for r in sorted(mean, key=lambda r: r["pos"])]) / best[0]["n"], best[0]["n"]
 
 
-def sampled(vectors: DataFrame, dim: int, size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a sample of candidates: those with the smallest hashes of their ids, each id once."""
-    rows = vectors.filter(F.size("embedding") == dim).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow()
+def sampled(vectors: DataFrame, dim: int, n_rows: int, size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a sample of candidates: those with the smallest hashes of their ids, each id once.
+
+    A bound on the hash, from the number of rows, leaves about four times as many ids before any is sorted, and a
+    vector moves only once its id is chosen, one of each id and task."""
+    slim = vectors.filter(F.size("embedding") == dim).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    h, ids = F.xxhash64("vec_id"), slim.select("vec_id").filter("vec_id is not null")
+    if n_rows > 16 * size:
+        ids = ids.filter(h < int((4 * size / n_rows - 0.5) * 2.0**64))
+    chosen = ids.distinct().orderBy(h, "vec_id").limit(size).withColumnRenamed("vec_id", "_id")
+    rows = slim.join(F.broadcast(chosen), F.col("vec_id") == F.col("_id")).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toArrow()  # `size` ids
     if not rows.num_rows:
         return np.empty(0, np.int64), np.empty((0, dim))
-    ((ids, x),) = usable(rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), dim)
-    first = np.unique(ids, return_index=True)[1]
-    return ids[first], x[first]
+    ((ids_, x),) = usable(rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), dim)
+    order = np.argsort(ids_)
+    return ids_[order], x[order]
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -254,10 +262,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = SEED,
     c, n_rows = centre(vectors)
     if c is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample_ids, sample = sampled(vectors, len(c))
+    sample_ids, sample = sampled(vectors, len(c), n_rows)
     centres = coarse_centres(sample, min(CENTRES, n_rows // rows_a_centre)) if len(sample) else c[None]
     index = staged(build_index(vectors, c, centres, seed), "codes")
-    asked = staged(index.filter(is_query).select("vec_id", "embedding").dropDuplicates(["vec_id"]), "queries")
+    asked = staged(index.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     blocks = max(1, -(-asked.count() // (block * 3 // 4)))
     found = []
     for b in range(blocks):

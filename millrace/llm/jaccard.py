@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -261,8 +261,10 @@ def block_members(sketch: DataFrame) -> DataFrame:
     """(_at, block) of the classes, at their levels, that share a key with another class."""
     keys = sketch.filter(F.col("digest").isNotNull()).select("digest", F.explode("keys").alias("key"))
     rows = keys.withColumn("level", F.col("key").bitwiseAND(LEVEL_MASK).cast("int")).select(_node().alias("node"), "key")
-    first = F.min("node").over(Window.partitionBy("key"))
-    edges = rows.withColumn("u", first).filter("u <> node").select("u", F.col("node").alias("v"))
+    # A key's smallest node by partial minima; keys of one class alone, nearly all, end there, so few meet their rows
+    # again, in a join that may be split where near copies share a key.
+    heads = rows.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("_last")).filter("u <> _last").select(F.col("key").alias("_k"), "u")
+    edges = rows.join(sized(staged(heads, "shared-keys")), F.col("key") == F.col("_k")).filter("u <> node").select("u", F.col("node").alias("v"))
     return components(edges).select(F.col("node").alias("_at"), F.col("root").alias("block"))
 
 
