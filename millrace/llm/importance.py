@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ..operators.layout import with_positions
 from ..operators.selection import at_or_above, kth_largest
 from .runtime import release_memory, staged
-from .textkit import splitmix, split_words, word_hashes
+from .textkit import splitmix, split_words
 
 #: Buckets, words of the longest feature, fewest words of a document that may be drawn, percent drawn, seed of the draw.
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
@@ -64,19 +64,18 @@ class Page:
     def __init__(self, texts: list):
         numbers, words, ends = split_words([(t or "").encode("utf-8", "replace").translate(_FOLD) for t in texts])
         used = np.flatnonzero(np.bincount(numbers, minlength=len(words)))  # all but the empty piece at a text's end
-        numbers, words = np.searchsorted(used, numbers), words.take(pa.array(used))
-        order = pc.sort_indices(words).to_numpy()
-        rank = np.empty(len(order), np.int64)
+        order = used[pc.sort_indices(words.take(pa.array(used))).to_numpy()]
+        rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(order))
         self.words, self.ends = words.take(pa.array(order)), ends
         code, n = rank[numbers], max(len(order), 1)
         owner = np.repeat(np.arange(len(texts)), np.diff(ends))
         two = np.flatnonzero(owner[:-1] == owner[1:])
-        pairs, pair = np.unique(code[two] * n + code[two + 1], return_inverse=True)
+        pairs, pair = distinct(code[two] * n + code[two + 1], n * n)
         at = np.zeros(len(code) + 1, np.int64)
         at[two] = pair
         three = np.flatnonzero(owner[:-2] == owner[2:])
-        triples, triple = np.unique(at[three] * n + code[three + 2], return_inverse=True)
+        triples, triple = distinct(at[three] * n + code[three + 2], max(len(pairs), 1) * n)
         self.first, self.second = np.divmod(pairs, n)
         self.stem, self.third = np.divmod(triples, n)
         self.sizes = (len(order), len(pairs), len(triples))
@@ -94,18 +93,51 @@ class Page:
 
     def cuts(self, n_parts: int) -> Cuts:
         """What each part of the dictionary gets."""
-        h, part = word_hashes(self.words), lambda x: ((x >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
+        h, part = splitmix(_crcs(_texts(self.words)).astype(np.uint64)), lambda x: ((x >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
         with np.errstate(over="ignore"):
             pair = splitmix(h[self.first] * np.uint64(3) + splitmix(h[self.second]))
-            hot = np.bincount(self.stem, minlength=len(pair))[self.stem] > HOT
-            third = part(np.where(hot, splitmix(pair[self.stem] + h[self.third]), pair[self.stem]))
-        single, own, n = part(splitmix(h)), part(pair) * len(pair) + np.arange(len(pair)), max(len(pair), 1)
-        keys = third * n + self.stem
-        stems = np.unique(np.concatenate([own, keys]))
-        bounds = lambda parts: np.searchsorted(parts, np.arange(n_parts + 1))
-        singles, triples = np.argsort(single, kind="stable"), np.argsort(third, kind="stable")
-        below = np.bincount(np.searchsorted(stems, keys), minlength=len(stems))
-        return Cuts(singles, bounds(single[singles]), stems % n, np.isin(stems, own, assume_unique=True), below, bounds(stems // n), triples, bounds(third[triples]))
+            own = part(pair)
+            third = own[self.stem]
+            hot = np.flatnonzero((np.bincount(self.stem, minlength=len(pair)) > HOT)[self.stem])
+            third[hot] = part(splitmix(pair[self.stem[hot]] + h[self.third[hot]]))
+        # Pairs below which a part gets triples though they belong to another one come last in it.
+        n, away = max(len(pair), 1), third != own[self.stem]
+        foreign, below = np.unique(third[away] * n + self.stem[away], return_counts=True)
+        stems, of = np.append(np.arange(len(pair)), foreign % n), np.append(own, foreign // n)
+        below = np.append(np.bincount(self.stem[~away], minlength=len(pair)), below)
+        single = part(splitmix(h))
+        bounds = lambda parts: np.append(0, np.cumsum(np.bincount(parts, minlength=n_parts)))
+        by = ordered(of, n_parts)
+        return Cuts(ordered(single, n_parts), bounds(single), stems[by], by < len(pair), below[by], bounds(of), ordered(third * 2 + away, 2 * n_parts), bounds(third))
+
+
+def distinct(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (from 0, below ``top``) in order, and each key's place among them."""
+    bits = len(keys).bit_length()
+    if top.bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    # A key and its place in one number sort faster than places by their keys.
+    packed = np.sort((keys << bits) | np.arange(len(keys)))
+    values = packed >> bits
+    new = np.ones(len(keys), bool)
+    new[1:] = values[1:] != values[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[packed & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return values[new], place
+
+
+def ordered(values: np.ndarray, top: int) -> np.ndarray:
+    """Places by value, equal ones in order; few values are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if top <= 1 << 16 else values, kind="stable")
+
+
+def _texts(strings: pa.Array) -> np.ndarray:
+    return strings.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+
+
+def _crcs(texts: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """CRC of each text, going on from a start."""
+    return np.fromiter(map(zlib.crc32, texts) if starts is None else map(zlib.crc32, texts, starts.tolist()), np.uint32, len(texts))
 
 
 class Cuts(NamedTuple):
@@ -221,16 +253,6 @@ def dictionary_lists(docs: DataFrame, n_parts: int, side: int, page_bytes: int =
     return docs.mapInArrow(run, "side int, part int, page string, strings binary, numbers binary")
 
 
-def _crcs(strings: pa.Array, which: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """CRC of each chosen string, going on from a start; a slice of them is in Python at once."""
-    out = np.empty(len(which), np.uint32)
-    for at in range(0, len(which), 1 << 16):
-        some = slice(at, at + (1 << 16))
-        texts = strings.take(pa.array(which[some])).cast(pa.large_binary()).to_pylist()
-        out[some] = np.fromiter(map(zlib.crc32, texts, starts[some].tolist()), np.uint32, len(texts))
-    return out
-
-
 def hashed_lists(lists: list[tuple[pa.Array, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(counts, buckets) of each list's strings, in order: equal strings of all lists are one, and hashed once."""
     heads = [numbers[:3].astype(np.int64) for _, numbers in lists]
@@ -242,11 +264,16 @@ def hashed_lists(lists: list[tuple[pa.Array, np.ndarray]]) -> list[tuple[np.ndar
     # Behind the sizes: counts of words, counts of stems, triples below each stem, counts of triples.
     parts = [np.split(numbers[3:], np.cumsum([h[0], h[1], h[1]])) for (_, numbers), h in zip(lists, heads, strict=True)]
     (single, words), (stem, pairs), (third, thirds) = coded
-    triples, triple = np.unique(np.repeat(stem, np.concatenate([p[2] for p in parts])) * max(len(thirds), 1) + third, return_inverse=True)
-    above, last = np.divmod(triples, max(len(thirds), 1))
-    zero, crc = np.zeros(len(words), np.int64), _crcs(pairs, np.arange(len(pairs)), np.zeros(len(pairs), np.int64))
+    n = max(len(thirds), 1)
+    triples, triple = distinct(np.repeat(stem, np.concatenate([p[2] for p in parts])) * n + third, max(len(pairs), 1) * n)
+    above, last = np.divmod(triples, n)
+    crc = _crcs(_texts(pairs))
     spaced = np.fromiter((zlib.crc32(b" ", c) for c in crc.tolist()), np.int64, len(crc))
-    found = [(_crcs(words, np.arange(len(words)), zero) % BUCKETS)[single], (crc % BUCKETS)[stem], (_crcs(thirds, last, spaced[above]) % BUCKETS)[triple]]
+    known, hashes = _texts(thirds), np.empty(len(last), np.uint32)
+    for at in range(0, len(last), 1 << 17):  # so many numbers are Python objects at once
+        some = slice(at, at + (1 << 17))
+        hashes[some] = _crcs(known[last[some]], spaced[above[some]])
+    found = [(_crcs(_texts(words)) % BUCKETS)[single], (crc % BUCKETS)[stem], (hashes % BUCKETS)[triple]]
     ends = [np.cumsum([0, *(h[kind] for h in heads)]) for kind in range(3)]
     return [(np.concatenate([p[0], p[1], p[3]]), np.concatenate([found[kind][ends[kind][k] : ends[kind][k + 1]] for kind in range(3)]).astype(np.uint16)) for k, p in enumerate(parts)]
 
