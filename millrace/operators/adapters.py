@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import pickletools
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import answers as A
 from ..functions import text as T
@@ -75,11 +81,62 @@ def hoisted(df: DataFrame) -> DataFrame:
     return df.withColumn("index", F.coalesce(F.col("extra_info.index"), F.lit(0)))
 
 
-def merge_test_cases(public: Column | str, private: Column | str) -> Column:
-    """JSON of the inputs and outputs of two JSON lists of test cases, public ones first."""
+#: Bytes that a compressed blob of test cases may expand to.
+CASE_BYTES = 64 << 20
+#: Fixed names: opcodes of a serialised plain string; none of them calls or imports anything.
+_TEXT_CODES = {"PROTO", "FRAME", "SHORT_BINUNICODE", "BINUNICODE", "BINUNICODE8", "MEMOIZE", "BINPUT", "LONG_BINPUT", "STOP"}
+
+
+def _blob_text(blob: str | None, most: int) -> str | None:
+    """The text of one blob; None if it is broken, larger than ``most`` bytes or anything but text."""
+    if blob is None:
+        return None
+    try:
+        stream = zlib.decompressobj()
+        raw = stream.decompress(base64.b64decode(blob, validate=True), most)
+        if stream.unconsumed_tail or not stream.eof:
+            return None
+        if raw[:1] != b"\x80":
+            return raw.decode("utf-8")
+        # A serialised string: its opcodes are read as data, nothing is loaded.
+        found = [(code.name, value) for code, value, _ in pickletools.genops(raw)]
+        texts = [value for name, value in found if name.endswith("BINUNICODE") or name == "BINUNICODE8"]
+        return texts[0] if len(texts) == 1 and {name for name, _ in found} <= _TEXT_CODES else None
+    except (ValueError, zlib.error, IndexError):
+        return None
+
+
+def unpacked_cases(blob: Column | str, most: int = CASE_BYTES) -> Column:
+    """The text in a blob of base64 and zlib; null for nulls and for blobs that are broken or expand beyond ``most`` bytes.
+
+    Blobs come and go in Arrow batches; expanding stops at the bound, so a small blob can't fill a worker's memory."""
+
+    @arrow_udf("string")
+    def unpack(blobs: pa.Array) -> pa.Array:
+        return pa.array([_blob_text(b.as_py(), most) for b in blobs], pa.string())
+
+    return unpack(F.col(blob) if isinstance(blob, str) else blob)
+
+
+def packed_cases(text: Column | str) -> Column:
+    """A text as a blob of base64 and zlib, that :func:`unpacked_cases` reads."""
+
+    @arrow_udf("string")
+    def pack(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else base64.b64encode(zlib.compress(t.encode("utf-8"))).decode("ascii") for t in texts.to_pylist()], pa.string())
+
+    return pack(F.col(text) if isinstance(text, str) else text)
+
+
+def merge_test_cases(public: Column | str, private: Column | str, name: Column | str | None = None) -> Column:
+    """JSON of the inputs and outputs of two JSON lists of test cases, public ones first, and of the function's name if
+    there is one.  Lists that can't be read count as empty; packed ones go through :func:`unpacked_cases` before."""
     kind = "array<struct<input:string,output:string>>"
     both = F.concat(*[F.coalesce(F.from_json(F.col(c) if isinstance(c, str) else c, kind), F.array().cast(kind)) for c in (public, private)])
-    return F.to_json(F.struct(F.transform(both, lambda t: t["input"]).alias("inputs"), F.transform(both, lambda t: t["output"]).alias("outputs")))
+    fields = [F.transform(both, lambda t: t["input"]).alias("inputs"), F.transform(both, lambda t: t["output"]).alias("outputs")]
+    if name is not None:
+        fields.append((F.col(name) if isinstance(name, str) else name).alias("fn_name"))
+    return F.to_json(F.struct(*fields))
 
 
 def multiturn_loss_mask(messages_: Column | str, lengths: Column | str) -> Column:

@@ -88,6 +88,22 @@ def balance_batches(df: DataFrame, k: int, batch: str = "batch", item: str = "do
     return df.select(batch, item, length).groupBy(batch).applyInPandas(one, ddl)
 
 
+def greedy_batches(df: DataFrame, k: int, batch: str = "batch", item: str = "doc_id", length: str = "length") -> DataFrame:
+    """(batch, item, length, part): per batch its items in their order, each to the part with the smallest sum so far."""
+    types = dict(df.dtypes)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(item, ignore_index=True)
+        part = [0] * len(rows)
+        for p, members in enumerate(greedy(rows[length].tolist(), k)):
+            for i in members:
+                part[i] = p
+        return rows.assign(part=part)
+
+    ddl = f"`{batch}` {types[batch]}, `{item}` {types[item]}, `{length}` {types[length]}, part int"
+    return df.select(batch, item, length).groupBy(batch).applyInPandas(one, ddl)
+
+
 def snake(df: DataFrame, k: int, batch: str = "batch", item: str = "doc_id", length: str = "length") -> DataFrame:
     """Zig-zag dealing of the sorted items of a batch: part 0..k-1, k-1..0, and so on."""
     r = F.row_number().over(Window.partitionBy(batch).orderBy(F.desc(length), item)) - 1

@@ -63,3 +63,24 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 def dense_topk(spark, d):
     e = table(spark, d, "embeddings")
     return R.dense(e, e.where("vec_id % 50 = 0"), 3).select("query_id", "vec_id", r6("score").alias("score"), "rank")
+
+
+_POOL = """WITH t AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, [value, value * (event_id % 3), 1.0 + event_id % 5] AS v, event_type <> 'view' AS m FROM events),
+p AS (SELECT user_id, [sum(v[1]) FILTER (m) / count_if(m), sum(v[2]) FILTER (m) / count_if(m), sum(v[3]) FILTER (m) / count_if(m)] AS mean, any_value(v) FILTER (i = 1) AS cls FROM t GROUP BY user_id)"""
+
+
+@query("pooled_embeddings", f"{_POOL} SELECT user_id, CASE WHEN mean[3] IS NOT NULL THEN list_transform([1, 2, 3], lambda i: round(mean[i] / sqrt(mean[1] ** 2 + mean[2] ** 2 + mean[3] ** 2), 6))::VARCHAR END AS mean, list_transform(cls, lambda x: round(x, 6))::VARCHAR AS cls FROM p")
+def pooled_embeddings(spark, d):
+    """A user's events as token vectors; views are masked out of the mean."""
+    e = table(spark, d, "events")
+    v = F.array(F.col("value"), F.col("value") * (F.col("event_id") % 3), F.lit(1.0) + F.col("event_id") % 5)
+    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", v.alias("v"), (F.col("event_type") != "view").cast("int").alias("m")))).alias("t"))
+    rows = rows.select("user_id", F.transform("t", lambda t: t["v"]).alias("h"), F.transform("t", lambda t: t["m"]).alias("m"))
+    text = lambda v: F.when(v.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: (F.round(x, 6) + 0.0).cast("string")), ", "), F.lit("]")))
+    return rows.select("user_id", text(R.pooled("h", "m")).alias("mean"), text(R.pooled("h", method="cls", normalise=False)).alias("cls"))
+
+
+@query("title_and_text", """SELECT doc_id, trim(string_split(text, chr(10))[1], '"') AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body FROM documents""")
+def title_and_text(spark, d):
+    parts = table(spark, d, "documents").select("doc_id", R.title_and_text("text").alias("p"))
+    return parts.select("doc_id", "p.title", F.col("p.text").alias("body"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import grading as G
+from ..functions.guard import limited_udf
 from ..operators import scoring as S
 from .base import query, table
 
@@ -125,3 +126,16 @@ def compile_errors(spark, d):
     forms = [F.array(*map(F.lit, x)) for x in ((1, -4, 1, 0), (1, -1, 0, 1), (-4, -2, -3, 1))]
     r = F.element_at(F.array(*forms), (F.col("p_partkey") % 3 + 1).cast("int"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.element_at(G.after_compile_error(r), (F.col("p_size") % 4 + 1).cast("int")).alias("result"))
+
+
+def _sometimes_endless(key: str, size: int) -> float:
+    while int(key) % 1000 == 0:
+        pass
+    return 1.0 if int(key) % size == 0 else 0.5
+
+
+@query("limited_scores", "SELECT p_partkey AS id, CASE WHEN p_partkey % 1000 = 0 THEN 0.0 WHEN p_partkey % p_size = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM part")
+def limited_scores(spark, d):
+    """A scorer that never ends for some rows: those are 0 after their time, the other rows of the batch have their scores."""
+    scorer = limited_udf(_sometimes_endless, "double", 0.0, 0.3)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), scorer(F.col("p_partkey").cast("string"), F.col("p_size")).alias("score"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..sources import io
 from ..sources.files import Files
 from ..sources.generated import CountingProblems
-from ..sources.tracking import Tracking
+from ..sources.tracking import Tracking, log_observed, observed, tracked_stream
 from ..streaming import batches as S
+from ..streaming.state import adaptive_coefficients, failure_queue, state_store
 from .base import query, scratch, table
 
 _CUSTOMER = "SELECT c_custkey, c_nationkey FROM customer"
@@ -135,19 +136,55 @@ def stream_batches(spark, d):
     return spark.read.parquet(f"{path}/out").select("c_custkey", "twice")
 
 
-@query("failure_recycling", "SELECT 'p' || i AS prompt, CASE WHEN i % 2 = 0 THEN 0 ELSE 1 + i % 3 END::BIGINT AS recycle_count, CASE WHEN i % 2 = 0 THEN 'solved' WHEN i % 3 = 2 THEN 'dropped' ELSE 'retry' END AS event FROM (SELECT unnest(range(30)) AS i)")
+def _by_thirds(spark, path: str, rows, step: str, flow) -> None:
+    """Runs a stateful flow over a table in three starts of one query: each reads the next third of the steps and goes
+    on with the state that the last one left in the checkpoint."""
+    low, high = rows.agg(F.min(step), F.max(step)).first()
+    third = (high - low) // 3 + 1
+    for k in range(3):
+        rows.where((F.col(step) - low >= k * third) & (F.col(step) - low < (k + 1) * third)).write.mode("append").parquet(f"{path}/in")
+        with state_store(spark):
+            query_ = flow(spark.readStream.schema(rows.schema).parquet(f"{path}/in")).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+            query_.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+
+
+@query("failure_recycling", """WITH e AS (SELECT 'u' || user_id AS prompt, event_id AS seq, event_type = 'purchase' AS success, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY prompt, run, success ORDER BY seq) AS i FROM e), g AS (SELECT prompt, CASE WHEN success THEN 0 ELSE (i - 1) % 3 + 1 END AS recycle_count, CASE WHEN success THEN 'solved' WHEN i % 3 = 0 THEN 'dropped' ELSE 'retry' END AS event FROM f)
+SELECT prompt, recycle_count::BIGINT AS recycle_count, event, count(*)::BIGINT AS n FROM g GROUP BY ALL""")
 def failure_recycling(spark, d):
-    """Prompts that fail one to three times in a row (the third failure drops them), and others that are solved; the last event of each."""
+    """Users as prompts, their events as attempts: counters of failures in a row, dropped at the third; three starts."""
     path = scratch(spark, "recycling")
-    rows = [(f"p{i}", i % 2 == 0 and k == i % 3, k) for i in range(30) for k in range(i % 3 + 1)]
-    spark.createDataFrame(rows, "prompt string, success boolean, at int").write.parquet(f"{path}/in")
-    source = spark.readStream.schema("prompt string, success boolean, at int").parquet(f"{path}/in")
-    events = S.recycle_failures(source, 3, order="at")
-    events.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
-    out = spark.read.parquet(f"{path}/out")
-    # Solved prompts end with their success; of the others the highest count is the last event.
-    solved = F.max((F.col("event") == "solved").cast("int")) == 1
-    return out.groupBy("prompt").agg(F.when(solved, 0).otherwise(F.max("recycle_count")).alias("recycle_count"), F.when(solved, "solved").otherwise(F.max_by("event", "recycle_count")).alias("event"))
+    rows = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("prompt"), (F.col("event_type") == "purchase").alias("success"), F.col("event_id").alias("at"))
+    _by_thirds(spark, path, rows, "at", lambda source: S.recycle_failures(source, 3, order="at"))
+    return spark.read.parquet(f"{path}/out").groupBy("prompt", "recycle_count", "event").agg(F.count("*").alias("n"))
+
+
+_KL = "k AS (SELECT user_id % 10 AS run, event_id // 50 AS step, avg(value) / 50 AS kl, count(*) AS n FROM events GROUP BY ALL)"
+
+
+@query("adaptive_kl", f"""WITH RECURSIVE {_KL}, o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS i FROM k), b AS (SELECT run, 0::BIGINT AS i, -1::BIGINT AS step, 0.2::DOUBLE AS beta FROM k GROUP BY run
+UNION ALL SELECT o.run, o.i, o.step, b.beta * (1 + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, o.kl - 1)) * o.n / 2000.0::DOUBLE) FROM b JOIN o ON o.run = b.run AND o.i = b.i + 1)
+SELECT run, step, round(beta, 9) AS beta FROM b WHERE i > 0""")
+def adaptive_kl(spark, d):
+    """A coefficient for each of ten runs, from the mean values of their events, step by step; three starts."""
+    path = scratch(spark, "adaptive")
+    steps = table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("run"), F.floor(F.col("event_id") / 50).alias("step")).agg((F.avg("value") / 50).alias("kl"), F.count("*").alias("n"))
+    _by_thirds(spark, path, steps, "step", lambda source: adaptive_coefficients(source, 0.2, 1.0, 2000.0))
+    return spark.read.parquet(f"{path}/out").select("run", "step", F.round("beta", 9).alias("beta"))
+
+
+@query("failure_queue", """WITH RECURSIVE f AS (SELECT user_id % 7 AS b, event_id // 20 AS step, coalesce(list(event_id ORDER BY event_id) FILTER (event_type <> 'purchase'), []) AS lost FROM events GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY step) AS i FROM f), q AS (SELECT b, 0::BIGINT AS i, -1::BIGINT AS step, []::BIGINT[] AS q, -100::BIGINT AS last, []::BIGINT[] AS going FROM f GROUP BY b
+UNION ALL SELECT b, i, step, CASE WHEN fire THEN q[13:] ELSE q END, CASE WHEN fire THEN step ELSE last END, CASE WHEN fire THEN q[1:12] ELSE [] END
+  FROM (SELECT o.b, o.i, o.step, q.q || o.lost AS q, q.last, len(q.q) + len(o.lost) >= 15 AND o.step - q.last > 2 AS fire FROM q JOIN o ON o.b = q.b AND o.i = q.i + 1))
+SELECT b AS buffer, step, (place - 1) // 4 AS chunk, place - 1 AS place, 'e' || going[place] AS prompt, 1::BIGINT AS recycle_count FROM (SELECT *, unnest(range(1, len(going) + 1)) AS place FROM q)""")
+def failure_queue_(spark, d):
+    """Seven buffers of failed attempts: fifteen waiting, and three steps since the last time, let twelve go in chunks of four."""
+    path = scratch(spark, "queue")
+    e = table(spark, d, "events")
+    rows = e.select((F.col("user_id") % 7).alias("buffer"), F.floor(F.col("event_id") / 20).alias("step"), F.col("event_id").alias("place"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("prompt"), (F.col("event_type") == "purchase").alias("success"), F.lit(0).alias("recycle_count"))
+    _by_thirds(spark, path, rows, "step", lambda source: failure_queue(source, size=4, trigger=15, rounds=3, cooldown=2))
+    return spark.read.parquet(f"{path}/out")
 
 
 @query("failure_buffer", "SELECT 'c' || c_custkey AS prompt, 1::BIGINT AS recycle_count, 9::BIGINT AS arrived FROM (SELECT c_custkey FROM customer ORDER BY 'c' || c_custkey LIMIT 20) WHERE c_custkey % 2 = 0")
@@ -207,12 +244,41 @@ def saved_batch(spark, d):
     return rows.withColumns({"stage": F.lit(meta["stage"]), "step": F.lit(meta["step"]).cast("long")})
 
 
-@query("tracked_metrics", "SELECT b.backend, s.step::BIGINT AS step, m.name, CASE WHEN m.name = 'loss' THEN 1.0 / s.step ELSE NULL END::DOUBLE AS value FROM (SELECT unnest(['json', 'parquet']) AS backend) b, (SELECT unnest([1, 2, 4]) AS step) s, (SELECT unnest(['loss', 'bad']) AS name) m")
+_OBSERVED = "count(*)::DOUBLE AS n, round(sum(l_quantity), 4) AS quantity, round(avg(l_discount), 9) AS discount"
+
+
+@query("tracked_metrics", f"""WITH m AS (SELECT l_linenumber AS step, {_OBSERVED} FROM lineitem GROUP BY l_linenumber), u AS (UNPIVOT m ON n, quantity, discount INTO NAME name VALUE value)
+SELECT b.backend, u.step::BIGINT AS step, u.name, u.value FROM u, (SELECT unnest(['json', 'parquet']) AS backend) b""")
 def tracked_metrics(spark, d):
-    """Three steps to two backends; a value that is not finite is null, a text is left out."""
+    """A write per line number; what is logged to two backends was observed while the rows were written."""
     path = scratch(spark, "tracking")
-    run = Tracking(spark, ["json", "parquet"], path)
-    for step in (1, 2, 4):
-        run.log({"loss": 1 / step, "bad": float("inf"), "note": "text"}, step)
+    run, rows = Tracking(spark, ["json", "parquet"], path), table(spark, d, "lineitem")
+    for step in (r[0] for r in rows.select("l_linenumber").distinct().orderBy("l_linenumber").collect()):  # a few
+        part, seen = observed(rows.where(F.col("l_linenumber") == step), f"step-{step}", n=F.count("*"), quantity=F.sum("l_quantity"), discount=F.avg("l_discount"), note=F.lit("text"))
+        part.write.mode("append").parquet(f"{path}/rows")
+        log_observed(run, seen, step)
+    value = F.when(F.col("name") == "quantity", F.round("value", 4)).otherwise(F.round("value", 9))
     read = lambda name, df: df.select(F.lit(name).alias("backend"), F.col("step").cast("long").alias("step"), "name", F.col("value").cast("double").alias("value"))
-    return read("json", spark.read.json(f"{path}/json")).unionByName(read("parquet", spark.read.parquet(f"{path}/parquet")))
+    return read("json", spark.read.json(f"{path}/json")).unionByName(read("parquet", spark.read.parquet(f"{path}/parquet"))).withColumn("value", value)
+
+
+@query("stream_metrics", "WITH m AS (SELECT count(*)::DOUBLE AS n, round(sum(value), 4) AS total, max(value)::DOUBLE AS most FROM events GROUP BY event_id % 4), u AS (UNPIVOT m ON n, total, most INTO NAME name VALUE value) SELECT name, value FROM u")
+def stream_metrics(spark, d):
+    """Four micro-batches of events: their metrics come from the query's progress."""
+    path = scratch(spark, "stream-metrics")
+    rows = table(spark, d, "events").select("event_id", "value")
+    for k in range(4):
+        rows.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    tracked_stream(source, Tracking(spark, ["parquet"], path), "events", {"n": F.count("*"), "total": F.sum("value"), "most": F.max("value")}, f"{path}/out", f"{path}/checkpoint")
+    value = F.when(F.col("name") == "total", F.round("value", 4)).otherwise(F.col("value"))
+    return spark.read.parquet(f"{path}/parquet").select("name", value.alias("value"))
+
+
+@query("local_copies", "SELECT p_partkey, p_name FROM part")
+def local_copies(spark, d):
+    """A table by URL copied once to a cache, from where the rows come; the cache lies in the shared folder, so tasks see it."""
+    path = scratch(spark, "cache")
+    source = f"{d}/part.parquet" if "://" in d else f"file://{d}/part.parquet"
+    copies = [Files(spark).local_copy(source, path.removeprefix("file://")) for _ in range(2)]  # the second call finds the copy
+    return spark.read.parquet(*{f"file://{c}" for c in copies}).select("p_partkey", "p_name")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as R
@@ -98,6 +99,16 @@ def test_cases_merge(spark, d):
     return table(spark, d, "part").select("p_partkey", D.merge_test_cases(case(F.col("p_size").cast("string"), F.lit("o")), case(F.lit("b"), F.col("p_brand"))).alias("cases"))
 
 
+@query("compressed_cases", """SELECT p_partkey, '{"inputs":["' || p_size || '"' || CASE WHEN p_partkey % 5 > 0 THEN ',"b"' ELSE '' END || '],"outputs":["o"' || CASE WHEN p_partkey % 5 > 0 THEN ',"' || p_brand || '"' ELSE '' END || '],"fn_name":"f' || p_size || '"}' AS cases FROM part""")
+def compressed_cases(spark, d):
+    """Private cases come packed; every fifth blob is cut short, and its cases are missing."""
+    case = lambda i, o: F.to_json(F.array(F.struct(i.alias("input"), o.alias("output"))))
+    size = F.col("p_size").cast("string")
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("f"), size).alias("name"), case(size, F.lit("o")).alias("public"), D.packed_cases(case(F.lit("b"), F.col("p_brand"))).alias("blob"))
+    blob = F.when(F.col("p_partkey") % 5 > 0, F.col("blob")).otherwise(F.left("blob", F.lit(40)))
+    return rows.select("p_partkey", D.merge_test_cases("public", D.unpacked_cases(blob), "name").alias("cases"))
+
+
 # -- layout -------------------------------------------------------------------------------------------------
 
 
@@ -134,10 +145,10 @@ def collate_rows(spark, d):
     return rows.select("batch", F.array_join(F.col("c_custkey").cast("array<string>"), ",").alias("keys"))
 
 
-@query("accumulate_metrics", "SELECT event_type AS name, string_agg(user_id::VARCHAR, ',' ORDER BY event_id, user_id) AS \"values\" FROM events WHERE event_id % 50 = 0 GROUP BY event_type")
+@query("accumulate_metrics", "SELECT user_id AS name, string_agg(event_type || '=' || event_id, ',' ORDER BY event_id) AS \"values\" FROM events GROUP BY user_id")
 def accumulate_metrics(spark, d):
-    rows = table(spark, d, "events").where("event_id % 50 = 0").select(F.col("event_type").alias("name"), F.col("event_id").alias("step"), F.col("user_id").alias("value"))
-    return L.accumulated(rows).select("name", F.array_join(F.col("values").cast("array<string>"), ",").alias("values"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("name"), F.col("event_id").alias("step"), F.concat_ws("=", "event_type", F.col("event_id").cast("string")).alias("value"))
+    return L.accumulated(rows).select("name", F.array_join("values", ",").alias("values"))
 
 
 @query("prompt_uid", "WITH h AS (SELECT c_custkey, md5('uid:' || c_custkey) AS h FROM customer) SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS uid FROM h")
@@ -195,21 +206,22 @@ def planned_size(spark, d):
 # -- balancing ------------------------------------------------------------------------------------------------
 
 
-@query("greedy_partition", """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_nationkey AS x, c_custkey FROM customer), s(i, sums, part, key) AS (
-  SELECT 0::BIGINT, [0, 0, 0, 0], -1, NULL::BIGINT UNION ALL
-  SELECT r.i, list_transform(range(1, 5), lambda j: s.sums[j] + CASE WHEN j = list_position(s.sums, list_min(s.sums)) THEN r.x ELSE 0 END), list_position(s.sums, list_min(s.sums)) - 1, r.c_custkey FROM s JOIN r ON r.i = s.i + 1)
+@query("greedy_partition", """WITH RECURSIVE r AS (SELECT c_custkey // 64 AS batch, row_number() OVER (PARTITION BY c_custkey // 64 ORDER BY c_custkey) AS i, c_nationkey AS x, c_custkey FROM customer), s(batch, i, sums, part, key) AS (
+  SELECT batch, 0::BIGINT, [0, 0, 0, 0], -1, NULL::BIGINT FROM r GROUP BY batch UNION ALL
+  SELECT r.batch, r.i, list_transform(range(1, 5), lambda j: s.sums[j] + CASE WHEN j = list_position(s.sums, list_min(s.sums)) THEN r.x ELSE 0 END), list_position(s.sums, list_min(s.sums)) - 1, r.c_custkey FROM s JOIN r ON r.batch = s.batch AND r.i = s.i + 1)
 SELECT key AS c_custkey, part::INT AS part FROM s WHERE i > 0""")
 def greedy_partition(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey").orderBy("c_custkey").collect()  # a batch's lengths
-    return spark.createDataFrame([(rows[i]["c_custkey"], p) for p, members in enumerate(B.greedy([r["c_nationkey"] for r in rows], 4)) for i in members], "c_custkey long, part int")
+    rows = table(spark, d, "customer").withColumn("batch", F.floor(F.col("c_custkey") / 64))
+    return B.greedy_batches(rows, 4, "batch", "c_custkey", "c_nationkey").select("c_custkey", "part")
 
 
-@query("checked_partitions", "SELECT count(*)::BIGINT AS n, count(DISTINCT c_custkey)::BIGINT AS n_distinct, 5::BIGINT AS n_parts FROM customer")
+@query("checked_partitions", "WITH b AS (SELECT c_custkey // 64 AS batch, count(*) AS n FROM customer GROUP BY 1) SELECT batch, n::BIGINT AS n, n::BIGINT AS n_distinct, least(n, 5)::BIGINT AS n_parts, true AS close FROM b")
 def checked_partitions(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey").orderBy("c_custkey").collect()
-    parts = B.partitions([r["c_nationkey"] for r in rows], 5, equal_size=False)
-    out = spark.createDataFrame([(rows[i]["c_custkey"], p) for p, members in enumerate(parts) for i in members], "c_custkey long, part int")
-    return out.agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("n_distinct"), F.count_distinct("part").alias("n_parts"))
+    """Per batch: every item once, no part empty, and no two parts farther apart than the largest item."""
+    rows = table(spark, d, "customer").withColumn("batch", F.floor(F.col("c_custkey") / 64))
+    parts = B.micro_batches(rows, 1 << 40, at_least=5, batch="batch", item="c_custkey", length="c_nationkey")
+    sums = parts.groupBy("batch", "part").agg(F.sum("c_nationkey").alias("s"), F.max("c_nationkey").alias("most")).groupBy("batch").agg((F.max("s") - F.min("s") <= F.max("most")).alias("close"))
+    return parts.groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("n_distinct"), F.count_distinct("part").alias("n_parts")).join(sums, "batch")
 
 
 # -- statistics -------------------------------------------------------------------------------------------------
@@ -238,16 +250,11 @@ def slice_moments(spark, d):
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
-@query("adaptive_kl", "SELECT i::INT AS i, round(0.2 * pow(1 + 0.2 * 10 / 100.0, i + 1), 9) AS beta FROM (SELECT unnest(range(6)) AS i)")
-def adaptive_kl(spark, d):
-    return spark.createDataFrame(list(enumerate(M.adaptive_kl(0.2, [(9.0, 10)] * 6, target=1.0, horizon=100.0))), "i int, beta double").withColumn("beta", r6("beta", 9))
-
-
-@query("weighted_resample", f"""WITH {ROLLOUTS}, w AS (SELECT uid, k, value * value + 1e-8::DOUBLE AS weight, (row_number() OVER (ORDER BY uid, k) - 1) AS pos, count(*) OVER () AS n FROM r WHERE uid <= 40),
+@query("weighted_resample", f"""WITH {ROLLOUTS}, w AS (SELECT uid, k, value * value + 1e-8::DOUBLE AS weight, (row_number() OVER (ORDER BY uid, k) - 1) AS pos, count(*) OVER () AS n FROM r),
 s AS (SELECT *, sum(weight) OVER (ORDER BY pos) / sum(weight) OVER () AS hi, coalesce(sum(weight) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(weight) OVER () AS lo FROM w),
 u AS (SELECT pos AS draw, {UNIT.format(seed='resample', key='pos')} AS u FROM w) SELECT u.draw::BIGINT AS draw, s.uid, s.k FROM u JOIN s ON u.u >= s.lo AND u.u < s.hi""")
 def weighted_resample(spark, d):
-    rows = V.weights_pf_ppo(rollouts(spark, d).where("uid <= 40").select("uid", "k", "value"), "pow", 2.0, "value")
+    rows = V.weights_pf_ppo(rollouts(spark, d).select("uid", "k", "value"), "pow", 2.0, "value")
     return V.resample(rows, ["uid", "k"]).select("draw", "uid", "k")
 
 
@@ -264,7 +271,7 @@ def sampled_prefix_ratio(spark, d):
 @query("validation_metrics")
 def validation_metrics(spark, d):
     """mean, std, best, worst and majority at every rung, by resampling; numpy's stream, so no SQL: tests hold it."""
-    rows = rollouts(spark, d).where("uid <= 60").withColumn("data_source", F.when(F.col("uid") % 2 == 0, "even").otherwise("odd"))
+    rows = rollouts(spark, d).withColumn("data_source", F.when(F.col("uid") % 2 == 0, "even").otherwise("odd"))
     return E.full_validation_metrics(rows, ["value", "score"], pred="event_type").withColumn("value", r6("value"))
 
 
@@ -276,14 +283,13 @@ def encoder_input(spark, d):
     return table(spark, d, "benchmark").select("item_id", I.encoder_input("text", "E5-base").alias("e5_query"), I.encoder_input("text", "e5", False).alias("e5_passage"), I.encoder_input("text", "bge-m3").alias("bge_query"), I.encoder_input("text", "bge", False).alias("bge_passage"), I.encoder_input("text", "dpr").alias("other"))
 
 
-@query("document_lookup", "WITH h AS (SELECT b.item_id, d.doc_id, d.text, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON d.doc_id % 50 = b.item_id % 50 AND d.doc_id < 150) SELECT item_id, string_agg(rank || '=' || text, '|' ORDER BY rank) AS results FROM h GROUP BY item_id")
+@query("document_lookup", "WITH h AS (SELECT b.item_id, d.doc_id, d.text, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id DESC) AS rank FROM benchmark b JOIN documents d ON d.doc_id % 50 = b.item_id % 50) SELECT item_id, string_agg(rank || '=' || text, '|' ORDER BY rank) AS results FROM h WHERE rank <= 3 GROUP BY item_id")
 def document_lookup(spark, d):
-    docs, items = table(spark, d, "documents").where("doc_id < 150"), table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 50).alias("r"))
-    hits = docs.select("doc_id", (F.col("doc_id") % 50).alias("r")).join(items, "r").select("item_id", "doc_id", F.lit(1.0).alias("score"))
-    ranked = L.with_positions(hits, "item_id", "doc_id", out="p")
-    first = ranked.groupBy("item_id").agg(F.min("p").alias("f"))
-    ranked = ranked.join(first, "item_id").withColumn("rank", F.col("p") - F.col("f") + 1)
-    out = I.with_documents(ranked.select("item_id", "doc_id", "score", "rank"), docs.select("doc_id", "text"), "item_id")
+    """The three best hits of each item, scored by the document's number among those of its remainder, with their texts."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 50).alias("r"))
+    best = Window.partitionBy("r").orderBy(F.desc("doc_id"))
+    hits = docs.select("doc_id", (F.col("doc_id") % 50).alias("r")).withColumn("rank", F.row_number().over(best)).where("rank <= 3")  # the same for all items of a remainder
+    out = I.with_documents(hits.join(items, "r").select("item_id", "doc_id", F.col("doc_id").cast("double").alias("score"), "rank"), docs, "item_id")
     return out.select("item_id", F.array_join(F.transform("results", lambda x: F.concat(x["rank"].cast("string"), F.lit("="), x["document"])), "|").alias("results"))
 
 
@@ -302,10 +308,11 @@ def search_status(spark, d):
 # -- tokens, scorers from files --------------------------------------------------------------------------------------
 
 
-@query("segment_units", "SELECT doc_id, (CASE WHEN length(text) = 0 THEN 1 ELSE len(regexp_extract_all(text, '(?s).*?\\n\\n+|(?s).+')) END)::INT AS n_paragraphs FROM documents")
+@query("segment_units", """WITH p AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s).*?\\n\\n+|(?s).+'), lambda x: length(x)) AS n FROM documents)
+SELECT doc_id, array_to_string(CASE WHEN len(n) = 0 THEN [0] ELSE list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i])::BIGINT) END, ',') AS ends FROM p""")
 def segment_units(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return Z.with_boundaries(docs, unit="paragraph").select("doc_id", F.size("ends").alias("n_paragraphs"))
+    return Z.with_boundaries(docs, unit="paragraph").select("doc_id", F.array_join(F.col("ends").cast("array<string>"), ",").alias("ends"))
 
 
 def _vocabulary(path: str | None = None) -> str:
@@ -381,16 +388,16 @@ def imbalance_report(spark, d):
     return B.imbalance_report(B.snake(rows, 3), "before", "part").withColumn("mean", F.round("mean", 4))
 
 
-@query("token_budget_batches", "WITH b AS (SELECT source, count(*) AS n, least(count(*), ceil(sum(n_chars) / 40000.0))::BIGINT AS k FROM documents WHERE doc_id < 400 GROUP BY source) SELECT source AS batch, n::BIGINT AS n_items, k AS n_parts FROM b")
+@query("token_budget_batches", "WITH b AS (SELECT doc_id // 128 AS batch, count(*) AS n, least(count(*), ceil(sum(n_chars) / 40000.0))::BIGINT AS k FROM documents GROUP BY 1) SELECT batch, n::BIGINT AS n_items, k AS n_parts FROM b")
 def token_budget_batches(spark, d):
-    rows = table(spark, d, "documents").where("doc_id < 400").select(F.col("source").alias("batch"), "doc_id", F.col("n_chars").alias("length"))
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 128).alias("batch"), "doc_id", F.col("n_chars").alias("length"))
     return B.micro_batches(rows, 40000).groupBy("batch").agg(F.count_distinct("doc_id").alias("n_items"), F.count_distinct("part").alias("n_parts"))
 
 
-@query("balanced_order", "WITH b AS (SELECT doc_id // 8 AS batch, count(*) AS n FROM documents WHERE doc_id < 400 GROUP BY doc_id // 8) SELECT batch, n::BIGINT AS n_items, n::BIGINT AS n_places, (n - 1)::BIGINT AS last, 2::BIGINT AS largest_part FROM b WHERE n = 8")
+@query("balanced_order", "WITH b AS (SELECT doc_id // 8 AS batch, count(*) AS n FROM documents GROUP BY doc_id // 8) SELECT batch, n::BIGINT AS n_items, n::BIGINT AS n_places, (n - 1)::BIGINT AS last, 2::BIGINT AS largest_part FROM b WHERE n = 8")
 def balanced_order(spark, d):
     """Every item of a batch of eight has one place, and each of four parts holds two."""
-    rows = table(spark, d, "documents").where("doc_id < 400").select(F.floor(F.col("doc_id") / 8).alias("batch"), "doc_id", F.col("n_chars").alias("length"))
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 8).alias("batch"), "doc_id", F.col("n_chars").alias("length"))
     whole = rows.groupBy("batch").count().where("count = 8").select("batch")
     ordered = B.balanced_order(rows.join(whole, "batch"), 4)
     sizes = ordered.groupBy("batch", "part").agg(F.count("*").alias("c")).groupBy("batch").agg(F.max("c").alias("largest_part"))

@@ -26,7 +26,7 @@ def test_group_statistics_take_one_exchange(spark, name):
     assert exchanges(text) == 1 and "Join" not in text
 
 
-@pytest.mark.parametrize("name", ["ppo_clip_loss", "loss_luffy_sft", "agg_loss_modes", "kl_penalties", "normalize_think", "gsm8k_score", "minerva_normalize", "qa_em", "gae_adv", "bm25_topk", "truncate_sides"])
+@pytest.mark.parametrize("name", ["ppo_clip_loss", "loss_luffy_sft", "agg_loss_modes", "kl_penalties", "normalize_think", "gsm8k_score", "minerva_normalize", "qa_em", "gae_adv", "truncate_sides"])
 def test_no_python_on_built_in_paths(spark, name):
     assert not re.search(r"Python|Pandas|Arrow", plan(QUERIES[name](spark, DATA)))
 
@@ -42,3 +42,12 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_exact_sample_is_a_top_n(spark):
     text = plan(QUERIES["exact_sample"](spark, DATA))
     assert "TakeOrderedAndProject" in text and "Exchange" not in text
+
+
+def test_retrieval_moves_only_the_best(spark):
+    """Neither search shuffles documents, vectors, words or pairs with queries: a task's best rows are all that moves."""
+    for name in ("bm25_topk", "dense_topk"):
+        text = plan(QUERIES[name](spark, DATA))
+        assert len(re.findall(r"Exchange (?!SinglePartition)", text)) == 1 and "Join" not in text, name
+        below = text[text.index("Exchange hashpartitioning") :]
+        assert "MapInArrow" in below and "WindowGroupLimit" in below and "HashAggregate" not in below
