@@ -2,8 +2,9 @@
 
 Words are aggregated per source, targets are water-filled under a cap, and every document is emitted
 ``floor(rate)`` times plus one hash-seeded Bernoulli copy with probability ``frac(rate)``.  DataFrame
-functions only: one partial aggregation over the text, a staged table with a row per source, and one pass that
-joins the rates back without moving the text.
+functions only: one pass over the text stages each document's key and size, from which sources are aggregated and
+repeated rows found; rates, a row per source, are joined back, by :func:`mix` in one more pass that does not move the
+text.
 
 The draw's seed is the document: its id, source and text, and for rows that are equal in all three their
 number among each other, so rows that share an id (or lack one) are drawn each.  Only such rows move to be
@@ -65,10 +66,11 @@ def _document_key(doc_id: str = "doc_id", source: str = "source", text: str = "t
     return F.md5(F.concat(*(x for k in known for x in (F.md5(k), F.lit(":"))), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
 
-def _numbered(docs: DataFrame, key: str, number: str) -> DataFrame:
-    """Adds the number (from 1) of each row among those that share its key; rows whose key is their own stay where they are."""
+def _numbered(docs: DataFrame, slim: DataFrame, key: str, number: str) -> DataFrame:
+    """Adds the number (from 1) of each row among those that share its key; rows whose key is their own stay where they
+    are.  ``slim`` has the same rows' keys."""
     again, salt, other, rank, before, n = fresh(docs, "_again", "_salt", "_other", "_rank", "_before", "_n")
-    repeated = staged(docs.groupBy(key).agg(F.count("*").alias(n)).filter(F.col(n) > 1).select(F.col(key).alias(again)), "repeated")
+    repeated = staged(slim.groupBy(key).agg(F.count("*").alias(n)).filter(F.col(n) > 1).select(F.col(key).alias(again)), "repeated")
     n_keys = repeated.count()
     if not n_keys:
         return docs.withColumn(number, F.lit(1).cast("long"))
@@ -84,12 +86,19 @@ def _numbered(docs: DataFrame, key: str, number: str) -> DataFrame:
     return once.unionByName(ranked.select(*[f"`{c}`" for c in docs.columns], (F.col(before) + F.col(rank)).cast("long").alias(number)))
 
 
-def _with_copies(docs: DataFrame, seed: str, **rule) -> tuple[DataFrame, list[str]]:
-    """The rows with more columns, and their names: size, source's size, target, copies, then those they were made with."""
-    size, source_size, target, copies, rate, source, key, number = names = fresh(docs, "_size", "_source_size", "_target", "_copies", "_rate", "_source", "_key", "_number")
-    totals = docs.select("source", word_count().alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The rows with two more columns, the key that seeds their draw and their number of words, and those columns' names."""
+    key, size = fresh(docs, "_key", "_size")
+    return docs.withColumn(key, _document_key()).withColumn(size, word_count()), key, size
+
+
+def _with_copies(rows: DataFrame, slim: DataFrame, key: str, size: str, seed: str, **rule) -> tuple[DataFrame, list[str]]:
+    """The rows (with key and size) and four more columns with their names: source's size, target, copies, then others.
+    ``slim`` holds source, key and size of the same rows."""
+    source_size, target, copies, rate, source, number = names = fresh(rows, "_source_size", "_target", "_copies", "_rate", "_source", "_number")
+    totals = slim.groupBy("source").agg(F.sum(size).alias("source_size"))
     rates = staged(source_targets(totals, **rule), "rates").withColumnsRenamed({"source": source, "source_size": source_size, "target": target, "rate": rate})
-    seeded = _numbered(docs.withColumn(key, _document_key()), key, number).withColumn(size, word_count())
+    seeded = _numbered(rows, slim, key, number)
     # One row a source: within the size bound they are broadcast and no text moves; beyond, hot sources are split by Spark.
     joined = seeded.join(sized(rates), F.col("source").eqNullSafe(F.col(source)), "left")
     extra = uniform(F.concat(F.lit(seed + ":"), key, F.lit(":"), F.col(number).cast("string"))) < F.col(rate) - F.floor(rate)
@@ -98,13 +107,16 @@ def _with_copies(docs: DataFrame, seed: str, **rule) -> tuple[DataFrame, list[st
 
 def mix_plan(docs: DataFrame, seed: str = SEED, **rule) -> DataFrame:
     """Per row: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
-    planned, (size, source_size, target, copies, *_) = _with_copies(docs.select("doc_id", "source", "text"), seed, **rule)
+    keyed, key, size = _keyed(docs.select("doc_id", "source", "text"))
+    slim = staged(keyed.drop("text"), "keys")
+    planned, (source_size, target, copies, *_) = _with_copies(slim, slim, key, size, seed, **rule)
     return planned.select("doc_id", F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col(size) * F.col(copies)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, **rule) -> DataFrame:
     """The mixed documents themselves: each row repeated as often as the plan says, columns unchanged."""
-    planned, (_, _, _, copies, *_) = _with_copies(docs, seed, **rule)
+    keyed, key, size = _keyed(docs)
+    planned, (_, _, copies, *_) = _with_copies(keyed, staged(keyed.select("source", key, size), "keys"), key, size, seed, **rule)
     (copy,) = fresh(planned, "_copy")
     return planned.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
