@@ -41,13 +41,15 @@ from pyspark.sql import functions as F
 
 from ..operators.layout import with_positions
 from ..operators.selection import at_or_above, kth_largest
-from .runtime import release_memory, staged
+from .runtime import release_memory, small_batches, staged
 from .textkit import splitmix, split_words
 
 #: Buckets, words of the longest feature, fewest words of a document that may be drawn, percent drawn, seed of the draw.
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 #: Bytes of a page's texts, and of the strings that a part of the dictionary holds at once (about).
 PAGE_BYTES, PART_BYTES = 6 << 20, 40 << 20
+#: Rows that are Python objects at once.
+ROWS = 256
 #: Bytes of distinct strings for each byte of text, at most about.
 STRINGS_A_BYTE = 4
 #: Continuations of a pair of words in a page from which they are dealt by the third word too.
@@ -81,7 +83,8 @@ class Page:
         self.sizes = (len(order), len(pairs), len(triples))
         #: Number of each occurrence's n-gram, and its text.
         base = np.cumsum([0, *self.sizes])
-        self.grams = np.concatenate([code, pair + base[1], triple + base[2]])
+        self.grams = np.concatenate([code.astype(np.int32), (pair + base[1]).astype(np.int32), (triple + base[2]).astype(np.int32)])
+        owner = owner.astype(np.int32)
         self.texts = np.concatenate([owner, owner[two], owner[three]])
 
     def counts(self) -> np.ndarray:
@@ -204,7 +207,7 @@ def _located(docs: DataFrame, id_: str) -> DataFrame:
 def _pages(batches: Iterator[pa.RecordBatch], page_bytes: int) -> Iterator[tuple[str, list, list]]:
     """(name, ids, texts) of the pages: rows of one block in their order, until they have the bytes of a page."""
     block, number, ids, texts, size = None, 0, [], [], 0
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         for name, i, t in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "text")), strict=True):
             if texts and (name != block or size >= page_bytes):
                 yield f"{block}:{number}:{_digest(ids, texts)}", ids, texts
@@ -233,22 +236,25 @@ def dictionary_lists(docs: DataFrame, n_parts: int, side: int, page_bytes: int =
     the words, the counts of the stems (0 if the pair itself belongs to another part), how many third words follow below
     each stem, and the counts of those."""
 
+    def cut(name: str, texts: list) -> pa.RecordBatch:
+        page = Page(texts)
+        counts, cuts = np.split(page.counts().astype(np.uint32), np.cumsum(page.sizes)[:2]), page.cuts(n_parts)
+        singles, stems, thirds = page.words.take(pa.array(cuts.singles)), page.pairs(cuts.stems), page.words.take(pa.array(page.third[cuts.triples]))
+        there, strings, numbers = [], [], []
+        for p in range(n_parts):
+            one, two, three = cuts.part(p)
+            sizes = [x.stop - x.start for x in (one, two, three)]
+            if any(sizes):
+                there.append(p)
+                strings.append(_squeezed(_joined(pa.concat_arrays([a.slice(x.start, n) for a, x, n in zip((singles, stems, thirds), (one, two, three), sizes, strict=True)]), "\n")))
+                numbers.append(_numbers(np.concatenate([np.array(sizes), counts[0][cuts.singles[one]], np.where(cuts.own[two], counts[1][cuts.stems[two]], 0), cuts.below[two], counts[2][cuts.triples[three]]]).astype(np.uint32)))
+        rows = [pa.array([side] * len(there), pa.int32()), pa.array(there, pa.int32()), pa.array([name] * len(there), pa.string()), pa.array(strings, pa.binary()), pa.array(numbers, pa.binary())]
+        return pa.RecordBatch.from_arrays(rows, names=["side", "part", "page", "strings", "numbers"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, texts in _pages(batches, page_bytes):
-            page = Page(texts)
-            counts, cuts = np.split(page.counts().astype(np.uint32), np.cumsum(page.sizes)[:2]), page.cuts(n_parts)
-            singles, stems, thirds = page.words.take(pa.array(cuts.singles)), page.pairs(cuts.stems), page.words.take(pa.array(page.third[cuts.triples]))
-            there, strings, numbers = [], [], []
-            for p in range(n_parts):
-                one, two, three = cuts.part(p)
-                sizes = [x.stop - x.start for x in (one, two, three)]
-                if any(sizes):
-                    there.append(p)
-                    strings.append(_squeezed(_joined(pa.concat_arrays([a.slice(x.start, n) for a, x, n in zip((singles, stems, thirds), (one, two, three), sizes, strict=True)]), "\n")))
-                    numbers.append(_numbers(np.concatenate([np.array(sizes), counts[0][cuts.singles[one]], np.where(cuts.own[two], counts[1][cuts.stems[two]], 0), cuts.below[two], counts[2][cuts.triples[three]]]).astype(np.uint32)))
-            rows = [pa.array([side] * len(there), pa.int32()), pa.array(there, pa.int32()), pa.array([name] * len(there), pa.string()), pa.array(strings, pa.binary()), pa.array(numbers, pa.binary())]
-            yield pa.RecordBatch.from_arrays(rows, names=["side", "part", "page", "strings", "numbers"])
-        release_memory()
+            yield cut(name, texts)
+            release_memory()
 
     return docs.mapInArrow(run, "side int, part int, page string, strings binary, numbers binary")
 
@@ -319,6 +325,7 @@ def bucket_gains(documents: dict[int, int], target: dict[int, int], buckets: int
 def feature_weights(docs: DataFrame, target: DataFrame, page_bytes: int = PAGE_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """id, n_words, n_features, weight: a row per document (columns doc_id, text; the target table has a text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     located = _located(docs, "doc_id")
     size = located.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-STRINGS_A_BYTE * size // part_bytes))
@@ -353,8 +360,7 @@ def feature_weights(docs: DataFrame, target: DataFrame, page_bytes: int = PAGE_B
                 got = np.split(np.frombuffer(raw, np.uint16), np.cumsum([one.stop - one.start, two.stop - two.start]))
                 buckets[0][cuts.singles[one]], buckets[1][cuts.stems[two][cuts.own[two]]], buckets[2][cuts.triples[three]] = got[0], got[1][cuts.own[two]], got[2]
             bucket = np.concatenate(buckets)
-            weight = np.zeros(len(ids), np.int64)
-            np.add.at(weight, page.texts, shared.value[bucket][page.grams])
+            weight = np.bincount(page.texts, shared.value[bucket].astype(np.float64)[page.grams], len(ids))  # exact below 2**53
             out.append((ids, np.diff(page.ends), np.bincount(page.texts, minlength=len(ids)), weight))
         columns = list(zip(*out, strict=True)) or [([],)] * 4
         return pa.table({"id": pa.array([i for ids in columns[0] for i in ids], pa.int64()), **{n: pa.array(np.concatenate(v).astype(np.int64)) for n, v in zip(("n_words", "n_features", "weight"), columns[1:], strict=True)}})

@@ -92,6 +92,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch from the default; a choice of its own stays."""
+    if int(spark.conf.get(_BATCH)) == 10_000:
+        spark.conf.set(_BATCH, str(CALL_ROWS))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Runs a columns-to-columns function over Arrow batches.
 
@@ -100,8 +106,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     """
     spark = df.sparkSession
     target = pa_schema(spark, schema)
-    if int(spark.conf.get(_BATCH)) == 10_000:  # the default; a session's own choice stays
-        spark.conf.set(_BATCH, str(CALL_ROWS))
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
