@@ -28,14 +28,16 @@ doc_id are different classes; an empty table gives no rows; other columns, whate
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import fresh, map_batches, sized, staged
+from .runtime import fresh, map_batches, release_memory, sized, staged
 from .textkit import shingle_sets, splitmix
 
 #: Words of a shingle, and the threshold in percent.
@@ -46,6 +48,8 @@ BLOCK_BYTES = 4 << 20
 PIVOTS = 4
 #: Digests that a task remembers to emit the keys of a text that it has met before only once.
 SEEN = 500_000
+#: Keys that a task joins among themselves at once.
+TASK_KEYS = 1 << 21
 
 #: Low bits of a key that hold its size class.
 LEVEL_MASK = 127
@@ -257,14 +261,51 @@ def _node():
     return F.xxhash64("digest", "level")
 
 
+def local_heads(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, head) rows that connect the same nodes: a row per distinct key whose node and head are the smallest
+    node with it, and a row per pair of another node and such a head, under a key of no meaning (the node)."""
+    order = np.argsort(keys, kind="stable")
+    k, n = keys[order], nodes[order]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
+    heads = np.minimum.reduceat(n, start) if len(k) else n
+    of = np.repeat(heads, np.diff(np.append(start, len(k))))
+    apart = np.unique(np.stack([n[n != of], of[n != of]], 1), axis=0)
+    return np.concatenate([k[start], apart[:, 0]]), np.concatenate([heads, apart[:, 0]]), np.concatenate([heads, apart[:, 1]])
+
+
 def block_members(sketch: DataFrame) -> DataFrame:
-    """(_at, block) of the classes, at their levels, that share a key with another class."""
-    keys = sketch.filter(F.col("digest").isNotNull()).select("digest", F.explode("keys").alias("key"))
-    rows = keys.withColumn("level", F.col("key").bitwiseAND(LEVEL_MASK).cast("int")).select(_node().alias("node"), "key")
-    # A key's smallest node by partial minima; keys of one class alone, nearly all, end there, so few meet their rows
-    # again, in a join that may be split where near copies share a key.
-    heads = rows.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("_last")).filter("u <> _last").select(F.col("key").alias("_k"), "u")
-    edges = rows.join(sized(staged(heads, "shared-keys")), F.col("key") == F.col("_k")).filter("u <> node").select("u", F.col("node").alias("v"))
+    """(_at, block) of the classes, at their levels, that share a key with another class.
+
+    A task joins the classes that share a key within it before anything is exchanged, so a key that near copies share
+    costs a row a task; keys that occur once, nearly all, are exchanged once."""
+    with_keys = sketch.filter("digest is not null and size(keys) > 0")
+    rows = with_keys.select("keys", "levels", F.transform("levels", lambda level: F.xxhash64("digest", level)).alias("nodes"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush():
+            columns = local_heads(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for at in range(0, len(columns[0]), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 18)]) for c in columns], names=["key", "node", "head"])
+
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            keys, levels, nodes = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("keys", "levels", "nodes"))
+            row = lambda c: np.repeat(np.arange(batch.num_rows), batch.column(c).value_lengths().to_numpy(zero_copy_only=False))  # noqa: B023, E731
+            place = np.searchsorted(row("levels") * (LEVEL_MASK + 1) + levels, row("keys") * (LEVEL_MASK + 1) + (keys & LEVEL_MASK))
+            held.append((keys, nodes[place]))
+            size += len(keys)
+            if size >= TASK_KEYS:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+        release_memory()
+
+    met = rows.mapInArrow(gather, "key long, node long, head long")
+    met = met.withColumn("first", F.min("head").over(Window.partitionBy("key"))).filter("first <> head or node <> head")
+    pairs = F.explode(F.array(F.struct(F.col("first").alias("u"), F.col("head").alias("v")), F.struct(F.col("head").alias("u"), F.col("node").alias("v"))))
+    edges = met.select(pairs.alias("e")).select("e.u", "e.v").filter("u <> v")
     return components(edges).select(F.col("node").alias("_at"), F.col("root").alias("block"))
 
 

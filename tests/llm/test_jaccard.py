@@ -176,3 +176,32 @@ def test_shingle_kernel():
     texts = corpus(2)
     sets = shingle_sets(texts, 4)
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
+
+
+def test_keys_are_joined_in_their_task_first(spark):
+    rng = np.random.default_rng(2)
+    keys, nodes = rng.integers(0, 40, 500), rng.integers(-5, 60, 500)
+    key, node, head = jaccard.local_heads(keys, nodes)
+
+    def classes(edges):
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return {frozenset(y for y in list(root) if find(y) == find(x)) for x in list(root)}
+
+    first = dict(zip(key[: len(np.unique(keys))].tolist(), head.tolist(), strict=False))
+    assert classes([(int(n), first[int(k)]) for k, n in zip(keys, nodes, strict=True)]) == classes([(n, h) for n, h in zip(node.tolist(), head.tolist(), strict=True)])
+    assert all(first[k] == nodes[keys == k].min() for k in np.unique(keys).tolist())
+    assert [len(x) for x in jaccard.local_heads(keys[:0], nodes[:0])] == [0, 0, 0]
+
+
+def test_a_large_group_of_near_copies_costs_a_key_a_task(spark):
+    """Thousands of different texts that share nearly all keys: what a key's task reads is a row per task."""
+    base = " ".join(f"w{i}" for i in range(300))
+    docs = spark.range(6000).selectExpr("id as doc_id", f"concat('{base} tail', id) as text").repartition(5)
+    sketch = jaccard.staged(jaccard.sketches(docs), "test-sketch")
+    members = jaccard.block_members(sketch)
+    assert members.select("block").distinct().count() == 1 and members.count() == 6000
+    got = jaccard.near_duplicates(docs)
+    assert got.filter("component_id <> 0").count() == 0 and got.count() == 6000
