@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,17 +31,18 @@ def accumulate_groups(source: DataFrame, path: str, checkpoint: str, wanted: int
     """Dynamic sampling until enough: micro-batches are taken one by one, the groups whose scores vary are appended,
     and no further batch is taken once ``wanted`` of them are there.  Returns whether they are.
 
-    The source decides how much a micro-batch holds (``maxFilesPerTrigger`` and the like).  What is there already is
-    counted first, so a restart goes on where the last call ended.  More than ``most_batches`` is an error, as a
-    source that never has enough groups would be read for ever.
+    The source decides how much a micro-batch holds (``maxFilesPerTrigger`` and the like); a group's rows come in one.
+    How many groups a batch gave is kept beside its rows, so nothing that is written is counted again, and a restart
+    goes on where the last call ended.  More than ``most_batches`` is an error, as a source that never has enough groups
+    would be read for ever.
     """
     from ..operators.groups import dynamic_sampling
 
+    files, counts = Files(spark), f"{path.rstrip('/')}-groups"
+
     def there() -> int:
-        try:
-            return spark.read.parquet(path).select("uid").distinct().count()
-        except AnalysisException:  # nothing is written yet
-            return 0
+        found = dict(sorted(tuple(map(int, name.split("="))) for name in files.names(counts)))  # batch=groups
+        return sum(found.values())
 
     enough = [there() >= wanted]
     if enough[0]:
@@ -54,6 +55,7 @@ def accumulate_groups(source: DataFrame, path: str, checkpoint: str, wanted: int
             raise _Enough
         taken[0] += 1
         dynamic_sampling(df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        files.make_dirs(f"{counts}/{batch}={spark.read.parquet(f'{path}/batch={batch}').select('uid').distinct().count()}")
         enough[0] = there() >= wanted
 
     found.append(source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
