@@ -47,7 +47,7 @@ from .textkit import splitmix, split_words
 #: Buckets, words of the longest feature, fewest words of a document that may be drawn, percent drawn, seed of the draw.
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 #: Bytes of a page's texts, and of the strings that a part of the dictionary holds at once (about).
-PAGE_BYTES, PART_BYTES = 6 << 20, 40 << 20
+PAGE_BYTES, PART_BYTES = 8 << 20, 40 << 20
 #: Rows that are Python objects at once.
 ROWS = 256
 #: Bytes of distinct strings for each byte of text, at most about.
@@ -189,6 +189,15 @@ def _values(raw, kind) -> np.ndarray:
     return np.frombuffer(_expanded(raw), kind)
 
 
+def _planes(buckets: np.ndarray) -> bytes:
+    """16-bit numbers as all their low bytes, then all their high ones, which are few different ones and so get small."""
+    return _squeezed(pa.py_buffer(np.ascontiguousarray(buckets.astype("<u2").view(np.uint8).reshape(-1, 2).T)))
+
+
+def _from_planes(raw) -> np.ndarray:
+    return np.ascontiguousarray(_values(raw, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+
+
 def _from_files(df: DataFrame) -> bool:
     """Whether a row's block of a file is known where it is read."""
     node = df._jdf.queryExecution().optimizedPlan()
@@ -306,7 +315,7 @@ def hashed_dictionary(lists: DataFrame) -> DataFrame:
             put(side=side, of=np.flatnonzero(n).tolist(), n=n[n > 0].tolist())
         for (_, buckets), page, side in zip(hashed, pages, sides, strict=True):
             if side == 0:
-                put(page=page, part=part, buckets=buckets.tobytes())
+                put(page=page, part=part, buckets=_planes(buckets))
         kinds = {"page": pa.string(), "part": pa.int32(), "buckets": pa.binary(), "side": pa.int32(), "of": pa.list_(pa.int32()), "n": pa.list_(pa.int64())}
         table = pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
         del out, hashed
@@ -357,7 +366,7 @@ def feature_weights(docs: DataFrame, target: DataFrame, page_bytes: int = PAGE_B
             buckets, cuts = [np.empty(n, np.int64) for n in page.sizes], page.cuts(n_parts)
             for p, raw in found.items():
                 one, two, three = cuts.part(p)
-                got = np.split(np.frombuffer(raw, np.uint16), np.cumsum([one.stop - one.start, two.stop - two.start]))
+                got = np.split(_from_planes(raw), np.cumsum([one.stop - one.start, two.stop - two.start]))
                 buckets[0][cuts.singles[one]], buckets[1][cuts.stems[two][cuts.own[two]]], buckets[2][cuts.triples[three]] = got[0], got[1][cuts.own[two]], got[2]
             bucket = np.concatenate(buckets)
             weight = np.bincount(page.texts, shared.value[bucket].astype(np.float64)[page.grams], len(ids))  # exact below 2**53
