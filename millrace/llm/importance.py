@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..operators.layout import with_positions
 from ..operators.selection import at_or_above, kth_largest
-from .runtime import release_memory, small_batches, staged
+from .runtime import fresh, release_memory, small_batches, staged
 from .textkit import splitmix, split_words
 
 #: Buckets, words of the longest feature, fewest words of a document that may be drawn, percent drawn, seed of the draw.
@@ -403,10 +403,12 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
 
 
 def draw(docs: DataFrame, target: DataFrame, **rule) -> DataFrame:
-    """The drawn documents themselves, with rank and score; rows of one doc_id are drawn together."""
-    ranks = resampled(docs, target, **rule).filter("rank is not null").select(F.col("doc_id").alias("_drawn_id"), "rank", "score")
-    best = ranks.groupBy("_drawn_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
-    return docs.join(best, F.col("doc_id").cast("long") == F.col("_drawn_id")).drop("_drawn_id")
+    """The drawn documents themselves, with rank and score (after underscores if they have such columns); rows of one
+    doc_id are drawn together."""
+    key, rank, score = fresh(docs, "_drawn", "rank", "score")
+    ranks = resampled(docs, target, **rule).filter("rank is not null")
+    best = ranks.groupBy(F.col("doc_id").alias(key)).agg(F.min("rank").alias(rank), F.max("score").alias(score))
+    return docs.join(best, F.col("doc_id").cast("long") == F.col(key)).drop(key)
 
 
 def op12(spark, sf_dir):

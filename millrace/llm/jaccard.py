@@ -270,7 +270,8 @@ def local_heads(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nda
     heads = np.minimum.reduceat(n, start) if len(k) else n
     of = np.repeat(heads, np.diff(np.append(start, len(k))))
     apart = np.unique(np.stack([n[n != of], of[n != of]], 1), axis=0)
-    return np.concatenate([k[start], apart[:, 0]]), np.concatenate([heads, apart[:, 0]]), np.concatenate([heads, apart[:, 1]])
+    by = np.argsort(heads, kind="stable")  # equal heads in a row, so that the exchange compresses them
+    return np.concatenate([k[start][by], apart[:, 0]]), np.concatenate([heads[by], apart[:, 0]]), np.concatenate([heads[by], apart[:, 1]])
 
 
 def block_members(sketch: DataFrame) -> DataFrame:
@@ -285,7 +286,8 @@ def block_members(sketch: DataFrame) -> DataFrame:
         def flush():
             columns = local_heads(*(np.concatenate(x) for x in zip(*held, strict=True)))
             for at in range(0, len(columns[0]), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 18)]) for c in columns], names=["key", "node", "head"])
+                key, node, head = (c[at : at + (1 << 18)] for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node ^ head), pa.array(head)], names=["key", "apart", "head"])
 
         held: list[tuple] = []
         size = 0
@@ -302,9 +304,11 @@ def block_members(sketch: DataFrame) -> DataFrame:
             yield from flush()
         release_memory()
 
-    met = rows.mapInArrow(gather, "key long, node long, head long")
-    met = met.withColumn("first", F.min("head").over(Window.partitionBy("key"))).filter("first <> head or node <> head")
-    pairs = F.explode(F.array(F.struct(F.col("first").alias("u"), F.col("head").alias("v")), F.struct(F.col("head").alias("u"), F.col("node").alias("v"))))
+    # A node differs from its head in few rows only: their difference is mostly zeros, which the exchange compresses.
+    met = rows.mapInArrow(gather, "key long, apart long, head long")
+    met = met.withColumn("first", F.min("head").over(Window.partitionBy("key"))).filter("first <> head or apart <> 0")
+    node = F.col("head").bitwiseXOR(F.col("apart"))
+    pairs = F.explode(F.array(F.struct(F.col("first").alias("u"), F.col("head").alias("v")), F.struct(F.col("head").alias("u"), node.alias("v"))))
     edges = met.select(pairs.alias("e")).select("e.u", "e.v").filter("u <> v")
     return components(edges).select(F.col("node").alias("_at"), F.col("root").alias("block"))
 

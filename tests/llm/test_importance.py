@@ -112,7 +112,8 @@ def test_changed_documents_are_an_error(spark, tmp_path):
 def test_the_draw_keeps_whole_rows(spark):
     rng = random.Random(9)
     docs = [(i, prose(rng, 30, 50)) for i in range(100)]
-    drawn = importance.draw(frame(spark, docs), benchmark(spark, ["w1 w2"])).collect()
+    drawn = importance.draw(frame(spark, docs).withColumn("score", F.lit("mine")), benchmark(spark, ["w1 w2"])).collect()
+    assert all(r["score"] == "mine" and r["_score"] is not None for r in drawn)
     want = [r for r in plain(docs, ["w1 w2"]) if r[4]]
     assert sorted((r["doc_id"], r["rank"], r["text"]) for r in drawn) == sorted((r[0], r[4], dict(docs)[r[0]]) for r in want)
 
