@@ -206,13 +206,12 @@ def planned_size(spark, d):
 # -- balancing ------------------------------------------------------------------------------------------------
 
 
-@query("greedy_partition", """WITH RECURSIVE r AS (SELECT c_custkey // 64 AS batch, row_number() OVER (PARTITION BY c_custkey // 64 ORDER BY c_custkey) AS i, c_nationkey AS x, c_custkey FROM customer), s(batch, i, sums, part, key) AS (
-  SELECT batch, 0::BIGINT, [0, 0, 0, 0], -1, NULL::BIGINT FROM r GROUP BY batch UNION ALL
-  SELECT r.batch, r.i, list_transform(range(1, 5), lambda j: s.sums[j] + CASE WHEN j = list_position(s.sums, list_min(s.sums)) THEN r.x ELSE 0 END), list_position(s.sums, list_min(s.sums)) - 1, r.c_custkey FROM s JOIN r ON r.batch = s.batch AND r.i = s.i + 1)
+@query("greedy_partition", """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_nationkey AS x, c_custkey FROM customer), s(i, sums, part, key) AS (
+  SELECT 0::BIGINT, [0, 0, 0, 0], -1, NULL::BIGINT UNION ALL
+  SELECT r.i, list_transform(range(1, 5), lambda j: s.sums[j] + CASE WHEN j = list_position(s.sums, list_min(s.sums)) THEN r.x ELSE 0 END), list_position(s.sums, list_min(s.sums)) - 1, r.c_custkey FROM s JOIN r ON r.i = s.i + 1)
 SELECT key AS c_custkey, part::INT AS part FROM s WHERE i > 0""")
 def greedy_partition(spark, d):
-    rows = table(spark, d, "customer").withColumn("batch", F.floor(F.col("c_custkey") / 64))
-    return B.greedy_batches(rows, 4, "batch", "c_custkey", "c_nationkey").select("c_custkey", "part")
+    return B.greedy_sequence(table(spark, d, "customer"), 4, "c_custkey", "c_nationkey").select("c_custkey", "part")
 
 
 @query("checked_partitions", "WITH b AS (SELECT c_custkey // 64 AS batch, count(*) AS n FROM customer GROUP BY 1) SELECT batch, n::BIGINT AS n, n::BIGINT AS n_distinct, least(n, 5)::BIGINT AS n_parts, true AS close FROM b")

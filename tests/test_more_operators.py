@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import advantages as V
+from millrace.operators import balancing as B
 from millrace.operators import evaluation as E
 from millrace.operators import layout as L
 from millrace.operators import requests as Q
@@ -219,3 +220,14 @@ def test_selection_equals_a_sort(spark, monkeypatch):
         assert {r["id"] for r in df.filter(K.at_or_above(row, "v", "id")).collect()} == {r["id"] for r in order[:k]}
     assert K.kth_largest(df, 2000, "v", "id") is None and K.kth_largest(df, 0, "v", "id") is None and K.kth_largest(df.limit(0), 1, "v", "id") is None
     assert df.filter(K.at_or_above(None, "v", "id")).count() == 1999
+
+
+def test_greedy_sequence_carries_sums_over_links(spark):
+    """One sequence over the whole table, in links of 7 rows: the parts are those of the plain loop."""
+    rows = [(i * 3, (i * 7919) % 23) for i in range(50)]
+    df = spark.createDataFrame(rows, "c long, x int").repartition(5)
+    want = {rows[i][0]: p for p, members in enumerate(B.greedy([x for _, x in rows], 4)) for i in members}
+    assert {r["c"]: r["part"] for r in B.greedy_sequence(df, 4, "c", "x", rows=7).collect()} == want
+    assert B.greedy_sequence(df.where("c < 0"), 4, "c", "x").count() == 0
+    table = df.withColumn("x", F.col("x").cast("double"))
+    assert {r["c"]: r["part"] for r in B.greedy_sequence(table, 4, "c", "x", rows=20).collect()} == want
