@@ -138,4 +138,4 @@ def _sometimes_endless(key: str, size: int) -> float:
 def limited_scores(spark, d):
     """A scorer that never ends for some rows: those are 0 after their time, the other rows of the batch have their scores."""
     scorer = limited_udf(_sometimes_endless, "double", 0.0, 0.3)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), scorer(F.col("p_partkey").cast("string"), F.col("p_size")).alias("score"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("id"), scorer(F.col("p_partkey").cast("string"), F.col("p_size")).alias("score"))
