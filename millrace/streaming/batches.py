@@ -199,23 +199,32 @@ class PromptBuffer:
 class ResumableSampler:
     """A permutation per epoch by hash, with a cursor that can be saved: (epoch, position) restores it.
 
-    An epoch's permutation is written once, with dense positions, in folders of ``span`` positions each; a batch then
-    reads the folders of its range and nothing else."""
+    An epoch's permutation is written once, with dense positions, in folders of at least ``span`` positions each, and
+    of no more than ``FOLDERS`` in all; a batch then reads the folders of its range and nothing else.  How many
+    positions a folder has is in its parent's name, so that a restored sampler finds them."""
+
+    #: Most folders of an epoch; each costs a file or two, whose making takes longer than their rows do.
+    FOLDERS = 256
 
     def __init__(self, df: DataFrame, key: str, path: str, seed: int = 47, span: int = 100_000):
         self.df, self.key, self.path, self.seed, self.span = df, key, path.rstrip("/"), seed, span
         self.files = Files(df.sparkSession)
 
-    def _epoch(self, epoch: int) -> str:
+    def _epoch(self, epoch: int) -> tuple[str, int]:
+        """The epoch's folder and the positions of each folder in it."""
         path = f"{self.path}/epoch={epoch}"
-        if not self.files.exists(f"{path}/_SUCCESS"):
-            h = F.md5(F.concat(F.col(self.key).cast("string"), F.lit(f":{self.seed}:{epoch}")))
-            placed = with_positions(self.df.withColumn("_h", h), "_h", self.key, out="_place").drop("_h")
-            placed.withColumn("_span", F.floor(F.col("_place") / self.span).cast("long")).write.mode("overwrite").partitionBy("_span").parquet(path)
-        return path
+        for name in self.files.names(path):
+            if self.files.exists(f"{path}/{name}/_SUCCESS"):
+                return f"{path}/{name}", int(name.removeprefix("width="))
+        h = F.md5(F.concat(F.col(self.key).cast("string"), F.lit(f":{self.seed}:{epoch}")))
+        placed = with_positions(self.df.withColumn("_h", h), "_h", self.key, out="_place").drop("_h")
+        width = max(self.span, -(-placed.count() // self.FOLDERS))
+        placed.withColumn("_span", F.floor(F.col("_place") / width).cast("long")).write.mode("overwrite").partitionBy("_span").parquet(f"{path}/width={width}")
+        return f"{path}/width={width}", width
 
     def batch(self, epoch: int, position: int, size: int) -> DataFrame:
-        rows = self.df.sparkSession.read.parquet(self._epoch(epoch))
-        last = (position + size - 1) // self.span
-        near = rows.where(F.col("_span").between(position // self.span, last) & (F.col("_place") >= position) & (F.col("_place") < position + size))
+        path, width = self._epoch(epoch)
+        rows = self.df.sparkSession.read.parquet(path)
+        last = (position + size - 1) // width
+        near = rows.where(F.col("_span").between(position // width, last) & (F.col("_place") >= position) & (F.col("_place") < position + size))
         return near.orderBy("_place").select(*self.df.columns)

@@ -137,3 +137,11 @@ def test_sampler(spark, tmp_path):
     first, second = ([r["id"] for r in s.batch(0, p, 5).collect()] for p in (0, 5))
     assert sorted(first + second) == list(range(10)) and [r["id"] for r in s.batch(0, 5, 5).collect()] == second
     assert [r["id"] for r in s.batch(1, 0, 10).collect()] != first + second
+
+
+def test_sampler_makes_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S.ResumableSampler, "FOLDERS", 8)
+    new = lambda: S.ResumableSampler(spark.range(100), "id", str(tmp_path / "s"), span=2)
+    found = [r["id"] for p in (0, 40, 80) for r in new().batch(0, p, 40).collect()]
+    assert sorted(found) == list(range(100))
+    assert len(list((tmp_path / "s").glob("epoch=0/*/_span=*"))) == 8
