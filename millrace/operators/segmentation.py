@@ -153,15 +153,26 @@ def with_boundaries(df: DataFrame, text: str = "text", unit: str = "paragraph",
     return df.withColumn(out, ends(text))
 
 
+def _below(rising: Column, limit: Column) -> Column:
+    """How many elements of a rising array are below a limit, by halving: as many looks as its size has bits."""
+    powers = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    bits = F.length(F.bin(F.size(rising)))
+    steps = F.when(F.size(rising) > 0, F.slice(powers, 32 - bits, bits))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(rising, at + step - 1) < limit, at + step).otherwise(at))
+    return F.when(F.size(rising) == 0, 0).otherwise(found)
+
+
 def split_points_from(bounds: Column | str, token_ends: Column | str, length: Column | str, ratios: list[float]) -> Column:
-    """The same from boundaries and token ends that are columns already, built-ins only."""
+    """The same from boundaries and token ends that are columns already, both rising, built-ins only.
+
+    Give arrays that take work to make as columns of a projection below: each ratio names them several times."""
     b, e, n = (F.col(c) if isinstance(c, str) else c for c in (bounds, token_ends, length))
 
     def one(r: float) -> Column:
         if r == 0:
             return F.lit(0)
-        cut = F.coalesce(F.try_element_at(F.filter(b, lambda x: x >= r * n), F.lit(1)), F.try_element_at(b, F.lit(-1)), F.lit(0))
-        return F.when(cut >= n, F.size(e)).otherwise(F.size(F.filter(e, lambda x: x < cut)))
+        cut = F.coalesce(F.get(b, _below(b, r * n)), F.try_element_at(b, F.lit(-1)), F.lit(0))
+        return F.when(cut >= n, F.size(e)).otherwise(_below(e, cut))
 
     return F.array(*map(one, ratios))
 

@@ -224,9 +224,9 @@ def split_points_from_boundaries(spark, d):
     t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("uid")).agg(F.sum("l_quantity").cast("long").alias("n"))
     tens = F.transform(F.sequence(F.lit(1), F.ceil(F.col("n") / 10)), lambda i: F.least(i * 10, F.col("n")))
     ends = F.sequence(F.lit(1).cast("long"), F.col("n"))
-    points = G.split_points_from(tens, ends, F.col("n"), [(i / 3) ** 1.5 for i in (1, 2, 3)])
+    points = G.split_points_from("tens", "ends", "n", [(i / 3) ** 1.5 for i in (1, 2, 3)])
     # A cut at offset c leaves the tokens that end before it, so ends are shifted by one unit here.
-    rows = t.select("uid", F.posexplode(points).alias("i", "tokens"), "n")
+    rows = t.select("uid", "n", tens.alias("tens"), ends.alias("ends")).select("uid", F.posexplode(points).alias("i", "tokens"), "n")
     return rows.select("uid", (F.col("i") + 1).alias("i"), F.when(F.col("tokens") >= F.col("n"), F.col("n")).otherwise(F.col("tokens") + 1).cast("long").alias("tokens"))
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import os
+from bisect import bisect_left
 
 import numpy as np
 import pytest
@@ -231,3 +232,19 @@ def test_greedy_sequence_carries_sums_over_links(spark):
     assert B.greedy_sequence(df.where("c < 0"), 4, "c", "x").count() == 0
     table = df.withColumn("x", F.col("x").cast("double"))
     assert {r["c"]: r["part"] for r in B.greedy_sequence(table, 4, "c", "x", rows=20).collect()} == want
+
+
+def test_split_points_from_columns_take_halving(spark):
+    """Many rising arrays against bisection, empty ones included; no look at every element."""
+    rng = np.random.default_rng(3)
+    cases = [(sorted(rng.choice(60, rng.integers(0, 9), False).tolist()), sorted(rng.integers(0, 60, rng.integers(0, 40)).tolist()), int(rng.integers(1, 70))) for _ in range(60)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i long, b array<long>, e array<long>, n long")
+    ratios = [0.0, 0.3, 0.8, 1.0]
+
+    def one(b, e, n, r):
+        cut = next((x for x in b if x >= r * n), b[-1] if b else 0)
+        return 0 if r == 0 else len(e) if cut >= n else bisect_left(e, cut)
+
+    points = df.select("i", Z.split_points_from("b", "e", "n", ratios).alias("p"))
+    assert {x["i"]: x["p"] for x in points.collect()} == {i: [one(*c, r) for r in ratios] for i, c in enumerate(cases)}
+    assert " filter(" not in points._jdf.queryExecution().optimizedPlan().toString()
