@@ -27,6 +27,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for rows of few bytes that take much time each, which sizes alone would leave to few tasks."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be none of the table's columns."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.staging import work_partitions
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -33,8 +35,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """The rows dealt over all cores: a table of few bytes is one scan task, which work of much time a row would not leave."""
-    spark = df.sparkSession
-    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(work_partitions(df.sparkSession))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -248,3 +248,29 @@ def test_split_points_from_columns_take_halving(spark):
     points = df.select("i", Z.split_points_from("b", "e", "n", ratios).alias("p"))
     assert {x["i"]: x["p"] for x in points.collect()} == {i: [one(*c, r) for r in ratios] for i, c in enumerate(cases)}
     assert " filter(" not in points._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_majority_of_many_kinds_and_of_few():
+    """The most common code's first place, ties to the code met first, whatever the number of kinds; not quadratic in n."""
+    rng = np.random.default_rng(5)
+    for kinds, n in ((1, 3), (4, 2), (4, 9), (30, 7), (40, 64)):
+        codes = rng.integers(0, kinds, (200, n))
+        codes[0, 0] = kinds - 1
+        votes = [collections.Counter(row.tolist()) for row in codes]
+        assert E._majority_places(codes).tolist() == [row.tolist().index(max(v, key=v.get)) for row, v in zip(codes, votes, strict=True)]
+
+
+def test_validation_metrics_draw_once_a_size(spark):
+    """Groups of a size share their draws; nulls, missing predictions and a null source are values like others."""
+    rows = [("a" if g % 3 else None, g, k, float((g * k) % 4) if (g, k) != (7, 1) else None, None if k == 2 else "xyz"[(g + k) % 3]) for g in range(12) for k in range(3 + g % 2)]
+    df = spark.createDataFrame(rows, "data_source string, uid int, k int, score double, pred string")
+    got = {(r["data_source"], r["variable"], r["metric"]): r["value"] for r in E.full_validation_metrics(df, ["score"], pred="pred").collect()}
+    want = collections.defaultdict(list)
+    for g in range(12):
+        mine = [r for r in rows if r[1] == g]
+        for m, x in plain_metrics([r[3] if r[3] is not None else float("nan") for r in mine], [r[4] for r in mine]).items():
+            if g != 7:
+                want[mine[0][0], "score", m].append(x)
+    assert {k for k, v in got.items() if v != v} == {("a", "score", m) for m in plain_metrics([1.0] * 4, [1] * 4)}  # the group with a null value
+    assert {k: v for k, v in got.items() if v == v} == pytest.approx({k: np.mean(v) for k, v in want.items() if k in got and got[k] == got[k]})
+    assert E._draws(3, 2, 1000, 42) is E._draws(3, 2, 1000, 42)
