@@ -79,20 +79,20 @@ _OUT = "prompt string, recycle_count long, event string"
 
 def _recycle(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     seen = state.get[0] if state.exists else 0
-    limit, rows = None, []
+    frames = list(frames)
+    frame = frames[0] if len(frames) == 1 else pd.concat(frames)
     # A micro-batch's rows have no order of their own: their order column gives it.
-    for frame in [pd.concat(list(frames)).sort_values("order", kind="stable")]:
-        for ok, limit in zip(frame["success"], frame["max_recycle"], strict=True):
-            if ok:
-                seen = 0
-                rows.append((key[0], 0, "solved"))
-            else:
-                seen += 1
-                rows.append((key[0], seen, "retry" if seen < limit else "dropped"))
-                if seen >= limit:
-                    seen = 0
+    if not frame["order"].is_monotonic_increasing:
+        frame = frame.sort_values("order", kind="stable")
+    counts, events = [], []
+    for ok, limit in zip(frame["success"].tolist(), frame["max_recycle"].tolist(), strict=True):
+        seen = 0 if ok else seen + 1
+        counts.append(seen)
+        events.append("solved" if ok else "retry" if seen < limit else "dropped")
+        if seen >= limit:
+            seen = 0
     state.update((seen,))
-    yield pd.DataFrame(rows, columns=["prompt", "recycle_count", "event"])
+    yield pd.DataFrame({"prompt": [key[0]] * len(counts), "recycle_count": counts, "event": events})
 
 
 def recycle_failures(stream: DataFrame, max_recycle: int = 3, order: str | None = None) -> DataFrame:
