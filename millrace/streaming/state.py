@@ -7,10 +7,13 @@ same rows.  Keys spread over the cluster; a key's rows of a micro-batch are put
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -73,6 +76,8 @@ def adaptive_coefficients(steps: DataFrame, beta: float, target: float, horizon:
 class FailureQueue(StatefulProcessor):
     """Failed prompts wait in order; enough of them, and enough steps since the last time, let the first ones go."""
 
+    COLUMNS = ["buffer", "step", "chunk", "place", "prompt", "recycle_count"]
+
     def __init__(self, size: int, trigger: int, rounds: int, cooldown: int, max_recycle: int):
         self.size, self.trigger, self.rounds, self.cooldown, self.max_recycle = size, trigger, rounds, cooldown, max_recycle
 
@@ -81,22 +86,37 @@ class FailureQueue(StatefulProcessor):
         self.drained = handle.getValueState("drained", "step long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows, "step", "place")
-        queue = list(self.waiting.get())
+        # A key's rows of a micro-batch are many: they are kept as numbers and packed text, and rows go out in parts.
+        parts = [(f["step"].to_numpy(), f["place"].to_numpy(), f["recycle_count"].to_numpy(), (f["success"] != True).to_numpy(), pa.array(f["prompt"], pa.string())) for f in rows]  # noqa: E712  null is no success
+        steps, places, counts, lost = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        prompts = pa.chunked_array([p[4] for p in parts])
+        lost &= counts < self.max_recycle
+        order = np.lexsort((places, steps))
+        steps = steps[order]
+        ends = np.append(np.flatnonzero(steps[1:] != steps[:-1]) + 1, len(steps))
+        queue = deque(self.waiting.get())
         known, out = len(queue), []
         last = self.drained.get()[0] if self.drained.exists() else None
-        for step, mine in frame.groupby("step", sort=True):
-            lost = mine[(mine["success"] != True) & (mine["recycle_count"] < self.max_recycle)]  # noqa: E712  null is no success
-            queue += list(zip(lost["prompt"], lost["recycle_count"].astype(int), strict=True))
+        begin = 0
+        for end in ends:
+            step, here = int(steps[begin]), order[begin:end]
+            queue += [(int(i), int(counts[i])) for i in here[lost[here]]]  # a row's number until its prompt is needed
+            begin = end
             if len(queue) >= self.trigger and (last is None or step - last > self.cooldown):
-                going, queue, last, known = queue[: self.size * self.rounds], queue[self.size * self.rounds :], int(step), -1
-                out += [(key[0], int(step), i // self.size, i, prompt, count + 1) for i, (prompt, count) in enumerate(going)]
+                last, known = step, -1
+                for i in range(min(len(queue), self.size * self.rounds)):
+                    prompt, count = queue.popleft()
+                    out.append((key[0], step, i // self.size, i, prompts[prompt].as_py() if isinstance(prompt, int) else prompt, count + 1))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=self.COLUMNS)
+                out = []
+        left = [(prompts[p].as_py() if isinstance(p, int) else p, count) for p, count in queue]
         if known < 0:
-            self.waiting.put(queue) if queue else self.waiting.clear()
+            self.waiting.put(left) if left else self.waiting.clear()
             self.drained.update((last,))
-        elif len(queue) > known:
-            self.waiting.appendList(queue[known:])
-        yield pd.DataFrame(out, columns=["buffer", "step", "chunk", "place", "prompt", "recycle_count"])
+        elif len(left) > known:
+            self.waiting.appendList(left[known:])
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def close(self) -> None:
         pass

@@ -133,3 +133,38 @@ def test_answers_are_compared_by_what_they_are():
     assert [p for p in right if not G.close_enough(*p)] == [] and [p for p in wrong if G.close_enough(*p)] == []
     deep = "(" * 300 + "1,2" + ")" * 300
     assert G.close_enough(deep, deep) and not G.close_enough(deep, "1")
+
+
+def test_failure_queue_takes_many_small_steps():
+    """200,000 attempts of one buffer in small steps: no table is made for each step, and rows go out in parts."""
+    import time
+
+    import pandas as pd
+
+    class State:
+        value = []
+
+        def exists(self):
+            return False
+
+        def get(self):
+            return iter(())
+
+        def put(self, rows):
+            self.value = rows
+
+        def clear(self):
+            self.value = []
+
+        update = appendList = put
+
+    n = 200_000
+    frame = pd.DataFrame({"step": [i // 5 for i in range(n)], "place": range(n), "prompt": [f"p{i}" for i in range(n)], "success": [i % 4 == 0 for i in range(n)], "recycle_count": 0})
+    queue = S.FailureQueue(4, 8, 3, 0, 3)
+    queue.waiting, queue.drained = State(), State()
+    shuffled = frame.sample(frac=1, random_state=1)
+    began = time.process_time()
+    found = list(queue.handleInputRows((0,), iter([shuffled[: n // 2], shuffled[n // 2 :]]), None))
+    assert time.process_time() - began < 12 and max(map(len, found)) < 11_000
+    went = pd.concat(found)["prompt"].tolist() + [p for p, _ in queue.waiting.value]
+    assert went == [f"p{i}" for i in range(n) if i % 4]
