@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,9 @@ def regex_token_ends(text: str) -> list[int]:
 
 
 def _tokenizer(path: str):
-    """A tokenizer file of the ``tokenizers`` library, read once a process."""
+    """A tokenizer file of the ``tokenizers`` library, read once a process; a task has a core, so it takes one thread."""
     if path not in _TOKENIZERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         _TOKENIZERS[path] = Tokenizer.from_file(path)
@@ -57,13 +60,30 @@ class FileOffsets:
         return len(_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
 
 
+#: Fixed: characters and texts that are encoded at once, as an encoding takes a hundred times the bytes of its ids.
+ENCODED_CHARS, ENCODED_TEXTS = 1 << 18, 64
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts, few enough to encode at once."""
+    group, chars = [], 0
+    for text in texts:
+        if group and (len(group) >= ENCODED_TEXTS or chars + len(text) > ENCODED_CHARS):
+            yield group
+            group, chars = [], 0
+        group.append(text)
+        chars += len(text)
+    if group:
+        yield group
+
+
 def encoded(df: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame:
     """Token ids of texts by a tokenizer file, without special tokens, in Arrow batches; null stays null."""
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def encode(texts: pd.Series) -> pd.Series:
         some = texts.notna()
-        ids = [e.ids for e in _tokenizer(path).encode_batch(texts[some].tolist(), add_special_tokens=False)]
+        ids = [np.array(e.ids, np.int32) for group in _groups(texts[some].tolist()) for e in _tokenizer(path).encode_batch(group, add_special_tokens=False)]
         return pd.Series(ids, index=texts.index[some], dtype=object).reindex(texts.index).where(some, None)
 
     return df.withColumn(out, encode(text))

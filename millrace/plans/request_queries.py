@@ -17,7 +17,7 @@ from ..operators import retrieval as I
 from ..operators import scoring as S
 from ..operators import segmentation as Z
 from ..operators import stats as M
-from .base import EXCHANGES, ROLLOUTS, TOKENS, UNIT, exchanges, query, r6, rollouts, table, tokens
+from .base import EXCHANGES, ROLLOUTS, TOKENS, UNIT, exchanges, query, r6, rollouts, spread, table, tokens
 
 _CUST = "c AS (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1)::BIGINT AS pos, count(*) OVER () AS n FROM customer)"
 _EPS = "1e-8::DOUBLE"
@@ -334,7 +334,7 @@ def token_round_trip(spark, d):
 @query("tokenizer_split_points", f"WITH {EXCHANGES} SELECT conv_id, turn, true AS from_zero, true AS grows, true AS whole FROM x")
 def tokenizer_split_points(spark, d):
     """Split points by a tokenizer's offsets, against the number of ids: they begin at 0, grow, and end with the whole text."""
-    rows = Z.with_split_points(exchanges(spark, d).select("conv_id", "turn", "response"), "response", stages=4, token_ends=Z.FileOffsets(_vocabulary()))
+    rows = Z.with_split_points(spread(exchanges(spark, d).select("conv_id", "turn", "response")), "response", stages=4, token_ends=Z.FileOffsets(_vocabulary()))
     p = F.col("token_split_points")
     rows = Z.encoded(rows, "response", _vocabulary())
     grows = F.forall(F.sequence(F.lit(1), F.lit(3)), lambda i: F.get(p, i) >= F.get(p, i - 1))

@@ -274,3 +274,13 @@ def test_validation_metrics_draw_once_a_size(spark):
     assert {k for k, v in got.items() if v != v} == {("a", "score", m) for m in plain_metrics([1.0] * 4, [1] * 4)}  # the group with a null value
     assert {k: v for k, v in got.items() if v == v} == pytest.approx({k: np.mean(v) for k, v in want.items() if k in got and got[k] == got[k]})
     assert E._draws(3, 2, 1000, 42) is E._draws(3, 2, 1000, 42)
+
+
+def test_texts_are_encoded_in_bounded_groups(spark):
+    """An encoding is far larger than its ids, so few texts are encoded at once; the ids are those of each text alone."""
+    texts = ["word " * 3, "", "x" * (Z.ENCODED_CHARS + 5), *["a b"] * 200]
+    groups = list(Z._groups(texts))
+    assert sum(groups, []) == texts and max(map(len, groups)) <= 64 and all(len(g) == 1 or sum(map(len, g)) <= Z.ENCODED_CHARS for g in groups)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[:2], None, *texts[3:]])], "i int, text string")
+    found = {r["i"]: r["ids"] for r in Z.encoded(df, "text", VOCABULARY).collect()}
+    assert found[1] == [] and found[2] is None and all(found[i] == found[3] for i in range(3, 203)) and found[0][0] != found[3][0]
